@@ -1,0 +1,6 @@
+"""All registered queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
