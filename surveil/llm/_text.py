@@ -18,6 +18,11 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: All ASCII but letters and digits.
+IS_MARK = np.ones(256, bool)
+IS_MARK[128:] = False
+IS_MARK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
 _M64 = (1 << 64) - 1
 
 
@@ -151,12 +156,12 @@ def doc_chunks(col: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int,
         lo = hi
 
 
-def words_of(data: np.ndarray, off: np.ndarray) -> Words:
+def words_of(data: np.ndarray, off: np.ndarray, is_space: np.ndarray = IS_SPACE) -> Words:
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return Words(data, z, z, np.zeros(len(off), np.int64))
-    space = IS_SPACE[data]
+    space = is_space[data]
     edge = np.zeros(n + 1, bool)  # a document begins or ends here
     edge[off] = True
     before, after = np.ones(n, bool), np.ones(n, bool)
