@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .decontaminate import op1_greedy_tiling
 from .quality import op10_quality_classifier
+from .secrets import op3_secret_field
 
-QUERIES = {f.__name__: f for f in (op1_greedy_tiling, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_greedy_tiling, op3_secret_field, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
