@@ -280,7 +280,9 @@ class Field:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Field:
-    few = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).filter(F.length("text") <= sample_chars)
+    rows = max(1, docs.count())
+    most = min(2**63 - 1, -(2**63) + int(2**64 * 1.5 * sample_rows / rows))  # hashes beyond this one are not among the smallest sample_rows
+    few = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).filter((F.col("h") <= most) & (F.length("text") <= sample_chars))
     texts = few.orderBy("h", "text").limit(sample_rows).select("text").toArrow()["text"]
     field = Field()
     feats, tags, sizes, plain = [], [], [], 0
