@@ -25,7 +25,7 @@ HOT_KEYS = 1_000_000
 NO_ID = (1 << 63) - 1  # stands for a null id: after all others
 _ZSTD = pa.Codec("zstd", 1)
 _FLUSH = 24 << 20  # packed bytes held before blobs are sent
-BUCKETS_PER_PARTITION = 6
+BUCKETS_PER_PARTITION = 16
 
 
 @dataclass
