@@ -9,8 +9,9 @@ from .quality import op10_quality_classifier
 from .repeated_windows import op2_super_kmers
 from .secrets import op3_secret_field
 from .suffix_arrays import op5_suffix_blocks
+from .suffix_tree import op4_suffix_tree
 from .token_counts import op6_section_tokens
 
-QUERIES = {f.__name__: f for f in (op1_greedy_tiling, op2_super_kmers, op3_secret_field, op5_suffix_blocks, op6_section_tokens, op7_cross_polytope, op9_chosen_path, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_greedy_tiling, op2_super_kmers, op3_secret_field, op4_suffix_tree, op5_suffix_blocks, op6_section_tokens, op7_cross_polytope, op9_chosen_path, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
