@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op1_greedy_tiling
 from .embeddings import op7_cross_polytope
 from .near_duplicates import op9_chosen_path
+from .pieces import op8_piece_lattice
 from .quality import op10_quality_classifier
 from .repeated_windows import op2_super_kmers
 from .secrets import op3_secret_field
@@ -12,6 +13,6 @@ from .suffix_arrays import op5_suffix_blocks
 from .suffix_tree import op4_suffix_tree
 from .token_counts import op6_section_tokens
 
-QUERIES = {f.__name__: f for f in (op1_greedy_tiling, op2_super_kmers, op3_secret_field, op4_suffix_tree, op5_suffix_blocks, op6_section_tokens, op7_cross_polytope, op9_chosen_path, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_greedy_tiling, op2_super_kmers, op3_secret_field, op4_suffix_tree, op5_suffix_blocks, op6_section_tokens, op7_cross_polytope, op8_piece_lattice, op9_chosen_path, op10_quality_classifier)}
 
 SQL: dict[str, str] = {}
