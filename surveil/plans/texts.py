@@ -1 +1,154 @@
-"""To come."""
+"""Text: redaction, keyword factors, guards, pages, retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import ranking as R
+from .registry import Tables, query
+
+C = F.col
+
+
+def _sql_list(words: list[str], low: str) -> str:
+    return " OR ".join(f"contains({low}, '{w}')" for w in words)
+
+
+@query("redact_pii")
+def redact_pii(t: Tables):
+    """Names that hold a kept word need look-ahead, which the SQL engine lacks."""
+    out, kinds = X.redact(C("text"))
+    return t.documents.select("doc_id", out.alias("redacted"), F.array_join(kinds, ",").alias("kinds"))
+
+
+@query("redact_stats")
+def redact_stats(t: Tables):
+    _, kinds = X.redact(C("text"))
+    total = t.documents.agg(F.count("*").alias("total"))
+    by = t.documents.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    return by.crossJoin(F.broadcast(total)).select("kind", "n", F.round(100.0 * C("n") / C("total"), 4).alias("pct"))
+
+
+@query("deidentify_text", rf"""SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{X.PHONES[0]}', '[PHONE]', 'g'), '{X.SSN}', '[SSN]', 'g'), '{X.EMAIL}', '[EMAIL]', 'g'), '{X.IP}', '[IP]', 'g'), '{X.URL}', '[URL]', 'g') AS x FROM documents)""")
+def deidentify_text(t: Tables):
+    return t.documents.select("doc_id", X.deidentify(C("text")).alias("x")).select("doc_id", F.length("x").alias("n"), F.md5("x").alias("digest"))
+
+
+@query("deidentify_record", "SELECT 'P_' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8) AS pseudonym, CASE WHEN 2001 - (1900 + c_custkey % 95) > 89 THEN 1911 ELSE 1900 + c_custkey % 95 END AS birth_year, c_mktsegment FROM customer")
+def deidentify_record(t: Tables):
+    year = 1900 + C("c_custkey") % 95
+    return t.customer.select(F.concat(F.lit("P_"), F.left(F.sha2(C("c_custkey").cast("string"), 256), F.lit(8))).alias("pseudonym"), F.when(2001 - year > 89, 1911).otherwise(year).alias("birth_year"), "c_mktsegment")
+
+
+@query("phi_class", "SELECT c_custkey, CASE WHEN c_name IS NOT NULL AND c_acctbal > 0 THEN 'RESTRICTED' WHEN c_nationkey < 5 THEN 'LIMITED' ELSE 'UNRESTRICTED' END AS class FROM customer")
+def phi_class(t: Tables):
+    return t.customer.select("c_custkey", F.when(C("c_name").isNotNull() & (C("c_acctbal") > 0), "RESTRICTED").when(C("c_nationkey") < 5, "LIMITED").otherwise("UNRESTRICTED").alias("class"))
+
+
+@query("audit_digest", "SELECT o_custkey, substr(sha256(string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY CAST(o_orderkey AS VARCHAR))), 1, 16) AS digest FROM orders GROUP BY 1")
+def audit_digest(t: Tables):
+    ids = F.array_sort(F.collect_list(C("o_orderkey").cast("string")))  # one member's orders
+    return t.orders.groupBy("o_custkey").agg(F.left(F.sha2(F.array_join(ids, "|"), 256), F.lit(16)).alias("digest"))
+
+
+_FLAGS = ", ".join(f"({_sql_list(w, 'low')}) AS {n}" for n, w in X.KEYWORDS.items())
+_SUM = " + ".join(f"CAST({n} AS INTEGER)" for n in [*X.KEYWORDS, "overdose"])
+
+
+@query("keyword_risk", f"SELECT *, round(({_SUM}) / 8.0, 6) AS risk FROM (SELECT doc_id, {_FLAGS}, contains(low, 'overdose') OR regexp_matches(low, '(^|[^a-z0-9])od([^a-z0-9]|$)') AS overdose FROM (SELECT doc_id, lower(text) AS low FROM documents))")
+def keyword_risk(t: Tables):
+    flags = X.keyword_flags(C("text"))
+    d = t.documents.withColumns(flags)
+    return d.select("doc_id", *flags, F.round(sum((C(c).cast("int") for c in flags), F.lit(0)) / 8.0, 6).alias("risk"))
+
+
+@query("narrative_concat", "SELECT conv_id, turn, concat_ws(' | ', nullif(role, 'system'), text) AS narrative FROM conversations")
+def narrative_concat(t: Tables):
+    return t.conversations.select("conv_id", "turn", F.concat_ws(" | ", F.nullif("role", F.lit("system")), "text").alias("narrative"))
+
+
+@query("prompt_guard", rf"""SELECT conv_id, turn, CAST(regexp_matches(text, '{X.SSN}') AS INTEGER) + CAST(regexp_matches(text, '{X.PHONES[0]}') AS INTEGER) + CAST(regexp_matches(text, '{X.EMAIL}') AS INTEGER) + {" + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in X.ADVERSARIAL)} + CAST(length(text) > 50000 AS INTEGER) AS violations FROM conversations WHERE role = 'user'""")
+def prompt_guard(t: Tables):
+    return t.conversations.filter("role = 'user'").select("conv_id", "turn", F.size(X.prompt_violations(C("text"))).alias("violations"))
+
+
+_MARKS = " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in X.UNCERTAIN)
+
+
+@query("output_guard", rf"SELECT conv_id, turn, {_MARKS} AS markers, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INTEGER) AS numbers, round(greatest(1.0 - 0.1 * ({_MARKS}), 0.0), 4) AS confidence, 1.0 - 0.1 * ({_MARKS}) >= 0.8 AS passed FROM conversations WHERE role = 'assistant'")
+def output_guard(t: Tables):
+    n, confidence = X.output_confidence(C("text"))
+    return t.conversations.filter("role = 'assistant'").select("conv_id", "turn", n.alias("markers"), F.regexp_count("text", F.lit("[0-9]+")).alias("numbers"), F.round(confidence, 4).alias("confidence"), (1.0 - 0.1 * n >= 0.8).alias("passed"))
+
+
+@query("med_guard", "SELECT o_custkey, count(*) - count(DISTINCT l_partkey) > 0 AS duplicate_therapy, max(CASE WHEN p_size > 45 THEN 1 ELSE 0 END) = 1 AS high_risk, max(CASE WHEN p_partkey % 97 = o_custkey % 97 THEN 1 ELSE 0 END) = 1 AS allergy FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def med_guard(t: Tables):
+    j = t.orders.join(t.lineitem, C("l_orderkey") == C("o_orderkey")).join(t.part, C("p_partkey") == C("l_partkey"))
+    return j.groupBy("o_custkey").agg((F.count("*") - F.countDistinct("l_partkey") > 0).alias("duplicate_therapy"), F.bool_or(C("p_size") > 45).alias("high_risk"), F.bool_or(C("p_partkey") % 97 == C("o_custkey") % 97).alias("allergy"))
+
+
+@query("score_guard", "SELECT doc_id, concat_ws(',', CASE WHEN n_chars NOT BETWEEN 50 AND 20000 THEN 'out_of_range' END, CASE WHEN lang = 'en' AND n_chars < 100 THEN 'unjustified' END, CASE WHEN source = 'src0' AND lang <> 'en' THEN 'category_mismatch' END) AS violations FROM documents")
+def score_guard(t: Tables):
+    v = F.array_compact(F.array(F.when(~C("n_chars").between(50, 20000), "out_of_range"), F.when((C("lang") == "en") & (C("n_chars") < 100), "unjustified"), F.when((C("source") == "src0") & (C("lang") != "en"), "category_mismatch")))
+    return t.documents.select("doc_id", F.array_join(v, ",").alias("violations"))
+
+
+@query("guard_rollup", rf"SELECT conv_id, bool_and(NOT (regexp_matches(text, '{X.SSN}') OR regexp_matches(text, '{X.PHONES[0]}') OR regexp_matches(text, '{X.EMAIL}') OR {' OR '.join(f'''contains(lower(text), '{w}')''' for w in X.ADVERSARIAL)})) AS passed, count(*) AS turns FROM conversations GROUP BY 1")
+def guard_rollup(t: Tables):
+    bad = F.exists(X.prompt_violations(C("text")), lambda v: v["severity"].isin("ERROR", "CRITICAL"))
+    return t.conversations.groupBy("conv_id").agg(F.bool_and(~bad).alias("passed"), F.count("*").alias("turns"))
+
+
+@query("page_extract", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '<tr')) AS INTEGER) AS table_rows FROM pages")
+def page_extract(t: Tables):
+    return t.pages.select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit(r"<a [^>]*href=")).alias("links"), F.regexp_count("html", F.lit("<tr")).alias("table_rows"))
+
+
+@query("table_cells", r"SELECT DISTINCT trim(c) AS cell FROM (SELECT unnest(regexp_extract_all(html, '<(?:td|li|h[1-6])[^>]*>([^<]{1,80})<', 1)) AS c FROM pages) WHERE regexp_matches(trim(c), '^[A-Z][a-z]+')")
+def table_cells(t: Tables):
+    cell = F.explode(F.regexp_extract_all("html", F.lit(r"<(?:td|li|h[1-6])[^>]*>([^<]{1,80})<"), 1))
+    return t.pages.select(cell.alias("c")).select(F.trim("c").alias("cell")).filter(C("cell").rlike("^[A-Z][a-z]+")).distinct()
+
+
+@query("text_normalise", r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS digest FROM documents")
+def text_normalise(t: Tables):
+    return t.documents.select("doc_id", F.md5(X.squeeze(C("text"))).alias("digest"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+_TOK = "string_split_regex(lower(text), '[^a-z]+')"
+_BM25 = f"""WITH d AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK}) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2), len AS (SELECT doc_id, sum(tf) AS n FROM d GROUP BY 1),
+ q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest({_TOK}) AS w FROM benchmark) WHERE w <> ''), df AS (SELECT w, count(*) AS df FROM d GROUP BY 1), st AS (SELECT count(*) AS nd, avg(n) AS av FROM len),
+ s AS (SELECT q.item_id, d.doc_id, sum(ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / av))) AS score FROM q JOIN d ON q.w = d.w JOIN df ON df.w = d.w JOIN len ON len.doc_id = d.doc_id, st GROUP BY 1, 2)"""
+
+
+@query("rank_bm25", _BM25 + " SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 5")
+def rank_bm25(t: Tables):
+    s = R.bm25(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+    return R.top(s.withColumn("score", F.round("score", 6)), "item_id", "doc_id", 5).select("item_id", "doc_id", "score")
+
+
+_Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
+_COS = "list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[]))"
+
+
+@query("rank_dense", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE label IS NOT NULL ORDER BY score DESC, vec_id LIMIT 10")
+def rank_dense(t: Tables):
+    first = t.embeddings.agg(F.min_by("embedding", "vec_id").alias("q"))
+    d = t.embeddings.filter("label is not null").crossJoin(F.broadcast(first)).select("vec_id", F.round(R.cosine(C("embedding"), C("q")), 6).alias("score"))
+    return d.orderBy(C("score").desc(), "vec_id").limit(10)
+
+
+@query("rank_hybrid", _BM25 + f""", k AS (SELECT min(item_id) AS i FROM benchmark), sp AS (SELECT doc_id AS id, score / max(score) OVER () AS sparse FROM s, k WHERE item_id = i ORDER BY score DESC, doc_id LIMIT 20), de AS (SELECT vec_id AS id, {_COS} AS dense FROM embeddings, {_Q} ORDER BY round({_COS}, 9) DESC, vec_id LIMIT 20)
+ SELECT id, round(0.6 * coalesce(dense, 0) + 0.4 * coalesce(sparse, 0), 5) AS score FROM sp FULL JOIN de USING (id) WHERE round(0.6 * coalesce(dense, 0) + 0.4 * coalesce(sparse, 0), 5) >= 0.1 ORDER BY score DESC, id LIMIT 10""")
+def rank_hybrid(t: Tables):
+    one = t.benchmark.orderBy("item_id").limit(1)
+    sparse = R.bm25(t.documents, "doc_id", "text", one, "item_id", "text").select(C("doc_id").alias("id"), "score").orderBy(C("score").desc(), "id").limit(20)
+    best = sparse.agg(F.max("score").alias("m"))
+    sparse = sparse.crossJoin(F.broadcast(best)).select("id", (C("score") / C("m")).alias("sparse"))
+    first = t.embeddings.agg(F.min_by("embedding", "vec_id").alias("q"))
+    dense = t.embeddings.crossJoin(F.broadcast(first)).select(C("vec_id").alias("id"), R.cosine(C("embedding"), C("q")).alias("dense")).orderBy(F.round("dense", 9).desc(), "id").limit(20)
+    score = F.round(0.6 * F.coalesce("dense", F.lit(0.0)) + 0.4 * F.coalesce("sparse", F.lit(0.0)), 5)
+    return sparse.join(dense, "id", "full").select("id", score.alias("score")).filter("score >= 0.1").orderBy(C("score").desc(), "id").limit(10)
