@@ -1 +1,275 @@
-"""To come."""
+"""Sources, sinks, keyed tables and streams. What is written goes to the shared checkpoint folder."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import clinical as X
+from ..sources import files as I
+from ..sources import tables as K
+from ..streaming import streams as S
+from .registry import Tables, query
+
+C = F.col
+
+
+def scratch(t: Tables) -> str:
+    """A new folder under the one that spark.checkpoint.dir names."""
+    sc = t.spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    base = sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-scratch-"))
+    return f"{base}/surveil-{uuid.uuid4()}"
+
+
+_NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
+
+
+def _round_trip(t: Tables, kind: str):
+    path = f"{scratch(t)}/customer.{kind}"
+    d = t.customer.select("c_custkey", "c_name", "c_nationkey")
+    I.write(d, path, {"jsonl": "json"}.get(kind, kind))
+    return I.read_any(t.spark, path, d.schema)
+
+
+@query("src_csv", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def src_csv(t: Tables):
+    return _round_trip(t, "csv")
+
+
+@query("src_json", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def src_json(t: Tables):
+    return _round_trip(t, "json")
+
+
+@query("src_orc", "SELECT c_custkey, c_name, c_nationkey FROM customer")
+def src_orc(t: Tables):
+    return _round_trip(t, "orc")
+
+
+@query("src_csv_multiline", "SELECT doc_id, md5(text) AS digest FROM documents")
+def src_csv_multiline(t: Tables):
+    """Texts with line ends and quotes survive a CSV file."""
+    path = f"{scratch(t)}/documents.csv"
+    t.documents.select("doc_id", "text").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return I.read_any(t.spark, path, "doc_id long, text string", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("src_parquet", "SELECT event_id, value FROM events WHERE value > 50")
+def src_parquet(t: Tables):
+    return I.read_any(t.spark, f"{t.directory}/events.parquet").filter("value > 50").select("event_id", "value")
+
+
+@query("src_jsonl_log", "SELECT event_id FROM events WHERE event_type = 'error'")
+def src_jsonl_log(t: Tables):
+    path = f"{scratch(t)}/log.jsonl"
+    t.events.select("event_id", C("event_type").alias("status")).write.json(path)
+    return I.read_any(t.spark, path, "event_id long, status string").filter("status = 'error'").select("event_id")
+
+
+@query("src_alias", "SELECT event_id AS id, event_type AS stream, value AS visit_count FROM events")
+def src_alias(t: Tables):
+    raw = t.events.select(C("event_id").alias(" ID "), C("event_type").alias("Kind"), C("value").alias("Visits"))
+    return I.rename(raw, {"id": ["record_id"], "stream": ["kind", "source"], "visit_count": ["visits", "count"]})
+
+
+@query("audit_cols", "SELECT event_id, DATE '2024-02-01' AS ingested_on, true AS from_file FROM events")
+def audit_cols(t: Tables):
+    d = I.with_audit(t.events, "2024-02-01 00:00:00")
+    return d.select("event_id", "ingested_on", C("source_file").contains("events.parquet").alias("from_file"))
+
+
+@query("snk_part", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) = 1996")
+def snk_part(t: Tables):
+    path = f"{scratch(t)}/orders"
+    I.write(t.orders.select("o_orderkey", F.year("o_orderdate").alias("y")), path, by=["y"])
+    return t.spark.read.parquet(path).filter("y = 1996")  # one folder is read
+
+
+@query("snk_linelist", "SELECT n_name AS state, CASE WHEN s_acctbal < 0 THEN 'overdue' ELSE 'current' END AS report, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2")
+def snk_linelist(t: Tables):
+    path = f"{scratch(t)}/linelists"
+    d = t.supplier.join(F.broadcast(t.nation), C("s_nationkey") == C("n_nationkey")).select("s_suppkey", C("n_name").alias("state"), F.when(C("s_acctbal") < 0, "overdue").otherwise("current").alias("report"))
+    I.write(d, path, "csv", by=["state", "report"])
+    return t.spark.read.option("header", True).csv(path).groupBy("state", "report").agg(F.count("*").alias("n"))
+
+
+@query("snk_tier_export", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 5000 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) GROUP BY 1")
+def snk_tier_export(t: Tables):
+    rich = t.customer.filter("c_acctbal > 5000")
+    top = rich.groupBy("c_nationkey").agg(F.count("*").alias("n")).orderBy(C("n").desc(), "c_nationkey").limit(5).select("c_nationkey")
+    path = f"{scratch(t)}/tiers"
+    I.write(rich.join(F.broadcast(top), "c_nationkey", "left_semi").select("c_custkey", "c_nationkey"), path, by=["c_nationkey"])
+    return t.spark.read.parquet(path).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+
+
+@query("event_log", "SELECT sha256(CAST(event_id AS VARCHAR) || '_salt') AS hashed_id, 'ERROR' AS severity, 'value above 90' AS message FROM events WHERE value > 90")
+def event_log(t: Tables):
+    return t.events.filter("value > 90").select(X.salted_hash(C("event_id")).alias("hashed_id"), F.lit("ERROR").alias("severity"), F.lit("value above 90").alias("message"))
+
+
+_UP = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer"
+
+
+@query("merge_upsert", _UP)
+def merge_upsert(t: Tables):
+    old = t.customer.filter("c_custkey % 9 <> 0").select("c_custkey", "c_acctbal")
+    return K.upsert(old, t.customer.filter("c_custkey % 3 = 0").select("c_custkey", (C("c_acctbal") + 1).alias("c_acctbal")), ["c_custkey"])
+
+
+@query("delete_keys", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def delete_keys(t: Tables):
+    return K.delete_keys(t.customer.select("c_custkey", "c_name"), t.orders.filter("o_orderstatus = 'P'").select(C("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("incr_highwater", "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-20')")
+def incr_highwater(t: Tables):
+    done = t.events.filter(C("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
+    return K.beyond(t.events, done, "ts").select("event_id")
+
+
+@query("incr_merge_model", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+def incr_merge_model(t: Tables):
+    """A daily total kept up by upserting the users that new rows touch."""
+    at = F.lit("2024-01-20").cast("timestamp_ntz")
+    done = t.events.filter(C("ts") < at)
+    total = lambda d: d.groupBy("user_id").agg(F.count("*").alias("n"))
+    touched = K.beyond(t.events, done, "ts").select("user_id").distinct()
+    return K.upsert(total(done), total(t.events.join(touched, "user_id", "left_semi")), ["user_id"])
+
+
+@query("batch_checkpoint", "SELECT o_orderkey, o_custkey FROM orders")
+def batch_checkpoint(t: Tables):
+    path = f"{scratch(t)}/batches"
+    d = t.orders.select("o_orderkey", "o_custkey")
+    K.load_in_batches(t.spark, d, "o_orderkey", path, 4)
+    return K.load_in_batches(t.spark, d, "o_orderkey", path, 4).select("o_orderkey", "o_custkey")  # resumes: nothing is left to do
+
+
+@query("split_valid", "SELECT event_id, CASE WHEN value < 5 AND event_type = 'error' THEN 'low,kind' WHEN value < 5 THEN 'low' ELSE 'kind' END AS reason FROM events WHERE value < 5 OR event_type = 'error'")
+def split_valid(t: Tables):
+    _, bad = K.split_valid(t.events.select("event_id", "value", "event_type"), {"low": C("value") >= 5, "kind": C("event_type") != "error"})
+    return bad.select("event_id", "reason")
+
+
+@query("scd2", "SELECT c_custkey, c_acctbal, TIMESTAMP '2024-01-01' AS valid_from, CASE WHEN c_custkey % 10 = 0 OR c_custkey % 7 = 0 THEN TIMESTAMP '2024-02-01' END AS valid_to FROM customer UNION ALL SELECT c_custkey, c_acctbal + 5, TIMESTAMP '2024-02-01', NULL FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 7 <> 0")
+def scd2(t: Tables):
+    base = t.customer.select("c_custkey", "c_acctbal")
+    first = base.select("*", F.lit("2024-01-01").cast("timestamp").alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"))
+    later = base.filter("c_custkey % 7 <> 0").withColumn("c_acctbal", F.when(C("c_custkey") % 10 == 0, C("c_acctbal") + 5).otherwise(C("c_acctbal")))
+    return K.history(first, later, ["c_custkey"], "2024-02-01 00:00:00")
+
+
+@query("is_current_rule", "SELECT o_orderkey, o_orderkey % 3 = 0 OR CAST(o_orderdate AS DATE) >= DATE '1998-01-01' AS is_current FROM orders")
+def is_current_rule(t: Tables):
+    end = F.when(C("o_orderkey") % 3 != 0, C("o_orderdate").cast("date"))
+    return t.orders.select("o_orderkey", (end.isNull() | (end >= F.lit("1998-01-01").cast("date"))).alias("is_current"))
+
+
+@query("compaction", "SELECT count(*) AS n, min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders")
+def compaction(t: Tables):
+    path = f"{scratch(t)}/compacted"
+    I.compact(t.orders, path, ["o_custkey"], 4)
+    return t.spark.read.parquet(path).agg(F.count("*").alias("n"), F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi"))
+
+
+@query("version_read", "SELECT c_custkey, c_acctbal FROM customer")
+def version_read(t: Tables):
+    path = f"{scratch(t)}/versions"
+    d = t.customer.select("c_custkey", "c_acctbal")
+    K.save_version(d, path, 1)
+    K.save_version(d.withColumn("c_acctbal", C("c_acctbal") * 2), path, 2)
+    return K.read_version(t.spark, path, 1)
+
+
+@query("feature_table", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def feature_table(t: Tables):
+    return K.feature_table(t.orders.groupBy("o_custkey").agg(F.count("*").alias("n")), ["o_custkey"])
+
+
+@query("table_volume", "SELECT 'bronze' AS layer, count(*) AS n, count(DISTINCT l_orderkey) AS members FROM lineitem UNION ALL SELECT 'silver', count(*), count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'gold', count(*), count(DISTINCT c_custkey) FROM customer")
+def table_volume(t: Tables):
+    one = lambda name, df, key: df.agg(F.lit(name).alias("layer"), F.count("*").alias("n"), F.countDistinct(key).alias("members"))
+    return one("bronze", t.lineitem, "l_orderkey").unionByName(one("silver", t.orders, "o_orderkey")).unionByName(one("gold", t.customer, "c_custkey"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _event_files(t: Tables) -> str:
+    """The events as several files, as a landing folder has them."""
+    path = f"{scratch(t)}/landing"
+    t.events.withColumn("ts", C("ts").cast("timestamp")).repartition(4, "event_id").write.parquet(path)
+    return path
+
+
+_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+@query("str_file_available_now", "SELECT event_id, user_id, value FROM events")
+def str_file_available_now(t: Tables):
+    src, out = _event_files(t), scratch(t)
+    d = S.files(t.spark, src, _SCHEMA, per_batch=2).select("event_id", "user_id", "value")
+    S.run_once(d, f"{out}/data", f"{out}/checkpoint")
+    S.run_once(d, f"{out}/data", f"{out}/checkpoint")  # adds nothing
+    return t.spark.read.parquet(f"{out}/data")
+
+
+@query("str_json_events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def str_json_events(t: Tables):
+    src, out = _event_files(t), scratch(t)
+    d = S.from_json_events(S.files(t.spark, src, _SCHEMA).select("event_id", C("props").alias("value")).select(F.to_json(F.struct("event_id", "value")).alias("value")), "event_id long, value string")
+    S.run_once(d.select("event_id", F.from_json("value", "k int")["k"].alias("k")), f"{out}/data", f"{out}/checkpoint")
+    return t.spark.read.parquet(f"{out}/data")
+
+
+@query("str_silver_fhir", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'error' GROUP BY 1")
+def str_silver_fhir(t: Tables):
+    src, out = _event_files(t), scratch(t)
+
+    def silver(batch, _):
+        batch.filter("event_type <> 'error'").select("user_id", "value").write.mode("append").parquet(f"{out}/silver")
+
+    S.batches(S.files(t.spark, src, _SCHEMA, per_batch=2), silver, f"{out}/checkpoint")
+    return t.spark.read.parquet(f"{out}/silver").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("str_retry", "SELECT event_id AS sample_id, CASE WHEN user_id % 3 = 0 THEN 'success' WHEN user_id % 7 = 6 THEN 'dead' ELSE 'waiting' END AS state FROM events WHERE event_type = 'error'")
+def str_retry(t: Tables):
+    """One round: every third user's sample succeeds; of the others those with five retries behind them are dead."""
+    e = t.events.filter("event_type = 'error'")
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    queue = e.filter("user_id % 2 = 0").select(C("event_id").alias("sample_id"), C("user_id").alias("payload"), F.when(C("user_id") % 7 == 6, 5).otherwise(0).alias("retry_count"), C("ts").cast("timestamp").alias("process_after"))
+    new = e.filter("user_id % 2 = 1").select(C("event_id").alias("sample_id"), C("user_id").alias("payload"), F.when(C("user_id") % 7 == 6, 5).otherwise(0).alias("retry_count"))
+    left, done, dead = S.retry_round(queue, new, C("payload") % 3 == 0, now)
+    state = lambda d, s: d.select("sample_id", F.lit(s).alias("state"))
+    return state(left, "waiting").unionByName(state(done, "success")).unionByName(state(dead, "dead"))
+
+
+@query("str_alerts", "SELECT event_id, 'high' AS alert FROM events WHERE value > 95 AND event_id % 5 <> 0 UNION ALL SELECT event_id, 'error' FROM events WHERE event_type = 'error' AND event_id % 5 <> 0")
+def str_alerts(t: Tables):
+    """Alerts of a stream, less those acknowledged."""
+    src, out = _event_files(t), scratch(t)
+    S.run_once(S.alerts(S.files(t.spark, src, _SCHEMA), {"high": C("value") > 95, "error": C("event_type") == "error"}, ["event_id"]), f"{out}/data", f"{out}/checkpoint")
+    seen = t.events.filter("event_id % 5 = 0").select("event_id")
+    return t.spark.read.parquet(f"{out}/data").join(seen, "event_id", "left_anti")
+
+
+@query("str_freshness", "SELECT event_type, date_diff('minute', max(ts), TIMESTAMP '2024-01-31') > 15 AS stale FROM events GROUP BY 1")
+def str_freshness(t: Tables):
+    age = (F.unix_timestamp(F.lit("2024-01-31").cast("timestamp")) - F.unix_timestamp(F.max("ts").cast("timestamp"))) / 60
+    return t.events.groupBy("event_type").agg((age > 15).alias("stale"))
+
+
+@query("str_windowed", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def str_windowed(t: Tables):
+    d = t.events.withColumn("ts", C("ts").cast("timestamp"))
+    return S.tumbling(d, "ts", ["event_type"], "1 day").select("start", "event_type", "n")
+
+
+@query("str_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
+def str_sessions(t: Tables):
+    d = t.events.withColumn("ts", C("ts").cast("timestamp"))
+    return S.sessions(d, "ts", ["user_id"], "6 hours").select("user_id", "start", "n")
