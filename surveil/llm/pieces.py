@@ -9,9 +9,9 @@ with a score below any other. Decoding looks up each piece; every text comes bac
 
 The given vocabulary was made for merging; here its scores are used as path scores, so a path may differ from the one that merging takes.
 
-The commonest words (at most `common`, of those that some task saw twice) are encoded once through the lattice and sent to all tasks. The other words of a
-document go through the lattice beside its text: texts are dealt by a hash of id and text once, and the grouping, the fold and the join keep that
-dealing. Which words are sent never changes the result.
+The commonest words (at most `common`, of those that some task saw twice) are encoded once through the lattice and sent to all tasks, keyed by 64-bit
+hashes. The other words of a document go through the lattice beside its text: texts are dealt, compressed, by a hash of id and text once, and
+the grouping, the fold and the join keep that dealing. Which words are sent never changes the result.
 
 Null texts give null pieces and empty ones give none. Repeated rows give repeated rows; other columns are ignored.
 """
@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import cut, shuffle_parts, table
+from ._text import BYTE_VALUE, Rolling, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-COMMON, LONGEST = 200_000, 256
+COMMON, LONGEST = 1_000_000, 256
 WORD = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
@@ -76,19 +78,85 @@ def lattice(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     spans = rows.withColumn("at", F.explode(F.sequence(F.lit(1), n))).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("at") + 1))))
     edges = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size"))).join(piece, "piece", "left").filter("id is not null or size = 1")
     low = min(pieces.table["score"].to_pylist()) * 2 - 10
-    byte_ids = F.array(*map(F.lit, pieces.byte_ids))
-    code = F.hex(F.encode("piece", "utf-8"))
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.element_at(byte_ids, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + 1))
-    edge = F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), F.coalesce("score", F.lit(low)).alias("score"), F.when(F.col("id").isNull(), bytes_).otherwise(F.array("id")).alias("ids"))
-    grouped = edges.groupBy(*keys, "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    edge = F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), F.coalesce("score", F.lit(low)).alias("score"), "id")
+    grouped = edges.select(*keys, "word", edge.alias("edge")).groupBy(*keys, "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    code = "hex(encode(substring(word, e.end, 1), 'utf-8'))"
+    step = f"CASE WHEN e.id IS NULL THEN transform(sequence(1, length({code}), 2), k -> array({', '.join(map(str, pieces.byte_ids))})[cast(conv(substring({code}, k, 2), 16, 10) as int)]) ELSE array(e.id) END"
     # best[p]: score and pieces of the best path to place p; edges come by end, so only the last place can improve
-    path = """aggregate(edges, array(named_struct('score', 0D, 'ids', cast(array() as array<int>))), (best, e) ->
-        CASE WHEN size(best) <= e.end THEN concat(best, array(named_struct('score', best[e.start].score + e.score, 'ids', concat(best[e.start].ids, e.ids))))
-             WHEN best[e.start].score + e.score > best[e.end].score THEN concat(slice(best, 1, e.end), array(named_struct('score', best[e.start].score + e.score, 'ids', concat(best[e.start].ids, e.ids))))
+    path = f"""aggregate(edges, array(named_struct('score', 0D, 'ids', cast(array() as array<int>))), (best, e) ->
+        CASE WHEN size(best) <= e.end THEN concat(best, array(named_struct('score', best[e.start].score + e.score, 'ids', concat(best[e.start].ids, {step}))))
+             WHEN best[e.start].score + e.score > best[e.end].score THEN concat(slice(best, 1, e.end), array(named_struct('score', best[e.start].score + e.score, 'ids', concat(best[e.start].ids, {step}))))
              ELSE best END, best -> element_at(best, -1).ids)"""
     return grouped.select(*keys, "word", F.expr(path).alias("ids"))
 
 
+_ROLL = Rolling(61)
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _deflate(text: str) -> bytes:
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _inflate(z: bytes) -> bytes:
+    return _ZSTD.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _ROLL.of(_ROLL.sums(BYTE_VALUE[1][data]), start, end)
+
+
+@dataclass
+class Known:
+    """Words that are encoded already: sorted hashes, and the ids of each."""
+
+    key: np.ndarray
+    off: np.ndarray
+    ids: np.ndarray
+
+    @staticmethod
+    def of(words_: list[str], ids: list[list[int]]) -> Known:
+        raw = [w.encode() for w in words_]
+        off = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
+        key = _hashes(np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:])
+        order = np.argsort(key)
+        size = np.array([len(ids[k]) for k in order.tolist()], np.int64)
+        return Known(key[order], np.append(0, np.cumsum(size)).astype(np.int32), np.array([x for k in order.tolist() for x in ids[k]], np.int32))
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, at, -1)
+
+
+def _spans(texts: list[bytes], known: Known, longest: int):
+    """Of texts that begin with the added space: bytes, row, start and end of each word, and its place among the known ones (-1: none, or to be cut to blocks)."""
+    off = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    line, space = data == 10, data == 32
+    begin = line | (space & ~np.append(False, space[:-1])) | np.append(False, line[:-1])
+    begin[off[:-1][np.diff(off) > 0]] = True
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], len(data))
+    at = known.find(_hashes(data, start, end))
+    at[end - start > longest] = -1
+    return data, np.searchsorted(off, start, "right") - 1, start, end, at
+
+
+def _blocks(raw: bytes, longest: int) -> list[str]:
+    w = raw.decode()
+    return [w[k : k + longest] for k in range(0, len(w), longest)]
+
+
+def _slices(z: pd.Series, step: int = 1000):
+    for lo in range(0, len(z), step):
+        part = z.iloc[lo : lo + step].tolist()
+        # a null text stays without words; others get the space before them, but for empty ones
+        yield lo, part, [b"" if x is None or len(x) <= 8 or not (r := _inflate(x)) else b" " + r for x in part]
+
+
 def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -99,9 +167,16 @@ def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
             got = [(w, n) for w, n in seen.items() if n > 1]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
 
-    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.filter(F.col("n") > total // common).select("word")  # no more than `common` words are in so many places
+    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2"))
+    least, held = 3, 0
+    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 998 rows
+        held += r["count"]
+        if held > common:
+            least = r["n"] + 1
+            break
+    if least > 1000:  # too many words are that common: by their share, which bounds their number
+        least = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // common + 1)
+    return counts.filter(F.col("n") >= least).select("word")
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, longest: int = LONGEST) -> DataFrame:
@@ -111,32 +186,58 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     often = _common_words(texts, common, longest)
     ready = lattice(often.repartition(shuffle_parts(spark), "word"), [], pieces).toArrow()
-    known = spark.sparkContext.broadcast({w: ids for w, ids in zip(ready["word"].to_pylist(), ready["ids"].to_pylist())})
+    known = spark.sparkContext.broadcast(Known.of(ready["word"].to_pylist(), ready["ids"].to_pylist()))
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _deflate(t) for t in text])
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def others(text: pd.Series) -> pd.Series:
-        have = known.value
-        return pd.Series([None if t is None else list({w for w in words(t, longest) if w not in have}) for t in text])
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def joined(text: pd.Series, more: pd.Series, ids: pd.Series) -> pd.Series:
-        have, out = known.value, []
-        for t, ws, xs in zip(text, more, ids):
-            if t is None:
-                out.append(None)
-                continue
-            own = {} if ws is None else {w: list(x) for w, x in zip(ws, xs)}
-            path: list[int] = []
-            for w in words(t, longest) if t else ():
-                path += have.get(w) or own[w]
-            out.append(path)
+    def others(z: pd.Series) -> pd.Series:
+        out = []
+        for _, part, texts_ in _slices(z):
+            data, row, start, end, at = _spans(texts_, known.value, longest)
+            own: list[set] = [set() for _ in part]
+            raw = data.tobytes()
+            for k in np.flatnonzero(at < 0).tolist():
+                w = raw[start[k] : end[k]]
+                own[row[k]].update([w.decode()] if end[k] - start[k] <= longest else _blocks(w, longest))
+            out += [list(x) for x in own]
         return pd.Series(out)
 
-    dealt = texts.withColumn("k", F.xxhash64("doc_id", "text")).repartition(shuffle_parts(spark), "k")
+    @F.pandas_udf("text string, ids array<int>")
+    def joined(z: pd.Series, more: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        have, texts_out, ids_out = known.value, [], []
+        for lo, part, texts_ in _slices(z):
+            data, row, start, end, at = _spans(texts_, have, longest)
+            raw = data.tobytes()
+            rare = np.flatnonzero(at < 0)
+            size = np.where(at >= 0, have.off[at + 1] - have.off[at], 0).astype(np.int64)
+            own = [{} if ws is None else dict(zip(ws, xs)) for ws, xs in zip(more.iloc[lo : lo + len(part)], ids.iloc[lo : lo + len(part)])]
+            found = []
+            for k in rare.tolist():
+                w, mine = raw[start[k] : end[k]], own[row[k]]
+                x = mine[w.decode()] if end[k] - start[k] <= longest else [i for b in _blocks(w, longest) for i in mine[b]]
+                found.append(x)
+                size[k] = len(x)
+            begin = np.cumsum(size) - size
+            flat = np.empty(int(size.sum()), np.int32)
+            usual = np.flatnonzero(at >= 0)
+            which, place = spread(size[usual])
+            flat[begin[usual][which] + place] = have.ids[have.off[at[usual]][which] + place]
+            for k, x in zip(rare.tolist(), found):
+                flat[begin[k] : begin[k] + size[k]] = x
+            cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(part) + 1))]
+            for d, x in enumerate(part):
+                texts_out.append(None if x is None else texts_[d][1:].decode())
+                ids_out.append(None if x is None else flat[cuts[d] : cuts[d + 1]])
+        return pd.DataFrame({"text": texts_out, "ids": ids_out})
+
+    dealt = texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", packed("text").alias("z")).repartition(shuffle_parts(spark), "k")
     # doc_id stays a key here so that both uses of `dealt` read the same shuffle
-    rare = dealt.select("k", "doc_id", F.explode(others("text")).alias("word"))
+    rare = dealt.select("k", "doc_id", F.explode(others("z")).alias("word"))
     own = lattice(rare, ["k", "doc_id"], pieces).groupBy("k").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    return dealt.join(own, "k", "left").select("doc_id", "text", joined("text", F.col("own.word"), F.col("own.ids")).alias("ids"))
+    return dealt.join(own, "k", "left").select("doc_id", joined("z", F.col("own.word"), F.col("own.ids")).alias("x")).select("doc_id", "x.text", "x.ids")
 
 
 def decode(rows: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
