@@ -46,7 +46,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def keys(x: np.ndarray, tables: int, parts: int, probes: int) -> np.ndarray:
     """(rows, tables, 1 + probes): the key where a vector lives and those it visits."""
     n, d = x.shape
-    wide = 1 << max(1, (d - 1).bit_length())
+    wide = 1 << max(2, (probes).bit_length(), (d - 1).bit_length())
     base = np.zeros((n, wide))
     base[:, :d] = x
     out = np.zeros((n, tables, 1 + probes), np.uint64)
