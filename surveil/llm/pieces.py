@@ -34,6 +34,7 @@ from ._text import BYTE_VALUE, Rolling, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 COMMON, LONGEST = 1_000_000, 256
+PARTS = 6  # the lattice of a partition is a hundred times its words: smaller partitions keep it in memory
 WORD = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
@@ -167,8 +168,8 @@ def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
             got = [(w, n) for w, n in seen.items() if n > 1]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
 
-    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2"))
-    least, held = 3, 0
+    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    least, held = 2, 0
     for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 998 rows
         held += r["count"]
         if held > common:
@@ -233,7 +234,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 ids_out.append(None if x is None else flat[cuts[d] : cuts[d + 1]])
         return pd.DataFrame({"text": texts_out, "ids": ids_out})
 
-    dealt = texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", packed("text").alias("z")).repartition(shuffle_parts(spark), "k")
+    dealt = texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", packed("text").alias("z")).repartition(PARTS * shuffle_parts(spark), "k")
     # doc_id stays a key here so that both uses of `dealt` read the same shuffle
     rare = dealt.select("k", "doc_id", F.explode(others("z")).alias("word"))
     own = lattice(rare, ["k", "doc_id"], pieces).groupBy("k").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
