@@ -151,11 +151,12 @@ def _blocks(raw: bytes, longest: int) -> list[str]:
     return [w[k : k + longest] for k in range(0, len(w), longest)]
 
 
-def _slices(z: pd.Series, step: int = 1000):
-    for lo in range(0, len(z), step):
-        part = z.iloc[lo : lo + step].tolist()
-        # a null text stays without words; others get the space before them, but for empty ones
-        yield lo, part, [b"" if x is None or len(x) <= 8 or not (r := _inflate(x)) else b" " + r for x in part]
+def _slices(col: pd.Series, step: int = 1000):
+    """Rows in small runs, with each text's bytes: a null or empty one has none, the others begin with the added space."""
+    for lo in range(0, len(col), step):
+        part = col.iloc[lo : lo + step].tolist()
+        raw = [b"" if x is None else x.encode() if isinstance(x, str) else _inflate(x) for x in part]
+        yield lo, part, [b" " + r if r else r for r in raw]
 
 
 def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
@@ -194,9 +195,9 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
         return pd.Series([None if t is None else _deflate(t) for t in text])
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def others(z: pd.Series) -> pd.Series:
+    def others(text: pd.Series) -> pd.Series:
         out = []
-        for _, part, texts_ in _slices(z):
+        for _, part, texts_ in _slices(text):
             data, row, start, end, at = _spans(texts_, known.value, longest)
             own: list[set] = [set() for _ in part]
             raw = data.tobytes()
@@ -234,10 +235,11 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 ids_out.append(None if x is None else flat[cuts[d] : cuts[d + 1]])
         return pd.DataFrame({"text": texts_out, "ids": ids_out})
 
-    dealt = texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", packed("text").alias("z")).repartition(PARTS * shuffle_parts(spark), "k")
-    # doc_id stays a key here so that both uses of `dealt` read the same shuffle
-    rare = dealt.select("k", "doc_id", F.explode(others("z")).alias("word"))
-    own = lattice(rare, ["k", "doc_id"], pieces).groupBy("k").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+    # both sides are dealt alike, and no Python step follows the dealing on the lattice's side: Spark keeps it from the explode to the join
+    parts, key = PARTS * shuffle_parts(spark), F.xxhash64("doc_id", "text").alias("k")
+    rare = texts.select(key, others("text").alias("rare")).filter("size(rare) > 0").repartition(parts, "k").select("k", F.explode("rare").alias("word"))
+    own = lattice(rare, ["k"], pieces).groupBy("k").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+    dealt = texts.select(key, "doc_id", packed("text").alias("z")).repartition(parts, "k")
     return dealt.join(own, "k", "left").select("doc_id", joined("z", F.col("own.word"), F.col("own.ids")).alias("x")).select("doc_id", "x.text", "x.ids")
 
 
