@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import cut, shuffle_parts, table
-from ._text import BYTE_VALUE, Rolling, spread
+from ._text import BYTE_VALUE, Rolling, spread, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-COMMON, LONGEST = 1_000_000, 256
+COMMON, LONGEST = 700_000, 256
 PARTS = 6  # the lattice of a partition is a hundred times its words: smaller partitions keep it in memory
 WORD = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
@@ -117,13 +117,17 @@ class Known:
     ids: np.ndarray
 
     @staticmethod
-    def of(words_: list[str], ids: list[list[int]]) -> Known:
-        raw = [w.encode() for w in words_]
-        off = np.append(0, np.cumsum([len(r) for r in raw])).astype(np.int64)
-        key = _hashes(np.frombuffer(b"".join(raw), np.uint8), off[:-1], off[1:])
+    def of(encoded: pa.Table) -> Known:
+        """From columns word and ids, without a Python object per word."""
+        data, off = text_bytes(encoded["word"])
+        key = _hashes(data, off[:-1], off[1:])
+        lists = encoded["ids"].combine_chunks()
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        begin = lists.offsets.to_numpy()[:-1].astype(np.int64)
         order = np.argsort(key)
-        size = np.array([len(ids[k]) for k in order.tolist()], np.int64)
-        return Known(key[order], np.append(0, np.cumsum(size)).astype(np.int32), np.array([x for k in order.tolist() for x in ids[k]], np.int32))
+        which, place = spread(size[order])
+        flat = lists.values.to_numpy(zero_copy_only=False)[begin[order][which] + place].astype(np.int32)
+        return Known(key[order], np.append(0, np.cumsum(size[order])).astype(np.int32), flat)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -187,8 +191,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     often = _common_words(texts, common, longest)
-    ready = lattice(often.repartition(shuffle_parts(spark), "word"), [], pieces).toArrow()
-    known = spark.sparkContext.broadcast(Known.of(ready["word"].to_pylist(), ready["ids"].to_pylist()))
+    known = spark.sparkContext.broadcast(Known.of(lattice(often.repartition(shuffle_parts(spark), "word"), [], pieces).toArrow()))
 
     @F.pandas_udf(T.BinaryType())
     def packed(text: pd.Series) -> pd.Series:
