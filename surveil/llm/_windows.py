@@ -23,7 +23,7 @@ from ._text import doc_chunks, grams, spread, words_of
 
 HOT_KEYS = 1_000_000
 NO_ID = (1 << 63) - 1  # stands for a null id: after all others
-_ZSTD = pa.Codec("zstd", 1)
+_ZSTD = pa.Codec("zstd", 3)
 _FLUSH = 24 << 20  # packed bytes held before blobs are sent
 BUCKETS_PER_PARTITION = 16
 
@@ -246,10 +246,24 @@ def hot_spans(texts: DataFrame, scheme: Scheme, hot: np.ndarray, repeated: Calla
     return found.select("doc", "text_key", F.col("pos").alias("s"), (F.col("pos") + scheme.k).alias("e"))
 
 
+def deflate(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def inflate(z: bytes) -> bytes:
+    return _ZSTD.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
+
+
 def with_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc, text, spans): each row of texts and the spans to remove from it, in no order, perhaps overlapping."""
+    """(doc, z, spans): each row of texts, its text deflated, and the spans to remove from it, in no order, perhaps overlapping."""
+
+    def pack(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([deflate(t.as_py().encode()) for t in b.column(2)], pa.binary())], names=["doc", "text_key", "z"])
+
     by_doc = spans.groupBy("doc", "text_key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return texts.join(by_doc, ["doc", "text_key"], "left").select("doc", "text", "spans")
+    packed = texts.select("doc", "text_key", "text").mapInArrow(pack, "doc long, text_key long, z binary")
+    return packed.join(by_doc, ["doc", "text_key"], "left").select("doc", "z", "spans")
 
 
 def merged(spans, n: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._spark import table
 from ._text import grams, words_of
-from ._windows import NO_ID, Bucket, Scheme, buckets, equal_spans, hot_minimisers, hot_spans, keyed, merged, per_bucket, with_spans, word_units
+from ._windows import NO_ID, Bucket, Scheme, buckets, equal_spans, hot_minimisers, hot_spans, inflate, keyed, merged, per_bucket, with_spans, word_units
 
 WINDOW, MINIMISER, HOT_RUNS = 50, 8, 50_000
 
@@ -91,8 +91,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         for b in batches:
             n, gone, kept = [], [], []
-            for text, spans in zip(b.column(1), b.column(2).to_pylist()):
-                words = (text.as_py() or "").encode().split()
+            for z, spans in zip(b.column(1), b.column(2).to_pylist()):
+                words = inflate(z.as_py()).split()
                 n.append(len(words))
                 out, last = [], 0
                 for s, e in merged(((x["s"], x["e"]) for x in spans or ()), len(words)):

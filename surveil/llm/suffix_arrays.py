@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._spark import table
 from ._text import BYTE_VALUE, grams, spread
-from ._windows import NO_ID, Bucket, Scheme, Units, buckets, gather, hot_minimisers, hot_spans, keyed, merged, per_bucket, with_spans
+from ._windows import NO_ID, Bucket, Scheme, Units, buckets, gather, hot_minimisers, hot_spans, inflate, keyed, merged, per_bucket, with_spans
 
 WINDOW, MINIMISER, HOT_RUNS = 400, 48, 20_000
 BLOCK = 3 << 20
@@ -221,8 +221,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for b in batches:
             size, gone, count, kept = [], [], [], []
-            for text, spans in zip(b.column(1), b.column(2).to_pylist()):
-                raw = (text.as_py() or "").encode()
+            for z, spans in zip(b.column(1), b.column(2).to_pylist()):
+                raw = inflate(z.as_py())
                 cut = merged(((x["s"], x["e"]) for x in spans or ()), len(raw))
                 last, out = 0, []
                 for s, e in cut:
