@@ -155,19 +155,19 @@ def _blocks(raw: bytes, longest: int) -> list[str]:
     return [w[k : k + longest] for k in range(0, len(w), longest)]
 
 
-def _slices(col: pd.Series, step: int = 1000):
+def _slices(col: pa.Array, step: int = 500):
     """Rows in small runs, with each text's bytes: a null or empty one has none, the others begin with the added space."""
     for lo in range(0, len(col), step):
-        part = col.iloc[lo : lo + step].tolist()
+        part = col.slice(lo, step).to_pylist()
         raw = [b"" if x is None else x.encode() if isinstance(x, str) else _inflate(x) for x in part]
         yield lo, part, [b" " + r if r else r for r in raw]
 
 
 def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for part in (b.slice(lo, 2500) for b in batches for lo in range(0, b.num_rows, 2500)):
             seen: Counter = Counter()
-            for t in b.column(0):
+            for t in part.column(0):
                 if t.is_valid:
                     seen.update(words(t.as_py(), longest))
             got = [(w, n) for w, n in seen.items() if n > 1]
@@ -193,57 +193,54 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     often = _common_words(texts, common, longest)
     known = spark.sparkContext.broadcast(Known.of(lattice(often.repartition(shuffle_parts(spark), "word"), [], pieces).toArrow()))
 
-    @F.pandas_udf(T.BinaryType())
-    def packed(text: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _deflate(t) for t in text])
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def others(text: pd.Series) -> pd.Series:
-        out = []
-        for _, part, texts_ in _slices(text):
-            data, row, start, end, at = _spans(texts_, known.value, longest)
-            own: list[set] = [set() for _ in part]
-            raw = data.tobytes()
-            for k in np.flatnonzero(at < 0).tolist():
-                w = raw[start[k] : end[k]]
-                own[row[k]].update([w.decode()] if end[k] - start[k] <= longest else _blocks(w, longest))
-            out += [list(x) for x in own]
-        return pd.Series(out)
-
-    @F.pandas_udf("text string, ids array<int>")
-    def joined(z: pd.Series, more: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        have, texts_out, ids_out = known.value, [], []
-        for lo, part, texts_ in _slices(z):
-            data, row, start, end, at = _spans(texts_, have, longest)
-            raw = data.tobytes()
-            rare = np.flatnonzero(at < 0)
-            size = np.where(at >= 0, have.off[at + 1] - have.off[at], 0).astype(np.int64)
-            own = [{} if ws is None else dict(zip(ws, xs)) for ws, xs in zip(more.iloc[lo : lo + len(part)], ids.iloc[lo : lo + len(part)])]
-            found = []
-            for k in rare.tolist():
-                w, mine = raw[start[k] : end[k]], own[row[k]]
-                x = mine[w.decode()] if end[k] - start[k] <= longest else [i for b in _blocks(w, longest) for i in mine[b]]
-                found.append(x)
-                size[k] = len(x)
-            begin = np.cumsum(size) - size
-            flat = np.empty(int(size.sum()), np.int32)
-            usual = np.flatnonzero(at >= 0)
-            which, place = spread(size[usual])
-            flat[begin[usual][which] + place] = have.ids[have.off[at[usual]][which] + place]
-            for k, x in zip(rare.tolist(), found):
-                flat[begin[k] : begin[k] + size[k]] = x
-            cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(part) + 1))]
-            for d, x in enumerate(part):
-                texts_out.append(None if x is None else texts_[d][1:].decode())
-                ids_out.append(None if x is None else flat[cuts[d] : cuts[d + 1]])
-        return pd.DataFrame({"text": texts_out, "ids": ids_out})
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_deflate(t.as_py()) if t.is_valid else None for t in b.column(2)], pa.binary())], names=["k", "doc_id", "z"])
+
+    def others(batches):
+        for b in batches:
+            for lo, part, texts_ in _slices(b.column(2)):
+                data, row, start, end, at = _spans(texts_, known.value, longest)
+                own: list[set] = [set() for _ in part]
+                raw = data.tobytes()
+                for k in np.flatnonzero(at < 0).tolist():
+                    w = raw[start[k] : end[k]]
+                    own[row[k]].update([w.decode()] if end[k] - start[k] <= longest else _blocks(w, longest))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array([list(x) for x in own], pa.list_(pa.string()))], names=["k", "rare"])
+
+    def joined(batches):
+        have = known.value
+        for b in batches:
+            for lo, part, texts_ in _slices(b.column(1)):
+                data, row, start, end, at = _spans(texts_, have, longest)
+                raw = data.tobytes()
+                rare = np.flatnonzero(at < 0)
+                size = np.where(at >= 0, have.off[at + 1] - have.off[at], 0).astype(np.int64)
+                own = [{x["word"]: x["ids"] for x in xs or ()} for xs in b.column(2).slice(lo, len(part)).to_pylist()]
+                found = []
+                for k in rare.tolist():
+                    w, mine = raw[start[k] : end[k]], own[row[k]]
+                    x = mine[w.decode()] if end[k] - start[k] <= longest else [i for c in _blocks(w, longest) for i in mine[c]]
+                    found.append(x)
+                    size[k] = len(x)
+                begin = np.cumsum(size) - size
+                flat = np.empty(int(size.sum()), np.int32)
+                usual = np.flatnonzero(at >= 0)
+                which, place = spread(size[usual])
+                flat[begin[usual][which] + place] = have.ids[have.off[at[usual]][which] + place]
+                for k, x in zip(rare.tolist(), found):
+                    flat[begin[k] : begin[k] + size[k]] = x
+                cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(part) + 1))]
+                ids = pa.array([None if x is None else flat[cuts[d] : cuts[d + 1]] for d, x in enumerate(part)], pa.list_(pa.int32()))
+                text = pa.array([None if x is None else texts_[d][1:].decode() for d, x in enumerate(part)], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), text, ids], names=["doc_id", "text", "ids"])
 
     # both sides are dealt alike, and no Python step follows the dealing on the lattice's side: Spark keeps it from the explode to the join
-    parts, key = PARTS * shuffle_parts(spark), F.xxhash64("doc_id", "text").alias("k")
-    rare = texts.select(key, others("text").alias("rare")).filter("size(rare) > 0").repartition(parts, "k").select("k", F.explode("rare").alias("word"))
+    parts, keyed = PARTS * shuffle_parts(spark), texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
+    rare = keyed.mapInArrow(others, "k long, rare array<string>").filter("size(rare) > 0").repartition(parts, "k").select("k", F.explode("rare").alias("word"))
     own = lattice(rare, ["k"], pieces).groupBy("k").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
-    dealt = texts.select(key, "doc_id", packed("text").alias("z")).repartition(parts, "k")
-    return dealt.join(own, "k", "left").select("doc_id", joined("z", F.col("own.word"), F.col("own.ids")).alias("x")).select("doc_id", "x.text", "x.ids")
+    dealt = keyed.mapInArrow(packed, "k long, doc_id long, z binary").repartition(parts, "k")
+    return dealt.join(own, "k", "left").select("doc_id", "z", "own").mapInArrow(joined, "doc_id long, text string, ids array<int>")
 
 
 def decode(rows: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
