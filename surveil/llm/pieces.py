@@ -155,7 +155,7 @@ def _blocks(raw: bytes, longest: int) -> list[str]:
     return [w[k : k + longest] for k in range(0, len(w), longest)]
 
 
-def _slices(col: pa.Array, step: int = 500):
+def _slices(col: pa.Array, step: int = 250):
     """Rows in small runs, with each text's bytes: a null or empty one has none, the others begin with the added space."""
     for lo in range(0, len(col), step):
         part = col.slice(lo, step).to_pylist()
@@ -165,7 +165,7 @@ def _slices(col: pa.Array, step: int = 500):
 
 def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
     def run(batches):
-        for part in (b.slice(lo, 2500) for b in batches for lo in range(0, b.num_rows, 2500)):
+        for part in (b.slice(lo, 800) for b in batches for lo in range(0, b.num_rows, 800)):
             seen: Counter = Counter()
             for t in part.column(0):
                 if t.is_valid:
