@@ -1,11 +1,11 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A space goes before the text; then a word is a run of spaces with what follows up to the next space or line feed, a
-line feed, or a run of other characters, and no piece crosses a word's end. Words of more than `longest` characters are
-encoded in blocks of that many. The lattice of a word is a table: its substrings of bounded length are exploded and
+line feed, or a run of other characters, and no piece crosses a word's end. The lattice of a word is a table: its substrings of bounded length are exploded and
 equi-joined to the piece table, edges are grouped by word, and an `aggregate` folds them in order of their end to the best
 path: the highest sum of piece scores, on ties the longer last piece. A character that is no piece has an edge of its UTF-8 bytes' pieces
-with a score below any other. Decoding looks up each piece; every text comes back exactly.
+with a score below any other. Words of more than `longest` bytes, whose table would be large, are folded place by place to the same best path,
+with the scores of the last places only and one piece per place to trace back. Decoding looks up each piece; every text comes back exactly.
 
 The given vocabulary was made for merging; here its scores are used as path scores, so a path may differ from the one that merging takes.
 
@@ -19,6 +19,7 @@ Null texts give null pieces and empty ones give none. Repeated rows give repeate
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -64,11 +65,32 @@ def load(model: str = MODEL) -> Pieces:
     return Pieces(pa.table({"piece": text, "id": pa.array(plain, pa.int32()), "score": [float(sp.get_score(k)) for k in plain]}), byte_ids, raw, max(map(len, text)))
 
 
-def words(text: str, longest: int = LONGEST) -> list[str]:
-    out = WORD.findall(" " + text)
-    if max(map(len, out)) > longest:
-        out = [w[k : k + longest] for w in out for k in range(0, len(w), longest)]
-    return out
+def words(text: str) -> list[str]:
+    return WORD.findall(" " + text)
+
+
+def _low(pieces: Pieces) -> float:
+    return min(pieces.table["score"].to_pylist()) * 2 - 10
+
+
+def best_path(word: str, score: dict[str, tuple[int, float]], longest: int, low: float, byte_ids: list[int]) -> list[int]:
+    """The ids that lattice() gives for a word, from piece -> (id, score), in memory of one id and length per place."""
+    ring = [0.0] * (longest + 1)  # scores of the last places
+    ids, sizes = array("i", [-1]), array("i", [0])
+    for end in range(1, len(word) + 1):
+        top = None
+        for start in range(max(0, end - longest), end):  # on ties the longer last piece stays
+            k, x = score.get(word[start:end]) or ((-1, low) if end - start == 1 else (-2, 0.0))
+            if k > -2 and (top is None or ring[start % len(ring)] + x > top):
+                top, best, size = ring[start % len(ring)] + x, k, end - start
+        ring[end % len(ring)] = top
+        ids.append(best)
+        sizes.append(size)
+    out, end = [], len(word)
+    while end:
+        out += [ids[end]] if ids[end] >= 0 else [byte_ids[b] for b in reversed(word[end - 1].encode())]
+        end -= sizes[end]
+    return out[::-1]
 
 
 def lattice(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
@@ -78,7 +100,7 @@ def lattice(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     n = F.length("word")
     spans = rows.withColumn("at", F.explode(F.sequence(F.lit(1), n))).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("at") + 1))))
     edges = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size"))).join(piece, "piece", "left").filter("id is not null or size = 1")
-    low = min(pieces.table["score"].to_pylist()) * 2 - 10
+    low = _low(pieces)
     edge = F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), F.coalesce("score", F.lit(low)).alias("score"), "id")
     grouped = edges.select(*keys, "word", edge.alias("edge")).groupBy(*keys, "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     code = "hex(encode(substring(word, e.end, 1), 'utf-8'))"
@@ -137,7 +159,7 @@ class Known:
 
 
 def _spans(texts: list[bytes], known: Known, longest: int):
-    """Of texts that begin with the added space: bytes, row, start and end of each word, and its place among the known ones (-1: none, or to be cut to blocks)."""
+    """Of texts that begin with the added space: bytes, row, start and end of each word, and its place among the known ones (-1: none)."""
     off = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     line, space = data == 10, data == 32
@@ -150,11 +172,6 @@ def _spans(texts: list[bytes], known: Known, longest: int):
     return data, np.searchsorted(off, start, "right") - 1, start, end, at
 
 
-def _blocks(raw: bytes, longest: int) -> list[str]:
-    w = raw.decode()
-    return [w[k : k + longest] for k in range(0, len(w), longest)]
-
-
 def _slices(col: pa.Array, step: int = 250):
     """Rows in small runs, with each text's bytes: a null or empty one has none, the others begin with the added space."""
     for lo in range(0, len(col), step):
@@ -169,8 +186,8 @@ def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
             seen: Counter = Counter()
             for t in part.column(0):
                 if t.is_valid:
-                    seen.update(words(t.as_py(), longest))
-            got = [(w, n) for w, n in seen.items() if n > 1]
+                    seen.update(words(t.as_py()))
+            got = [(w, n) for w, n in seen.items() if n > 1 and len(w.encode()) <= longest]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
 
     counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -193,6 +210,9 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     often = _common_words(texts, common, longest)
     known = spark.sparkContext.broadcast(Known.of(lattice(often.repartition(shuffle_parts(spark), "word"), [], pieces).toArrow()))
 
+    scores = dict(zip(pieces.table["piece"].to_pylist(), zip(pieces.table["id"].to_pylist(), pieces.table["score"].to_pylist())))
+    vocabulary = spark.sparkContext.broadcast((scores, pieces.longest, _low(pieces), pieces.byte_ids))
+
     def packed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_deflate(t.as_py()) if t.is_valid else None for t in b.column(2)], pa.binary())], names=["k", "doc_id", "z"])
@@ -203,9 +223,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 data, row, start, end, at = _spans(texts_, known.value, longest)
                 own: list[set] = [set() for _ in part]
                 raw = data.tobytes()
-                for k in np.flatnonzero(at < 0).tolist():
-                    w = raw[start[k] : end[k]]
-                    own[row[k]].update([w.decode()] if end[k] - start[k] <= longest else _blocks(w, longest))
+                for k in np.flatnonzero((at < 0) & (end - start <= longest)).tolist():
+                    own[row[k]].add(raw[start[k] : end[k]].decode())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array([list(x) for x in own], pa.list_(pa.string()))], names=["k", "rare"])
 
     def joined(batches):
@@ -219,8 +238,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 own = [{x["word"]: x["ids"] for x in xs or ()} for xs in b.column(2).slice(lo, len(part)).to_pylist()]
                 found = []
                 for k in rare.tolist():
-                    w, mine = raw[start[k] : end[k]], own[row[k]]
-                    x = mine[w.decode()] if end[k] - start[k] <= longest else [i for c in _blocks(w, longest) for i in mine[c]]
+                    w = raw[start[k] : end[k]].decode()
+                    x = own[row[k]][w] if end[k] - start[k] <= longest else best_path(w, *vocabulary.value)
                     found.append(x)
                     size[k] = len(x)
                 begin = np.cumsum(size) - size
