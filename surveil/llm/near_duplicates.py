@@ -4,8 +4,10 @@ A document's set is its distinct shingles of `n` lower-cased words (the whole se
 sets form a class with its smallest id as representative. Then independent trees branch the representatives:
 a node picks one or two of its T minwise coordinates (4/3 on average, the inverse of the threshold) by a
 hash of its path, and each member goes to the child of the shingle that is its minimum there. A node of
-at most `limit` members is compared exhaustively on full shingle sets. Larger ones branch on, `depth` times at most; what is
-still large then is dealt to blocks of about half the limit, each with the node's pivots in addition, and each tree deals anew.
+at most `limit` members is compared exhaustively on full shingle sets. Larger ones branch on, `depth` times at most. What is
+still large then is dealt to blocks of about half the limit, each with the node's pivots in addition, and each tree deals anew; this only
+gathers the clusters. After it the node is compared completely: its members outside its largest component, in blocks of `2 * limit`, meet all members block by block,
+a task for each pair of blocks. Members of the largest component are connected already and need no comparing with each other.
 A pair at the threshold meets in one tree with probability 0.8 or so after one level, so ten trees find nearly all; more
 similar pairs meet more often. Nodes with the same members are compared once. Within a node a
 breadth-first search compares a member with those not reached yet, so a clique costs one pass.
@@ -33,6 +35,7 @@ _FACTOR = stream64(51, COORDINATES) | np.uint64(1)
 _TERM = stream64(52, COORDINATES)
 _PLACE = stream64(53, COORDINATES)
 _ZSTD = pa.Codec("zstd", 3)
+_BITS = 1 << 20
 
 
 def _deflate(raw: bytes) -> bytes:
@@ -127,9 +130,26 @@ def _blocks(members: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
     return dealt.unionByName(pivots.select(F.xxhash64("path", "block").alias("path"), "doc")).distinct()
 
 
-def candidate_nodes(reps: DataFrame, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """(path, doc): members of the nodes to compare."""
-    members, out = _roots(reps, trees), []
+def _pairs_of_blocks(members: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """(path, doc): tasks that together compare all members of each node, but those that links put into its largest component, with each other."""
+    tagged = members.join(components(links).withColumnRenamed("id", "doc"), "doc", "left").select("path", "doc", F.coalesce("component", "doc").alias("c"))
+    tagged = cut(tagged)
+    sizes = tagged.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("top"))
+    sizes = sizes.select("path", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / block).alias("mains"), F.ceil((F.col("size") - F.col("top.n")) / block).alias("rests")).filter("rests > 0")
+    dealt = tagged.join(sizes, "path").withColumn("inner", F.col("c") == F.col("main"))
+    mine = F.pmod(F.xxhash64("path", "doc"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("rests")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # block i of the rest meets blocks j >= i of the rest, and each block of the largest component as j = -1, -2, ...
+    with_rest = F.transform(upto("rests"), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
+    with_main = F.transform(upto("mains"), lambda j: F.struct(F.col("mine").alias("i"), (-1 - j).alias("j")))
+    from_main = F.transform(upto("rests"), lambda i: F.struct(i.alias("i"), (-1 - F.col("mine")).alias("j")))
+    task = F.explode(F.when(F.col("inner"), from_main).otherwise(F.concat(with_rest, with_main)))
+    return dealt.withColumn("mine", mine).select("path", "doc", task.alias("t")).select(F.xxhash64("path", "t.i", "t.j").alias("path"), "doc")
+
+
+def candidate_nodes(reps: DataFrame, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """(path, doc): members of the nodes to compare, and of those nodes that stayed large, of which these are blocks only."""
+    members, out, stayed = _roots(reps, trees), [], None
     for level in range(depth):
         nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min_by("doc", F.xxhash64("doc", "path")).alias("p1"), F.max_by("doc", F.xxhash64("doc", "path")).alias("p2"))
         nodes = cut(nodes.filter("size > 1"))
@@ -140,12 +160,14 @@ def candidate_nodes(reps: DataFrame, trees: int = TREES, limit: int = LIMIT, dep
             break
         if level == depth - 1:
             out.append(_blocks(members, large, limit))
+            once = large.groupBy("size", "lo", "hi", "x").agg(F.min("path").alias("path")).select("path")
+            stayed = members.join(once, "path").select("path", "doc").distinct()
         else:
             members = cut(_branches(members.join(large.select("path"), "path").join(reps.select("doc", "sig"), "doc")))
     got = out[0]
     for more in out[1:]:
         got = got.unionByName(more)
-    return got
+    return got, stayed
 
 
 def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT) -> Iterator[tuple[int, int]]:
@@ -179,15 +201,30 @@ def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT) -> Iterator[tuple
                 return
 
 
-def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
-    """Confirmed links (u, v) inside the nodes (path, doc)."""
+def _bits(members: DataFrame) -> bytes:
+    """A bit for each hash of _BITS that some member's doc has."""
+    bits = np.zeros(_BITS, bool)
+    bits[members.select(F.pmod(F.xxhash64("doc"), F.lit(_BITS)).cast("int").alias("p")).distinct().toArrow()["p"].to_numpy()] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, per_cent: int = PER_CENT, few: bool = False) -> DataFrame:
+    """Confirmed links (u, v) inside the nodes (path, doc). few: texts of other documents are left out before the join."""
+
+    if few:
+        members = cut(members)
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(members) if few else b"\xff" * (_BITS // 8))
 
     def pack(batches):
+        bits = np.frombuffer(sent.value, np.uint8)
         for b in batches:
+            at = b.column(2).to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
             z = [_deflate((t.as_py() or "").encode()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["doc", "z"])
 
-    packed = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null").mapInArrow(pack, "doc long, z binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
+    packed = texts.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(_BITS)).cast("int")).mapInArrow(pack, "doc long, z binary")
 
     def node(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         some = [i for i, s in enumerate(sets) if len(s)]
@@ -227,7 +264,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_ = cut(sketches(docs, id_col, text_col, n))
     classes = cut(all_.filter("n > 0 and doc is not null").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")))
     reps = classes.select(F.col("rep").alias("doc"), "sig")
-    links = compare(candidate_nodes(reps, trees, limit, depth), docs, id_col, text_col, n, per_cent)
+    nodes, stayed = candidate_nodes(reps, trees, limit, depth)
+    links = compare(nodes, docs, id_col, text_col, n, per_cent)
+    if stayed is not None:
+        links = cut(links)
+        links = links.unionByName(compare(_pairs_of_blocks(stayed, links, 2 * limit), docs, id_col, text_col, n, per_cent, few=True))
     found = components(links)
     group = classes.select("n", "f1", "f2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = all_.drop("sig").join(group, ["n", "f1", "f2"], "left")

@@ -7,7 +7,7 @@ import numpy as np
 
 from surveil.llm._components import components
 from surveil.llm.embeddings import embedding_links, hadamard, plan
-from surveil.llm.near_duplicates import links_of, near_duplicates
+from surveil.llm.near_duplicates import _pairs_of_blocks, links_of, near_duplicates
 
 
 def union(n, links):
@@ -83,6 +83,34 @@ def test_near_duplicates(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_that_share_a_template(spark):
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(84)]
+    own = lambda k, n: [f"o{k}_{j}" for j in range(n)]
+    rows = [(k, " ".join(template + own(k, 16))) for k in range(400)]  # 80 of 112 shingles are common to two: 0.71
+    for k in range(0, 400, 10):  # with 4 of 16 own words in common: 84 of 108, 0.78
+        rows[k + 1] = (k + 1, " ".join(template + own(k, 4) + own(k + 1, 12)))
+    rng.shuffle(rows)
+    sets, want = _brute(rows)
+    assert len(set(want.values())) == 360
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, trees=1, limit=10, depth=1).collect()}
+    assert sum(got[a] == got[a + 1] for a in range(0, 400, 10)) >= 20  # one tree of one level: a pair meets with probability 0.8 or so
+    assert all(got[d] in (d, want[d]) for d in want)
+
+
+def test_pairs_of_blocks_leave_no_pair_out(spark):
+    for near in (0, 30, 70):  # of 70 members, so many are in one component
+        links = spark.createDataFrame([(0, k) for k in range(1, near)], "u long, v long")
+        members = spark.createDataFrame([(9, k) for k in range(70)], "path long, doc long")
+        tasks = {}
+        for r in _pairs_of_blocks(members, links, 8).collect():
+            tasks.setdefault(r.path, set()).add(r.doc)
+        met = {(a, b) for t in tasks.values() for a in t for b in t if a < b}
+        assert {(a, b) for b in range(70) for a in range(b) if b >= near} <= met
+        assert (near < 70) == bool(tasks)
+
+
 def test_links_of_a_node_connect_what_brute_force_connects():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, rng.integers(5, 30))).astype(np.uint64) for _ in range(60)]
