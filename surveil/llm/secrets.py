@@ -285,7 +285,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     few = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).filter((F.col("h") <= most) & (F.length("text") <= sample_chars))
     texts = few.orderBy("h", "text").limit(sample_rows).select("text").toArrow()["text"]
     field = Field()
-    feats, tags, sizes, plain = [], [], [], 0
+    feats, tags, sizes = [], [], []
     for _, _, data, off in doc_chunks(texts):
         raw = data.tobytes()
         spans = [base_spans(raw[a:b]) if maybe else [] for a, b, maybe in zip(off[:-1].tolist(), off[1:].tolist(), may_match(data, off).tolist())]
@@ -294,14 +294,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             continue
         f = features(data, off, start, end, first)
         y = np.zeros(len(start), np.int64)
-        keep = np.zeros(len(start), bool)
         for d, found in enumerate(spans):
             a, b = first[d], first[d + 1]
-            if not found:
-                plain += 1
-                if plain > 150:  # enough texts without any
-                    continue
-            keep[a:b] = True
             sizes.append(int(b - a))
             for s, kind, e in found:
                 if kind == 0:
@@ -310,8 +304,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 if len(inside) and not y[inside].any():
                     y[inside] = I_
                     y[inside[0]] = B_
-        feats.append([x[keep] for x in f])
-        tags.append(y[keep])
+        feats.append(f)
+        tags.append(y)
     if sizes:
         field.fit([np.concatenate(x) for x in zip(*feats)], np.concatenate(tags), np.append(0, np.cumsum(sizes)))
     return field

@@ -132,6 +132,14 @@ def test_field_finds_what_patterns_miss(spark):
     assert got[1000].n_crf == 1 and got[1001].spans == ""
 
 
+def test_all_sampled_rows_teach(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets.Field, "fit", lambda self, feats, tags, first, *a, **b: seen.append((len(feats[0]), len(tags), len(first) - 1)))
+    texts = [f"plain text number {k}" for k in range(400)] + [f"api_key = 'sk{k:030d}'" for k in range(10)]
+    secrets.learn(docs(spark, texts))
+    assert [x[2] for x in seen] == [410] and seen[0][0] == seen[0][1]
+
+
 def test_redaction_keeps_rows(spark):
     texts = ["a token = abcdefghijklmnopq é", "clean", None, ""]
     got = {r.doc_id: r for r in secrets.redact_secrets(docs(spark, texts)).collect()}
