@@ -181,7 +181,7 @@ def spread(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(begin, length)
 
 
-def strings(data: np.ndarray, off: np.ndarray, kind: str = "string") -> pa.Array:
-    """An Arrow string or binary column over given bytes."""
-    make = pa.LargeBinaryArray if kind == "binary" else pa.LargeStringArray
-    return make.from_buffers(pa.large_binary() if kind == "binary" else pa.large_string(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+def strings(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    """An Arrow string column over given UTF-8 bytes."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_string(), len(off) - 1, buffers).cast(pa.string())

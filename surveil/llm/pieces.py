@@ -1,17 +1,19 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A space goes before the text; then a word is a run of spaces with what follows up to the next space or line feed, a
-line feed, or a run of other characters, and no piece crosses a word's end. The lattice of a word is a table: its substrings of bounded length are exploded and
-equi-joined to the piece table, edges are grouped by word, and an `aggregate` folds them in order of their end to the best
+line feed, or a run of other characters, and no piece crosses a word's end. A word falls into stretches: where no piece of the
+table has the two bytes that meet between two characters, no piece can span that place, so what lies before and behind it have best paths of their own.
+The lattice of a stretch is a table: its substrings of bounded length are exploded (only of sizes that pieces with the same first
+three characters have) and equi-joined to the piece table, edges are grouped by stretch, and an `aggregate` folds them in order of their end to the best
 path: the highest sum of piece scores, on ties the longer last piece. A character that is no piece has an edge of its UTF-8 bytes' pieces
-with a score below any other. Words of more than `longest` bytes, whose table would be large, are folded place by place to the same best path,
+with a score below any other. Stretches of more than `longest` bytes, whose table would be large, are folded place by place to the same best path,
 with the scores of the last places only and one piece per place to trace back. Decoding looks up each piece; every text comes back exactly.
 
 The given vocabulary was made for merging; here its scores are used as path scores, so a path may differ from the one that merging takes.
 
-The commonest words (at most `common`, of those that some task saw twice) are encoded once through the lattice and sent to all tasks, keyed by 64-bit
-hashes. The other words of a document go through the lattice beside its text: texts are dealt, compressed, by a hash of id and text once, and
-the grouping, the fold and the join keep that dealing. Which words are sent never changes the result.
+Each distinct stretch goes through the lattice once. The commonest (at most `common`, of SHORT bytes at most) are encoded first and sent to all tasks,
+which compare them byte by byte. The others are dealt by their text to meet their paths, and the paths
+are dealt to the documents by a hash of id and text. A path tells its stretch, so the hash need not be unique. Which stretches are sent never changes the result.
 
 Null texts give null pieces and empty ones give none. Repeated rows give repeated rows; other columns are ignored.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import cut, shuffle_parts, table
-from ._text import BYTE_VALUE, Rolling, spread, text_bytes
+from ._text import BYTE_VALUE, Rolling, spread, strings, text_bytes
+from ._windows import gather
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-COMMON, LONGEST = 700_000, 256
-PARTS = 6  # the lattice of a partition is a hundred times its words: smaller partitions keep it in memory
+COMMON, LONGEST, SHORT = 400_000, 256, 16
+PARTS = 4  # the lattice of a partition is a hundred times its words: smaller partitions keep it in memory
 WORD = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
@@ -93,16 +96,27 @@ def best_path(word: str, score: dict[str, tuple[int, float]], longest: int, low:
     return out[::-1]
 
 
-def lattice(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """rows with keys and a word -> keys, word, ids: the best path of each word."""
+def _sizes(pieces: Pieces) -> pa.Table:
+    """(head, sizes): for three characters that begin some piece, the sizes of the pieces that a place before them can have."""
+    texts = set(pieces.table["piece"].to_pylist())
+    sizes: dict[str, set[int]] = defaultdict(lambda: {1})
+    for t in texts:
+        if len(t) > 2:
+            sizes[t[:3]] |= {len(t)} | ({2} if t[:2] in texts else set())
+    return pa.table({"head": list(sizes), "sizes": pa.array([sorted(x) for x in sizes.values()], pa.list_(pa.int32()))})
+
+
+def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """rows with a distinct word each -> word, ids: the best path of each word."""
     spark = rows.sparkSession
-    piece = F.broadcast(spark.createDataFrame(pieces.table))  # a vocabulary: its size does not follow the data
+    piece, sizes = (F.broadcast(spark.createDataFrame(t)) for t in (pieces.table, _sizes(pieces)))  # a vocabulary: its size does not follow the data
     n = F.length("word")
-    spans = rows.withColumn("at", F.explode(F.sequence(F.lit(1), n))).withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("at") + 1))))
+    places = rows.select("word", F.explode(F.sequence(F.lit(1), n)).alias("at")).withColumn("head", F.substring("word", F.col("at"), F.lit(3)))
+    spans = places.join(sizes, "head", "left").select("word", "at", F.explode(F.coalesce("sizes", F.array(F.lit(1), F.lit(2)))).alias("size")).filter(F.col("size") <= n - F.col("at") + 1)
     edges = spans.withColumn("piece", F.substring("word", F.col("at"), F.col("size"))).join(piece, "piece", "left").filter("id is not null or size = 1")
     low = _low(pieces)
     edge = F.struct((F.col("at") + F.col("size") - 1).alias("end"), (F.col("at") - 1).alias("start"), F.coalesce("score", F.lit(low)).alias("score"), "id")
-    grouped = edges.select(*keys, "word", edge.alias("edge")).groupBy(*keys, "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    grouped = edges.select("word", edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     code = "hex(encode(substring(word, e.end, 1), 'utf-8'))"
     step = f"CASE WHEN e.id IS NULL THEN transform(sequence(1, length({code}), 2), k -> array({', '.join(map(str, pieces.byte_ids))})[cast(conv(substring({code}, k, 2), 16, 10) as int)]) ELSE array(e.id) END"
     # best[p]: score and pieces of the best path to place p; edges come by end, so only the last place can improve
@@ -110,7 +124,7 @@ def lattice(rows: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
         CASE WHEN size(best) <= e.end THEN concat(best, array(named_struct('score', best[e.start].score + e.score, 'ids', concat(best[e.start].ids, {step}))))
              WHEN best[e.start].score + e.score > best[e.end].score THEN concat(slice(best, 1, e.end), array(named_struct('score', best[e.start].score + e.score, 'ids', concat(best[e.start].ids, {step}))))
              ELSE best END, best -> element_at(best, -1).ids)"""
-    return grouped.select(*keys, "word", F.expr(path).alias("ids"))
+    return grouped.select("word", F.expr(path).alias("ids"))
 
 
 _ROLL = Rolling(61)
@@ -130,11 +144,50 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return _ROLL.of(_ROLL.sums(BYTE_VALUE[1][data]), start, end)
 
 
+def joints(pieces: Pieces) -> np.ndarray:
+    """For two bytes a and b, at a * 256 + b: False if they can only meet between two characters that no piece holds together."""
+    out = np.zeros((256, 256), bool)
+    out[:, 0x80:0xC0] = True  # inside a character
+    for t in pieces.table["piece"].to_pylist():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        out[raw[:-1], raw[1:]] = True
+    return out.ravel()
+
+
+def stretches(texts: list[bytes], joined: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that begin with the added space: all bytes, and each stretch's text, start and end."""
+    off = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    line, space = data == 10, data == 32
+    begin = line | (space & ~np.append(False, space[:-1])) | np.append(False, line[:-1])
+    begin[1:] |= ~joined[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]
+    begin[off[:-1][np.diff(off) > 0]] = True
+    start = np.flatnonzero(begin)
+    return data, np.searchsorted(off, start, "right") - 1, start, np.append(start[1:], len(data))
+
+
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of each span, as numbers; of shorter ones what there is, and 0."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[8 : len(data) + 8] = data
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 9, 8), (1, 1))
+    size = end - start
+    head = np.ascontiguousarray(eight[start + 8]).view(np.uint64)[:, 0] & _MASK[np.minimum(size, 8)]
+    return head, np.where(size > 8, np.ascontiguousarray(eight[end]).view(np.uint64)[:, 0], np.uint64(0))
+
+
 @dataclass
 class Known:
-    """Words that are encoded already: sorted hashes, and the ids of each."""
+    """Stretches of SHORT bytes at most that are encoded already, by hash; bucket: where each hash prefix begins."""
 
     key: np.ndarray
+    bucket: np.ndarray
+    size: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
     off: np.ndarray
     ids: np.ndarray
 
@@ -149,55 +202,64 @@ class Known:
         order = np.argsort(key)
         which, place = spread(size[order])
         flat = lists.values.to_numpy(zero_copy_only=False)[begin[order][which] + place].astype(np.int32)
-        return Known(key[order], np.append(0, np.cumsum(size[order])).astype(np.int32), flat)
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.full(len(key), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, at, -1)
-
-
-def _spans(texts: list[bytes], known: Known, longest: int):
-    """Of texts that begin with the added space: bytes, row, start and end of each word, and its place among the known ones (-1: none)."""
-    off = np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    line, space = data == 10, data == 32
-    begin = line | (space & ~np.append(False, space[:-1])) | np.append(False, line[:-1])
-    begin[off[:-1][np.diff(off) > 0]] = True
-    start = np.flatnonzero(begin)
-    end = np.append(start[1:], len(data))
-    at = known.find(_hashes(data, start, end))
-    at[end - start > longest] = -1
-    return data, np.searchsorted(off, start, "right") - 1, start, end, at
-
-
-def _slices(col: pa.Array, step: int = 250):
-    """Rows in small runs, with each text's bytes: a null or empty one has none, the others begin with the added space."""
-    for lo in range(0, len(col), step):
-        part = col.slice(lo, step).to_pylist()
-        raw = [b"" if x is None else x.encode() if isinstance(x, str) else _inflate(x) for x in part]
-        yield lo, part, [b" " + r if r else r for r in raw]
-
-
-def _common_words(docs: DataFrame, common: int, longest: int) -> DataFrame:
+        head, tail = _ends(data, off[:-1][order], off[1:][order])
+        bucket = np.searchsorted(key[order] >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+        return Known(key[order], bucket, np.diff(off)[order], head, tail, np.append(0, np.cumsum(size[order])).astype(np.int32), flat)
+
+    def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each span's place here, -1 if it isn't; bytes are compared, so hashes only speed the search."""
+        out = np.full(len(start), -1, np.int64)
+        key = _hashes(data, start, end)
+        where = (key >> np.uint64(44)).astype(np.int64)
+        at, upto = self.bucket[where], self.bucket[where + 1]
+        live = np.flatnonzero((at < upto) & (end - start <= SHORT))
+        while len(live):
+            hit = self.key[at[live]] == key[live]
+            found = live[hit]
+            place = at[found]
+            head, tail = _ends(data, start[found], end[found])
+            same = (self.size[place] == end[found] - start[found]) & (self.head[place] == head) & (self.tail[place] == tail)
+            out[found[same]] = place[same]
+            at[live] += 1
+            live = live[(out[live] < 0) & (at[live] < upto[live])]
+        return out
+
+
+def _slices(col: pa.Array, limit: int = 1 << 20):
+    """Rows in runs of about limit bytes, with each text's bytes: a null or empty one has none, the others begin with the added space."""
+    lo, raw, held = 0, [], 0
+    for k, x in enumerate(col):
+        t = b"" if not x.is_valid else x.as_py()
+        t = t.encode() if isinstance(t, str) else _inflate(t) if t else t
+        raw.append(b" " + t if t else t)
+        held += len(t)
+        if held > limit:
+            yield lo, raw
+            lo, raw, held = k + 1, [], 0
+    if raw:
+        yield lo, raw
+
+
+def _common(docs: DataFrame, common: int, joined) -> DataFrame:
     def run(batches):
-        for part in (b.slice(lo, 800) for b in batches for lo in range(0, b.num_rows, 800)):
-            seen: Counter = Counter()
-            for t in part.column(0):
-                if t.is_valid:
-                    seen.update(words(t.as_py()))
-            got = [(w, n) for w, n in seen.items() if n > 1 and len(w.encode()) <= longest]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["word", "n"])
-
-    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    least, held = 2, 0
-    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 998 rows
+        for b in batches:
+            for _, texts in _slices(b.column(0), 1 << 21):
+                data, _, start, end = stretches(texts, joined.value)
+                short = end - start <= SHORT
+                start, end = start[short], end[short]
+                _, first, n = np.unique(_hashes(data, start, end), return_index=True, return_counts=True)
+                first, n = first[n > 1], n[n > 1]
+                size = (end - start)[first]
+                yield pa.RecordBatch.from_arrays([strings(gather(data, start[first], size), np.append(0, np.cumsum(size))), pa.array(n)], names=["word", "n"])
+
+    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 4"))
+    least, held = 0, 0
+    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 996 rows
         held += r["count"]
         if held > common:
             least = r["n"] + 1
             break
-    if least > 1000:  # too many words are that common: by their share, which bounds their number
+    if least > 1000:  # too many are that common: by their share, which bounds their number
         least = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // common + 1)
     return counts.filter(F.col("n") >= least).select("word")
 
@@ -207,11 +269,11 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     pieces = pieces or load()
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    often = _common_words(texts, common, longest)
-    known = spark.sparkContext.broadcast(Known.of(lattice(often.repartition(shuffle_parts(spark), "word"), [], pieces).toArrow()))
-
+    parts, send = PARTS * shuffle_parts(spark), spark.sparkContext.broadcast
+    meet = send(joints(pieces))
+    known = send(Known.of(lattice(_common(texts, common, meet).repartition(parts, "word"), pieces).toArrow()))
     scores = dict(zip(pieces.table["piece"].to_pylist(), zip(pieces.table["id"].to_pylist(), pieces.table["score"].to_pylist())))
-    vocabulary = spark.sparkContext.broadcast((scores, pieces.longest, _low(pieces), pieces.byte_ids))
+    vocabulary = send(((scores, pieces.longest, _low(pieces), pieces.byte_ids), pieces.raw))
 
     def packed(batches):
         for b in batches:
@@ -219,57 +281,65 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
 
     def others(batches):
         for b in batches:
-            for lo, part, texts_ in _slices(b.column(2)):
-                data, row, start, end, at = _spans(texts_, known.value, longest)
-                own: list[set] = [set() for _ in part]
+            for lo, texts_ in _slices(b.column(1)):
+                data, row, start, end = stretches(texts_, meet.value)
+                own: list[set] = [set() for _ in texts_]
                 raw = data.tobytes()
-                for k in np.flatnonzero((at < 0) & (end - start <= longest)).tolist():
-                    own[row[k]].add(raw[start[k] : end[k]].decode())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), pa.array([list(x) for x in own], pa.list_(pa.string()))], names=["k", "rare"])
+                rare = np.flatnonzero((known.value.find(data, start, end) < 0) & (end - start <= longest))
+                for d, s, e in zip(row[rare].tolist(), start[rare].tolist(), end[rare].tolist()):
+                    own[d].add(raw[s:e])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts_)), pa.array([[w.decode() for w in x] for x in own], pa.list_(pa.string()))], names=["k", "rare"])
 
     def joined(batches):
-        have = known.value
+        have, (table_, raw_pieces) = known.value, vocabulary.value
         for b in batches:
-            for lo, part, texts_ in _slices(b.column(1)):
-                data, row, start, end, at = _spans(texts_, have, longest)
+            for lo, texts_ in _slices(b.column(1)):
+                data, row, start, end = stretches(texts_, meet.value)
+                at = have.find(data, start, end)
                 raw = data.tobytes()
                 rare = np.flatnonzero(at < 0)
                 size = np.where(at >= 0, have.off[at + 1] - have.off[at], 0).astype(np.int64)
-                own = [{x["word"]: x["ids"] for x in xs or ()} for xs in b.column(2).slice(lo, len(part)).to_pylist()]
+                paths = [{b"".join([raw_pieces[i] for i in ids]): ids for ids in x or ()} for x in b.column(2).slice(lo, len(texts_)).to_pylist()]
                 found = []
-                for k in rare.tolist():
-                    w = raw[start[k] : end[k]].decode()
-                    x = own[row[k]][w] if end[k] - start[k] <= longest else best_path(w, *vocabulary.value)
-                    found.append(x)
-                    size[k] = len(x)
+                for k, d, s, e in zip(rare.tolist(), row[rare].tolist(), start[rare].tolist(), end[rare].tolist()):
+                    found.append(paths[d][raw[s:e]] if e - s <= longest else best_path(raw[s:e].decode(), *table_))
+                    size[k] = len(found[-1])
                 begin = np.cumsum(size) - size
                 flat = np.empty(int(size.sum()), np.int32)
                 usual = np.flatnonzero(at >= 0)
                 which, place = spread(size[usual])
                 flat[begin[usual][which] + place] = have.ids[have.off[at[usual]][which] + place]
-                for k, x in zip(rare.tolist(), found):
-                    flat[begin[k] : begin[k] + size[k]] = x
-                cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(part) + 1))]
-                ids = pa.array([None if x is None else flat[cuts[d] : cuts[d + 1]] for d, x in enumerate(part)], pa.list_(pa.int32()))
-                text = pa.array([None if x is None else texts_[d][1:].decode() for d, x in enumerate(part)], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(part)), text, ids], names=["doc_id", "text", "ids"])
-
-    # both sides are dealt alike, and no Python step follows the dealing on the lattice's side: Spark keeps it from the explode to the join
-    parts, keyed = PARTS * shuffle_parts(spark), texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
-    rare = keyed.mapInArrow(others, "k long, rare array<string>").filter("size(rare) > 0").repartition(parts, "k").select("k", F.explode("rare").alias("word"))
-    own = lattice(rare, ["k"], pieces).groupBy("k").agg(F.collect_list(F.struct("word", "ids")).alias("own"))
+                for k, x in zip(begin[rare].tolist(), found):
+                    flat[k : k + len(x)] = x
+                cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(texts_) + 1))]
+                null = b.column(1).slice(lo, len(texts_)).is_null()
+                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat), mask=null)
+                text = pa.array([None if no else t[1:].decode() for no, t in zip(null.to_pylist(), texts_)], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts_)), text, ids], names=["doc_id", "text", "ids"])
+
+    # the rare stretches are dealt once, both to be encoded (each once) and to meet their paths
+    keyed = texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
+    rare = keyed.select("k", "text").mapInArrow(others, "k long, rare array<string>").select("k", F.explode("rare").alias("word")).repartition(parts, "word")
+    paths = rare.join(lattice(rare.select("word").distinct(), pieces), "word").select("k", "ids")
+    own = paths.repartition(parts, "k").groupBy("k").agg(F.collect_list("ids").alias("own"))
     dealt = keyed.mapInArrow(packed, "k long, doc_id long, z binary").repartition(parts, "k")
     return dealt.join(own, "k", "left").select("doc_id", "z", "own").mapInArrow(joined, "doc_id long, text string, ids array<int>")
 
 
 def decode(rows: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """rows with the text of their pieces."""
-    sent = rows.sparkSession.sparkContext.broadcast((pieces or load()).raw)
+    """rows with the text of their pieces. Null pieces give null."""
+    raw = (pieces or load()).raw
+    sent = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))))
 
     @F.pandas_udf(T.StringType())
-    def text(ids: pd.Series) -> pd.Series:
-        raw = sent.value
-        return pd.Series([None if x is None else b"".join([raw[k] for k in x]).decode()[1:] for x in ids])
+    def text(lists: pd.Series) -> pd.Series:
+        data, off = sent.value
+        ids = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)]).astype(np.int64)
+        size = off[ids + 1] - off[ids]
+        all_ = gather(data, off[ids], size).tobytes()
+        ends = np.append(0, np.cumsum(size))
+        cuts = ends[np.append(0, np.cumsum([0 if x is None else len(x) for x in lists]))].tolist()
+        return pd.Series([None if x is None else all_[a:b].decode()[1:] for x, a, b in zip(lists, cuts[:-1], cuts[1:])], dtype=object)
 
     return rows.withColumn(out, text(F.col(ids_col)))
 
