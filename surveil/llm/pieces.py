@@ -11,9 +11,9 @@ with the scores of the last places only and one piece per place to trace back. D
 
 The given vocabulary was made for merging; here its scores are used as path scores, so a path may differ from the one that merging takes.
 
-Each distinct stretch goes through the lattice once. The commonest (at most `common`, of SHORT bytes at most) are encoded first and sent to all tasks,
-which compare them byte by byte. The others are dealt by their text to meet their paths, and the paths
-are dealt to the documents by a hash of id and text. A path tells its stretch, so the hash need not be unique. Which stretches are sent never changes the result.
+Each distinct stretch goes through the lattice once. The commonest (at most `common`) are encoded first and sent to all tasks,
+which compare them byte by byte. Documents are dealt to buckets of about BUCKET bytes of text by a hash. The other stretches of a bucket are dealt by their text to
+meet their paths, and the paths travel to the bucket, where they come before its documents. A path tells its stretch. Which stretches are sent never changes the result.
 
 Null texts give null pieces and empty ones give none. Repeated rows give repeated rows; other columns are ignored.
 """
@@ -37,7 +37,7 @@ from ._text import BYTE_VALUE, Rolling, spread, strings, text_bytes
 from ._windows import gather
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-COMMON, LONGEST, SHORT = 400_000, 256, 16
+COMMON, LONGEST, BUCKET = 600_000, 256, 500_000
 PARTS = 4  # the lattice of a partition is a hundred times its words: smaller partitions keep it in memory
 WORD = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
@@ -169,25 +169,23 @@ def stretches(texts: list[bytes], joined: np.ndarray) -> tuple[np.ndarray, np.nd
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _ends(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last eight bytes of each span, as numbers; of shorter ones what there is, and 0."""
-    padded = np.zeros(len(data) + 16, np.uint8)
-    padded[8 : len(data) + 8] = data
-    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 9, 8), (1, 1))
-    size = end - start
-    head = np.ascontiguousarray(eight[start + 8]).view(np.uint64)[:, 0] & _MASK[np.minimum(size, 8)]
-    return head, np.where(size > 8, np.ascontiguousarray(eight[end]).view(np.uint64)[:, 0], np.uint64(0))
+def _heads(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as a number, of shorter ones what there is."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    return np.ascontiguousarray(eight[start]).view(np.uint64)[:, 0] & _MASK[np.minimum(size, 8)]
 
 
 @dataclass
 class Known:
-    """Stretches of SHORT bytes at most that are encoded already, by hash; bucket: where each hash prefix begins."""
+    """Stretches that are encoded already, sorted by hash; bucket: where each hash prefix begins. About 40 bytes each."""
 
     key: np.ndarray
     bucket: np.ndarray
-    size: np.ndarray
+    data: np.ndarray
+    start: np.ndarray
     head: np.ndarray
-    tail: np.ndarray
     off: np.ndarray
     ids: np.ndarray
 
@@ -202,30 +200,36 @@ class Known:
         order = np.argsort(key)
         which, place = spread(size[order])
         flat = lists.values.to_numpy(zero_copy_only=False)[begin[order][which] + place].astype(np.int32)
-        head, tail = _ends(data, off[:-1][order], off[1:][order])
+        length = np.diff(off)[order]
+        head = _heads(data, off[:-1][order], length)
         bucket = np.searchsorted(key[order] >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
-        return Known(key[order], bucket, np.diff(off)[order], head, tail, np.append(0, np.cumsum(size[order])).astype(np.int32), flat)
+        ends = lambda x: np.append(0, np.cumsum(x)).astype(np.int32)
+        return Known((key[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), bucket, gather(data, off[:-1][order], length), ends(length), head, ends(size[order]), flat)
 
     def find(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Each span's place here, -1 if it isn't; bytes are compared, so hashes only speed the search."""
+        """Each span's place here, -1 if it isn't; all bytes are compared, the hash only speeds the search."""
         out = np.full(len(start), -1, np.int64)
         key = _hashes(data, start, end)
         where = (key >> np.uint64(44)).astype(np.int64)
+        key = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         at, upto = self.bucket[where], self.bucket[where + 1]
-        live = np.flatnonzero((at < upto) & (end - start <= SHORT))
+        live = np.flatnonzero(at < upto)
         while len(live):
-            hit = self.key[at[live]] == key[live]
-            found = live[hit]
-            place = at[found]
-            head, tail = _ends(data, start[found], end[found])
-            same = (self.size[place] == end[found] - start[found]) & (self.head[place] == head) & (self.tail[place] == tail)
+            found = live[self.key[at[live]] == key[live]]
+            place, size = at[found], (end - start)[found]
+            same = (self.start[place + 1] - self.start[place] == size) & (self.head[place] == _heads(data, start[found], size))
+            long = np.flatnonzero(same & (size > 8))
+            if len(long):
+                rest = size[long] - 8
+                differ = gather(data, start[found[long]] + 8, rest) != gather(self.data, self.start[place[long]].astype(np.int64) + 8, rest)
+                same[long] = ~np.logical_or.reduceat(differ, np.cumsum(rest) - rest)
             out[found[same]] = place[same]
             at[live] += 1
             live = live[(out[live] < 0) & (at[live] < upto[live])]
         return out
 
 
-def _slices(col: pa.Array, limit: int = 1 << 20):
+def _slices(col: pa.Array, limit: int = 1 << 19):
     """Rows in runs of about limit bytes, with each text's bytes: a null or empty one has none, the others begin with the added space."""
     lo, raw, held = 0, [], 0
     for k, x in enumerate(col):
@@ -240,90 +244,110 @@ def _slices(col: pa.Array, limit: int = 1 << 20):
         yield lo, raw
 
 
-def _common(docs: DataFrame, common: int, joined) -> DataFrame:
+def _common(docs: DataFrame, common: int, longest: int, meet) -> tuple[DataFrame, int]:
+    """The commonest stretches, and how many bytes all texts have."""
+
     def run(batches):
+        held = 0
         for b in batches:
-            for _, texts in _slices(b.column(0), 1 << 21):
-                data, _, start, end = stretches(texts, joined.value)
-                short = end - start <= SHORT
+            for _, texts in _slices(b.column(0)):
+                data, _, start, end = stretches(texts, meet.value)
+                held += len(data)
+                short = end - start <= longest
                 start, end = start[short], end[short]
                 _, first, n = np.unique(_hashes(data, start, end), return_index=True, return_counts=True)
                 first, n = first[n > 1], n[n > 1]
                 size = (end - start)[first]
                 yield pa.RecordBatch.from_arrays([strings(gather(data, start[first], size), np.append(0, np.cumsum(size))), pa.array(n)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([held])], names=["word", "n"])
 
-    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 4"))
+    counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2 or word is null"))
+    size = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    counts = counts.filter("word is not null")
     least, held = 0, 0
-    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 996 rows
+    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect():  # at most 998 rows
         held += r["count"]
         if held > common:
             least = r["n"] + 1
             break
     if least > 1000:  # too many are that common: by their share, which bounds their number
         least = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // common + 1)
-    return counts.filter(F.col("n") >= least).select("word")
+    return counts.filter(F.col("n") >= least).select("word"), size
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, longest: int = LONGEST) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, longest: int = LONGEST, bucket: int = BUCKET) -> DataFrame:
     """Every row: doc_id, text, ids array<int>."""
     pieces = pieces or load()
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts, send = PARTS * shuffle_parts(spark), spark.sparkContext.broadcast
     meet = send(joints(pieces))
-    known = send(Known.of(lattice(_common(texts, common, meet).repartition(parts, "word"), pieces).toArrow()))
+    often, size = _common(texts, common, longest, meet)
+    known = send(Known.of(lattice(often.repartition(parts, "word"), pieces).toArrow()))
     scores = dict(zip(pieces.table["piece"].to_pylist(), zip(pieces.table["id"].to_pylist(), pieces.table["score"].to_pylist())))
     vocabulary = send(((scores, pieces.longest, _low(pieces), pieces.byte_ids), pieces.raw))
 
     def packed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_deflate(t.as_py()) if t.is_valid else None for t in b.column(2)], pa.binary())], names=["k", "doc_id", "z"])
+            z = [_deflate(t.as_py()) if t.is_valid else b"" for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["b", "doc_id", "z"])
 
     def others(batches):
         for b in batches:
             for lo, texts_ in _slices(b.column(1)):
                 data, row, start, end = stretches(texts_, meet.value)
-                own: list[set] = [set() for _ in texts_]
+                to = b.column(0).slice(lo, len(texts_)).to_pylist()
+                own: dict[int, set] = {k: set() for k in to}
                 raw = data.tobytes()
                 rare = np.flatnonzero((known.value.find(data, start, end) < 0) & (end - start <= longest))
                 for d, s, e in zip(row[rare].tolist(), start[rare].tolist(), end[rare].tolist()):
-                    own[d].add(raw[s:e])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts_)), pa.array([[w.decode() for w in x] for x in own], pa.list_(pa.string()))], names=["k", "rare"])
+                    own[to[d]].add(raw[s:e])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([[w.decode() for w in x] for x in own.values()], pa.list_(pa.string()))], names=["b", "rare"])
 
     def joined(batches):
         have, (table_, raw_pieces) = known.value, vocabulary.value
+        at_, paths = None, {}
         for b in batches:
-            for lo, texts_ in _slices(b.column(1)):
-                data, row, start, end = stretches(texts_, meet.value)
-                at = have.find(data, start, end)
-                raw = data.tobytes()
-                rare = np.flatnonzero(at < 0)
-                size = np.where(at >= 0, have.off[at + 1] - have.off[at], 0).astype(np.int64)
-                paths = [{b"".join([raw_pieces[i] for i in ids]): ids for ids in x or ()} for x in b.column(2).slice(lo, len(texts_)).to_pylist()]
-                found = []
-                for k, d, s, e in zip(rare.tolist(), row[rare].tolist(), start[rare].tolist(), end[rare].tolist()):
-                    found.append(paths[d][raw[s:e]] if e - s <= longest else best_path(raw[s:e].decode(), *table_))
-                    size[k] = len(found[-1])
-                begin = np.cumsum(size) - size
-                flat = np.empty(int(size.sum()), np.int32)
-                usual = np.flatnonzero(at >= 0)
-                which, place = spread(size[usual])
-                flat[begin[usual][which] + place] = have.ids[have.off[at[usual]][which] + place]
-                for k, x in zip(begin[rare].tolist(), found):
-                    flat[k : k + len(x)] = x
-                cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(texts_) + 1))]
-                null = b.column(1).slice(lo, len(texts_)).is_null()
-                ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat), mask=null)
-                text = pa.array([None if no else t[1:].decode() for no, t in zip(null.to_pylist(), texts_)], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts_)), text, ids], names=["doc_id", "text", "ids"])
+            lists, is_path = b.column(3), b.column(2).is_null().to_numpy(zero_copy_only=False)
+            to = b.column(0).to_numpy()
+            edges = np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (is_path[1:] != is_path[:-1]))).tolist()
+            for s_, e_ in zip(edges, [*edges[1:], len(to)]):
+                if to[s_] != at_:
+                    at_, paths = to[s_], {}
+                if is_path[s_]:
+                    paths.update((b"".join([raw_pieces[i] for i in ids]), ids) for ids in lists.slice(s_, e_ - s_).to_pylist())
+                    continue
+                for lo, texts_ in _slices(b.column(2).slice(s_, e_ - s_)):
+                    lo += s_
+                    data, row, start, end = stretches(texts_, meet.value)
+                    at = have.find(data, start, end)
+                    raw = data.tobytes()
+                    rare = np.flatnonzero(at < 0)
+                    size = np.where(at >= 0, have.off[at + 1] - have.off[at], 0).astype(np.int64)
+                    found = []
+                    for k, s, e in zip(rare.tolist(), start[rare].tolist(), end[rare].tolist()):
+                        found.append(paths[raw[s:e]] if e - s <= longest else best_path(raw[s:e].decode(), *table_))
+                        size[k] = len(found[-1])
+                    begin = np.cumsum(size) - size
+                    flat = np.empty(int(size.sum()), np.int32)
+                    usual = np.flatnonzero(at >= 0)
+                    which, place = spread(size[usual])
+                    flat[begin[usual][which] + place] = have.ids[have.off[at[usual]][which] + place]
+                    for k, x in zip(begin[rare].tolist(), found):
+                        flat[k : k + len(x)] = x
+                    cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(texts_) + 1))]
+                    null = [len(z.as_buffer()) == 0 for z in b.column(2).slice(lo, len(texts_))]
+                    ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat), mask=pa.array(null))
+                    text = pa.array([None if no else t[1:].decode() for no, t in zip(null, texts_)], pa.string())
+                    yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, len(texts_)), text, ids], names=["doc_id", "text", "ids"])
 
     # the rare stretches are dealt once, both to be encoded (each once) and to meet their paths
-    keyed = texts.select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text")
-    rare = keyed.select("k", "text").mapInArrow(others, "k long, rare array<string>").select("k", F.explode("rare").alias("word")).repartition(parts, "word")
-    paths = rare.join(lattice(rare.select("word").distinct(), pieces), "word").select("k", "ids")
-    own = paths.repartition(parts, "k").groupBy("k").agg(F.collect_list("ids").alias("own"))
-    dealt = keyed.mapInArrow(packed, "k long, doc_id long, z binary").repartition(parts, "k")
-    return dealt.join(own, "k", "left").select("doc_id", "z", "own").mapInArrow(joined, "doc_id long, text string, ids array<int>")
+    keyed = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // bucket + 1)).alias("b"), "doc_id", "text")
+    rare = keyed.select("b", "text").mapInArrow(others, "b long, rare array<string>").select("b", F.explode("rare").alias("word")).repartition(parts, "word")
+    paths = rare.join(lattice(rare.select("word").distinct(), pieces), "word").select("b", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("z"), "ids")
+    dealt = keyed.mapInArrow(packed, "b long, doc_id long, z binary").withColumn("ids", F.lit(None).cast("array<int>"))
+    dealt = paths.unionByName(dealt).repartition(parts, "b").sortWithinPartitions("b", F.col("z").isNotNull())  # a bucket's paths, then its texts
+    return dealt.mapInArrow(joined, "doc_id long, text string, ids array<int>")
 
 
 def decode(rows: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
