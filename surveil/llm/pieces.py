@@ -229,6 +229,32 @@ class Known:
         return out
 
 
+class Paths:
+    """The paths of a bucket's stretches: by the bytes that they give, their number."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.ids, self.size = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def put(self, words_: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        base = sum(map(len, self.size))
+        self.number.update(zip(words_, range(base, base + len(words_))))
+        self.ids.append(ids)
+        self.size.append(size)
+
+    def add(self, lists: pa.ListArray, data: np.ndarray, off: np.ndarray) -> None:
+        ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        size = off[ids + 1] - off[ids]
+        raw = gather(data, off[ids], size).tobytes()
+        cuts = np.append(0, np.cumsum(size))[ends - ends[0]].tolist()
+        self.put([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])], ids, np.diff(ends))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and where each path's begin."""
+        self.ids, self.size = [np.concatenate(self.ids)], [np.concatenate(self.size)]
+        return self.ids[0], np.append(0, np.cumsum(self.size[0]))
+
+
 def _slices(col: pa.Array, limit: int = 1 << 19):
     """Rows in runs of about limit bytes, with each text's bytes: a null or empty one has none, the others begin with the added space."""
     lo, raw, held = 0, [], 0
@@ -248,18 +274,34 @@ def _common(docs: DataFrame, common: int, longest: int, meet) -> tuple[DataFrame
     """The commonest stretches, and how many bytes all texts have."""
 
     def run(batches):
-        held = 0
+        held, size, entries = [], 0, 0
+
+        def send():
+            key, n, data, length = map(np.concatenate, zip(*held))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+            n, first = np.add.reduceat(n[order], head), order[head]
+            first, n = first[n > 1], n[n > 1]
+            words_ = gather(data, (np.cumsum(length) - length)[first], length[first])
+            return pa.RecordBatch.from_arrays([strings(words_, np.append(0, np.cumsum(length[first]))), pa.array(n)], names=["word", "n"])
+
         for b in batches:
             for _, texts in _slices(b.column(0)):
                 data, _, start, end = stretches(texts, meet.value)
-                held += len(data)
+                size += len(data)
                 short = end - start <= longest
                 start, end = start[short], end[short]
-                _, first, n = np.unique(_hashes(data, start, end), return_index=True, return_counts=True)
-                first, n = first[n > 1], n[n > 1]
-                size = (end - start)[first]
-                yield pa.RecordBatch.from_arrays([strings(gather(data, start[first], size), np.append(0, np.cumsum(size))), pa.array(n)], names=["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([held])], names=["word", "n"])
+                key, first, n = np.unique(_hashes(data, start, end), return_index=True, return_counts=True)
+                length = (end - start)[first]
+                held.append((key, n, gather(data, start[first], length), length))
+                entries += len(key)
+                if entries > 400_000:
+                    yield send()
+                    entries = 0
+        if entries:
+            yield send()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([size])], names=["word", "n"])
 
     counts = cut(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 2 or word is null"))
     size = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
@@ -285,7 +327,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     often, size = _common(texts, common, longest, meet)
     known = send(Known.of(lattice(often.repartition(parts, "word"), pieces).toArrow()))
     scores = dict(zip(pieces.table["piece"].to_pylist(), zip(pieces.table["id"].to_pylist(), pieces.table["score"].to_pylist())))
-    vocabulary = send(((scores, pieces.longest, _low(pieces), pieces.byte_ids), pieces.raw))
+    vocabulary = send(((scores, pieces.longest, _low(pieces), pieces.byte_ids), *_raw(pieces)))
 
     def packed(batches):
         for b in batches:
@@ -305,55 +347,61 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([[w.decode() for w in x] for x in own.values()], pa.list_(pa.string()))], names=["b", "rare"])
 
     def joined(batches):
-        have, (table_, raw_pieces) = known.value, vocabulary.value
-        at_, paths = None, {}
+        have, (table_, *raw_pieces) = known.value, vocabulary.value
+        at_bucket, paths = None, Paths()
         for b in batches:
-            lists, is_path = b.column(3), b.column(2).is_null().to_numpy(zero_copy_only=False)
-            to = b.column(0).to_numpy()
+            to, is_path = b.column(0).to_numpy(), b.column(2).is_null().to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (is_path[1:] != is_path[:-1]))).tolist()
-            for s_, e_ in zip(edges, [*edges[1:], len(to)]):
-                if to[s_] != at_:
-                    at_, paths = to[s_], {}
-                if is_path[s_]:
-                    paths.update((b"".join([raw_pieces[i] for i in ids]), ids) for ids in lists.slice(s_, e_ - s_).to_pylist())
+            for first, last in zip(edges, [*edges[1:], len(to)]):
+                if to[first] != at_bucket:
+                    at_bucket, paths = to[first], Paths()
+                if is_path[first]:
+                    paths.add(b.column(3).slice(first, last - first), *raw_pieces)
                     continue
-                for lo, texts_ in _slices(b.column(2).slice(s_, e_ - s_)):
-                    lo += s_
+                for lo, texts_ in _slices(b.column(2).slice(first, last - first)):
                     data, row, start, end = stretches(texts_, meet.value)
                     at = have.find(data, start, end)
                     raw = data.tobytes()
-                    rare = np.flatnonzero(at < 0)
-                    size = np.where(at >= 0, have.off[at + 1] - have.off[at], 0).astype(np.int64)
-                    found = []
-                    for k, s, e in zip(rare.tolist(), start[rare].tolist(), end[rare].tolist()):
-                        found.append(paths[raw[s:e]] if e - s <= longest else best_path(raw[s:e].decode(), *table_))
-                        size[k] = len(found[-1])
+                    usual, rare = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                    numbers = []
+                    for s, e in zip(start[rare].tolist(), end[rare].tolist()):
+                        if e - s > longest and raw[s:e] not in paths.number:
+                            paths.put([raw[s:e]], np.array(x := best_path(raw[s:e].decode(), *table_), np.int32), np.array([len(x)]))
+                        numbers.append(paths.number[raw[s:e]])
+                    size = np.zeros(len(start), np.int64)
+                    size[usual] = have.off[at[usual] + 1] - have.off[at[usual]]
+                    ids, off = paths.table()
+                    numbers = np.array(numbers, np.int64)
+                    size[rare] = off[numbers + 1] - off[numbers]
                     begin = np.cumsum(size) - size
                     flat = np.empty(int(size.sum()), np.int32)
-                    usual = np.flatnonzero(at >= 0)
-                    which, place = spread(size[usual])
-                    flat[begin[usual][which] + place] = have.ids[have.off[at[usual]][which] + place]
-                    for k, x in zip(begin[rare].tolist(), found):
-                        flat[k : k + len(x)] = x
+                    for which, source, from_ in ((usual, have.ids, have.off[at[usual]]), (rare, ids, off[numbers])):
+                        k, place = spread(size[which])
+                        flat[begin[which][k] + place] = source[from_[k] + place]
                     cuts = np.append(begin, len(flat))[np.searchsorted(row, np.arange(len(texts_) + 1))]
-                    null = [len(z.as_buffer()) == 0 for z in b.column(2).slice(lo, len(texts_))]
-                    ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat), mask=pa.array(null))
+                    null = [len(z.as_buffer()) == 0 for z in b.column(2).slice(first + lo, len(texts_))]
+                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat), mask=pa.array(null))
                     text = pa.array([None if no else t[1:].decode() for no, t in zip(null, texts_)], pa.string())
-                    yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, len(texts_)), text, ids], names=["doc_id", "text", "ids"])
+                    yield pa.RecordBatch.from_arrays([b.column(1).slice(first + lo, len(texts_)), text, lists], names=["doc_id", "text", "ids"])
 
     # the rare stretches are dealt once, both to be encoded (each once) and to meet their paths
     keyed = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // bucket + 1)).alias("b"), "doc_id", "text")
     rare = keyed.select("b", "text").mapInArrow(others, "b long, rare array<string>").select("b", F.explode("rare").alias("word")).repartition(parts, "word")
-    paths = rare.join(lattice(rare.select("word").distinct(), pieces), "word").select("b", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("z"), "ids")
+    once = rare.groupBy("word").agg(F.min("b").alias("b")).filter("b >= 0").select("word")  # true of all; so both sides need the same columns and share the dealing
+    paths = rare.join(lattice(once, pieces), "word").select("b", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("z"), "ids")
     dealt = keyed.mapInArrow(packed, "b long, doc_id long, z binary").withColumn("ids", F.lit(None).cast("array<int>"))
     dealt = paths.unionByName(dealt).repartition(parts, "b").sortWithinPartitions("b", F.col("z").isNotNull())  # a bucket's paths, then its texts
     return dealt.mapInArrow(joined, "doc_id long, text string, ids array<int>")
 
 
+def _raw(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces' bytes end to end, and where each id's begin."""
+    return np.frombuffer(b"".join(pieces.raw), np.uint8), np.append(0, np.cumsum([len(r) for r in pieces.raw]))
+
+
 def decode(rows: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the text of their pieces. Null pieces give null."""
-    raw = (pieces or load()).raw
-    sent = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))))
+    sent = rows.sparkSession.sparkContext.broadcast(_raw(pieces or load()))
 
     @F.pandas_udf(T.StringType())
     def text(lists: pd.Series) -> pd.Series:
