@@ -24,14 +24,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id with a link: the smallest id that links (u, v) reach."""
     e = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(rounds):
+    before, now = None, False
+    while now != before:  # the stars settle in a number of rounds that follows the logarithm of the links
+        before = now
         e = cut(_small_star(_large_star(e)))
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.crc32(F.concat_ws(",", "u", "v").cast("binary")))).first()
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -146,7 +146,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def doc_chunks(col: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def doc_chunks(col: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about limit bytes: first row, last row + 1, bytes, offsets. A longer row comes alone."""
     data, off = text_bytes(col)
     lo, n = 0, len(off) - 1

@@ -4,14 +4,17 @@ A document's set is its distinct shingles of `n` lower-cased words (the whole se
 sets form a class with its smallest id as representative. Then independent trees branch the representatives:
 a node picks one or two of its T minwise coordinates (4/3 on average, the inverse of the threshold) by a
 hash of its path, and each member goes to the child of the shingle that is its minimum there. A node of
-at most `limit` members is compared exhaustively on full shingle sets. Larger ones branch on, `depth` times at most. What is
-still large then is dealt to blocks of about half the limit, each with the node's pivots in addition, and each tree deals anew; this only
-gathers the clusters. After it the node is compared completely: its members outside its largest component, in blocks of `2 * limit`, meet all members block by block,
-a task for each pair of blocks. Members of the largest component are connected already and need no comparing with each other.
-A pair at the threshold meets in one tree with probability 0.8 or so after one level, so ten trees find nearly all; more
-similar pairs meet more often. Nodes with the same members are compared once. Within a node a
+at most `limit` members is compared exhaustively on full shingle sets. Nodes with the same members are compared once. Within a node a
 breadth-first search compares a member with those not reached yet, so a clique costs one pass.
 
+Two rounds keep large groups of near-duplicates cheap. The first gathers: of FIRST trees, small nodes are compared, and large ones are dealt to
+blocks of about half the limit, each with the node's pivots in addition; what links becomes components. The second completes: of all trees, nodes
+whose members are of one component already need no comparing; of the others, small ones are compared and large ones branch on, `depth` times at most. What is
+still large then is compared completely: its members outside its largest component, in blocks of `2 * limit`, meet all members block by block,
+a task for each pair of blocks.
+A pair at the threshold meets in one tree with probability 0.8 or so after one level, so ten trees find nearly all; more
+similar pairs meet more often.
+
 Links are confirmed on full sets, then joined to components. Texts that are null or
 without words have empty sets and link with nothing; rows without id too (their component_id is null, and they are
 kept). Rows that share an id are one document with several sets. Other columns are ignored.
@@ -30,7 +33,7 @@ from ._components import components
 from ._spark import cut, shuffle_parts, table
 from ._text import LOWER, doc_chunks, grams, mix64, spread, stream64, words_of
 
-SHINGLE, PER_CENT, COORDINATES, TREES, LIMIT, DEPTH = 5, 75, 64, 10, 250, 4
+SHINGLE, PER_CENT, COORDINATES, TREES, FIRST, LIMIT, DEPTH = 5, 75, 64, 10, 2, 250, 4
 _FACTOR = stream64(51, COORDINATES) | np.uint64(1)
 _TERM = stream64(52, COORDINATES)
 _PLACE = stream64(53, COORDINATES)
@@ -100,25 +103,39 @@ def _signatures(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, COORDINATES)
 
 
-def _roots(reps: DataFrame, trees: int) -> DataFrame:
+def _roots(reps: DataFrame, trees: list[int]) -> DataFrame:
+    """(path, doc, c): the children of each tree's root; c is the component so far."""
+
     def run(batches):
         for b in batches:
-            doc, sig = b.column(0).to_numpy(zero_copy_only=False), _signatures(b.column(1))
-            for root in stream64(54, trees):
+            doc, c, sig = b.column(0), b.column(1), _signatures(b.column(2))
+            for root in stream64(54, max(trees) + 1)[trees]:
                 who, path = _children(np.full(len(doc), root), sig)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(doc[who])], names=["path", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), doc.take(i := pa.array(who)), c.take(i)], names=["path", "doc", "c"])
 
-    return reps.select("doc", "sig").mapInArrow(run, "path long, doc long")
+    return reps.select("doc", "c", "sig").mapInArrow(run, "path long, doc long, c long")
 
 
 def _branches(members: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            path, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            who, child = _children(path.view(np.uint64), _signatures(b.column(2)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(doc[who])], names=["path", "doc"])
+            path = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            who, child = _children(path, _signatures(b.column(3)))
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(i := pa.array(who)), b.column(2).take(i)], names=["path", "doc", "c"])
+
+    return members.select("path", "doc", "c", "sig").mapInArrow(run, "path long, doc long, c long")
+
+
+def _nodes(members: DataFrame) -> DataFrame:
+    """Nodes with members of more than one component."""
+    by = F.xxhash64("doc", "path")
+    nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min_by("doc", by).alias("p1"), F.max_by("doc", by).alias("p2"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    return cut(nodes.filter("c0 <> c1").drop("c0", "c1"))
 
-    return members.select("path", "doc", "sig").mapInArrow(run, "path long, doc long")
+
+def _once(nodes: DataFrame) -> DataFrame:
+    """One path of those with the same members."""
+    return nodes.groupBy("size", "lo", "hi", "x").agg(F.min("path").alias("path")).select("path")
 
 
 def _blocks(members: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
@@ -147,27 +164,38 @@ def _pairs_of_blocks(members: DataFrame, links: DataFrame, block: int) -> DataFr
     return dealt.withColumn("mine", mine).select("path", "doc", task.alias("t")).select(F.xxhash64("path", "t.i", "t.j").alias("path"), "doc")
 
 
-def candidate_nodes(reps: DataFrame, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
-    """(path, doc): members of the nodes to compare, and of those nodes that stayed large, of which these are blocks only."""
-    members, out, stayed = _roots(reps, trees), [], None
+def first_nodes(reps: DataFrame, trees: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(path, doc) to compare in the first round, and the large nodes' members."""
+    members = _roots(reps, list(range(trees)))
+    nodes = _nodes(members)
+    large = nodes.filter(F.col("size") > limit)
+    kept = members.join(large.select("path"), "path").select("path", "doc")
+    return members.join(_once(nodes.filter(F.col("size") <= limit)), "path").select("path", "doc").unionByName(_blocks(kept, large, limit)), kept
+
+
+def next_nodes(reps: DataFrame, large: DataFrame, first: int, trees: int, limit: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """(path, doc) to compare in the second round, and members of nodes that stay large."""
+    members = large.join(reps.select("doc", "c"), "doc").select("path", "doc", "c")
+    if trees > first:
+        members = members.unionByName(_roots(reps, list(range(first, trees))))
+    out = []
     for level in range(depth):
-        nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min_by("doc", F.xxhash64("doc", "path")).alias("p1"), F.max_by("doc", F.xxhash64("doc", "path")).alias("p2"))
-        nodes = cut(nodes.filter("size > 1"))
-        small = nodes.filter(F.col("size") <= limit).groupBy("size", "lo", "hi", "x").agg(F.min("path").alias("path")).select("path")
-        out.append(members.join(small, "path"))
-        large = nodes.filter(F.col("size") > limit)
-        if not large.take(1):
+        nodes = _nodes(members)
+        out.append(members.join(_once(nodes.filter(F.col("size") <= limit)), "path").select("path", "doc"))
+        more = nodes.filter(F.col("size") > limit)
+        if not more.take(1):
             break
         if level == depth - 1:
-            out.append(_blocks(members, large, limit))
-            once = large.groupBy("size", "lo", "hi", "x").agg(F.min("path").alias("path")).select("path")
-            stayed = members.join(once, "path").select("path", "doc").distinct()
-        else:
-            members = cut(_branches(members.join(large.select("path"), "path").join(reps.select("doc", "sig"), "doc")))
-    got = out[0]
-    for more in out[1:]:
-        got = got.unionByName(more)
-    return got, stayed
+            return _all(out), members.join(_once(more), "path").select("path", "doc").distinct()
+        members = cut(_branches(members.join(more.select("path"), "path").join(reps.select("doc", "sig"), "doc")))
+    return _all(out), None
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT) -> Iterator[tuple[int, int]]:
@@ -208,12 +236,10 @@ def _bits(members: DataFrame) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, per_cent: int = PER_CENT, few: bool = False) -> DataFrame:
-    """Confirmed links (u, v) inside the nodes (path, doc). few: texts of other documents are left out before the join."""
-
-    if few:
-        members = cut(members)
-    sent = docs.sparkSession.sparkContext.broadcast(_bits(members) if few else b"\xff" * (_BITS // 8))
+def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
+    """Confirmed links (u, v) inside the nodes (path, doc). Most texts of other documents are left out before the join, by _BITS bits that all tasks get."""
+    members = cut(members)
+    sent = docs.sparkSession.sparkContext.broadcast(_bits(members))
 
     def pack(batches):
         bits = np.frombuffer(sent.value, np.uint8)
@@ -263,12 +289,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Every row: doc_id, n_shingles, component_id, kept."""
     all_ = cut(sketches(docs, id_col, text_col, n))
     classes = cut(all_.filter("n > 0 and doc is not null").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")))
-    reps = classes.select(F.col("rep").alias("doc"), "sig")
-    nodes, stayed = candidate_nodes(reps, trees, limit, depth)
-    links = compare(nodes, docs, id_col, text_col, n, per_cent)
+    reps = classes.select(F.col("rep").alias("doc"), F.col("rep").alias("c"), "sig")
+    first = min(FIRST, trees)
+    nodes, large = first_nodes(reps, first, limit)
+    links = cut(compare(nodes, docs, id_col, text_col, n, per_cent))
+    so_far = components(links).withColumnRenamed("id", "doc")
+    reps = cut(reps.drop("c").join(so_far, "doc", "left").select("doc", F.coalesce("component", "doc").alias("c"), "sig"))
+    nodes, stayed = next_nodes(reps, large, first, trees, limit, depth)
+    links = cut(links.unionByName(compare(nodes, docs, id_col, text_col, n, per_cent)))
     if stayed is not None:
-        links = cut(links)
-        links = links.unionByName(compare(_pairs_of_blocks(stayed, links, 2 * limit), docs, id_col, text_col, n, per_cent, few=True))
+        links = links.unionByName(compare(_pairs_of_blocks(stayed, links, 2 * limit), docs, id_col, text_col, n, per_cent))
     found = components(links)
     group = classes.select("n", "f1", "f2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = all_.drop("sig").join(group, ["n", "f1", "f2"], "left")
