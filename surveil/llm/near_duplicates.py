@@ -9,9 +9,10 @@ breadth-first search compares a member with those not reached yet, so a clique c
 
 Two rounds keep large groups of near-duplicates cheap. The first gathers: of FIRST trees, small nodes are compared, and large ones are dealt to
 blocks of about half the limit, each with the node's pivots in addition; what links becomes components. The second completes: of all trees, nodes
-whose members are of one component already need no comparing; of the others, small ones are compared and large ones branch on, `depth` times at most. What is
-still large then is compared completely: its members outside its largest component, in blocks of `2 * limit`, meet all members block by block,
-a task for each pair of blocks.
+whose members are of one component already need no comparing; of the others, small ones are compared and large ones branch on, `depth` times at most.
+Documents of nodes that are still large then share a passage that is common, and are compared completely: two sets of the threshold's similarity share a token among
+the first n - ceil(n * per_cent / 100) + 1 of each, in whatever order; the order puts common tokens last, so few documents meet at such a token. Where many do, the members
+outside the largest component, in blocks of `2 * limit`, meet all members block by block, a task for each pair of blocks.
 A pair at the threshold meets in one tree with probability 0.8 or so after one level, so ten trees find nearly all; more
 similar pairs meet more often.
 
@@ -33,7 +34,8 @@ from ._components import components
 from ._spark import cut, shuffle_parts, table
 from ._text import LOWER, doc_chunks, grams, mix64, spread, stream64, words_of
 
-SHINGLE, PER_CENT, COORDINATES, TREES, FIRST, LIMIT, DEPTH = 5, 75, 64, 10, 2, 250, 4
+SHINGLE, PER_CENT, COORDINATES, TREES, FIRST, LIMIT, DEPTH = 5, 75, 64, 10, 2, 250, 2
+COMMON = 200_000  # tokens that all tasks get, to put them last; which they are changes no result
 _FACTOR = stream64(51, COORDINATES) | np.uint64(1)
 _TERM = stream64(52, COORDINATES)
 _PLACE = stream64(53, COORDINATES)
@@ -174,7 +176,7 @@ def first_nodes(reps: DataFrame, trees: int, limit: int) -> tuple[DataFrame, Dat
 
 
 def next_nodes(reps: DataFrame, large: DataFrame, first: int, trees: int, limit: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """(path, doc) to compare in the second round, and members of nodes that stay large."""
+    """(path, doc) to compare in the second round, and (doc, c) of the nodes that stay large."""
     members = large.join(reps.select("doc", "c"), "doc").select("path", "doc", "c")
     if trees > first:
         members = members.unionByName(_roots(reps, list(range(first, trees))))
@@ -186,11 +188,52 @@ def next_nodes(reps: DataFrame, large: DataFrame, first: int, trees: int, limit:
         if not more.take(1):
             break
         if level == depth - 1:
-            return _all(out), members.join(_once(more), "path").select("path", "doc").distinct()
+            return _all(out), members.join(_once(more), "path").select("doc", "c").distinct()
         members = cut(_branches(members.join(more.select("path"), "path").join(reps.select("doc", "sig"), "doc")))
     return _all(out), None
 
 
+def prefix_nodes(stayed: DataFrame, packed: DataFrame, n: int, per_cent: int, limit: int, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
+    """(path, doc) to compare, and members of large nodes: by the tokens of which similar documents share one."""
+    texts = cut(stayed.join(packed, "doc").select("doc", "c", "z"))
+
+    def sets(b: pa.RecordBatch, step: int = 200):
+        for lo in range(0, b.num_rows, step):
+            part = b.slice(lo, step)
+            raw = [_inflate(z) for z in part.column("z").to_pylist()]
+            yield part, *shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), n)
+
+    def count(batches):
+        for b in batches:
+            for _, g, _ in sets(b):
+                token, many = np.unique(g, return_counts=True)
+                token, many = token[many > 1], many[many > 1]
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(many)], names=["token", "n"])
+
+    often = texts.select("z").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(common).toArrow()
+    order = np.argsort(h := often["token"].to_numpy().view(np.uint64))
+    sent = texts.sparkSession.sparkContext.broadcast((h[order], often["n"].to_numpy()[order]))
+
+    def prefixes(batches):
+        hot, many = sent.value
+        for b in batches:
+            for part, g, first in sets(b):
+                at = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
+                rank = np.where(hot[at] == g, many[at], 0) if len(hot) else np.zeros(len(g), np.int64)
+                size = np.diff(first)
+                of = np.repeat(np.arange(part.num_rows), size)
+                order = np.lexsort((g, rank, of))
+                length = np.where(size > 0, size - -(-size * per_cent // 100) + 1, 0)
+                which, place = spread(length)
+                keep = g[order][first[which] + place]
+                who = pa.array(which)
+                yield pa.RecordBatch.from_arrays([pa.array(keep.view(np.int64)), part.column("doc").take(who), part.column("c").take(who)], names=["path", "doc", "c"])
+
+    members = texts.mapInArrow(prefixes, "path long, doc long, c long")
+    nodes = _nodes(members)
+    return tuple(members.join(_once(nodes.filter(x)), "path").select("path", "doc") for x in (F.col("size") <= limit, F.col("size") > limit))
+
+
 def _all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
@@ -230,15 +273,14 @@ def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT) -> Iterator[tuple
 
 
 def _bits(members: DataFrame) -> bytes:
-    """A bit for each hash of _BITS that some member's doc has."""
+    """A bit for each hash of _BITS that some member's doc has: 128 KB whatever the members."""
     bits = np.zeros(_BITS, bool)
     bits[members.select(F.pmod(F.xxhash64("doc"), F.lit(_BITS)).cast("int").alias("p")).distinct().toArrow()["p"].to_numpy()] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
-    """Confirmed links (u, v) inside the nodes (path, doc). Most texts of other documents are left out before the join, by _BITS bits that all tasks get."""
-    members = cut(members)
+def _packed(members: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, z): deflated texts of the members; most others are left out before any shuffle, by _BITS bits that all tasks get."""
     sent = docs.sparkSession.sparkContext.broadcast(_bits(members))
 
     def pack(batches):
@@ -250,7 +292,13 @@ def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary())], names=["doc", "z"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
-    packed = texts.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(_BITS)).cast("int")).mapInArrow(pack, "doc long, z binary")
+    return texts.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(_BITS)).cast("int")).mapInArrow(pack, "doc long, z binary")
+
+
+def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE, per_cent: int = PER_CENT) -> DataFrame:
+    """Confirmed links (u, v) inside the nodes (path, doc)."""
+    members = cut(members)
+    packed = _packed(members, docs, id_col, text_col)
 
     def node(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         some = [i for i, s in enumerate(sets) if len(s)]
@@ -298,7 +346,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes, stayed = next_nodes(reps, large, first, trees, limit, depth)
     links = cut(links.unionByName(compare(nodes, docs, id_col, text_col, n, per_cent)))
     if stayed is not None:
-        links = links.unionByName(compare(_pairs_of_blocks(stayed, links, 2 * limit), docs, id_col, text_col, n, per_cent))
+        stayed = cut(stayed)
+        nodes, large = prefix_nodes(stayed, _packed(stayed, docs, id_col, text_col), n, per_cent, limit)
+        links, large = cut(links.unionByName(compare(nodes, docs, id_col, text_col, n, per_cent))), cut(large)
+        if large.take(1):
+            links = links.unionByName(compare(_pairs_of_blocks(large, links, 2 * limit), docs, id_col, text_col, n, per_cent))
     found = components(links)
     group = classes.select("n", "f1", "f2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = all_.drop("sig").join(group, ["n", "f1", "f2"], "left")

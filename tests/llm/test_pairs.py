@@ -67,6 +67,24 @@ def _rows(seed, near=60):
     return rows
 
 
+def test_near_duplicates_under_a_template(spark):
+    """Many documents share most of their words but are no near-duplicates; each of the true pairs among them is found."""
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(3000)]
+    template = [rng.choice(vocab) for _ in range(80)]
+    rows = []
+    for k in range(250):
+        tail = [rng.choice(vocab) for _ in range(24)]
+        rows.append((2 * k, " ".join(template + tail), "x"))
+        tail[rng.randrange(24)] = "zz"  # a copy with one word changed
+        rows.append((2 * k + 1, " ".join(template + tail), "x"))
+    sets, want = _brute(rows)
+    assert max(sum(want[d] == c for d in want) for c in set(want.values())) < 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, limit=10).collect()}
+    assert got == want
+
+
 def test_near_duplicates(spark):
     rows = _rows(1)
     sets, want = _brute(rows)
