@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import components, forest
 from ._spark import cut, table
 from ._text import mix64, stream64
 
@@ -110,19 +110,6 @@ def _meet(ka: np.ndarray, kb: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least reachable number of each of n vertices."""
-    root = np.arange(n)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def linked(reps: DataFrame, tables: int, parts: int, probes: int, cosine: float, block: int) -> DataFrame:
     """(id, n, to): per task and vector, the copies it newly links to and a vertex of the forest. reps: id, copies, v."""
 
@@ -167,7 +154,7 @@ def linked(reps: DataFrame, tables: int, parts: int, probes: int, cosine: float,
         at = np.where(meet % 2 == 0, k[a, np.minimum(meet // 2, tables - 1), 0], k[b, np.minimum(meet // 2, tables - 1), 0]).view(np.int64)
         a, b = a[at == here], b[at == here]
         n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-        root = _forest(len(ids), a, b)
+        root = forest(len(ids), a, b)
         some = np.flatnonzero(n > 0)
         return pa.table({"id": ids[some], "n": n[some].astype(np.int64), "to": ids[root[some]]})
 

@@ -9,10 +9,9 @@ breadth-first search compares a member with those not reached yet, so a clique c
 
 Two rounds keep large groups of near-duplicates cheap. The first gathers: of FIRST trees, small nodes are compared, and large ones are dealt to
 blocks of about half the limit, each with the node's pivots in addition; what links becomes components. The second completes: of all trees, nodes
-whose members are of one component already need no comparing; of the others, small ones are compared and large ones branch on, `depth` times at most.
-Documents of nodes that are still large then share a passage that is common, and are compared completely: two sets of the threshold's similarity share a token among
-the first n - ceil(n * per_cent / 100) + 1 of each, in whatever order; the order puts common tokens last, so few documents meet at such a token. Where many do, the members
-outside the largest component, in blocks of `2 * limit`, meet all members block by block, a task for each pair of blocks.
+whose members are of one component already need no comparing; of the others, small ones are compared and large ones branch on, `depth` times at most. What has branched
+once or more is compared as it is if its sets hold VOLUME tokens at most. What is larger in the end is compared completely: the members
+outside its largest component, in blocks of half that volume, meet all members block by block, a task for each pair of blocks.
 A pair at the threshold meets in one tree with probability 0.8 or so after one level, so ten trees find nearly all; more
 similar pairs meet more often.
 
@@ -30,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import components, forest
 from ._spark import cut, shuffle_parts, table
 from ._text import LOWER, doc_chunks, grams, mix64, spread, stream64, words_of
 
-SHINGLE, PER_CENT, COORDINATES, TREES, FIRST, LIMIT, DEPTH = 5, 75, 64, 10, 2, 250, 2
-COMMON = 200_000  # tokens that all tasks get, to put them last; which they are changes no result
+SHINGLE, PER_CENT, COORDINATES, TREES, FIRST, LIMIT, DEPTH, VOLUME = 5, 75, 64, 10, 2, 250, 4, 2_000_000
 _FACTOR = stream64(51, COORDINATES) | np.uint64(1)
 _TERM = stream64(52, COORDINATES)
 _PLACE = stream64(53, COORDINATES)
@@ -106,32 +104,35 @@ def _signatures(col: pa.Array) -> np.ndarray:
 
 
 def _roots(reps: DataFrame, trees: list[int]) -> DataFrame:
-    """(path, doc, c): the children of each tree's root; c is the component so far."""
+    """(path, doc, c, n): the children of each tree's root; c is the component so far, n the size of the set."""
 
     def run(batches):
         for b in batches:
-            doc, c, sig = b.column(0), b.column(1), _signatures(b.column(2))
+            sig = _signatures(b.column(3))
             for root in stream64(54, max(trees) + 1)[trees]:
-                who, path = _children(np.full(len(doc), root), sig)
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), doc.take(i := pa.array(who)), c.take(i)], names=["path", "doc", "c"])
+                who, path = _children(np.full(len(sig), root), sig)
+                yield _members(path, b, who)
 
-    return reps.select("doc", "c", "sig").mapInArrow(run, "path long, doc long, c long")
+    return reps.select("doc", "c", "n", "sig").mapInArrow(run, "path long, doc long, c long, n long")
+
+
+def _members(path: np.ndarray, b: pa.RecordBatch, who: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), *(b.column(k).take(pa.array(who)) for k in ("doc", "c", "n"))], names=["path", "doc", "c", "n"])
 
 
 def _branches(members: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            path = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            who, child = _children(path, _signatures(b.column(3)))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(i := pa.array(who)), b.column(2).take(i)], names=["path", "doc", "c"])
+            who, path = _children(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _signatures(b.column(4)))
+            yield _members(path, b, who)
 
-    return members.select("path", "doc", "c", "sig").mapInArrow(run, "path long, doc long, c long")
+    return members.select("path", "doc", "c", "n", "sig").mapInArrow(run, "path long, doc long, c long, n long")
 
 
 def _nodes(members: DataFrame) -> DataFrame:
     """Nodes with members of more than one component."""
     by = F.xxhash64("doc", "path")
-    nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min_by("doc", by).alias("p1"), F.max_by("doc", by).alias("p2"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    nodes = members.groupBy("path").agg(F.count("*").alias("size"), F.sum("n").alias("volume"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.min_by("doc", by).alias("p1"), F.max_by("doc", by).alias("p2"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     return cut(nodes.filter("c0 <> c1").drop("c0", "c1"))
 
 
@@ -150,11 +151,10 @@ def _blocks(members: DataFrame, nodes: DataFrame, limit: int) -> DataFrame:
 
 
 def _pairs_of_blocks(members: DataFrame, links: DataFrame, block: int) -> DataFrame:
-    """(path, doc): tasks that together compare all members of each node, but those that links put into its largest component, with each other."""
-    tagged = members.join(components(links).withColumnRenamed("id", "doc"), "doc", "left").select("path", "doc", F.coalesce("component", "doc").alias("c"))
-    tagged = cut(tagged)
-    sizes = tagged.groupBy("path", "c").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("top"))
-    sizes = sizes.select("path", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / block).alias("mains"), F.ceil((F.col("size") - F.col("top.n")) / block).alias("rests")).filter("rests > 0")
+    """(path, doc): tasks that together compare all members of each node, but those that links put into its largest component, with each other. block: tokens."""
+    tagged = cut(members.join(components(links).withColumnRenamed("id", "doc"), "doc", "left").select("path", "doc", "n", F.coalesce("component", "doc").alias("c")))
+    sizes = tagged.groupBy("path", "c").agg(F.sum("n").alias("n")).groupBy("path").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("top"))
+    sizes = sizes.select("path", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / block).alias("mains"), F.ceil((F.col("all") - F.col("top.n")) / block).alias("rests")).filter("rests > 0")
     dealt = tagged.join(sizes, "path").withColumn("inner", F.col("c") == F.col("main"))
     mine = F.pmod(F.xxhash64("path", "doc"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("rests")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -175,65 +175,25 @@ def first_nodes(reps: DataFrame, trees: int, limit: int) -> tuple[DataFrame, Dat
     return members.join(_once(nodes.filter(F.col("size") <= limit)), "path").select("path", "doc").unionByName(_blocks(kept, large, limit)), kept
 
 
-def next_nodes(reps: DataFrame, large: DataFrame, first: int, trees: int, limit: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """(path, doc) to compare in the second round, and (doc, c) of the nodes that stay large."""
-    members = large.join(reps.select("doc", "c"), "doc").select("path", "doc", "c")
+def next_nodes(reps: DataFrame, large: DataFrame, first: int, trees: int, limit: int, depth: int, volume: int) -> tuple[DataFrame, DataFrame | None]:
+    """(path, doc) to compare in the second round, and (path, doc, n) of the nodes that stay large."""
+    members = large.join(reps.select("doc", "c", "n"), "doc").select("path", "doc", "c", "n")
     if trees > first:
         members = members.unionByName(_roots(reps, list(range(first, trees))))
     out = []
     for level in range(depth):
         nodes = _nodes(members)
-        out.append(members.join(_once(nodes.filter(F.col("size") <= limit)), "path").select("path", "doc"))
-        more = nodes.filter(F.col("size") > limit)
+        small = (F.col("size") <= limit) | (F.lit(level > 0) & (F.col("volume") <= volume))
+        out.append(members.join(_once(nodes.filter(small)), "path").select("path", "doc"))
+        more = nodes.filter(~small)
         if not more.take(1):
             break
         if level == depth - 1:
-            return _all(out), members.join(_once(more), "path").select("doc", "c").distinct()
+            return _all(out), members.join(_once(more), "path").select("path", "doc", "n").distinct()
         members = cut(_branches(members.join(more.select("path"), "path").join(reps.select("doc", "sig"), "doc")))
     return _all(out), None
 
 
-def prefix_nodes(stayed: DataFrame, packed: DataFrame, n: int, per_cent: int, limit: int, common: int = COMMON) -> tuple[DataFrame, DataFrame]:
-    """(path, doc) to compare, and members of large nodes: by the tokens of which similar documents share one."""
-    texts = cut(stayed.join(packed, "doc").select("doc", "c", "z"))
-
-    def sets(b: pa.RecordBatch, step: int = 200):
-        for lo in range(0, b.num_rows, step):
-            part = b.slice(lo, step)
-            raw = [_inflate(z) for z in part.column("z").to_pylist()]
-            yield part, *shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])), n)
-
-    def count(batches):
-        for b in batches:
-            for _, g, _ in sets(b):
-                token, many = np.unique(g, return_counts=True)
-                token, many = token[many > 1], many[many > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(many)], names=["token", "n"])
-
-    often = texts.select("z").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(common).toArrow()
-    order = np.argsort(h := often["token"].to_numpy().view(np.uint64))
-    sent = texts.sparkSession.sparkContext.broadcast((h[order], often["n"].to_numpy()[order]))
-
-    def prefixes(batches):
-        hot, many = sent.value
-        for b in batches:
-            for part, g, first in sets(b):
-                at = np.minimum(np.searchsorted(hot, g), max(len(hot) - 1, 0))
-                rank = np.where(hot[at] == g, many[at], 0) if len(hot) else np.zeros(len(g), np.int64)
-                size = np.diff(first)
-                of = np.repeat(np.arange(part.num_rows), size)
-                order = np.lexsort((g, rank, of))
-                length = np.where(size > 0, size - -(-size * per_cent // 100) + 1, 0)
-                which, place = spread(length)
-                keep = g[order][first[which] + place]
-                who = pa.array(which)
-                yield pa.RecordBatch.from_arrays([pa.array(keep.view(np.int64)), part.column("doc").take(who), part.column("c").take(who)], names=["path", "doc", "c"])
-
-    members = texts.mapInArrow(prefixes, "path long, doc long, c long")
-    nodes = _nodes(members)
-    return tuple(members.join(_once(nodes.filter(x)), "path").select("path", "doc") for x in (F.col("size") <= limit, F.col("size") > limit))
-
-
 def _all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for more in frames[1:]:
@@ -241,8 +201,8 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT) -> Iterator[tuple[int, int]]:
-    """Links that connect all sets of similarity per_cent or more, found breadth first."""
+def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT, limit: int = LIMIT) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all sets of similarity per_cent or more."""
     size = np.array([len(s) for s in sets])
     if len(sets) == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
@@ -254,8 +214,11 @@ def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT) -> Iterator[tuple
     order = np.argsort(token, kind="stable")
     holder, first = of[order], np.append(0, np.cumsum(np.bincount(token)))
     begin = np.append(0, np.cumsum(size))
+    if len(sets) > limit:
+        yield from _links_of_many(size, token, holder, first, begin, per_cent)
+        return
     fresh = np.ones(len(sets), bool)
-    while fresh.any():
+    while fresh.any():  # breadth first: what is reached is not compared again
         queue = [int(np.flatnonzero(fresh)[0])]
         fresh[queue[0]] = False
         while queue:
@@ -272,6 +235,30 @@ def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT) -> Iterator[tuple
                 return
 
 
+def _links_of_many(size: np.ndarray, token: np.ndarray, holder: np.ndarray, first: np.ndarray, begin: np.ndarray, per_cent: int, step: int = 128) -> Iterator[tuple[int, int]]:
+    """All pairs, some rows at a time: tokens that many sets hold by a product of matrices, the others by the lists of their holders."""
+    n, many = len(size), np.diff(first)
+    root = np.arange(n)
+    common = np.flatnonzero(many > n // 8)
+    column = np.full(len(many), -1)
+    column[common] = np.arange(len(common))
+    dense = np.zeros((n, len(common)), np.float32)
+    of = np.repeat(np.arange(n), size)
+    dense[of[column[token] >= 0], column[token][column[token] >= 0]] = 1
+    for lo in range(0, n, step):
+        hi = min(n, lo + step)
+        both = dense[lo:hi] @ dense.T
+        mine = np.arange(begin[lo], begin[hi])
+        mine = mine[(column[token[mine]] < 0) & (many[token[mine]] > 1)]
+        group, place = spread(many[token[mine]])
+        at = (of[mine] - lo)[group] * n + holder[first[token[mine]][group] + place]
+        both += np.bincount(at, minlength=(hi - lo) * n).reshape(hi - lo, n)
+        a, b = np.nonzero(100 * both >= per_cent * (size[lo:hi, None] + size - both))
+        root = forest(n, np.append(a + lo, np.arange(n)), np.append(b, root))
+    for k in np.flatnonzero(root != np.arange(n)).tolist():
+        yield k, int(root[k])
+
+
 def _bits(members: DataFrame) -> bytes:
     """A bit for each hash of _BITS that some member's doc has: 128 KB whatever the members."""
     bits = np.zeros(_BITS, bool)
@@ -333,24 +320,20 @@ def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, per_cent: int = PER_CENT, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, per_cent: int = PER_CENT, trees: int = TREES, limit: int = LIMIT, depth: int = DEPTH, volume: int = VOLUME) -> DataFrame:
     """Every row: doc_id, n_shingles, component_id, kept."""
     all_ = cut(sketches(docs, id_col, text_col, n))
     classes = cut(all_.filter("n > 0 and doc is not null").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"), F.first("sig").alias("sig")))
-    reps = classes.select(F.col("rep").alias("doc"), F.col("rep").alias("c"), "sig")
+    reps = classes.select(F.col("rep").alias("doc"), F.col("rep").alias("c"), "n", "sig")
     first = min(FIRST, trees)
     nodes, large = first_nodes(reps, first, limit)
     links = cut(compare(nodes, docs, id_col, text_col, n, per_cent))
     so_far = components(links).withColumnRenamed("id", "doc")
-    reps = cut(reps.drop("c").join(so_far, "doc", "left").select("doc", F.coalesce("component", "doc").alias("c"), "sig"))
-    nodes, stayed = next_nodes(reps, large, first, trees, limit, depth)
+    reps = cut(reps.drop("c").join(so_far, "doc", "left").select("doc", F.coalesce("component", "doc").alias("c"), "n", "sig"))
+    nodes, stayed = next_nodes(reps, large, first, trees, limit, depth, volume)
     links = cut(links.unionByName(compare(nodes, docs, id_col, text_col, n, per_cent)))
     if stayed is not None:
-        stayed = cut(stayed)
-        nodes, large = prefix_nodes(stayed, _packed(stayed, docs, id_col, text_col), n, per_cent, limit)
-        links, large = cut(links.unionByName(compare(nodes, docs, id_col, text_col, n, per_cent))), cut(large)
-        if large.take(1):
-            links = links.unionByName(compare(_pairs_of_blocks(large, links, 2 * limit), docs, id_col, text_col, n, per_cent))
+        links = links.unionByName(compare(_pairs_of_blocks(stayed, links, volume // 2), docs, id_col, text_col, n, per_cent))
     found = components(links)
     group = classes.select("n", "f1", "f2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     out = all_.drop("sig").join(group, ["n", "f1", "f2"], "left")

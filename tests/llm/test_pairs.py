@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from surveil.llm._components import components
 from surveil.llm.embeddings import embedding_links, hadamard, plan
@@ -81,8 +82,9 @@ def test_near_duplicates_under_a_template(spark):
     sets, want = _brute(rows)
     assert max(sum(want[d] == c for d in want) for c in set(want.values())) < 10
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")
-    got = {r.doc_id: r.component_id for r in near_duplicates(df, limit=10).collect()}
-    assert got == want
+    for volume in (2_000_000, 4000):  # one node of 50 times the limit, compared as it is and by pairs of blocks
+        got = {r.doc_id: r.component_id for r in near_duplicates(df, limit=10, volume=volume).collect()}
+        assert got == want
 
 
 def test_near_duplicates(spark):
@@ -122,7 +124,7 @@ def test_pairs_of_blocks_leave_no_pair_out(spark):
         links = spark.createDataFrame([(0, k) for k in range(1, near)], "u long, v long")
         members = spark.createDataFrame([(9, k) for k in range(70)], "path long, doc long")
         tasks = {}
-        for r in _pairs_of_blocks(members, links, 8).collect():
+        for r in _pairs_of_blocks(members.withColumn("n", F.lit(1).cast("long")), links, 8).collect():
             tasks.setdefault(r.path, set()).add(r.doc)
         met = {(a, b) for t in tasks.values() for a in t for b in t if a < b}
         assert {(a, b) for b in range(70) for a in range(b) if b >= near} <= met
@@ -134,6 +136,7 @@ def test_links_of_a_node_connect_what_brute_force_connects():
     sets = [np.unique(rng.integers(0, 40, rng.integers(5, 30))).astype(np.uint64) for _ in range(60)]
     want = union(range(60), [(a, b) for a in range(60) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))])
     assert union(range(60), list(links_of(sets, 60))) == want
+    assert union(range(60), list(links_of(sets, 60, limit=10))) == want
 
 
 def test_hadamard():
