@@ -10,7 +10,9 @@ symbols and of assignments, whether such a word occurs), decoded by Viterbi over
 
 The field learns from the spans of the patterns, on at most SAMPLE_ROWS documents of at
 most SAMPLE_CHARS characters: the rows with the smallest hash of id and text, so the
-same documents give the same field. Scanning itself covers all rows
+same documents give the same field. Those with spans teach twice, the second time without
+the features of neighbours and telling words, so that the shape of a secret counts where no such word stands by it. What the field
+adds are spans of MIN_SPAN bytes or more that touch none of the patterns' spans. Scanning itself covers all rows
 and whole texts and moves no row.
 
 Null and empty texts have no spans. Repeated rows give repeated rows; other columns are
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from ._spark import table
 from ._text import LOWER, doc_chunks, spread
 
-SAMPLE_ROWS, SAMPLE_CHARS, MIN_SPAN = 4000, 20_000, 12
+SAMPLE_ROWS, SAMPLE_CHARS, MIN_SPAN = 1500, 8000, 12
 KINDS = ("assign", "access", "hex", "crf")
 
 #: The patterns of the base spans.
@@ -91,7 +93,7 @@ _KIND[128:] = 1
 _TRAITS = np.stack([_class(b"0123456789"), _class(b"abcdefghijklmnopqrstuvwxyz"), _class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class(b"_+/-."), _class(b"0123456789abcdefABCDEF")]).astype(np.uint8)
 _LENGTHS = np.array([1, 2, 4, 8, 12, 16, 24, 32, 48])
 L = len(_LENGTHS) + 1
-N_FEATURES = (L * 16, 8 * 8, L * 2, 257, 10 * L, 100, 10 * L, 6 * L, 32 * L)
+N_FEATURES = (L * 16, 8 * 8, L * 2, 257, 10 * L, 200, 10 * L, 6 * L, 32 * L)
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,8 +111,8 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, np.flatnonzero(stop) + 1, np.searchsorted(start, off)
 
 
-def features(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """One small number per token and template."""
+def features(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, hide: bool = False) -> list[np.ndarray]:
+    """One small number per token and template. hide: as if each token stood alone and there were no telling words."""
     n = len(start)
     size = end - start
     bucket = np.searchsorted(_LENGTHS, size, "right").astype(np.int32)
@@ -141,7 +143,7 @@ def features(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarr
     key = np.zeros(n, bool)
     low = LOWER[data].tobytes()
     hit = np.zeros(len(data) + 1, bool)
-    for w in WORDS:
+    for w in () if hide else WORDS:
         k = low.find(w)
         while k >= 0:
             hit[k] = True
@@ -155,6 +157,8 @@ def features(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarr
     def near(step: int) -> np.ndarray:
         """The role of the token so far off, 9 beyond the text."""
         out = np.full(n, 9, np.int32)
+        if hide:
+            return out
         if step < 0:
             out[-step:] = np.where(row[-step:] == row[:step], role[:step], 9)
         else:
@@ -168,7 +172,7 @@ def features(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarr
     signs = np.bincount(row, ~word, docs) / count
     assigns = np.bincount(row, role == 2, docs) / count
     file = np.minimum((signs * 16).astype(int), 3) * 8 + np.minimum((assigns * 64).astype(int), 3) * 2 + (np.bincount(row, key, docs) > 0)
-    return [bucket * 16 + shape, np.minimum(held[0] * 8 // np.maximum(size, 1), 7) * 8 + np.minimum(switches, 7), bucket * 2 + hexed, head, near(-1) * L + bucket, near(-2) * 10 + near(-1), near(1) * L + bucket, since * L + bucket, file[row] * L + bucket]
+    return [bucket * 16 + shape, np.minimum(held[0] * 8 // np.maximum(size, 1), 7) * 8 + np.minimum(switches, 7), bucket * 2 + hexed, head, near(-1) * L + bucket, (near(-2) * 10 + near(-1)) * 2 + (role == 7), near(1) * L + bucket, since * L + bucket, file[row] * L + bucket]
 
 
 # ---------------------------------------------------------------- the field
@@ -286,14 +290,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     texts = few.orderBy("h", "text").limit(sample_rows).select("text").toArrow()["text"]
     field = Field()
     feats, tags, sizes = [], [], []
-    for _, _, data, off in doc_chunks(texts):
-        raw = data.tobytes()
-        spans = [base_spans(raw[a:b]) if maybe else [] for a, b, maybe in zip(off[:-1].tolist(), off[1:].tolist(), may_match(data, off).tolist())]
+
+    def teach(data: np.ndarray, off: np.ndarray, spans: list, hide: bool) -> None:
         start, end, first = tokens(data, off)
         if not len(start):
-            continue
-        f = features(data, off, start, end, first)
-        y = np.zeros(len(start), np.int64)
+            return
+        raw, y = data.tobytes(), np.zeros(len(start), np.int64)
         for d, found in enumerate(spans):
             a, b = first[d], first[d + 1]
             sizes.append(int(b - a))
@@ -304,8 +306,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 if len(inside) and not y[inside].any():
                     y[inside] = I_
                     y[inside[0]] = B_
-        feats.append(f)
+        feats.append([f.astype(np.int32) for f in features(data, off, start, end, first, hide)])
         tags.append(y)
+
+    for _, _, data, off in doc_chunks(texts):
+        raw = [data[a:b] for a, b in zip(off[:-1], off[1:])]
+        spans = [base_spans(x.tobytes()) if maybe else [] for x, maybe in zip(raw, may_match(data, off).tolist())]
+        teach(data, off, spans, False)
+        if some := [k for k, x in enumerate(spans) if x]:
+            teach(np.concatenate([raw[k] for k in some]), np.append(0, np.cumsum([len(raw[k]) for k in some])), [spans[k] for k in some], True)
     if sizes:
         field.fit([np.concatenate(x) for x in zip(*feats)], np.concatenate(tags), np.append(0, np.cumsum(sizes)))
     return field
@@ -372,9 +381,9 @@ def op3_secret_field(spark, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
-    """docs with every span replaced by the mask, and n_chars to match; no row is dropped."""
+    """docs with every span replaced by the mask, and n_chars, if there is such a column, to match; no row is dropped. Null texts stay null."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs))
-    schema, place, size = docs.schema, docs.columns.index("text"), docs.columns.index("n_chars")
+    schema, place, size = docs.schema, docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for b in batches:
@@ -382,7 +391,8 @@ def redact_secrets(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
                 part = b.slice(lo, hi - lo)
                 found = scan(data, off, sent.value)
                 if found:
-                    texts, sizes = part.column(place).to_pylist(), part.column(size).to_pylist()
+                    texts = part.column(place).to_pylist()
+                    sizes = part.column(size).to_pylist() if size is not None else [0] * len(texts)
                     for d, spans in found.items():
                         raw, out, at = data[off[d] : off[d + 1]].tobytes(), [], 0
                         for s, _, e in spans:
@@ -393,7 +403,8 @@ def redact_secrets(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
                         texts[d] = b"".join([*out, raw[at:]]).decode()
                         sizes[d] = len(texts[d])
                     part = part.set_column(place, part.schema.field(place), pa.array(texts, part.column(place).type))
-                    part = part.set_column(size, part.schema.field(size), pa.array(sizes, part.column(size).type))
+                    if size is not None:
+                        part = part.set_column(size, part.schema.field(size), pa.array(sizes, part.column(size).type))
                 yield part
 
     return docs.mapInArrow(run, schema)
