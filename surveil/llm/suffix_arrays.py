@@ -160,13 +160,17 @@ def repeated_windows(b: Bucket, k: int, m: int, block: int = BLOCK) -> tuple[np.
     if not len(b.mini):
         return (np.zeros(0, np.int64),) * 4
     _, of, many = np.unique(b.mini, return_inverse=True, return_counts=True)
-    b = b.take(np.flatnonzero((many[of] > 1) | _repeat_inside(b, m)))
+    inside = _repeat_inside(b, m)
+    taken = np.flatnonzero((many[of] > 1) | inside)
+    b, inside = b.take(taken), inside[taken]
     raw, off = b.data.tobytes(), b.off
     seen: dict[bytes, int] = {}
     stands = np.array([seen.setdefault(raw[off[i] : off[i + 1]], i) for i in range(len(b.mini))], np.int64)
     copies = np.bincount(stands, minlength=len(stands))
     dup = [np.ones(n, bool) if copies[s] > 1 else None for n, s in zip(b.windows.tolist(), stands.tolist())]
     single = np.flatnonzero(stands == np.arange(len(stands)))
+    _, of, many = np.unique(b.mini[single], return_inverse=True, return_counts=True)
+    single = single[(many[of] > 1) | inside[single]]  # where all of a minimiser are the same bytes, none is left to compare
     single = single[np.argsort(b.mini[single], kind="stable")]
     volume = np.cumsum(b.size[single])
     edge = np.append(np.flatnonzero(np.append(True, b.mini[single][1:] != b.mini[single][:-1])), len(single)) if len(single) else np.zeros(1, np.int64)
