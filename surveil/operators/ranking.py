@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,13 +26,46 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     return rows.groupBy(query_id, doc_id).agg(F.sum(idf * gain).alias("score"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def top(scores: DataFrame, group: str, item: str, k: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.col("score").desc(), item)
     return scores.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _packs(df: DataFrame, key: str, vector: str, name: str, pack: int) -> DataFrame:
+    """One row per `pack` vectors of one length: ids and components end to end. Vectors that are null, zero or hold nulls are left out."""
+    v = F.col(vector).cast("array<double>")
+    fine = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(F.forall("v", lambda e: e.isNotNull()) & F.exists("v", lambda e: e != 0))
+
+    def run(batches):
+        for b in batches:
+            size = np.diff(b.column(1).offsets.to_numpy())
+            for d in np.unique(size).tolist():
+                part = b.filter(pa.array(size == d))
+                for lo in range(0, part.num_rows, pack):
+                    some = part.slice(lo, pack)
+                    yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([some.column(1).flatten().to_numpy()], pa.list_(pa.float64()))], names=[f"{name}_ids", name])
+
+    return fine.mapInArrow(run, f"{name}_ids array<long>, {name} array<double>")
+
+
+def nearest(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, digits: int = 6, pack: int = 2048) -> DataFrame:
+    """(query, id, score): each query's k rows of highest cosine, rounded to `digits`, on ties of lowest id.
+
+    Queries and rows meet in packs, each pair of packs is one product of matrices, and only its k best for each query leave the task.
+    """
+
+    def run(batches):
+        for b in batches:
+            for q_ids, q, x_ids, x in zip(*(b.column(c) for c in ("q_ids", "q", "x_ids", "x"))):
+                qi, xi = (np.array(i.values) for i in (q_ids, x_ids))
+                q_, x_ = (np.array(m.values).reshape(len(i), -1) for m, i in ((q, qi), (x, xi)))
+                if q_.shape[1] != x_.shape[1]:
+                    continue
+                order = np.argsort(xi, kind="stable")  # so that ties go to the lowest id
+                xi, x_ = xi[order], x_[order]
+                score = np.round((q_ @ x_.T) / np.sqrt(np.outer((q_ * q_).sum(1), (x_ * x_).sum(1))), digits)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, best.shape[1])), pa.array(xi[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query", "id", "score"])
+
+    pairs = _packs(rows, key, vector, "x", pack).crossJoin(_packs(queries, query_key, query_vector, "q", pack))  # a stated query set, in blocks
+    return top(pairs.mapInArrow(run, "query long, id long, score double"), "query", "id", k)

@@ -130,25 +130,29 @@ def rank_bm25(t: Tables):
     return R.top(s.withColumn("score", F.round("score", 6)), "item_id", "doc_id", 5).select("item_id", "doc_id", "score")
 
 
-_Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
-_COS = "list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q::DOUBLE[], q::DOUBLE[]))"
+_COS = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))"
 
 
-@query("rank_dense", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings, {_Q} WHERE label IS NOT NULL ORDER BY score DESC, vec_id LIMIT 10")
+@query("rank_dense", f"""SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM
+ (SELECT q.vec_id AS query, e.vec_id, round({_COS}, 6) AS score FROM embeddings e, embeddings q WHERE e.label IS NOT NULL AND q.vec_id % 50 = 0)) WHERE r <= 10""")
 def rank_dense(t: Tables):
-    first = t.embeddings.agg(F.min_by("embedding", "vec_id").alias("q"))
-    d = t.embeddings.filter("label is not null").crossJoin(F.broadcast(first)).select("vec_id", F.round(R.cosine(C("embedding"), C("q")), 6).alias("score"))
-    return d.orderBy(C("score").desc(), "vec_id").limit(10)
+    """Queries are all vectors whose id is divisible by 50."""
+    found = R.nearest(t.embeddings.filter("label is not null"), "vec_id", "embedding", t.embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return found.select("query", C("id").alias("vec_id"), "score")
 
 
-@query("rank_hybrid", _BM25 + f""", k AS (SELECT min(item_id) AS i FROM benchmark), sp AS (SELECT doc_id AS id, score / max(score) OVER () AS sparse FROM s, k WHERE item_id = i ORDER BY score DESC, doc_id LIMIT 20), de AS (SELECT vec_id AS id, {_COS} AS dense FROM embeddings, {_Q} ORDER BY round({_COS}, 9) DESC, vec_id LIMIT 20)
- SELECT id, round(0.6 * coalesce(dense, 0) + 0.4 * coalesce(sparse, 0), 5) AS score FROM sp FULL JOIN de USING (id) WHERE round(0.6 * coalesce(dense, 0) + 0.4 * coalesce(sparse, 0), 5) >= 0.1 ORDER BY score DESC, id LIMIT 10""")
+@query("rank_hybrid", _BM25 + f""", sp AS (SELECT item_id AS query, doc_id AS id, score / max(score) OVER (PARTITION BY item_id) AS sparse FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s WHERE item_id % 50 = 0) WHERE r <= 20),
+ de AS (SELECT query, id, dense FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dense DESC, id) AS r FROM (SELECT q.vec_id AS query, e.vec_id AS id, round({_COS}, 9) AS dense FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND q.vec_id IN (SELECT item_id FROM benchmark))) WHERE r <= 20),
+ f AS (SELECT query, id, round(0.6 * coalesce(dense, 0) + 0.4 * coalesce(sparse, 0), 5) AS score FROM sp FULL JOIN de USING (query, id))
+ SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM f WHERE score >= 0.1) WHERE r <= 10""")
 def rank_hybrid(t: Tables):
-    one = t.benchmark.orderBy("item_id").limit(1)
-    sparse = R.bm25(t.documents, "doc_id", "text", one, "item_id", "text").select(C("doc_id").alias("id"), "score").orderBy(C("score").desc(), "id").limit(20)
-    best = sparse.agg(F.max("score").alias("m"))
-    sparse = sparse.crossJoin(F.broadcast(best)).select("id", (C("score") / C("m")).alias("sparse"))
-    first = t.embeddings.agg(F.min_by("embedding", "vec_id").alias("q"))
-    dense = t.embeddings.crossJoin(F.broadcast(first)).select(C("vec_id").alias("id"), R.cosine(C("embedding"), C("q")).alias("dense")).orderBy(F.round("dense", 9).desc(), "id").limit(20)
+    """Queries are all items whose id is divisible by 50, each with the vector of its id."""
+    items = t.benchmark.filter("item_id % 50 = 0")
+    sparse = R.bm25(t.documents, "doc_id", "text", items, "item_id", "text").select(C("item_id").alias("query"), C("doc_id").alias("id"), F.round("score", 9).alias("score"), C("score").alias("raw"))
+    sparse = R.top(sparse, "query", "id", 20)
+    best = sparse.groupBy("query").agg(F.max("raw").alias("m"))
+    sparse = sparse.join(best, "query").select("query", "id", (C("raw") / C("m")).alias("sparse"))
+    asked = t.embeddings.filter("vec_id % 50 = 0").join(items.select(C("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    dense = R.nearest(t.embeddings, "vec_id", "embedding", asked, "vec_id", "embedding", 20, digits=9).withColumnRenamed("score", "dense")
     score = F.round(0.6 * F.coalesce("dense", F.lit(0.0)) + 0.4 * F.coalesce("sparse", F.lit(0.0)), 5)
-    return sparse.join(dense, "id", "full").select("id", score.alias("score")).filter("score >= 0.1").orderBy(C("score").desc(), "id").limit(10)
+    return R.top(sparse.join(dense, ["query", "id"], "full").select("query", "id", score.alias("score")).filter("score >= 0.1"), "query", "id", 10)
