@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of personal data, in the order in which they are replaced.
+#: Patterns of personal data and the marks that replace them, in the order in which they are replaced.
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
 PHONES = [r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"\(\d{3}\)\s*\d{3}[-.]?\d{4}\b"]
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -15,35 +15,39 @@ DATES = [
     r"(?i)\b(January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b",
     r"(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.?\s+\d{1,2},?\s+\d{4}\b",
 ]
-ADDRESS = r"\b\d+\s+[A-Z][a-z]+\s+(Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Boulevard|Blvd)\.?\b"
-NAMES = [r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\b", r"\b[A-Z][a-z]+\s+[A-Z]\.\s+[A-Z][a-z]+\b", r"\b(Mr\.|Mrs\.|Ms\.|Dr\.)\s+[A-Z][a-z]+\b"]
+TITLED = r"\b(Mr\.|Mrs\.|Ms\.|Dr\.)\s+([A-Z][a-z]+)\b"
+SPEAKER = r"\b([A-Z][a-z]+\s+[A-Z][a-z]+)\s+(was|had|reported|stated|told|called)\b"
+SOURCE = r"(?i)\baccording to\s+([A-Z][a-z]+\s+[A-Z][a-z]+)\b"
+ADDRESS = r"(?i)\b\d+\s+[A-Z][a-z]+\s+(Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Boulevard|Blvd)\.?\b"
 AGE = r"(?i)\b(\d{1,3})\s*(?:year|yr)s?\s*old\b"
+STEPS = [
+    ("SSN", [(SSN, "[SSN_REDACTED]")]),
+    ("phone", [(p, "[PHONE_REDACTED]") for p in PHONES]),
+    ("email", [(EMAIL, "[EMAIL_REDACTED]")]),
+    ("date", [(p, "[DATE_REDACTED]") for p in DATES]),
+    ("name", [(TITLED, "$1 [NAME_REDACTED]"), (SPEAKER, "[NAME_REDACTED] $2"), (SOURCE, "according to [NAME_REDACTED]")]),
+    ("address", [(ADDRESS, "[ADDRESS_REDACTED]")]),
+    ("age", [(AGE, "[AGE_REDACTED] years old")]),
+]
 IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 URL = r"https?://[^\s]+"
-#: Words that keep a match of a name pattern as it is.
-KEEP = ["Chronic", "Acute", "Primary", "Secondary", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "County", "State", "City", "Hospital", "Medical", "Center"]
-
-_STEPS = [("SSN", [SSN], "[SSN_REDACTED]"), ("phone", PHONES, "[PHONE_REDACTED]"), ("email", [EMAIL], "[EMAIL_REDACTED]"), ("dates", DATES, "[DATE_REDACTED]"), ("addresses", [ADDRESS], "[ADDRESS_REDACTED]"), ("names", NAMES, "[NAME_REDACTED]"), ("ages", [AGE], "[AGE_REDACTED]")]
-
 
-def _name(pattern: str) -> str:
-    """The pattern, but not where the match holds a word of KEEP."""
-    words = "|".join(KEEP)
-    return pattern.replace(r"\b", rf"\b(?!(?:{words})\b)", 1).replace(r"\s+[A-Z][a-z]+\b", rf"\s+(?!(?:{words})\b)[A-Z][a-z]+\b")
-
-
-def redact(text: Column, ages: bool = False) -> tuple[Column, Column]:
-    """The text with personal data replaced, and the kinds that were, in order. Null and empty texts give an empty text."""
-    out, kinds = F.coalesce(text, F.lit("")), []
-    for kind, patterns, mark in _STEPS:
-        if kind == "ages" and not ages:
-            continue
-        hit = F.lit(False)
-        for p in map(_name, patterns) if kind == "names" else patterns:
-            hit = hit | out.rlike(p)
-            out = F.regexp_replace(out, p, mark)
-        kinds.append(F.when(hit, kind))
-    return out, F.array_compact(F.array(*kinds))
+def redact(df: DataFrame, text: str, out: str = "redacted", kinds: str = "kinds", ages: bool = False) -> DataFrame:
+    """df with the text without personal data and the kinds that were found, in order; ages stay unless asked for. Null and empty texts give an empty text.
+
+    Each kind is a step of its own, so a text goes through each pattern once; a kind was found if its step changed the text.
+    """
+    steps = [x for x in STEPS if ages or x[0] != "age"]
+    df, found = df.withColumn("_0", F.coalesce(text, F.lit(""))), []
+    for k, (kind, patterns) in enumerate(steps):
+        now = F.col(f"_{k}")
+        for pattern, mark in patterns:
+            now = F.regexp_replace(now, pattern, mark)
+        df = df.withColumn(f"_{k + 1}", now)
+        changed = F.contains(f"_{k + 1}", F.lit("[NAME_REDACTED]")) if kind == "name" else F.col(f"_{k + 1}") != F.col(f"_{k}")
+        found.append(F.when(changed, kind))
+    df = df.withColumn(kinds, F.array_compact(F.array(*found))).withColumn(out, F.col(f"_{len(steps)}"))
+    return df.drop(*(f"_{k}" for k in range(len(steps) + 1)))
 
 
 def deidentify(text: Column) -> Column:

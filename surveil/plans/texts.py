@@ -15,19 +15,36 @@ def _sql_list(words: list[str], low: str) -> str:
     return " OR ".join(f"contains({low}, '{w}')" for w in words)
 
 
-@query("redact_pii")
+def _redacted() -> str:
+    """The steps of X.redact, without ages, as common table expressions r0, r1, ..."""
+    out, k = "r0 AS (SELECT doc_id, coalesce(text, '') AS x, [] AS kinds FROM documents)", 0
+    for kind, patterns in X.STEPS[:-1]:
+        new = "x"
+        for p, mark in patterns:
+            option = "gi" if p.startswith("(?i)") else "g"
+            new = f"regexp_replace({new}, '{p.removeprefix('(?i)')}', '{mark.replace('$', chr(92))}', '{option}')"
+        hit = "contains(y, '[NAME_REDACTED]')" if kind == "name" else "y <> x"
+        out += f", r{k + 1} AS (SELECT doc_id, y AS x, CASE WHEN {hit} THEN list_append(kinds, '{kind}') ELSE kinds END AS kinds FROM (SELECT doc_id, x, kinds, {new} AS y FROM r{k}))"
+        k += 1
+    return f"WITH {out}, r AS (SELECT * FROM r{k})"
+
+
+@query("redact_pii", _redacted() + " SELECT doc_id, x AS redacted, array_to_string(kinds, ',') AS kinds FROM r")
 def redact_pii(t: Tables):
-    """Names that hold a kept word need look-ahead, which the SQL engine lacks."""
-    out, kinds = X.redact(C("text"))
-    return t.documents.select("doc_id", out.alias("redacted"), F.array_join(kinds, ",").alias("kinds"))
+    return X.redact(t.documents, "text").select("doc_id", "redacted", F.array_join("kinds", ",").alias("kinds"))
 
 
-@query("redact_stats")
+_KINDS = [k for k, _ in X.STEPS]
+
+
+@query("redact_stats", _redacted() + f""" SELECT kind, count(r.doc_id) AS n, round(100.0 * count(r.doc_id) / (SELECT count(*) FROM documents), 2) AS pct
+ FROM (SELECT unnest({_KINDS}) AS kind) k LEFT JOIN r ON list_contains(r.kinds, k.kind) GROUP BY kind""")
 def redact_stats(t: Tables):
-    _, kinds = X.redact(C("text"))
-    total = t.documents.agg(F.count("*").alias("total"))
-    by = t.documents.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
-    return by.crossJoin(F.broadcast(total)).select("kind", "n", F.round(100.0 * C("n") / C("total"), 4).alias("pct"))
+    """How many texts hold each kind; kinds that none holds have 0."""
+    per_kind = [F.count_if(F.array_contains("kinds", k)).alias(k) for k in _KINDS]
+    one = X.redact(t.documents.select("text"), "text").agg(F.count("*").alias("total"), *per_kind)
+    long = one.select("total", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in _KINDS))).alias("x"))
+    return long.select("x.kind", "x.n", F.round(100.0 * C("x.n") / C("total"), 2).alias("pct"))
 
 
 @query("deidentify_text", rf"""SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{X.PHONES[0]}', '[PHONE]', 'g'), '{X.SSN}', '[SSN]', 'g'), '{X.EMAIL}', '[EMAIL]', 'g'), '{X.IP}', '[IP]', 'g'), '{X.URL}', '[URL]', 'g') AS x FROM documents)""")

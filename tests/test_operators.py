@@ -37,14 +37,17 @@ def test_weeks(spark):
 def test_redaction(spark):
     cases = {
         "SSN 123-45-6789": ("SSN [SSN_REDACTED]", "SSN"), "call 555-123-4567": ("call [PHONE_REDACTED]", "phone"), "call (555) 123-4567": ("call [PHONE_REDACTED]", "phone"), "a@b.org": ("[EMAIL_REDACTED]", "email"),
-        "on 01/15/2023": ("on [DATE_REDACTED]", "dates"), "on January 15, 2023": ("on [DATE_REDACTED]", "dates"), "met John Smith": ("met [NAME_REDACTED]", "names"), "saw Dr. Jones": ("saw [NAME_REDACTED]", "names"),
-        "County Hospital": ("County Hospital", ""), "clean text": ("clean text", ""), "": ("", ""), "he is 45 years old": ("he is 45 years old", ""),
+        "on 01/15/2023": ("on [DATE_REDACTED]", "date"), "on january 15, 2023": ("on [DATE_REDACTED]", "date"), "on Jan 15, 2024 at noon": ("on [DATE_REDACTED] at noon", "date"),
+        "saw Dr. Jones": ("saw Dr. [NAME_REDACTED]", "name"), "John Smith had": ("[NAME_REDACTED] had", "name"), "According to John Doe, he": ("according to [NAME_REDACTED], he", "name"), "met John Smith": ("met John Smith", ""),
+        "at 123 Main Street in": ("at [ADDRESS_REDACTED] in", "address"), "at 12 oak ave.": ("at [ADDRESS_REDACTED].", "address"),
+        "Chronic Depression and Acute Anxiety": ("Chronic Depression and Acute Anxiety", ""), "clean text": ("clean text", ""), "": ("", ""), "he is 45 years old": ("he is 45 years old", ""),
+        "Mr. Bell, 123-45-6789, a@b.org": ("Mr. [NAME_REDACTED], [SSN_REDACTED], [EMAIL_REDACTED]", "SSN,email,name"),
     }
     df = spark.createDataFrame([(k,) for k in [*cases, None]], "t string")
-    out, kinds = TX.redact(C("t"))
-    for r in df.select("t", out.alias("o"), F.array_join(kinds, ",").alias("k")).collect():
-        assert (r.o, r.k) == (cases[r.t] if r.t is not None else ("", "")), r
-    assert one(spark, TX.redact(F.lit("45 years old"), ages=True)[0])[0] == "[AGE_REDACTED]"
+    for r in TX.redact(df, "t").select("t", "redacted", F.array_join("kinds", ",").alias("k")).collect():
+        assert (r.redacted, r.k) == (cases[r.t] if r.t is not None else ("", "")), r
+    old = TX.redact(spark.createDataFrame([("45 years old",)], "t string"), "t", ages=True).first()
+    assert (old.redacted, old.kinds) == ("[AGE_REDACTED] years old", ["age"])
     flags = TX.keyword_flags(F.lit("body of work"))
     assert not one(spark, flags["overdose"])[0] and one(spark, TX.keyword_flags(F.lit("an OD, fentanyl"))["overdose"])[0]
 
