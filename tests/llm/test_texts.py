@@ -285,6 +285,42 @@ def test_lm_sums_to_one(spark):
         assert math.isclose(total + unseen, 1.0, rel_tol=1e-9)
 
 
+def test_lm_of_any_depth(spark):
+    """All contexts of up to 4 words against a tree built by hand from the words."""
+    rng = np.random.default_rng(19)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(3, 30), p=[0.6, 0.3, 0.1])) for _ in range(120)]
+    depth, gain, smooth = 4, 3.0, 2.0
+    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs(spark, texts), depth=depth, contexts=10**9, cells=10**9, common=10**9, gain=gain, smooth=smooth).collect()}
+    end = "."
+    seqs = {k: [*t.split(), end] for k, t in enumerate(texts)}
+    train = [s for k, s in seqs.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    uni = Counter(w for s in train for w in s)
+    n, v = sum(uni.values()), len(uni)
+    after = {}
+    for s in train:
+        for i, w in enumerate(s):
+            for d in range(1, depth + 1):
+                if i >= d - 1:  # one end before the text
+                    after.setdefault(tuple([end, *s][i + 1 - d : i + 1]), Counter())[w] += 1
+    kept = {}
+
+    def p(ctx, w):
+        while ctx and not kept.get(ctx):
+            ctx = ctx[1:]
+        if not ctx:
+            return (uni[w] + 1) / (n + v + 1)
+        c, total = after[ctx], sum(after[ctx].values())
+        return (c[w] + smooth * p(ctx[1:], w)) / (total + smooth)
+
+    for ctx in sorted(after, key=len):
+        total = sum(after[ctx].values())
+        kept[ctx] = sum(m * math.log(m / total / p(ctx[1:], w)) for w, m in after[ctx].items()) > gain
+    assert {len(c) for c, k in kept.items() if k} >= {1, 2, 3}
+    for k, s in seqs.items():
+        want = sum(math.log10(p(tuple([end, *s][max(0, i + 1 - depth) : i + 1]), w)) for i, w in enumerate(s))
+        assert math.isclose(got[k], want, rel_tol=1e-6), (k, got[k], want)
+
+
 # ---------------------------------------------------------------- classifier
 
 
