@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import clinical as X
+from ..operators._helpers import shared_folder
 from ..sources import files as I
 from ..sources import tables as K
 from ..streaming import streams as S
@@ -18,10 +18,7 @@ C = F.col
 
 def scratch(t: Tables) -> str:
     """A new folder under the one that spark.checkpoint.dir names."""
-    sc = t.spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    base = sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="spark-scratch-"))
-    return f"{base}/surveil-{uuid.uuid4()}"
+    return f"{shared_folder(t.spark)}/surveil-{uuid.uuid4()}"
 
 
 _NATION = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
