@@ -290,7 +290,7 @@ def test_lm_of_any_depth(spark):
     rng = np.random.default_rng(19)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(3, 30), p=[0.6, 0.3, 0.1])) for _ in range(120)]
     depth, gain, smooth = 4, 3.0, 2.0
-    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs(spark, texts), depth=depth, contexts=10**9, cells=10**9, common=10**9, gain=gain, smooth=smooth).collect()}
+    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs(spark, texts), depth=depth, contexts=10**9, cells=10**9, common=10**9, least=1, gain=gain, smooth=smooth).collect()}
     end = "."
     seqs = {k: [*t.split(), end] for k, t in enumerate(texts)}
     train = [s for k, s in seqs.items() if zlib.crc32(str(k).encode()) % 7 != 2]
@@ -321,6 +321,49 @@ def test_lm_of_any_depth(spark):
         assert math.isclose(got[k], want, rel_tol=1e-6), (k, got[k], want)
 
 
+def test_lm_next_words_in_tables(spark):
+    """Next words of one-word contexts are listed from two occurrences on, wherever they are held; of two-word ones only frequent ones."""
+    rng = np.random.default_rng(23)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(3, 30), p=[0.4, 0.2, 0.1, 0.1, 0.08, 0.06, 0.04, 0.02])) for _ in range(150)]
+    cells, gain, smooth, end = 40, 2.0, 2.0, "."
+    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs(spark, texts), depth=2, contexts=10**9, cells=cells, common=10**9, gain=gain, smooth=smooth).collect()}
+    seqs = {k: [*t.split(), end] for k, t in enumerate(texts)}
+    train = [s for k, s in seqs.items() if zlib.crc32(str(k).encode()) % 7 != 2]
+    uni = Counter(w for s in train for w in s)
+    n, v = sum(uni.values()), len(uni)
+    after = {(w,): Counter() for w in uni}
+    for s in train:
+        for i, w in enumerate(s):
+            after[([end, *s][i],)][w] += 1
+    often = {(a[0], w) for a, c in after.items() for w, m in c.items() if m > n // cells}
+    assert 0 < len(often) < sum(m >= 2 for c in after.values() for m in c.values()) / 2
+    for s in train:
+        for a, b, w in zip([end, *s], s, s[1:]):
+            if (a, b) in often:
+                after.setdefault((a, b), Counter())[w] += 1
+    listed = {c: {w: m for w, m in x.items() if m >= 2 and (len(c) == 1 or m > n // cells)} for c, x in after.items()}
+    size = {c: uni[c[0]] if len(c) == 1 else after[c[:1]][c[1]] for c in after}
+    kept = {}
+
+    def p(ctx, w):
+        while ctx and not kept.get(ctx):
+            ctx = ctx[1:]
+        if not ctx:
+            return (uni[w] + 1) / (n + v + 1)
+        rest = size[ctx] - sum(listed[ctx].values())
+        return (listed[ctx].get(w, 0) + (rest + smooth) * p(ctx[1:], w)) / (size[ctx] + smooth)
+
+    for c in sorted(after, key=len):
+        x = [(m, p(c[1:], w)) for w, m in listed[c].items()]
+        rest = size[c] - sum(m for m, _ in x)
+        kl = sum(m * math.log(m / size[c] / q) for m, q in x)
+        kept[c] = kl + (rest * math.log(rest / size[c] / max(1 - sum(q for _, q in x), 1e-12)) if rest else 0) > gain
+    assert sum(kept.values()) > 3
+    for k, s in seqs.items():
+        want = sum(math.log10(p(tuple([end, *s][max(0, i - 1) : i + 1]), w)) for i, w in enumerate(s))
+        assert math.isclose(got[k], want, rel_tol=1e-6), (k, got[k], want)
+
+
 # ---------------------------------------------------------------- classifier
 
 
