@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Patterns of personal data and the marks that replace them, in the order in which they are replaced.
 SSN = r"\b\d{3}-\d{2}-\d{4}\b"
@@ -108,3 +112,35 @@ def output_confidence(text: Column) -> tuple[Column, Column]:
 
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " "))
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Canonical composition; no built-in function has it."""
+    return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+#: Named characters of HTML that are decoded, the ampersand last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+UNSEEN = r"(?i)<!--[\s\S]*?-->|<script[^>]*>[\s\S]*?</script>|<style[^>]*>[\s\S]*?</style>"
+
+
+def strip_tags(html: Column) -> Column:
+    """The text of a piece of HTML: comments, scripts, styles and tags go, the commonest entities are decoded, white space is one space."""
+    out = F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), r"<[^>]*>", "")
+    for name, char in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return squeeze(out)
+
+
+def links(html: Column) -> Column:
+    """An array of the (href, label) of a page's links in order."""
+    found = F.regexp_extract_all(html, F.lit(r"(?i)(<a [^>]*href=\"[^\"]*\"[^>]*>[\s\S]*?</a>)"), 1)
+    return F.transform(found, lambda a: F.struct(F.regexp_extract(a, r"(?i)href=\"([^\"]*)\"", 1).alias("href"), strip_tags(a).alias("label")))
+
+
+def tables(html: Column) -> Column:
+    """An array of a page's tables: each an array of rows with cells, a row an array of its cells' texts."""
+    inner = lambda c, tags: F.regexp_extract_all(c, F.lit(rf"(?i)<(?:{tags})(?:\s[^>]*)?>([\s\S]*?)</(?:{tags})>"), 1)
+    rows = lambda t: F.filter(F.transform(inner(t, "tr"), lambda r: F.transform(inner(r, "td|th"), strip_tags)), lambda r: F.size(r) > 0)
+    return F.transform(inner(html, "table"), rows)

@@ -41,13 +41,13 @@ def between(name: str, value: Column, low: float, high: float, severity: str = "
 
 def run(df: DataFrame, checks: list[Check]) -> DataFrame:
     """(check_name, value, status, severity), one row per check."""
-    one = df.agg(*(F.round(c.value.cast("double"), 6).alias(f"c{i}") for i, c in enumerate(checks)))
+    one = df.agg(*(c.value.cast("double").alias(f"c{i}") for i, c in enumerate(checks)))
     items = F.array(*(F.struct(F.lit(c.name).alias("check_name"), F.col(f"c{i}").alias("value"), F.lit(i).alias("i"), F.lit(c.severity).alias("severity")) for i, c in enumerate(checks)))
     out = one.select(F.explode(items).alias("x")).select("x.*")
     ok = None
     for i, c in enumerate(checks):
         ok = F.when(F.col("i") == i, c.ok) if ok is None else ok.when(F.col("i") == i, c.ok)
-    return out.select("check_name", "value", F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("status"), "severity")
+    return out.select("check_name", F.round("value", 6).alias("value"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("status"), "severity")
 
 
 def scorecard(results: DataFrame) -> DataFrame:
@@ -69,6 +69,11 @@ def change(pre: DataFrame, post: DataFrame, key: str, measures: dict[str, Column
     return out
 
 
+def verdict(off: Column, warn: float, fail: float) -> Column:
+    """PASS up to warn, WARNING up to fail, FAIL beyond; a change that cannot be told fails."""
+    return F.when(F.abs(off) <= warn, "PASS").when(F.abs(off) <= fail, "WARNING").otherwise("FAIL")
+
+
 def prepost_score(row_change_pct: Column, missing_columns: Column, issues: Column, null_changes: Column, numeric_changes: Column) -> Column:
     """100 points less deductions for row changes, missing columns, issues, null and mean shifts."""
     r = F.abs(row_change_pct)

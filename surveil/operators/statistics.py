@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._helpers import cut
+from .windows import totals_below
 
 
 def moments(df: DataFrame, group: Column, value: Column) -> DataFrame:
@@ -71,6 +72,42 @@ def beta_tail(x: float, a: float, b: float) -> float:
     return front * h
 
 
+def average_precision(df: DataFrame, label: Column, score: Column) -> DataFrame:
+    """One row: the mean precision at each positive, from the highest score down; tied scores are taken together."""
+    at = df.groupBy((-score).alias("_s")).agg(F.count_if(label == 1).alias("p"), F.count_if(label == 0).alias("q"))
+    hits = F.col("below_p") + F.col("p")
+    return totals_below(at, [], "_s", ["p", "q"]).agg((F.sum(F.col("p") * hits / (hits + F.col("below_q") + F.col("q"))) / F.sum("p")).alias("average_precision"))
+
+
+def class_report(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
+    """One row: accuracy, and precision, recall and F1 weighted by how often each class occurs."""
+    cell = df.filter(label.isNotNull() & predicted.isNotNull()).groupBy(label.alias("y"), predicted.alias("z")).agg(F.count("*").alias("n"))
+    sides = F.explode(F.array(F.struct(F.col("y").alias("c"), F.lit(1).alias("real")), F.struct(F.col("z").alias("c"), F.lit(0).alias("real"))))
+    of = cell.select("y", "z", "n", sides.alias("x")).groupBy("x.c").agg(F.sum(F.when(F.col("x.real") == 1, F.col("n")).otherwise(0)).alias("is"), F.sum(F.when(F.col("x.real") == 0, F.col("n")).otherwise(0)).alias("said"), F.sum(F.when((F.col("x.real") == 1) & (F.col("y") == F.col("z")), F.col("n")).otherwise(0)).alias("hit"))
+    p, r = (F.coalesce(F.try_divide(F.col("hit"), F.col(c)), F.lit(0.0)) for c in ("said", "is"))
+    f1 = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    mean = lambda x: F.sum(x * F.col("is")) / F.sum("is")
+    return of.agg((F.sum("hit") / F.sum("is")).alias("accuracy"), mean(p).alias("precision"), mean(r).alias("recall"), mean(f1).alias("f1"))
+
+
+def chi2_p_value(x: float, df: int) -> float:
+    """Upper tail of the chi-squared distribution: the finite sums for even and odd degrees of freedom."""
+    h = x / 2
+    if df % 2 == 0:
+        return math.exp(-h) * sum(math.exp(k * math.log(h) - math.lgamma(k + 1)) if h else float(k == 0) for k in range(df // 2))
+    return math.erfc(math.sqrt(h)) + (math.exp(-h) * sum(math.exp((k - 0.5) * math.log(h) - math.lgamma(k + 0.5)) for k in range(1, df // 2 + 1)) if h else 0.0)
+
+
+def t_interval(df: float, level: float = 0.95) -> float:
+    """The t value that the given share lies within, by halving."""
+    low, high = 0.0, 1.0
+    while t_p_value(high, df) > 1 - level:
+        high *= 2
+    for _ in range(100):
+        low, high = ((low + high) / 2, high) if t_p_value((low + high) / 2, df) > 1 - level else (low, (low + high) / 2)
+    return high
+
+
 def t_p_value(t: float, df: float) -> float:
     return beta_tail(df / (df + t * t), df / 2, 0.5)
 
@@ -81,29 +118,35 @@ def f_p_value(f: float, df1: float, df2: float) -> float:
 
 def ks(df: DataFrame, by: str, sample: Column, value: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of samples 0 and 1 for each `by`; ties are stepped together."""
-    at = df.groupBy(by, value).agg(F.count_if(sample == 0).alias("a"), F.count_if(sample == 1).alias("b"))
-    w = Window.partitionBy(by).orderBy(value)
-    all_ = Window.partitionBy(by)
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(all_) - F.sum("b").over(w) / F.sum("b").over(all_))
-    return at.withColumn("gap", gap).groupBy(by).agg(F.max("gap").alias("ks"), F.sum("a").alias("n0"), F.sum("b").alias("n1"))
+    at = totals_below(df.groupBy(by, value).agg(F.count_if(sample == 0).alias("a"), F.count_if(sample == 1).alias("b")), [by], value, ["a", "b"])
+    n = at.groupBy(by).agg(F.sum("a").alias("n0"), F.sum("b").alias("n1"))
+    gap = F.abs((F.col("below_a") + F.col("a")) / F.col("n0") - (F.col("below_b") + F.col("b")) / F.col("n1"))
+    return at.join(n, by).groupBy(by).agg(F.max(gap).alias("ks"), F.first("n0").alias("n0"), F.first("n1").alias("n1"))
+
+
+def ks_p_value(distance: Column, n0: Column, n1: Column, terms: int = 100) -> Column:
+    """The asymptotic p-value of a two-sample distance, by the alternating series of Kolmogorov's distribution."""
+    root = F.sqrt(n0 * n1 / (n0 + n1))
+    x = (root + 0.12 + 0.11 / root) * distance
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
 def psi(df: DataFrame, by: str, sample: Column, value: Column, bins: int = 10) -> DataFrame:
     """Population stability index of sample 1 against sample 0 over equal bins of sample 0's range."""
     rng = df.filter(sample == 0).groupBy(by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     b = F.least(F.greatest(F.floor((value - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(0)), F.lit(bins - 1))
-    cell = df.join(F.broadcast(rng), by).groupBy(by, b.alias("bin")).agg(F.count_if(sample == 0).alias("a"), F.count_if(sample == 1).alias("b"))
+    cell = df.join(rng, by).groupBy(by, b.alias("bin")).agg(F.count_if(sample == 0).alias("a"), F.count_if(sample == 1).alias("b"))
     total = Window.partitionBy(by)
     p, q = (F.greatest(F.col(c) / F.sum(c).over(total), F.lit(1e-4)) for c in "ab")
     return cell.select(by, ((q - p) * F.log(q / p)).alias("x")).groupBy(by).agg(F.sum("x").alias("psi"))
 
 
 def auc(df: DataFrame, label: Column, score: Column, by: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve by rank sums over distinct scores, ties counting half. Sorted per group, or by score ranges when there is none."""
+    """Area under the ROC curve by rank sums over distinct scores, ties counting half; scores are dealt by ranges."""
     keys = by or []
-    at = df.groupBy(*keys, score.alias("_s")).agg(F.count_if(label == 1).alias("p"), F.count_if(label == 0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return at.select(*keys, "p", "q", (F.col("p") * (below + F.col("q") / 2.0)).alias("u")).groupBy(*keys).agg(F.sum("p").alias("n1"), F.sum("q").alias("n0"), (F.sum("u") / (F.sum("p") * F.sum("q"))).alias("auc"))
+    at = totals_below(df.groupBy(*keys, score.alias("_s")).agg(F.count_if(label == 1).alias("p"), F.count_if(label == 0).alias("q")), keys, "_s", ["q"])
+    return at.select(*keys, "p", "q", (F.col("p") * (F.col("below_q") + F.col("q") / 2.0)).alias("u")).groupBy(*keys).agg(F.sum("p").alias("n1"), F.sum("q").alias("n0"), (F.sum("u") / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def kl(df: DataFrame, sample: Column, category: Column) -> DataFrame:

@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._helpers import cut
+
+
+def totals_below(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
+    """df with below_c for each c of cols: its total over the rows of the same keys that come before in `order`, 0 at first.
+
+    Rows must differ in (keys, order). One key may hold all rows: they are dealt by ranges, and of each range only its totals (a row per key in it)
+    are summed up in turn.
+    """
+    dealt = cut(df.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    inner = Window.partitionBy("_range", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("_range", *keys).agg(*(F.sum(c).alias(f"_all_{c}") for c in cols))
+    outer = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # rows: the ranges of a key
+    start = whole.select(*(F.col(k).alias(f"_k_{k}") for k in ["_range", *keys]), *(F.coalesce(F.sum(f"_all_{c}").over(outer), F.lit(0)).alias(f"_start_{c}") for c in cols))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in ["_range", *keys]))
+    here = dealt.select("*", *(F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_in_{c}") for c in cols))
+    return here.join(start, same).select(*df.columns, *((F.col(f"_in_{c}") + F.col(f"_start_{c}")).alias(f"below_{c}") for c in cols))
+
 
 def days_covered(spans: DataFrame, key: str, start: str, end: str, first: str, last: str) -> DataFrame:
     """Per key the days from first to last that any span covers: spans are merged, days are never listed."""

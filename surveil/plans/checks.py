@@ -13,7 +13,7 @@ C = F.col
 
 def _sql(rows: list[tuple[str, str, str, str, str]]) -> str:
     """(name, aggregate, table, condition on v, severity) -> the long form."""
-    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, round(CAST({a} AS DOUBLE), 6) AS value, CASE WHEN coalesce({c.replace('v', f'round(CAST({a} AS DOUBLE), 6)')}, false) THEN 'PASS' ELSE 'FAIL' END AS status, '{s}' AS severity FROM {t}" for n, a, t, c, s in rows)
+    return " UNION ALL ".join(f"SELECT '{n}' AS check_name, round(CAST({a} AS DOUBLE), 6) AS value, CASE WHEN coalesce({c.replace('v', f'CAST({a} AS DOUBLE)')}, false) THEN 'PASS' ELSE 'FAIL' END AS status, '{s}' AS severity FROM {t}" for n, a, t, c, s in rows)
 
 
 def _share(cond: str) -> str:
@@ -112,9 +112,45 @@ def dq_numeric_change(t: Tables):
     return ch.select("column_name", F.round("pre_mean", 4).alias("pre_mean"), F.round("post_mean", 4).alias("post_mean"), F.round("mean_change_pct", 5).alias("mean_change_pct"), F.round("median_change_pct", 5).alias("median_change_pct"))
 
 
-@query("dq_categorical_change", f"SELECT 'o_orderstatus' AS column_name, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS pre, (SELECT count(DISTINCT o_orderstatus) FROM {_POST}) AS post")
+@query("dq_categorical_change", f"SELECT *, post - pre AS difference, CASE WHEN pre = post THEN 'PASS' WHEN abs(post - pre) <= 5 THEN 'WARNING' ELSE 'FAIL' END AS status FROM (SELECT 'o_orderstatus' AS column_name, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS pre, (SELECT count(DISTINCT o_orderstatus) FROM {_POST}) AS post UNION ALL SELECT 'o_custkey', (SELECT count(DISTINCT o_custkey) FROM orders), (SELECT count(DISTINCT o_custkey) FROM {_POST}))")
 def dq_categorical_change(t: Tables):
-    return t.orders.agg(F.lit("o_orderstatus").alias("column_name"), F.countDistinct("o_orderstatus").alias("pre")).crossJoin(post_orders(t).agg(F.countDistinct("o_orderstatus").alias("post")))
+    cols = ["o_orderstatus", "o_custkey"]
+    d = t.orders.agg(*(F.countDistinct(c).alias(f"a_{c}") for c in cols)).crossJoin(post_orders(t).agg(*(F.countDistinct(c).alias(f"b_{c}") for c in cols)))
+    items = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), C(f"a_{c}").alias("pre"), C(f"b_{c}").alias("post")) for c in cols)))
+    change = C("post") - C("pre")
+    return d.select(items.alias("x")).select("x.*").select("*", change.alias("difference"), K.verdict(change, 0, 5).alias("status"))
+
+
+_TWICE = f"(SELECT * FROM {_POST} UNION ALL SELECT * FROM {_POST} WHERE o_orderkey % 500 = 1)"
+
+
+@query("dq_duplicates", f"SELECT pre, post, CASE WHEN post = 0 THEN 'PASS' WHEN post <= 10 THEN 'WARNING' ELSE 'FAIL' END AS status FROM (SELECT count(*) - count(DISTINCT o_orderkey) AS pre FROM orders), (SELECT count(*) - count(DISTINCT o_orderkey) AS post FROM {_TWICE})")
+def dq_duplicates(t: Tables):
+    """Repeated keys before and after a load that has written some rows twice."""
+    post = post_orders(t)
+    more = F.count("*") - F.countDistinct("o_orderkey")
+    d = t.orders.agg(more.alias("pre")).crossJoin(post.unionByName(post.filter("o_orderkey % 500 = 1")).agg(more.alias("post")))
+    return d.select("pre", "post", K.verdict(C("post"), 0, 10).alias("status"))
+
+
+_SIZE = "sum(16 + length(o_orderstatus) + CASE WHEN o_custkey IS NULL THEN 0 ELSE 8 END)"
+
+
+@query("dq_size", f"SELECT pre, post, round(100.0 * (post - pre) / pre, 6) AS pct, CASE WHEN abs(100.0 * (post - pre) / pre) <= 20 THEN 'PASS' WHEN abs(100.0 * (post - pre) / pre) <= 50 THEN 'WARNING' ELSE 'FAIL' END AS status FROM (SELECT CAST({_SIZE} AS BIGINT) AS pre FROM orders), (SELECT CAST({_SIZE} AS BIGINT) AS post FROM {_POST})")
+def dq_size(t: Tables):
+    """Bytes of the values of the columns that both sides have: eight for a number, one for a letter, none for a null."""
+    size = F.sum(16 + F.length("o_orderstatus") + F.when(C("o_custkey").isNull(), 0).otherwise(8))
+    d = t.orders.agg(size.alias("pre")).crossJoin(post_orders(t).agg(size.alias("post")))
+    pct = 100.0 * (C("post") - C("pre")) / C("pre")
+    return d.select("pre", "post", F.round(pct, 6).alias("pct"), K.verdict(pct, 20, 50).alias("status"))
+
+
+@query("dq_column_check", f"SELECT CAST(6 AS INTEGER) AS pre, CAST(4 AS INTEGER) AS post, CAST(-2 AS INTEGER) AS difference, 'WARNING' AS status, (SELECT count(*) FROM orders) AS pre_rows, (SELECT count(*) FROM {_POST}) AS post_rows")
+def dq_column_check(t: Tables):
+    post = post_orders(t)
+    a, b = len(t.orders.columns), len(post.columns)
+    rows = t.orders.agg(F.count("*").alias("pre_rows")).crossJoin(post.agg(F.count("*").alias("post_rows")))
+    return rows.select(F.lit(a).alias("pre"), F.lit(b).alias("post"), F.lit(b - a).alias("difference"), K.verdict(F.lit(b - a), 0, 2).alias("status"), "pre_rows", "post_rows")
 
 
 _RULES = [("age", "avg(CASE WHEN l_quantity NOT BETWEEN 0 AND 120 THEN 1.0 ELSE 0.0 END)", "lineitem", "v <= 0.0", "ERROR"), ("dates", "avg(CASE WHEN l_shipdate > TIMESTAMP '1999-01-01' THEN 1.0 ELSE 0.0 END)", "lineitem", "v <= 0.0", "ERROR"), ("freshness", "date_diff('day', max(CAST(l_shipdate AS DATE)), DATE '2001-12-31')", "lineitem", "v BETWEEN 0 AND 60", "WARNING")]
@@ -133,7 +169,7 @@ def dq_business_rule(t: Tables):
 def dq_outliers(t: Tables):
     q = t.events.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     w = 1.5 * (C("q")[1] - C("q")[0])
-    return t.events.join(F.broadcast(q), "event_type").groupBy("event_type").agg(F.count_if((C("value") < C("q")[0] - w) | (C("value") > C("q")[1] + w)).alias("outliers"))
+    return t.events.join(q, "event_type").groupBy("event_type").agg(F.count_if((C("value") < C("q")[0] - w) | (C("value") > C("q")[1] + w)).alias("outliers"))
 
 
 @query("dq_scorecard", f"SELECT count(*) AS checks, CAST(sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN status <> 'PASS' AND severity = 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS warned, CAST(sum(CASE WHEN status <> 'PASS' AND severity <> 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS failed, round(100.0 * avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END), 4) AS score, CASE WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.95 THEN 'A' WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.9 THEN 'B' WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.8 THEN 'C' WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.7 THEN 'D' ELSE 'F' END AS grade FROM ({_sql(_RULES)})")

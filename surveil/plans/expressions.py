@@ -443,6 +443,18 @@ def eq5d(t: Tables):
     return members(t).select("member_id", state.alias("state"), F.round(1 - 0.05 * C("chronic") - 0.04 * (C("er") % 5) - 0.06 * C("admits"), 4).alias("utility"))
 
 
+@query("literacy_band", "SELECT c_custkey, score, CASE WHEN score < 24 THEN 'low' WHEN score <= 32 THEN 'moderate' ELSE 'high' END AS band FROM (SELECT c_custkey, CAST(list_sum(list_transform(range(1, 9), lambda i: 1 + (c_custkey * i + c_nationkey) % 5)) AS INTEGER) AS score FROM customer)")
+def literacy_band(t: Tables):
+    """Eight answers of 1 to 5 each, summed."""
+    score = sum((1 + (C("c_custkey") * i + C("c_nationkey")) % 5 for i in range(1, 9)), F.lit(0)).cast("int")
+    return t.customer.select("c_custkey", score.alias("score")).select("*", X.ladder(C("score"), [(33, "high"), (24, "moderate")], "low", ">=").alias("band"))
+
+
+@query("surrogate_key", "SELECT l_orderkey, l_linenumber, md5(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), coalesce(nullif(l_returnflag, 'A'), '_null_'))) AS key FROM lineitem")
+def surrogate_key(t: Tables):
+    return t.lineitem.select("l_orderkey", "l_linenumber", X.surrogate_key(C("l_orderkey"), C("l_linenumber"), F.nullif(C("l_returnflag"), F.lit("A"))).alias("key"))
+
+
 @query("barrier_score", f"SELECT member_id, b AS barriers, CASE WHEN b >= 3 THEN 'high' WHEN b >= 2 THEN 'moderate' ELSE 'low' END AS band FROM (SELECT member_id, CAST(chronic > 2 AS INTEGER) + CAST(er > 3 AS INTEGER) + CAST(admits > 1 AS INTEGER) + CAST(balance < 0 AS INTEGER) AS b FROM {MEMBER_SQL})")
 def barrier_score(t: Tables):
     b = (C("chronic") > 2).cast("int") + (C("er") > 3).cast("int") + (C("admits") > 1).cast("int") + (C("balance") < 0).cast("int")

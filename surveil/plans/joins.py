@@ -159,13 +159,35 @@ def join_interval(t: Tables):
     return J.newest(J.within(a, b, ["user_id"], "da", "db", 7), ["a", "stream"], C("value").desc(), C("b")).select("a", "stream", "b", (C("db") - C("da")).alias("gap"))
 
 
-@query("join_fuzzy", """SELECT a.s_suppkey AS a, b.s_suppkey AS b, round(100.0 * (1 - levenshtein(lower(trim(a.s_name)), lower(trim(b.s_name))) / CAST(greatest(length(a.s_name), length(b.s_name), 1) AS DOUBLE)), 6) AS score FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey
- WHERE 100.0 * (1 - levenshtein(lower(trim(a.s_name)), lower(trim(b.s_name))) / CAST(greatest(length(a.s_name), length(b.s_name), 1) AS DOUBLE)) >= 85""")
+_RATIO = "100.0 * (1 - levenshtein(lower(trim(x.c_name)), lower(trim(y.c_name))) / CAST(greatest(length(x.c_name), length(y.c_name), 1) AS DOUBLE))"
+
+
+@query("join_interval_km", """WITH e AS (SELECT event_id, event_type, value, CAST(ts AS DATE) AS d, 30.0 + event_id % 97 / 10.0 AS la, -100.0 + event_id % 89 / 10.0 AS lo FROM events)
+ SELECT a, stream, b FROM (SELECT a.event_id AS a, b.event_type AS stream, b.event_id AS b, row_number() OVER (PARTITION BY a.event_id, b.event_type ORDER BY b.value DESC, b.event_id) AS r FROM e a JOIN e b ON b.event_type <> 'error' AND abs(date_diff('day', a.d, b.d)) <= 7 AND b.la BETWEEN a.la - 0.5 AND a.la + 0.5
+ AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.la - a.la) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))) <= 50 WHERE a.event_type = 'error') WHERE r = 1""")
+def join_interval_km(t: Tables):
+    """For each error the strongest event of every other stream within seven days and 50 km: cells of a week and half a degree by one."""
+    from ..functions.clinical import haversine_km
+
+    e = t.events.select("event_id", "event_type", "value", F.unix_date(C("ts").cast("date")).alias("d"), (30.0 + C("event_id") % 97 / 10.0).alias("la"), (-100.0 + C("event_id") % 89 / 10.0).alias("lo"))
+    i, j = F.floor(C("la") * 2), F.floor("lo")  # half a degree of latitude is more than 50 km, and so is one of longitude up to 60 degrees north
+    around = F.explode(F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
+    a = e.filter("event_type = 'error'").select(C("event_id").alias("a"), C("d").alias("da"), "la", "lo", around.alias("x")).select("a", "da", "la", "lo", "x.*")
+    b = e.filter("event_type <> 'error'").select(C("event_id").alias("b"), C("event_type").alias("stream"), "value", C("d").alias("db"), C("la").alias("la2"), C("lo").alias("lo2"), i.alias("i"), j.alias("j"))
+    near = J.within(a, b, ["i", "j"], "da", "db", 7).filter(haversine_km(C("la"), C("lo"), C("la2"), C("lo2")) <= 50)
+    return J.newest(near, ["a", "stream"], C("value").desc(), C("b")).select("a", "stream", "b")
+
+
+@query("join_fuzzy", f"""WITH o AS (SELECT o_orderkey, c_name, c_nationkey, CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON c_custkey = o_custkey)
+ SELECT x.o_orderkey AS a, y.o_orderkey AS b, round({_RATIO}, 6) AS score FROM o x JOIN o y ON x.c_nationkey = y.c_nationkey AND x.o_orderkey < y.o_orderkey AND abs(date_diff('day', x.d, y.d)) <= 1 WHERE {_RATIO} >= 85""")
 def join_fuzzy(t: Tables):
-    # blocked by nation; names of one word, so sorting words changes nothing in the SQL
-    a = t.supplier.select(C("s_suppkey").alias("a"), C("s_name").alias("na"), "s_nationkey")
-    b = t.supplier.select(C("s_suppkey").alias("b"), C("s_name").alias("nb"), "s_nationkey")
-    return a.join(b, "s_nationkey").filter("a < b").withColumn("s", J.token_sort_ratio(C("na"), C("nb"))).filter("s >= 85").select("a", "b", F.round("s", 6).alias("score"))
+    """Orders of one nation whose dates are a day apart at most and whose names agree by 85 of 100: cells of nation and day, and lengths before distances."""
+    # names of one word, so sorting words changes nothing in the SQL
+    o = t.orders.join(t.customer, C("c_custkey") == C("o_custkey")).select("o_orderkey", "c_name", "c_nationkey", F.unix_date(C("o_orderdate").cast("date")).alias("d"))
+    a, b = (o.select(C("o_orderkey").alias(k), C("c_name").alias(f"n{k}"), "c_nationkey", C("d").alias(f"d{k}")) for k in "ab")
+    sizes = [F.length(F.trim(c)) for c in ("na", "nb")]
+    could = F.least(*sizes) >= 0.85 * F.greatest(*sizes)
+    return J.within(a, b, ["c_nationkey"], "da", "db", 1).filter("a < b").filter(could).withColumn("s", J.token_sort_ratio(C("na"), C("nb"))).filter("s >= 85").select("a", "b", F.round("s", 6).alias("score"))
 
 
 @query("join_asof", "SELECT e.event_id, p.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'view') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts")

@@ -171,6 +171,52 @@ def stat_drift_ks(t: Tables):
     return S.ks(t.events, "event_type", half(), "value").withColumn("ks", F.round("ks", 8))
 
 
+@query("stat_drift_ks_level", f"""WITH c AS (SELECT event_type, value, count(*) FILTER ({OLD} = 0) AS a, count(*) FILTER ({OLD} = 1) AS b FROM events GROUP BY 1, 2), g AS (SELECT event_type, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY event_type) - sum(b) OVER w / sum(b) OVER (PARTITION BY event_type)) AS gap, value, a, b FROM c WINDOW w AS (PARTITION BY event_type ORDER BY value)),
+ d AS (SELECT event_type, max(gap) AS ks, sum(a) * 1.0 * sum(b) / (sum(a) + sum(b)) AS ne, 100.0 * (sum(value * b) / sum(b) / (sum(value * a) / sum(a)) - 1) AS shift FROM g GROUP BY 1),
+ p AS (SELECT *, (sqrt(ne) + 0.12 + 0.11 / sqrt(ne)) * ks AS x FROM d), q AS (SELECT *, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * x * x))), 0.0), 1.0) END AS p FROM p)
+ SELECT event_type, round(ks, 8) AS ks, round(p, 7) AS p, round(shift, 5) AS mean_shift_pct, p < 0.05 AS drift, CASE WHEN count(*) FILTER (p < 0.05) OVER () > 3 THEN 'HIGH' WHEN count(*) FILTER (p < 0.05) OVER () > 0 THEN 'MEDIUM' ELSE 'LOW' END AS alert_level FROM q""")
+def stat_drift_ks_level(t: Tables):
+    """Per event type the distance of two periods with its p-value and shift of the mean, and one level for all."""
+    mean = t.events.groupBy("event_type").agg(*(F.avg(F.when(half() == k, C("value"))).alias(f"m{k}") for k in (0, 1)))
+    d = S.ks(t.events, "event_type", half(), "value").join(mean, "event_type").withColumn("p", S.ks_p_value(C("ks"), C("n0"), C("n1")))
+    drifting = F.count_if(C("p") < 0.05).over(W.partitionBy(F.lit(0)))  # one row per event type
+    level = F.when(drifting > 3, "HIGH").when(drifting > 0, "MEDIUM").otherwise("LOW")
+    return d.select("event_type", F.round("ks", 8).alias("ks"), F.round("p", 7).alias("p"), F.round(100.0 * (C("m1") / C("m0") - 1), 5).alias("mean_shift_pct"), (C("p") < 0.05).alias("drift"), level.alias("alert_level"))
+
+
+@query("stat_chi2_p", """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT a, sum(n) AS na FROM c GROUP BY 1), k AS (SELECT b, sum(n) AS nb FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c)
+ SELECT round(exp(-sum(pow(coalesce(n, 0) - na * nb / t, 2) / (na * nb / t)) / 2), 8) AS p FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = r.a AND c.b = k.b""")
+def stat_chi2_p(t: Tables):
+    """Three flags by two states: two degrees of freedom, for which SQL has the closed form."""
+    p = F.udf(lambda x, df: float(S.chi2_p_value(x, df)), "double")  # one row
+    return S.chi_square(t.lineitem, C("l_returnflag"), C("l_linestatus")).select(F.round(p("chi2", "df"), 8).alias("p"))
+
+
+@query("stat_p_values")
+def stat_p_values(t: Tables):
+    """p-values of one-row results, and the interval of a difference of means: pooled and Welch t, one-way F, Pearson and point-biserial correlation."""
+    two = S.two_groups(t.events, C("user_id") % 2, C("value"))
+    pooled, welch = S.pooled(), S.welch()
+    n, r = F.count("value"), F.corr("value", (C("user_id") % 2).cast("double"))
+    rq = F.corr("l_quantity", "l_extendedprice")
+    student = lambda r, n: r * F.sqrt((n - 2) / (1 - r * r))
+    gap = C("m1") - C("m0")
+    rows = [
+        two.select(F.lit("pooled t").alias("test"), pooled["t"].alias("statistic"), pooled["df"].cast("double").alias("df"), F.lit(None).cast("double").alias("df2"), gap.alias("estimate")),
+        two.select(F.lit("welch t"), welch["welch_t"], welch["welch_df"], F.lit(None), gap),
+        S.anova(t.events, C("event_type"), C("value")).select(F.lit("one-way F"), "f", C("df1").cast("double"), C("df2").cast("double"), F.lit(None)),
+        t.events.agg(n.alias("n"), r.alias("r")).select(F.lit("point-biserial"), student(C("r"), C("n")), (C("n") - 2).cast("double"), F.lit(None), C("r")),
+        t.lineitem.agg(F.count("*").alias("n"), rq.alias("r")).select(F.lit("pearson"), student(C("r"), C("n")), (C("n") - 2).cast("double"), F.lit(None), C("r")),
+    ]
+    d = rows[0]
+    for x in rows[1:]:
+        d = d.union(x)
+    p = F.udf(lambda x, a, b: None if x is None else float(S.t_p_value(x, a) if b is None else S.f_p_value(x, a, b)), "double")  # five rows
+    reach = F.udf(lambda test, x, a, e: abs(e / x) * S.t_interval(a) if test.endswith(" t") and x else None, "double")
+    half_width = reach("test", "statistic", "df", "estimate")
+    return d.withColumn("p", p("statistic", "df", "df2")).withColumn("low", C("estimate") - half_width).withColumn("high", C("estimate") + half_width)
+
+
 @query("stat_psi", f"""WITH r AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events WHERE {OLD} = 0 GROUP BY 1), c AS (SELECT e.event_type, least(greatest(floor((value - lo) / (hi - lo) * 10), 0), 9) AS bin, count(*) FILTER ({OLD} = 0) AS a, count(*) FILTER ({OLD} = 1) AS b FROM events e JOIN r ON r.event_type = e.event_type GROUP BY 1, 2),
  s AS (SELECT event_type, greatest(a / sum(a) OVER (PARTITION BY event_type), 1e-4) AS p, greatest(b / sum(b) OVER (PARTITION BY event_type), 1e-4) AS q FROM c) SELECT event_type, round(sum((q - p) * ln(q / p)), 7) AS psi FROM s GROUP BY 1""")
 def stat_psi(t: Tables):
@@ -213,18 +259,18 @@ def impute_hotdeck(t: Tables):
 @query("impute_median", "SELECT event_id, coalesce(v, m) AS value FROM (SELECT event_id, event_type, CASE WHEN user_id % 9 <> 0 THEN value END AS v FROM events) e JOIN (SELECT event_type, median(value) AS m FROM events WHERE user_id % 9 <> 0 GROUP BY 1) k USING (event_type)")
 def impute_median(t: Tables):
     d = t.events.select("event_id", "event_type", F.when(C("user_id") % 9 != 0, C("value")).alias("v"))
-    return d.join(F.broadcast(d.groupBy("event_type").agg(F.median("v").alias("m"))), "event_type").select("event_id", F.coalesce("v", "m").alias("value"))
+    return d.join(d.groupBy("event_type").agg(F.median("v").alias("m")), "event_type").select("event_id", F.coalesce("v", "m").alias("value"))
 
 
-_LAG = "(SELECT CAST(o_orderdate AS DATE) AS d, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate AND date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) <= 2500)"
+_LAG = "(SELECT CAST(o_orderdate AS DATE) AS d, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate)"
 
 
 @query("nowcast_triangle", f"""WITH l AS (SELECT lag, count(*) AS n FROM {_LAG} GROUP BY 1), k AS (SELECT lag, sum(n) OVER (ORDER BY lag) / sum(n) OVER () AS share FROM l), r AS (SELECT d, count(*) AS seen FROM {_LAG} GROUP BY 1)
  SELECT d, seen, round(seen / greatest(max(share), 0.01), 5) AS corrected FROM r JOIN k ON k.lag <= date_diff('day', d, DATE '2001-08-02') GROUP BY 1, 2""")
 def nowcast_triangle(t: Tables):
-    d = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).select(C("o_orderdate").cast("date").alias("d"), F.datediff(C("l_shipdate").cast("date"), C("o_orderdate").cast("date")).alias("lag")).filter("lag between 0 and 2500")
+    d = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).select(C("o_orderdate").cast("date").alias("d"), F.datediff(C("l_shipdate").cast("date"), C("o_orderdate").cast("date")).alias("lag")).filter("lag >= 0")
     cell = d.groupBy("d", "lag").agg(F.count("*").alias("n"))
-    by_lag = cell.groupBy("lag").agg(F.sum("n").alias("n"))  # at most 2501 rows
+    by_lag = cell.groupBy("lag").agg(F.sum("n").alias("n"))  # one row per lag in days
     one = W.partitionBy(F.lit(0))
     share = by_lag.select("lag", (F.sum("n").over(one.orderBy("lag")) / F.sum("n").over(one)).alias("share"))
     # completeness at each age: the last share at or below it
@@ -300,6 +346,49 @@ def ml_eval(t: Tables):
     return S.auc(s, C("label"), C("p")).crossJoin(s.agg(F.avg((C("label") == C("prediction")).cast("double")).alias("accuracy")))
 
 
+@query("ml_class_report", """WITH d AS (SELECT quality AS y, CAST(n_chars >= 400 AS INTEGER) AS z FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL), c AS (SELECT c, count(*) FILTER (y = c) AS is_, count(*) FILTER (z = c) AS said, count(*) FILTER (y = c AND z = c) AS hit FROM d, (VALUES (0), (1)) v(c) GROUP BY 1),
+ m AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(is_, 0), 0) AS r FROM c)
+ SELECT round(sum(hit) / sum(is_), 8) AS accuracy, round(sum(p * is_) / sum(is_), 8) AS precision_, round(sum(r * is_) / sum(is_), 8) AS recall, round(sum(coalesce(2 * p * r / nullif(p + r, 0), 0) * is_) / sum(is_), 8) AS f1 FROM m""")
+def ml_class_report(t: Tables):
+    """A rule on length against the labels."""
+    j = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    r = S.class_report(j, C("quality"), (C("n_chars") >= 400).cast("int"))
+    return r.select(*(F.round(c, 8).alias("precision_" if c == "precision" else c) for c in r.columns))
+
+
+@query("ml_average_precision", "SELECT round(sum(p * hits / (hits + misses)) / sum(p), 8) AS average_precision FROM (SELECT p, sum(p) OVER (ORDER BY s DESC) AS hits, sum(q) OVER (ORDER BY s DESC) AS misses FROM (SELECT n_chars AS s, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS q FROM labels JOIN documents USING (doc_id) GROUP BY 1))")
+def ml_average_precision(t: Tables):
+    j = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    return S.average_precision(j, C("quality"), C("n_chars")).select(F.round("average_precision", 8).alias("average_precision"))
+
+
+@query("ml_regression_report", "SELECT round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae, round(1 - sum(e * e) / sum((y - m) * (y - m)), 7) AS r2 FROM (SELECT l_extendedprice AS y, m, l_extendedprice - (b * l_quantity + a) AS e FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_extendedprice) AS m FROM lineitem))")
+def ml_regression_report(t: Tables):
+    """RMSE, MAE and R2 of a line fitted in one pass."""
+    fit = t.lineitem.agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"), F.regr_intercept("l_extendedprice", "l_quantity").alias("a"), F.avg("l_extendedprice").alias("m"))
+    e, y = C("l_extendedprice") - (C("b") * C("l_quantity") + C("a")), C("l_extendedprice")
+    return t.lineitem.crossJoin(F.broadcast(fit)).agg(F.round(F.sqrt(F.avg(e * e)), 3).alias("rmse"), F.round(F.avg(F.abs(e)), 3).alias("mae"), F.round(1 - F.sum(e * e) / F.sum((y - C("m")) * (y - C("m"))), 7).alias("r2"))
+
+
+@query("ml_train")
+def ml_train(t: Tables):
+    """A forest and boosted trees on seven tenths of the members, judged on the others; boosted regression by its RMSE."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    d = VectorAssembler(inputCols=["chronic", "er", "admits", "balance"], outputCol="x").transform(labelled(t)).withColumn("cost", 1000.0 * C("er") + 500.0 * C("chronic"))
+    train, held = d.filter("fold < 7"), d.filter("fold >= 7")
+    out = None
+    for name, m in (("forest", RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=20, maxDepth=5, seed=1)), ("boosted", GBTClassifier(featuresCol="x", labelCol="label", maxIter=8, maxDepth=4, seed=1))):
+        s = m.fit(train).transform(held).withColumn("p", vector_to_array("probability")[1])
+        row = S.auc(s, C("label"), C("p")).crossJoin(S.class_report(s, C("label"), C("prediction").cast("int")))
+        row = row.select(F.lit(name).alias("model"), "auc", "accuracy", "f1", F.lit(None).cast("double").alias("rmse"))
+        out = row if out is None else out.unionByName(row)
+    r = GBTRegressor(featuresCol="x", labelCol="cost", maxIter=8, maxDepth=4, seed=1).fit(train).transform(held)
+    rmse = F.sqrt(F.avg((C("prediction") - C("cost")) * (C("prediction") - C("cost"))))
+    return out.unionByName(r.agg(rmse.alias("rmse")).withColumn("model", F.lit("boosted regression")), allowMissingColumns=True)
+
+
 _AUC = "SELECT {k}sum(p * (below + q / 2.0)) / (sum(p) * sum(q)) AS auc FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY {g} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT {g0} n_chars AS s, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS q FROM labels JOIN documents USING (doc_id) GROUP BY ALL))"
 
 

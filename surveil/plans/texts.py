@@ -122,15 +122,39 @@ def page_extract(t: Tables):
     return t.pages.select("page_id", F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit(r"<a [^>]*href=")).alias("links"), F.regexp_count("html", F.lit("<tr")).alias("table_rows"))
 
 
-@query("table_cells", r"SELECT DISTINCT trim(c) AS cell FROM (SELECT unnest(regexp_extract_all(html, '<(?:td|li|h[1-6])[^>]*>([^<]{1,80})<', 1)) AS c FROM pages) WHERE regexp_matches(trim(c), '^[A-Z][a-z]+')")
+def _stripped(c: str) -> str:
+    out = f"regexp_replace(regexp_replace({c}, '{X.UNSEEN}', '', 'g'), '<[^>]*>', '', 'g')"
+    for name, char in X.ENTITIES.items():
+        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({out}, '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+
+
+@query("page_text", f"SELECT page_id, length(s) AS n_chars, md5(s) AS digest FROM (SELECT page_id, {_stripped('html')} AS s FROM pages)")
+def page_text(t: Tables):
+    s = t.pages.select("page_id", X.strip_tags(C("html")).alias("s"))
+    return s.select("page_id", F.length("s").cast("long").alias("n_chars"), F.md5("s").alias("digest"))
+
+
+@query("page_links", rf"""SELECT page_id, n, regexp_extract(a, '(?i)href="([^"]*)"', 1) AS href, {_stripped('a')} AS label FROM (SELECT page_id, unnest(l) AS a, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS n FROM (SELECT page_id, regexp_extract_all(html, '(?i)(<a [^>]*href="[^"]*"[^>]*>[\s\S]*?</a>)', 1) AS l FROM pages))""")
+def page_links(t: Tables):
+    return t.pages.select("page_id", F.posexplode(X.links(C("html"))).alias("n", "x")).select("page_id", "n", "x.*")
+
+
+@query("page_tables", r"""SELECT page_id, n, CAST(len(regexp_extract_all(x, '(?i)<tr[ >]')) AS INTEGER) AS n_rows FROM (SELECT page_id, unnest(l) AS x, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS n FROM (SELECT page_id, regexp_extract_all(html, '(?i)<table(?:\s[^>]*)?>([\s\S]*?)</table>', 1) AS l FROM pages)) WHERE regexp_matches(x, '(?i)<t[dh][ >]')""")
+def page_tables(t: Tables):
+    """Tables of pages with their rows; the SQL counts rows by their opening tags, which is the same for rows with cells."""
+    return t.pages.select("page_id", F.posexplode(X.tables(C("html"))).alias("n", "x")).filter(F.size("x") > 0).select("page_id", "n", F.size("x").alias("n_rows"))
+
+
+@query("table_cells", r"SELECT DISTINCT trim(c) AS cell FROM (SELECT unnest(regexp_extract_all(html, '<(?:td|li|h[1-6])[^>]*>([^<]+)<', 1)) AS c FROM pages) WHERE regexp_matches(trim(c), '^[A-Z][a-z]+')")
 def table_cells(t: Tables):
-    cell = F.explode(F.regexp_extract_all("html", F.lit(r"<(?:td|li|h[1-6])[^>]*>([^<]{1,80})<"), 1))
+    cell = F.explode(F.regexp_extract_all("html", F.lit(r"<(?:td|li|h[1-6])[^>]*>([^<]+)<"), 1))
     return t.pages.select(cell.alias("c")).select(F.trim("c").alias("cell")).filter(C("cell").rlike("^[A-Z][a-z]+")).distinct()
 
 
-@query("text_normalise", r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS digest FROM documents")
+@query("text_normalise", r"SELECT doc_id, md5(trim(regexp_replace(nfc_normalize(text), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS digest FROM documents")
 def text_normalise(t: Tables):
-    return t.documents.select("doc_id", F.md5(X.squeeze(C("text"))).alias("digest"))
+    return t.documents.select("doc_id", F.md5(X.squeeze(X.nfc(C("text")))).alias("digest"))
 
 
 # ---------------------------------------------------------------- retrieval

@@ -137,6 +137,15 @@ def win_readmit(t: Tables):
     return t.orders.select("o_orderkey", F.coalesce(F.datediff(C("o_orderdate").cast("date"), p) <= 30, F.lit(False)).alias("readmit"))
 
 
+@query("readmit_flags", "SELECT o_orderkey, coalesce(g <= 30, false) AS readmit, coalesce(g <= 30, false) AND o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AS preventable FROM (SELECT *, date_diff('day', CAST(lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS DATE), CAST(o_orderdate AS DATE)) AS g FROM orders)")
+def readmit_flags(t: Tables):
+    """Within 30 days of the one before; preventable if also of a related cause and kind."""
+    before = F.lag("o_orderdate").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("date")
+    again = F.coalesce(F.datediff(C("o_orderdate").cast("date"), before) <= 30, F.lit(False))
+    d = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", again.alias("readmit"))
+    return d.select("o_orderkey", "readmit", (C("readmit") & (C("o_orderstatus") == "F") & C("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("preventable"))
+
+
 @query("win_anchor_group", """WITH RECURSIVE e AS (SELECT user_id, d, CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS BIGINT) AS r FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'error')),
  g AS (SELECT user_id, d, r, d AS anchor FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.d, e.r, CASE WHEN date_diff('day', g.anchor, e.d) <= 7 THEN g.anchor ELSE e.d END FROM g JOIN e ON e.user_id = g.user_id AND e.r = g.r + 1) SELECT user_id, d, anchor FROM g""")
 def win_anchor_group(t: Tables):

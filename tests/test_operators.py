@@ -105,6 +105,48 @@ def test_p_values():
     assert abs(S.f_p_value(4.0, 2, 12) - 0.046656) < 1e-5
 
 
+def test_p_values_of_known_cases():
+    assert abs(S.chi2_p_value(3.841458820694124, 1) - 0.05) < 1e-9
+    assert abs(S.chi2_p_value(7.814727903251179, 3) - 0.05) < 1e-9
+    assert abs(S.chi2_p_value(9.487729036781154, 4) - 0.05) < 1e-9
+    assert S.chi2_p_value(0.0, 1) == S.chi2_p_value(0.0, 4) == 1
+    assert abs(S.t_interval(10) - 2.2281388519649385) < 1e-8
+
+
+def test_totals_below_with_one_key_for_all(spark):
+    rows = [(None if k % 5 == 0 else 0, k, k * k) for k in range(400)] + [(7, 3, 1)]
+    df = spark.createDataFrame(rows, "g int, o int, v long")
+    got = {(r.g, r.o): r.below_v for r in O.totals_below(df, ["g"], "o", ["v"]).collect()}
+    assert got == {(g, o): sum(v for h, p, v in rows if h == g and p < o) for g, o, _ in rows}
+    assert sorted(r.below_v for r in O.totals_below(df.filter("g = 0"), [], "o", ["v"]).collect()) == sorted(v for (g, _), v in got.items() if g == 0)
+    assert O.totals_below(df.filter("false"), [], "o", ["v"]).count() == 0
+
+
+def test_reports_of_models(spark):
+    rows = [(1, 1, 0.9), (1, 0, 0.8), (0, 0, 0.7), (0, 1, 0.9), (1, 1, 0.95), (0, 0, 0.1)]
+    df = spark.createDataFrame(rows, "y int, z int, s double")
+    r = S.class_report(df, C("y"), C("z")).first()
+    assert (round(r.accuracy, 6), round(r.precision, 6), round(r.recall, 6), round(r.f1, 6)) == (0.666667, 0.666667, 0.666667, 0.666667)
+    assert abs(S.average_precision(df, C("y"), C("s")).first()[0] - (1 + 2 / 3 + 3 / 4) / 3) < 1e-12
+    pairs = [(a, b) for y, _, a in rows if y for z, _, b in rows if not z]
+    assert abs(S.auc(df, C("y"), C("s")).first().auc - sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs)) < 1e-12
+
+
+def test_pages(spark):
+    html = "<p>A &amp; B</p><script>no()</script><!-- no --><table><tr><th>x</th></tr><tr></tr><tr><td> 1 </td><td><b>2</b></td></tr></table><a class='k' href=\"/u\"><i>go</i> on</a><table></table>"
+    r = one(spark, *(f(F.lit(html)).alias(n) for n, f in (("text", TX.strip_tags), ("links", TX.links), ("tables", TX.tables))), TX.strip_tags(F.lit(None).cast("string")).alias("none"), TX.nfc(F.lit("e\u0301")).alias("nfc"))
+    assert r.text == "A & Bx 1 2go on" and [tuple(x) for x in r.links] == [("/u", "go on")] and r.none is None
+    assert r.tables == [[["x"], ["1", "2"]], []] and r.nfc == "\u00e9"
+
+
+def test_jdbc_in_ranges(spark):
+    url = "jdbc:derby:memory:surveil;create=true"
+    spark.range(100).selectExpr("id AS K", "id * 2 AS V").write.jdbc(url, "T", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    df = I.read_jdbc(spark, url, "T", "K", (0, 100), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert df.rdd.getNumPartitions() == 4 and df.agg(F.sum("V")).first()[0] == 9900
+    assert I.read_jdbc(spark, url, "(SELECT K FROM T WHERE K < 7) q", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").count() == 7
+
+
 def test_density_clusters(spark):
     pts = [(k, 30 + 0.1 * (k % 5), -90 + 0.1 * (k // 5)) for k in range(20)] + [(100 + k, 40.0 + 0.05 * k, -80.0) for k in range(5)] + [(200, 10.0, 10.0)]
     got = {r.id: r.cluster for r in S.density_clusters(spark.createDataFrame(pts, "id long, la double, lo double"), "id", "la", "lo", 20.0, 3).collect()}
