@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import clinical as X
@@ -104,7 +105,12 @@ def snk_tier_export(t: Tables):
 
 @query("event_log", "SELECT sha256(CAST(event_id AS VARCHAR) || '_salt') AS hashed_id, 'ERROR' AS severity, 'value above 90' AS message FROM events WHERE value > 90")
 def event_log(t: Tables):
-    return t.events.filter("value > 90").select(X.salted_hash(C("event_id")).alias("hashed_id"), F.lit("ERROR").alias("severity"), F.lit("value above 90").alias("message"))
+    """Rows of a check are appended to the log; the log is what is read."""
+    path = f"{scratch(t)}/log"
+    for low, high in ((90, 95), (95, None)):
+        found = t.events.filter((C("value") > low) & (C("value") <= high if high else F.lit(True)))
+        I.write(found.select(X.salted_hash(C("event_id")).alias("hashed_id"), F.lit("ERROR").alias("severity"), F.lit("value above 90").alias("message")), path, mode="append")
+    return t.spark.read.parquet(path)
 
 
 _UP = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer"
@@ -145,6 +151,24 @@ def batch_checkpoint(t: Tables):
     return K.load_in_batches(t.spark, d, "o_orderkey", path, 4).select("o_orderkey", "o_custkey")  # resumes: nothing is left to do
 
 
+@query("batch_log", "SELECT CAST(b AS INTEGER) AS batch, status, CASE WHEN status = 'done' THEN true ELSE false END AS has_rows, count(*) AS attempts FROM (VALUES (0, 'done'), (1, 'done'), (2, 'failed'), (2, 'done'), (3, 'done')) v(b, status), (SELECT count(*) AS n FROM orders) WHERE n > 0 GROUP BY 1, 2, 3")
+def batch_log(t: Tables):
+    """A load whose third batch fails at first: the others go on, and a second call takes it up."""
+    path = f"{scratch(t)}/batches"
+    d = t.orders.select("o_orderkey", "o_custkey")
+    K.load_in_batches(t.spark, d, "o_orderkey", path, 4, lambda part, b: part.filter(F.raise_error(F.lit("no")).cast("boolean")) if b == 2 else part)
+    K.load_in_batches(t.spark, d, "o_orderkey", path, 4)
+    return K.batch_log(t.spark, path).groupBy("batch", "status", C("n_rows").isNotNull().alias("has_rows")).agg(F.count("*").alias("attempts"))
+
+
+@query("cache_hot", "SELECT 'status' AS kind, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def cache_hot(t: Tables):
+    """A table that several reports read is held in memory, or on disk where memory is short."""
+    hot = t.orders.select("o_orderstatus", "o_orderpriority").persist(StorageLevel.MEMORY_AND_DISK)
+    one = lambda kind, c: hot.groupBy(C(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    return one("status", "o_orderstatus").unionByName(one("priority", "o_orderpriority"))
+
+
 @query("split_valid", "SELECT event_id, CASE WHEN value < 5 AND event_type = 'error' THEN 'low,kind' WHEN value < 5 THEN 'low' ELSE 'kind' END AS reason FROM events WHERE value < 5 OR event_type = 'error'")
 def split_valid(t: Tables):
     _, bad = K.split_valid(t.events.select("event_id", "value", "event_type"), {"low": C("value") >= 5, "kind": C("event_type") != "error"})
@@ -257,13 +281,15 @@ def str_alerts(t: Tables):
 @query("str_freshness", "SELECT event_type, date_diff('minute', max(ts), TIMESTAMP '2024-01-31') > 15 AS stale FROM events GROUP BY 1")
 def str_freshness(t: Tables):
     age = (F.unix_timestamp(F.lit("2024-01-31").cast("timestamp")) - F.unix_timestamp(F.max("ts").cast("timestamp"))) / 60
-    return t.events.groupBy("event_type").agg((age > 15).alias("stale"))
+    src, out = _event_files(t), scratch(t)
+    return S.newest_result(S.files(t.spark, src, _SCHEMA, per_batch=2).groupBy("event_type").agg((age > 15).alias("stale")), f"{out}/data", f"{out}/checkpoint")
 
 
 @query("str_windowed", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def str_windowed(t: Tables):
-    d = t.events.withColumn("ts", C("ts").cast("timestamp"))
-    return S.tumbling(d, "ts", ["event_type"], "1 day").select("start", "event_type", "n")
+    src, out = _event_files(t), scratch(t)
+    d = S.tumbling(S.files(t.spark, src, _SCHEMA, per_batch=2), "ts", ["event_type"], "1 day").select("start", "event_type", "n")
+    return S.newest_result(d, f"{out}/data", f"{out}/checkpoint")
 
 
 @query("str_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")

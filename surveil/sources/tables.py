@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of source replace those of target with equal keys; others are kept. Source must have one row per key."""
+    """Rows of source replace those of target with equal keys; others are kept. A key that source repeats is an error when the result is computed."""
     cols = target.columns
-    return target.join(source.select(*keys), keys, "left_anti").select(cols).unionByName(source.select(cols))
+    once = source.select(cols).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    once = once.filter(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"the source repeats a key of {keys}")).cast("boolean")).otherwise(True)).drop("_n")
+    return target.join(source.select(*keys), keys, "left_anti").select(cols).unionByName(once)
 
 
 def delete_keys(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,14 +50,40 @@ def split_valid(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, Dat
     return tagged.filter(F.size("_broken") == 0).drop("_broken"), tagged.filter(F.size("_broken") > 0).withColumn("reason", F.array_join("_broken", ",")).drop("_broken")
 
 
-def load_in_batches(spark: SparkSession, source: DataFrame, key: str, path: str, batches: int) -> DataFrame:
-    """Write source in batches by a hash of the key, each a folder of its own. A batch with a success file is skipped, so a failed load resumes."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for b in range(batches):
+def load_in_batches(spark: SparkSession, source: DataFrame, key: str, path: str, batches: int, work: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """Write source in batches by a hash of the key, each a folder of its own; work(batch, number) makes what is written.
+
+    The source is read once, into a folder with a part for each batch beside the path, which goes when all batches are through. A batch that fails is
+    logged with its error, keeps its part there and holds none of the others up; the next call takes up what has no success file yet. batch_log reads the log.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    staged = f"{path}-staged"
+    todo = [b for b in range(batches) if not fs.exists(hadoop(f"{path}/batch={b}/_SUCCESS"))]
+    if todo and not fs.exists(hadoop(f"{staged}/_SUCCESS")):
+        source.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(batches)).cast("int")).write.mode("overwrite").partitionBy("_batch").parquet(staged)
+    failed = 0
+    for b in todo:
         folder = f"{path}/batch={b}"
-        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")):
-            source.filter(F.pmod(F.xxhash64(key), F.lit(batches)) == b).write.mode("overwrite").parquet(folder)
-    return spark.read.option("basePath", path).parquet(path)
+        part = spark.read.schema(source.select("*", F.lit(b).alias("_batch")).schema).parquet(staged).filter(F.col("_batch") == b).drop("_batch")
+        try:
+            (work(part, b) if work else part).write.mode("overwrite").parquet(folder)
+            row = (b, "done", spark.read.parquet(folder).count(), None)
+        except Exception as e:  # whatever a batch's own work raises
+            failed += 1
+            row = (b, "failed", None, str(e)[:1000])
+        spark.createDataFrame([row], _LOG).coalesce(1).write.mode("append").parquet(f"{path}-log")
+    if todo and not failed:
+        fs.delete(hadoop(staged), True)
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in range(batches) if fs.exists(hadoop(f"{path}/batch={b}/_SUCCESS"))]) if failed < batches else source.limit(0).withColumn("batch", F.lit(0))
+
+
+_LOG = "batch int, status string, n_rows long, error string"
+
+
+def batch_log(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each attempt at a batch of load_in_batches."""
+    return spark.read.schema(_LOG).parquet(f"{path}-log")
 
 
 def save_version(df: DataFrame, path: str, version: int) -> None:

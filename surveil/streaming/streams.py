@@ -35,6 +35,19 @@ def batches(df: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: s
     return q
 
 
+def newest_result(df: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """The result of a streaming aggregate after all that is there: each batch writes it whole, under the batch's number."""
+    done: list[int] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        done.append(number)
+
+    q = df.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.parquet(f"{out}/{done[-1]}")
+
+
 def from_json_events(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
     """Permissive: a text that is no such object gives null fields, and is kept."""
     return raw.select(F.from_json(F.col(column).cast("string"), schema, {"mode": "PERMISSIVE"}).alias("e"), F.col(column).alias("raw")).select("e.*", "raw")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from surveil.functions import clinical as X
@@ -174,6 +175,29 @@ def test_batches_resume(spark, tmp_path):
     assert ok.count() == 5 and bad.filter("reason = 'even,null'").count() == 45
 
 
+def test_failed_batch_is_kept_and_taken_up(spark, tmp_path):
+    path = f"{tmp_path}/b"
+
+    def work(part, b):
+        return part.filter(F.raise_error(F.lit("broken")).cast("boolean")) if b == 1 else part
+
+    d = spark.range(100)
+    some = B.load_in_batches(spark, d, "id", path, 3, work)
+    n = some.count()
+    assert 0 < n < 100 and not some.filter("batch = 1").count()
+    assert B.load_in_batches(spark, d.limit(0), "id", path, 3).count() == 100  # from what was kept
+    log = sorted((r.batch, r.status, r.n_rows) for r in B.batch_log(spark, path).select("batch", "status", F.coalesce("n_rows", F.lit(-1)).alias("n_rows")).collect())
+    assert [x[:2] for x in log] == [(0, "done"), (1, "done"), (1, "failed"), (2, "done")] and sum(max(x[2], 0) for x in log) == 100
+    assert "broken" in B.batch_log(spark, path).filter("status = 'failed'").first().error
+
+
+def test_upsert_rejects_repeated_keys(spark):
+    target = spark.createDataFrame([(1, 1), (2, 2)], "k int, v int")
+    with pytest.raises(Exception, match="repeats a key"):
+        B.upsert(target, spark.createDataFrame([(1, 3), (1, 4)], "k int, v int"), ["k"]).collect()
+    assert B.upsert(target, target.filter("false"), ["k"]).count() == 2
+
+
 def test_readers(spark, tmp_path):
     d = spark.createDataFrame([(1, 'a "quoted"\nline, é'), (2, None)], "id int, t string")
     I.write(d, f"{tmp_path}/x.json", "json")
