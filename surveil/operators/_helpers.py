@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """df in memory, or on disk where memory is short, while it is used; then it is let go."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()

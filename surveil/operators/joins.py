@@ -25,8 +25,8 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, ri
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int) -> DataFrame:
-    """An inner join in which each key of left is spread over so many tasks; right is repeated as often."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    """An inner join in which each key of left is spread over so many tasks, equal rows too; right is repeated as often."""
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(salts)))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return a.join(b, [key, "_salt"]).drop("_salt")
 
@@ -48,6 +48,74 @@ def newest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Similarity 0..100 of two names, whatever the order of their words."""
-    x, y = (F.array_join(F.array_sort(F.split(F.lower(F.trim(c)), r"\s+")), " ") for c in (a, b))
+    x, y = _sorted_words(a), _sorted_words(b)
     size = F.greatest(F.length(x), F.length(y), F.lit(1))
     return 100.0 * (1 - F.levenshtein(x, y) / size)
+
+
+# ---------------------------------------------------------------- similar names
+
+_SLOTS = 4096
+
+
+def _sorted_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(F.lower(F.trim(c)), r"\s+")), " ")
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, off: float, q: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides, each row once for each length that the other name may have and each of its rare runs of q letters; pairs meet by keys, lengths and run."""
+
+    def worded(df: DataFrame, name: str) -> DataFrame:
+        x = F.concat(F.lit("\u0001" * (q - 1)), _sorted_words(F.col(name)))
+        size = F.length(x) - (q - 1)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(x, i, F.lit(q)))
+        return df.filter(F.col(name).isNotNull()).select("*", _sorted_words(F.col(name)).alias("_x"), size.alias("_size"), runs.alias("_runs"))
+
+    a, b = worded(left, left_name), worded(right, right_name)
+    slot = lambda g: F.pmod(F.xxhash64(g), F.lit(_SLOTS)).cast("int")
+    found = {r.s: r.n for r in a.select("_runs").unionByName(b.select("_runs")).select(F.explode("_runs").alias("g")).groupBy(slot(F.col("g")).alias("s")).agg(F.count("*").alias("n")).collect()}
+    sizes = sorted({r[0] for d in (a, b) for r in d.select("_size").distinct().collect()})
+    common = F.broadcast(left.sparkSession.createDataFrame([([found.get(k, 0) for k in range(_SLOTS)], sizes)], "_often array<long>, _sizes array<int>"))
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        tokens = F.array_sort(F.transform("_runs", lambda g: F.struct(F.element_at("_often", slot(g) + 1).alias("n"), g.alias("g"))))
+        longer = lambda p: F.greatest(p, F.col("_size"))
+        others = F.filter("_sizes", lambda p: F.abs(p - F.col("_size")) <= F.floor(longer(p) * off + 1e-9))
+        d = df.crossJoin(common).withColumn("_tokens", F.transform(tokens, lambda x: x["g"])).withColumn("_other", F.explode(others))  # common is one row
+        edits = F.floor(longer(F.col("_other")) * off + 1e-9).cast("int")
+        # where edits can touch every run, all names of these lengths meet
+        rare = F.when(q * F.col("_edits") < longer(F.col("_other")), F.array_distinct(F.slice("_tokens", F.lit(1), q * F.col("_edits") + 1))).otherwise(F.array(F.lit("")))
+        d = d.withColumn("_edits", edits).withColumn("_rare", rare).withColumn("_g", F.explode("_rare"))
+        mine, other = ("_size", "_other") if side == "a" else ("_other", "_size")
+        keep = [F.col(c) for c in df.columns if c not in ("_x", "_size", "_runs")]
+        extra = [F.col("_x").alias("_x" if side == "a" else "_y"), F.col("_rare").alias(f"_rare_{side}")]
+        return d.select(*keep, *extra, F.col(mine).alias("_size_a"), F.col(other).alias("_size_b"), "_g", *(["_edits"] if side == "a" else []))
+
+    return dealt(a, "a"), dealt(b, "b")
+
+
+def similar_candidates(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, least: float = 85.0, only: str = "true") -> DataFrame:
+    """Pairs of equal keys, for which `only` holds, whose names can agree by `least` of 100; none that do is missing. A pair may come more than once.
+
+    Names that are t edits apart at most share one of their q * t + 1 rarest runs of q letters, and t follows from their lengths. So rows meet by
+    lengths and rare runs, not by key alone. Runs of two or of three letters, whichever make fewer rows meet. Adds _x, _y (sorted words), _edits (t)
+    and the run they met by. Rarity is counted in slots by a hash of the run: 4096 numbers and the lengths go through the driver, whatever the names.
+    """
+    by = [*keys, "_size_a", "_size_b", "_g"]
+    best, fewest = None, None
+    for q in (2, 3):
+        a, b = _met(left, right, keys, left_name, right_name, 1 - least / 100, q)
+        counts = [d.groupBy(*by).agg(F.count("*").alias(n)) for d, n in ((a, "_na"), (b, "_nb"))]
+        n = counts[0].join(counts[1], by).agg(F.coalesce(F.sum(F.col("_na") * F.col("_nb")), F.lit(0))).first()[0]
+        if fewest is None or n < fewest:
+            best, fewest = (a, b), n
+    return best[0].join(best[1], by).filter(only).drop("_size_a", "_size_b")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, least: float = 85.0, only: str = "true") -> DataFrame:
+    """Pairs of equal keys, for which `only` holds, whose names agree by `least` of 100 (token_sort_ratio), with that score. Null names agree with none."""
+    d = similar_candidates(left, right, keys, left_name, right_name, least, only)
+    d = d.filter(F.expr("levenshtein(_x, _y, _edits) >= 0")).filter(F.element_at(F.array_intersect("_rare_a", "_rare_b"), 1) == F.col("_g"))  # the distance, then each pair once
+    edits = F.levenshtein("_x", "_y")
+    size = F.greatest(F.length("_x"), F.length("_y"), F.lit(1))
+    return d.withColumn("score", 100.0 * (1 - edits / size)).filter(F.col("score") >= least).drop("_x", "_y", "_edits", "_g", "_rare_a", "_rare_b")

@@ -169,20 +169,163 @@ def rogan_gladen(positive: Column, n: Column, sensitivity: float, specificity: f
     return F.least(F.greatest((positive / n + specificity - 1) / (sensitivity + specificity - 1), F.lit(0.0)), F.lit(1.0))
 
 
+# ---------------------------------------------------------------- interrupted series
+
+
+def _segments(d: DataFrame, time: str, y: str, at: float) -> DataFrame:
+    """d with its two lines (before `at`, and from then on), what each says of the row, and the error."""
+    t = F.col(time)
+    half = [F.when(t < at, F.col(y)), F.when(t >= at, F.col(y))]
+    of = {"b": F.regr_slope, "a": F.regr_intercept, "n": F.regr_count, "m": F.regr_avgx, "s": F.regr_sxx}
+    lines = d.agg(*(f(half[k], t).alias(f"_{c}{k}") for k in (0, 1) for c, f in of.items()))
+    line = [F.col(f"_a{k}") + F.col(f"_b{k}") * t for k in (0, 1)]
+    fitted = F.when(t < at, line[0]).otherwise(line[1])
+    return d.crossJoin(F.broadcast(lines)).withColumn("_without", line[0]).withColumn("_fitted", fitted).withColumn("_e", F.col(y) - fitted)
+
+
+def counterfactual(d: DataFrame, time: str, y: str, at: float) -> DataFrame:
+    """Each row with what the two lines say, and what the first one says as if nothing had happened, with the difference of both (0 before)."""
+    effect = F.when(F.col(time) >= at, F.col("_fitted") - F.col("_without")).otherwise(0.0)
+    return _segments(d, time, y, at).select(*d.columns, F.col("_fitted").alias("fitted"), F.col("_without").alias("counterfactual"), effect.alias("effect"))
+
+
+def interrupted(d: DataFrame, time: str, y: str, at: float, lags: int) -> DataFrame:
+    """One row: level and slope before, their changes at `at`, each with an error that allows for autocorrelation up to `lags` rows, and Durbin-Watson.
+
+    y = intercept + slope * time + level_change * (time >= at) + slope_change * (time - at if time >= at). Errors are Newey-West's: products of
+    each row's pull on a coefficient with those of the rows before, weighted by 1 - lag / (lags + 1). d has one row for each time, such as a day.
+    """
+    t = F.col(time)
+    before = t < at
+    pull = lambda k: (t - F.col(f"_m{k}")) / F.col(f"_s{k}")
+    stand = lambda k: 1 / F.col(f"_n{k}") + (at - F.col(f"_m{k}")) * pull(k)  # noqa: E731  of line k at `at`
+    pulls = {
+        "intercept": F.when(before, 1 / F.col("_n0") - F.col("_m0") * pull(0)).otherwise(0.0),
+        "slope": F.when(before, pull(0)).otherwise(0.0),
+        "level_change": F.when(before, -stand(0)).otherwise(stand(1)),
+        "slope_change": F.when(before, -pull(0)).otherwise(pull(1)),
+    }
+    order = Window.partitionBy(F.lit(0)).orderBy(time)  # one row for each time
+    d = _segments(d, time, y, at).withColumns({f"_g_{c}": p * F.col("_e") for c, p in pulls.items()})
+    d = d.withColumns({f"_p_{c}": F.col(f"_g_{c}") * F.col(f"_g_{c}") + sum((2 * (1 - k / (lags + 1)) * F.col(f"_g_{c}") * F.coalesce(F.lag(f"_g_{c}", k).over(order), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0)) for c in pulls})
+    d = d.withColumn("_gap", F.col("_e") - F.lag("_e").over(order))
+    first = lambda c: F.first(c)
+    value = {"intercept": first("_a0"), "slope": first("_b0"), "level_change": first(F.col("_a1") + F.col("_b1") * at - F.col("_a0") - F.col("_b0") * at), "slope_change": first(F.col("_b1") - F.col("_b0"))}
+    errors = [F.sqrt(F.greatest(F.sum(f"_p_{c}"), F.lit(0.0))).alias(f"{c}_se") for c in pulls]
+    return d.agg(F.count("*").alias("days"), *(v.alias(c) for c, v in value.items()), *errors, (F.sum(F.col("_gap") * F.col("_gap")) / F.sum(F.col("_e") * F.col("_e"))).alias("durbin_watson"))
+
+
+# ---------------------------------------------------------------- counts that are not all reported yet
+
+
+def negative_binomial_quantile(q: float, mean: float, variance: float) -> int:
+    """The least count up to which a negative binomial of that mean and variance has the share q. No more than the mean varies: as Poisson."""
+    if mean <= 0:
+        return 0
+    size = mean * mean / max(variance - mean, 1e-7 * mean)
+    share = size / (size + mean)
+    upto = lambda x: beta_tail(share, size, x + 1.0)
+    high = 1
+    while upto(high) < q:
+        high *= 2
+    low = -1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if upto(mid) >= q else (mid, high)
+    return high
+
+
+def nowcast(cells: DataFrame, as_of: str, level: float = 0.95, least: float = 0.01) -> DataFrame:
+    """cells: d, lag (days), n (reports of day d that came after so many days). For each day: seen, share (of its reports that are in by as_of),
+    corrected, phi, low and high.
+
+    The shares are those of all reports by lag. What is missing of a day is negative binomial with mean seen * (1 - share) / share and variance
+    phi * mean / share, where phi (1 at least) is how much more the cells vary than the shares say: Pearson's sum over all cells, empty ones too.
+    """
+    from .joins import asof_join
+
+    one = Window.partitionBy(F.lit(0)).orderBy("lag")  # one row for each lag in days
+    by_lag = cells.groupBy("lag").agg(F.sum("n").alias("_n"))
+    curve = cut(by_lag.select("lag", F.sum("_n").over(one).alias("_upto"), "_n", F.row_number().over(one).alias("_rank"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all")).select("lag", (F.col("_upto") / F.col("_all")).alias("share"), (F.col("_n") / F.col("_all")).alias("_part"), "_rank", F.lit(0).alias("_one")))
+    seen = cells.groupBy("d").agg(F.sum("n").alias("seen")).withColumn("_age", F.datediff(F.lit(as_of).cast("date"), F.col("d"))).withColumn("_one", F.lit(0))
+    at = cut(asof_join(seen, curve, ["_one"], "_age", "lag", ["share", "_rank"]).filter("share is not null").withColumn("corrected", F.col("seen") / F.greatest("share", F.lit(least))))
+    expected = F.col("corrected") * F.col("_part")
+    fit = cells.join(at.select("d", "corrected", "_age"), "d").filter("lag <= _age").join(F.broadcast(curve.select("lag", "_part")), "lag")
+    sums = fit.agg(F.sum(F.col("n") * F.col("n") / expected).alias("_s"), F.sum("n").alias("_t")).crossJoin(at.agg(F.sum("_rank").alias("_cells"), F.count("*").alias("_days"))).crossJoin(curve.agg(F.count("*").alias("_lags")))
+    free = F.greatest(F.col("_cells") - F.col("_days") - F.col("_lags") + 1, F.lit(1))
+    phi = sums.select(F.greatest((F.col("_s") - F.col("_t")) / free, F.lit(1.0)).alias("phi"))
+    d = at.crossJoin(F.broadcast(phi))
+    share = F.greatest("share", F.lit(least))
+    mean = F.col("seen") * (1 - share) / share
+    reach = F.udf(lambda m, v: None if m is None else (negative_binomial_quantile((1 - level) / 2, m, v), negative_binomial_quantile((1 + level) / 2, m, v)), "struct<low:long,high:long>")  # one row for each day
+    d = d.withColumn("_r", reach(mean, F.col("phi") * mean / share))
+    return d.select("d", "seen", "share", "corrected", "phi", (F.col("seen") + F.col("_r.low")).alias("low"), (F.col("seen") + F.col("_r.high")).alias("high"))
+
+
+# ---------------------------------------------------------------- clusters by density
+
+_KM = math.pi * 6371.0 / 180  # of a degree of latitude
+
+
 def density_clusters(points: DataFrame, key: str, lat: str, lon: str, radius_km: float, min_points: int) -> DataFrame:
-    """Clusters by density: (key, cluster) of core points and of their neighbours. Cells of one radius limit the pairs."""
+    """Clusters by density: (key, cluster) of core points and of their neighbours; the cluster is its least core key, a neighbour's the least around.
+
+    Cells are so small that all points of a cell are neighbours: a cell of min_points is core without a comparison, and the core points of a cell are
+    one cluster. Only points of other cells are compared, with the cells around. Two core cells are told to be near, or not, by the boxes around their
+    points, cut into 8 by 8; only boxes that leave it open are looked into. Distances across the 180th meridian are not seen.
+    """
     from ..functions.clinical import haversine_km
 
-    step = radius_km / 111.0
-    i, j = F.floor(F.col(lat) / step), F.floor(F.col(lon) / (2 * step))
-    p = points.select(F.col(key).alias("id"), F.col(lat).alias("la"), F.col(lon).alias("lo"), i.alias("i"), j.alias("j"))
-    cells = F.explode(F.array(*(F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    q = p.select("id", "la", "lo", cells.alias("c")).select(F.col("id").alias("u"), F.col("la").alias("la1"), F.col("lo").alias("lo1"), "c.*")
-    near = cut(q.join(p, ["i", "j"]).filter(haversine_km(F.col("la1"), F.col("lo1"), F.col("la"), F.col("lo")) <= radius_km).select("u", F.col("id").alias("v")))
-    core = near.groupBy("u").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select("u")
-    links = cut(near.join(core, "u"))  # each from a core point
-    inner = links.join(core.withColumnRenamed("u", "v"), "v").select("u", "v")
-    label = cut(core.select(F.col("u").alias("id"), F.col("u").alias("cluster")))
+    h = radius_km / 2 / _KM
+    edge = lambda i, far: F.radians(F.least(F.greatest(F.abs(i * h), F.abs((i + 1) * h)) if far else F.when((i >= 0) | (i + 1 <= -0), F.least(F.abs(i * h), F.abs((i + 1) * h))).otherwise(0.0), F.lit(90.0)))
+    width = lambda i: F.least(h / F.greatest(F.cos(edge(i, False)), F.lit(1e-9)), F.lit(360.0))
+    row = F.floor(F.col(lat) / h)
+    p = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("id"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo"), row.alias("i"))
+    p = cut(p.withColumn("j", F.floor(F.col("lo") / width(F.col("i")))))
+    cells = cut(p.groupBy("i", "j").agg(F.count("*").alias("n")))
+
+    # cells within reach of each cell: three rows up and down, and so many columns as the radius spans there
+    r = cells.select("i", "j", F.explode(F.array(*(F.col("i") + k for k in range(-3, 4)))).alias("i2"))
+    cos = F.greatest(F.least(F.cos(edge(F.col("i"), True)), F.cos(edge(F.col("i2"), True))), F.lit(1e-9))
+    span = F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(radius_km / 2 / 6371.0) / cos))) + 1e-9
+    west, east = F.col("j") * width(F.col("i")) - span, (F.col("j") + 1) * width(F.col("i")) + span
+    reach = r.withColumn("j2", F.explode(F.sequence(F.floor(west / width(F.col("i2"))), F.floor(east / width(F.col("i2"))))))
+    around = cut(reach.join(cells.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("n").alias("n2")), ["i2", "j2"]))
+
+    # points of cells that are not full, against the cells around
+    few = p.join(cells.filter(F.col("n") < min_points), ["i", "j"])
+    other = p.select(F.col("id").alias("id2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), F.col("i").alias("i2"), F.col("j").alias("j2"))
+    near = haversine_km(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= radius_km
+    lone = few.join(around.drop("n2"), ["i", "j"]).join(other, ["i2", "j2"]).filter(near).groupBy("id").agg(F.count("*").alias("m")).filter(F.col("m") >= min_points).select("id")
+    full = p.join(cells.filter(F.col("n") >= min_points).select("i", "j"), ["i", "j"]).select("id", "la", "lo", "i", "j")
+    core = cut(full.unionByName(p.join(lone, "id").select("id", "la", "lo", "i", "j")))
+
+    # boxes of core points; which pairs of cells they show to be near
+    sub = core.withColumn("s", (F.floor((F.col("la") / h - F.col("i")) * 8) * 8 + F.floor((F.col("lo") / width(F.col("i")) - F.col("j")) * 8)).cast("int"))
+    box = sub.groupBy("i", "j", "s").agg(*(f(c).alias(f"{c}_{n}") for c in ("la", "lo") for n, f in (("lo", F.min), ("hi", F.max))))
+    node = core.groupBy("i", "j").agg(F.min("id").alias("least"))
+    sides = [box.select(*(F.col(c).alias(f"{c}{k}") for c in box.columns)) for k in ("", "_b")]
+    pairs = around.select("i", "j", F.col("i2").alias("i_b"), F.col("j2").alias("j_b")).filter("i < i_b or (i = i_b and j < j_b)")
+    both = pairs.join(sides[0], ["i", "j"]).join(sides[1], ["i_b", "j_b"])
+    far = lambda c: F.greatest(F.col(f"{c}_hi") - F.col(f"{c}_lo_b"), F.col(f"{c}_hi_b") - F.col(f"{c}_lo"))
+    gap = lambda c: F.greatest(F.col(f"{c}_lo") - F.col(f"{c}_hi_b"), F.col(f"{c}_lo_b") - F.col(f"{c}_hi"), F.lit(0.0))
+    flat = [F.when(F.col(f"la_lo{k}") * F.col(f"la_hi{k}") <= 0, 0.0).otherwise(F.least(F.abs(f"la_lo{k}"), F.abs(f"la_hi{k}"))) for k in ("", "_b")]
+    steep = [F.greatest(F.abs(f"la_lo{k}"), F.abs(f"la_hi{k}")) for k in ("", "_b")]
+    sin2 = lambda x: F.pow(F.sin(F.radians(x) / 2), 2)
+    span2 = lambda la, lo, at: 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), sin2(la) + F.cos(F.radians(at[0])) * F.cos(F.radians(at[1])) * sin2(lo))))
+    most, least = span2(far("la"), far("lo"), flat), span2(gap("la"), gap("lo"), steep)
+    told = cut(both.select("i", "j", "i_b", "j_b", "s", "s_b", (most <= radius_km).alias("near"), (least > radius_km + 1e-9).alias("apart")))
+    joined = told.filter("near").select("i", "j", "i_b", "j_b").distinct()
+    open_ = told.filter("not near and not apart").join(joined, ["i", "j", "i_b", "j_b"], "left_anti")
+    # places instead of points: repeated ones are looked at once
+    place = sub.select("i", "j", "s", "la", "lo").distinct()
+    inside = open_.join(place, ["i", "j", "s"]).join(place.select(*(F.col(c).alias(f"{c}2" if c in ("la", "lo") else f"{c}_b") for c in place.columns)), ["i_b", "j_b", "s_b"])
+    edges = cut(joined.unionByName(inside.filter(near).select("i", "j", "i_b", "j_b").distinct()))
+
+    names = node.select("i", "j", F.col("least").alias("u"))
+    e = edges.join(names, ["i", "j"]).join(names.select(F.col("i").alias("i_b"), F.col("j").alias("j_b"), F.col("u").alias("v")), ["i_b", "j_b"]).select("u", "v")
+    inner = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(names.select("u", F.col("u").alias("v"))))
+    label = cut(names.select(F.col("u").alias("id"), F.col("u").alias("cluster")))
     while True:  # each round takes the least label around, and the label of that label
         low = inner.join(label, F.col("v") == F.col("id")).groupBy("u").agg(F.min("cluster").alias("low"))
         jump = label.withColumnRenamed("cluster", "up").withColumnRenamed("id", "low")
@@ -191,4 +334,9 @@ def density_clusters(points: DataFrame, key: str, lat: str, lon: str, radius_km:
         label = new
         if not moved:
             break
-    return links.join(label, F.col("u") == F.col("id")).groupBy(F.col("v").alias(key)).agg(F.min("cluster").alias("cluster"))
+    cell_label = names.join(label, F.col("u") == F.col("id")).select("i", "j", "cluster")
+    mine = core.join(cell_label, ["i", "j"]).select("id", "cluster")
+    fringe = few.join(core.select("id"), "id", "left_anti").join(around.drop("n2"), ["i", "j"])
+    held = core.join(cell_label, ["i", "j"]).select(F.col("la").alias("la2"), F.col("lo").alias("lo2"), F.col("i").alias("i2"), F.col("j").alias("j2"), "cluster")
+    border = fringe.join(held, ["i2", "j2"]).filter(near).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return mine.unionByName(border).select(F.col("id").alias(key), "cluster")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._helpers import cut
+from .quantiles import quantiles
 
 
 def totals_below(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
@@ -48,9 +49,9 @@ def anchored_groups(events: DataFrame, keys: list[str], day: str, reach: int) ->
 
 def robust_z(df: DataFrame, group: str, value: str) -> DataFrame:
     """df with z = 0.6745 (x - median) / MAD by group; where MAD is 0 the standard deviation serves."""
-    med = df.groupBy(group).agg(F.median(value).alias("_med"), F.stddev(value).alias("_sd"))
+    med = df.groupBy(group).agg(F.stddev(value).alias("_sd")).join(quantiles(df, [group], value, {"_med": 0.5}), group)
     dev = df.join(med, group)
-    mad = dev.groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
+    mad = quantiles(dev, [group], F.abs(F.col(value) - F.col("_med")), {"_mad": 0.5})
     gap = F.col(value) - F.col("_med")
     z = F.when(F.col("_mad") > 0, 0.6745 * gap / F.col("_mad")).when(F.col("_sd") > 0, gap / F.col("_sd")).otherwise(0.0)
     return dev.join(mad, group).withColumn("z", z).drop("_med", "_sd", "_mad")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clinical as X
 from ..operators import joins as J
 from ..operators import profiles as P
+from ..operators import quantiles as Q
 from .registry import Tables, query
 from .windows import DAILY_SQL, daily
 
@@ -102,7 +103,10 @@ _WK = "count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 9) AS mea
 
 
 def _weekly(t: Tables, *keys):
-    return t.events.groupBy(*keys, X.week_start(C("ts").cast("date")).alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 9).alias("mean"), F.round(F.stddev("value"), 7).alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.median("value").alias("med"), F.countDistinct("user_id").alias("facilities"))
+    d = t.events.select(*keys, X.week_start(C("ts").cast("date")).alias("w"), "value", "user_id")
+    by = [c for c in d.columns if c not in ("value", "user_id")]
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 9).alias("mean"), F.round(F.stddev("value"), 7).alias("sd"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.countDistinct("user_id").alias("facilities"))
+    return g.join(Q.quantiles(d, by, "value", {"med": 0.5}), by)
 
 
 @query("agg_weekly_facility", f"SELECT user_id AS facility, {_W} AS w, {_WK} FROM events GROUP BY 1, 2")
@@ -128,8 +132,8 @@ def agg_baseline(t: Tables):
 
 @query("agg_iqr", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY 1")
 def agg_iqr(t: Tables):
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
-    return t.events.groupBy("event_type").agg(q.alias("q")).select("event_type", F.round(C("q")[0], 6).alias("q1"), F.round(C("q")[1], 6).alias("q3"), F.round(C("q")[1] - C("q")[0], 6).alias("iqr"))
+    q = Q.quantiles(t.events, ["event_type"], "value", {"q1": 0.25, "q3": 0.75})
+    return q.select("event_type", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"), F.round(C("q3") - C("q1"), 6).alias("iqr"))
 
 
 @query("agg_baseline_pct")
@@ -215,7 +219,7 @@ def agg_latest_kpi(t: Tables):
 
 @query("agg_capacity", f"SELECT count(*) AS facilities, round(sum(v), 2) AS used, median(n) AS med, max(n) AS most, CAST(sum(CASE WHEN v > 50 * n THEN 1 ELSE 0 END) AS BIGINT) AS high FROM {DAILY_SQL}")
 def agg_capacity(t: Tables):
-    return daily(t).agg(F.count("*").alias("facilities"), F.round(F.sum("v"), 2).alias("used"), F.median("n").alias("med"), F.max("n").alias("most"), F.count_if(C("v") > 50 * C("n")).alias("high"))
+    return daily(t).agg(F.count("*").alias("facilities"), F.round(F.sum("v"), 2).alias("used"), F.max("n").alias("most"), F.count_if(C("v") > 50 * C("n")).alias("high")).crossJoin(Q.quantiles(daily(t), [], "n", {"med": 0.5}))
 
 
 @query("agg_by_type", "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 4) AS mean, round(stddev(c_acctbal), 4) AS sd FROM customer GROUP BY 1")
@@ -300,7 +304,7 @@ def agg_trial_arms(t: Tables):
 @query("agg_kpi_summary", "SELECT round(avg(value), 6) AS mean, median(value) AS med, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS rate, round(0.5 * avg(value) / 100 + 0.5 * avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS composite FROM events")
 def agg_kpi_summary(t: Tables):
     rate = F.avg(F.when(C("event_type") == "purchase", 1.0).otherwise(0.0))
-    return t.events.agg(F.round(F.avg("value"), 6).alias("mean"), F.median("value").alias("med"), F.round(rate, 6).alias("rate"), F.round(0.5 * F.avg("value") / 100 + 0.5 * rate, 6).alias("composite"))
+    return t.events.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(rate, 6).alias("rate"), F.round(0.5 * F.avg("value") / 100 + 0.5 * rate, 6).alias("composite")).crossJoin(Q.quantiles(t.events, [], "value", {"med": 0.5}))
 
 
 @query("agg_adherence", f"SELECT user_id, count(*) AS active_days, CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS full_days, round(count(*) / 30.0, 6) AS rate, CASE WHEN count(*) / 30.0 >= 0.8 THEN 'high' WHEN count(*) / 30.0 >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM {DAILY_SQL} GROUP BY 1")

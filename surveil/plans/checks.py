@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as K
 from ..operators import profiles as P
+from ..operators import quantiles as Q
 from .registry import Tables, query
 
 C = F.col
@@ -39,7 +40,9 @@ def dq_columns(t: Tables):
 
 @query("dq_distribution", _sql([("mean", "avg(value)", "events", "v BETWEEN 20 AND 80", "WARNING"), ("sd", "stddev(value)", "events", "v BETWEEN 1 AND 60", "WARNING"), ("max", "max(value)", "events", "v BETWEEN 0 AND 200", "WARNING"), ("median", "median(value)", "events", "v BETWEEN 10 AND 90", "WARNING"), ("q95", "quantile_cont(value, 0.95)", "events", "v BETWEEN 10 AND 190", "WARNING")]))
 def dq_distribution(t: Tables):
-    return K.run(t.events, [K.between("mean", F.avg("value"), 20, 80), K.between("sd", F.stddev("value"), 1, 60), K.between("max", F.max("value"), 0, 200), K.between("median", F.median("value"), 10, 90), K.between("q95", F.percentile("value", 0.95), 10, 190)])
+    q = Q.quantiles(t.events, [], "value", {"median": 0.5, "q95": 0.95})
+    ranks = K.run(q, [K.between("median", F.first("median"), 10, 90), K.between("q95", F.first("q95"), 10, 190)])
+    return K.run(t.events, [K.between("mean", F.avg("value"), 20, 80), K.between("sd", F.stddev("value"), 1, 60), K.between("max", F.max("value"), 0, 200)]).unionByName(ranks)
 
 
 @query("dq_in_set", _sql([("kinds", "count(DISTINCT event_type)", "events", "v BETWEEN 3 AND 6", "WARNING"), ("in_set", _share("event_type NOT IN ('click','view','purchase','signup')"), "events", "v <= 0.0", "ERROR")]))
@@ -112,6 +115,21 @@ def dq_numeric_change(t: Tables):
     return ch.select("column_name", F.round("pre_mean", 4).alias("pre_mean"), F.round("post_mean", 4).alias("post_mean"), F.round("mean_change_pct", 5).alias("mean_change_pct"), F.round("median_change_pct", 5).alias("median_change_pct"))
 
 
+def _spread_sql(table: str) -> str:
+    return f"(SELECT stddev(o_totalprice) AS sd, CAST(min(o_totalprice) AS DOUBLE) AS min, CAST(max(o_totalprice) AS DOUBLE) AS max, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM {table})"
+
+
+@query("dq_numeric_spread", " UNION ALL ".join(f"SELECT 'o_totalprice' AS column_name, '{c}' AS measure, round(a.{c}, 3) AS pre, round(b.{c}, 3) AS post, round(100.0 * (b.{c} - a.{c}) / nullif(a.{c}, 0), 5) AS pct, CASE WHEN abs(100.0 * (b.{c} - a.{c}) / nullif(a.{c}, 0)) <= 5 THEN 'PASS' WHEN abs(100.0 * (b.{c} - a.{c}) / nullif(a.{c}, 0)) <= 20 THEN 'WARNING' ELSE 'FAIL' END AS status FROM {_spread_sql('orders')} a, {_spread_sql(_POST)} b" for c in ("sd", "min", "max", "iqr")))
+def dq_numeric_spread(t: Tables):
+    """Standard deviation, extremes and interquartile range before and after a load, each with a verdict."""
+    names = ("sd", "min", "max", "iqr")
+    measures = {"sd": C("sd"), "min": C("min"), "max": C("max"), "iqr": C("q3") - C("q1")}
+    ch = K.change(P.numbers(t.orders, ["o_totalprice"]), P.numbers(post_orders(t), ["o_totalprice"]), "column_name", measures)
+    items = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), C(f"pre_{c}").alias("pre"), C(f"post_{c}").alias("post")) for c in names)))
+    pct = 100.0 * F.try_divide(C("post") - C("pre"), C("pre"))
+    return ch.select("column_name", items.alias("x")).select("column_name", "x.*").select("column_name", "measure", F.round("pre", 3).alias("pre"), F.round("post", 3).alias("post"), F.round(pct, 5).alias("pct"), K.verdict(pct, 5, 20).alias("status"))
+
+
 @query("dq_categorical_change", f"SELECT *, post - pre AS difference, CASE WHEN pre = post THEN 'PASS' WHEN abs(post - pre) <= 5 THEN 'WARNING' ELSE 'FAIL' END AS status FROM (SELECT 'o_orderstatus' AS column_name, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS pre, (SELECT count(DISTINCT o_orderstatus) FROM {_POST}) AS post UNION ALL SELECT 'o_custkey', (SELECT count(DISTINCT o_custkey) FROM orders), (SELECT count(DISTINCT o_custkey) FROM {_POST}))")
 def dq_categorical_change(t: Tables):
     cols = ["o_orderstatus", "o_custkey"]
@@ -167,9 +185,9 @@ def dq_business_rule(t: Tables):
 
 @query("dq_outliers", "SELECT event_type, CAST(sum(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS outliers FROM events JOIN (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1) USING (event_type) GROUP BY 1")
 def dq_outliers(t: Tables):
-    q = t.events.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    w = 1.5 * (C("q")[1] - C("q")[0])
-    return t.events.join(q, "event_type").groupBy("event_type").agg(F.count_if((C("value") < C("q")[0] - w) | (C("value") > C("q")[1] + w)).alias("outliers"))
+    q = Q.quantiles(t.events, ["event_type"], "value", {"q1": 0.25, "q3": 0.75})
+    w = 1.5 * (C("q3") - C("q1"))
+    return t.events.join(q, "event_type").groupBy("event_type").agg(F.count_if((C("value") < C("q1") - w) | (C("value") > C("q3") + w)).alias("outliers"))
 
 
 @query("dq_scorecard", f"SELECT count(*) AS checks, CAST(sum(CASE WHEN status = 'PASS' THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN status <> 'PASS' AND severity = 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS warned, CAST(sum(CASE WHEN status <> 'PASS' AND severity <> 'WARNING' THEN 1 ELSE 0 END) AS BIGINT) AS failed, round(100.0 * avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END), 4) AS score, CASE WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.95 THEN 'A' WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.9 THEN 'B' WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.8 THEN 'C' WHEN avg(CASE WHEN status = 'PASS' THEN 1.0 ELSE 0.0 END) >= 0.7 THEN 'D' ELSE 'F' END AS grade FROM ({_sql(_RULES)})")

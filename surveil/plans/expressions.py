@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clinical as X
+from ..operators import quantiles as Q
 from .registry import Tables, query
 
 C = F.col
@@ -475,15 +476,15 @@ def its_columns(t: Tables):
 @query("churn_features", "SELECT c_custkey, CASE WHEN t < 12 THEN '0-1 yr' WHEN t < 24 THEN '1-2 yr' WHEN t < 48 THEN '2-4 yr' ELSE '4+ yr' END AS tenure_group, round(c_acctbal / greatest(t, 1), 8) AS avg_spend, t < 6 AS is_new, t >= 48 AS long_term, c_acctbal > m AS high_value FROM (SELECT c_custkey, c_acctbal, c_custkey % 72 AS t, (SELECT median(c_acctbal) FROM customer) AS m FROM customer)")
 def churn_features(t: Tables):
     months = C("c_custkey") % 72
-    m = t.customer.agg(F.median("c_acctbal").alias("m"))
+    m = Q.quantiles(t.customer, [], "c_acctbal", {"m": 0.5})
     band = X.ladder(months, [(12, "0-1 yr"), (24, "1-2 yr"), (48, "2-4 yr")], "4+ yr")
     return t.customer.crossJoin(F.broadcast(m)).select("c_custkey", band.alias("tenure_group"), F.round(C("c_acctbal") / F.greatest(months, F.lit(1)), 8).alias("avg_spend"), (months < 6).alias("is_new"), (months >= 48).alias("long_term"), (C("c_acctbal") > C("m")).alias("high_value"))
 
 
 @query("bin_quantile", "SELECT c_custkey, CASE WHEN c_acctbal <= a THEN 'Low' WHEN c_acctbal <= b THEN 'Med' ELSE 'High' END AS bin FROM customer, (SELECT quantile_cont(c_acctbal, 1/3.0) AS a, quantile_cont(c_acctbal, 2/3.0) AS b FROM customer)")
 def bin_quantile(t: Tables):
-    cuts = t.customer.agg(F.percentile("c_acctbal", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    return t.customer.crossJoin(F.broadcast(cuts)).select("c_custkey", F.when(C("c_acctbal") <= C("q")[0], "Low").when(C("c_acctbal") <= C("q")[1], "Med").otherwise("High").alias("bin"))
+    cuts = Q.quantiles(t.customer, [], "c_acctbal", {"a": 1 / 3, "b": 2 / 3})
+    return t.customer.crossJoin(F.broadcast(cuts)).select("c_custkey", F.when(C("c_acctbal") <= C("a"), "Low").when(C("c_acctbal") <= C("b"), "Med").otherwise("High").alias("bin"))
 
 
 @query("tally_checks", "SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS parts, count(*) AS n, abs(sum(l_quantity) - sum(l_linenumber) * 7) > 0.05 * sum(l_quantity) AS mismatch, max(l_quantity) > 0.9 * sum(l_quantity) AS one_sided FROM lineitem GROUP BY 1")

@@ -11,6 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import quantiles as Q
 from ..operators import statistics as S
 from .expressions import members
 from .registry import Tables, query
@@ -120,18 +121,37 @@ def stat_trend(t: Tables):
     return d.groupBy("user_id").agg(F.round(s, 7).alias("slope"), F.round(F.regr_r2("n", "x"), 7).alias("r2"), F.when(s > 0.05, "increasing").when(s < -0.05, "decreasing").otherwise("stable").alias("direction"))
 
 
-@query("stat_its")
+_DAYS = "(SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, CAST(count(*) AS DOUBLE) AS y FROM events GROUP BY 1)"
+_LINES = f"""l AS (SELECT regr_slope(y, t) FILTER (t < 14) AS b0, regr_intercept(y, t) FILTER (t < 14) AS a0, count(*) FILTER (t < 14) AS n0, avg(t) FILTER (t < 14) AS m0, regr_sxx(y, t) FILTER (t < 14) AS s0,
+ regr_slope(y, t) FILTER (t >= 14) AS b1, regr_intercept(y, t) FILTER (t >= 14) AS a1, count(*) FILTER (t >= 14) AS n1, avg(t) FILTER (t >= 14) AS m1, regr_sxx(y, t) FILTER (t >= 14) AS s1 FROM {_DAYS})"""
+_PULLS = {
+    "intercept": "CASE WHEN t < 14 THEN 1 / n0 - m0 * (t - m0) / s0 ELSE 0 END",
+    "slope": "CASE WHEN t < 14 THEN (t - m0) / s0 ELSE 0 END",
+    "level_change": "CASE WHEN t < 14 THEN -(1 / n0 + (14 - m0) * (t - m0) / s0) ELSE 1 / n1 + (14 - m1) * (t - m1) / s1 END",
+    "slope_change": "CASE WHEN t < 14 THEN -(t - m0) / s0 ELSE (t - m1) / s1 END",
+}
+_HAC = ", ".join(f"round(sqrt(greatest(sum(g_{c} * g_{c}) + 2 * sum({' + '.join(f'{1 - k / 4} * g_{c} * coalesce(g_{c}_{k}, 0)' for k in (1, 2, 3))}), 0)), 6) AS {c}_se" for c in _PULLS)
+
+
+@query("stat_its", f"""WITH {_LINES}, e AS (SELECT t, y - CASE WHEN t < 14 THEN a0 + b0 * t ELSE a1 + b1 * t END AS e, {', '.join(f'{p} AS h_{c}' for c, p in _PULLS.items())} FROM {_DAYS}, l),
+ g AS (SELECT e, e - lag(e) OVER (ORDER BY t) AS gap, {', '.join(f'h_{c} * e AS g_{c}' for c in _PULLS)}, {', '.join(f'lag(h_{c} * e, {k}) OVER (ORDER BY t) AS g_{c}_{k}' for c in _PULLS for k in (1, 2, 3))} FROM e)
+ SELECT count(*) AS days, round(any_value(a0), 6) AS intercept, round(any_value(b0), 6) AS slope, round(any_value(a1 + 14 * b1 - a0 - 14 * b0), 6) AS level_change, round(any_value(b1 - b0), 6) AS slope_change, {_HAC}, round(sum(gap * gap) / sum(e * e), 6) AS durbin_watson FROM g, l""")
 def stat_its(t: Tables):
-    """Segmented regression of daily counts: level and slope change on 15 January, counterfactual, Durbin-Watson."""
+    """Segmented regression of daily counts: level and slope change on 15 January with errors that allow for three days of autocorrelation, and Durbin-Watson."""
+    r = S.interrupted(_daily_counts(t), "time", "y", 14, 3)
+    return r.select("days", *(F.round(c, 6).alias(c) for c in r.columns if c != "days"))
+
+
+def _daily_counts(t: Tables):
     x = F.datediff(C("ts").cast("date"), F.lit("2024-01-01").cast("date"))
-    d = t.events.groupBy(x.alias("time")).agg(F.count("*").cast("double").alias("y")).withColumn("level", (C("time") >= 14).cast("double")).withColumn("after", F.greatest(C("time") - 14, F.lit(0)).cast("double"))
-    v = VectorAssembler(inputCols=["time", "level", "after"], outputCol="x").transform(d)
-    m = LinearRegression(featuresCol="x", labelCol="y", solver="normal").fit(v)
-    p = m.transform(v).withColumn("e", C("y") - C("prediction"))
-    gap = C("e") - F.lag("e").over(W.partitionBy(F.lit(0)).orderBy("time"))  # one row per day
-    dw = p.withColumn("g", gap).agg((F.sum(C("g") * C("g")) / F.sum(C("e") * C("e"))).alias("durbin_watson"), F.count("*").alias("days"))
-    b = m.coefficients
-    return dw.select("days", "durbin_watson", F.lit(float(m.intercept)).alias("intercept"), F.lit(float(b[0])).alias("slope"), F.lit(float(b[1])).alias("level_change"), F.lit(float(b[2])).alias("slope_change"))
+    return t.events.groupBy(x.alias("time")).agg(F.count("*").cast("double").alias("y"))
+
+
+@query("stat_its_counterfactual", f"WITH {_LINES} SELECT t AS time, y, round(CASE WHEN t < 14 THEN a0 + b0 * t ELSE a1 + b1 * t END, 6) AS fitted, round(a0 + b0 * t, 6) AS counterfactual, round(CASE WHEN t < 14 THEN 0 ELSE a1 + b1 * t - a0 - b0 * t END, 6) AS effect FROM {_DAYS}, l")
+def stat_its_counterfactual(t: Tables):
+    """Each day's count, what the two lines say, what the first one says for the days after, and the difference."""
+    r = S.counterfactual(_daily_counts(t), "time", "y", 14)
+    return r.select("time", "y", *(F.round(c, 6).alias(c) for c in ("fitted", "counterfactual", "effect")))
 
 
 @query("stat_logit_cluster")
@@ -259,7 +279,7 @@ def impute_hotdeck(t: Tables):
 @query("impute_median", "SELECT event_id, coalesce(v, m) AS value FROM (SELECT event_id, event_type, CASE WHEN user_id % 9 <> 0 THEN value END AS v FROM events) e JOIN (SELECT event_type, median(value) AS m FROM events WHERE user_id % 9 <> 0 GROUP BY 1) k USING (event_type)")
 def impute_median(t: Tables):
     d = t.events.select("event_id", "event_type", F.when(C("user_id") % 9 != 0, C("value")).alias("v"))
-    return d.join(d.groupBy("event_type").agg(F.median("v").alias("m")), "event_type").select("event_id", F.coalesce("v", "m").alias("value"))
+    return d.join(Q.quantiles(d, ["event_type"], "v", {"m": 0.5}), "event_type").select("event_id", F.coalesce("v", "m").alias("value"))
 
 
 _LAG = "(SELECT CAST(o_orderdate AS DATE) AS d, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS lag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate)"
@@ -268,17 +288,20 @@ _LAG = "(SELECT CAST(o_orderdate AS DATE) AS d, date_diff('day', CAST(o_orderdat
 @query("nowcast_triangle", f"""WITH l AS (SELECT lag, count(*) AS n FROM {_LAG} GROUP BY 1), k AS (SELECT lag, sum(n) OVER (ORDER BY lag) / sum(n) OVER () AS share FROM l), r AS (SELECT d, count(*) AS seen FROM {_LAG} GROUP BY 1)
  SELECT d, seen, round(seen / greatest(max(share), 0.01), 5) AS corrected FROM r JOIN k ON k.lag <= date_diff('day', d, DATE '2001-08-02') GROUP BY 1, 2""")
 def nowcast_triangle(t: Tables):
+    return S.nowcast(_lag_cells(t), "2001-08-02").select("d", "seen", F.round("corrected", 5).alias("corrected"))
+
+
+def _lag_cells(t: Tables):
     d = t.lineitem.join(t.orders, C("l_orderkey") == C("o_orderkey")).select(C("o_orderdate").cast("date").alias("d"), F.datediff(C("l_shipdate").cast("date"), C("o_orderdate").cast("date")).alias("lag")).filter("lag >= 0")
-    cell = d.groupBy("d", "lag").agg(F.count("*").alias("n"))
-    by_lag = cell.groupBy("lag").agg(F.sum("n").alias("n"))  # one row per lag in days
-    one = W.partitionBy(F.lit(0))
-    share = by_lag.select("lag", (F.sum("n").over(one.orderBy("lag")) / F.sum("n").over(one)).alias("share"))
-    # completeness at each age: the last share at or below it
-    curve = share.agg(F.array_sort(F.collect_list(F.struct("lag", "share"))).alias("curve"))
-    age = F.datediff(F.lit("2001-08-02").cast("date"), C("d"))
-    seen = cell.groupBy("d").agg(F.sum("n").alias("seen")).crossJoin(F.broadcast(curve))
-    at = F.array_max(F.transform(F.filter("curve", lambda x: x["lag"] <= age), lambda x: x["share"]))
-    return seen.withColumn("at", at).filter("at is not null").select("d", "seen", F.round(C("seen") / F.greatest("at", F.lit(0.01)), 5).alias("corrected"))
+    return d.groupBy("d", "lag").agg(F.count("*").alias("n"))
+
+
+@query("nowcast_interval")
+def nowcast_interval(t: Tables):
+    """The corrected counts of the days that were not all reported by 1 July 2000, with 95 % bounds; no SQL has the incomplete beta function."""
+    as_of = "2000-07-01"
+    cells = _lag_cells(t).filter(F.date_add("d", C("lag").cast("int")) <= F.lit(as_of).cast("date"))
+    return S.nowcast(cells, as_of).filter("share < 1").select("d", "seen", F.round("share", 6).alias("share"), F.round("corrected", 5).alias("corrected"), F.round("phi", 6).alias("phi"), "low", "high")
 
 
 _RG = "least(greatest((p * 1.0 / n + 0.98 - 1) / (0.9 + 0.98 - 1), 0.0), 1.0)"

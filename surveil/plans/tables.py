@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import clinical as X
-from ..operators._helpers import shared_folder
+from ..operators._helpers import cut, held, shared_folder
 from ..sources import files as I
 from ..sources import tables as K
+from ..streaming import retry as Q
 from ..streaming import streams as S
 from .registry import Tables, query
 
@@ -86,6 +86,16 @@ def snk_part(t: Tables):
     return t.spark.read.parquet(path).filter("y = 1996")  # one folder is read
 
 
+@query("snk_part_evolving", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS priority FROM orders")
+def snk_part_evolving(t: Tables):
+    """Two appends, the second with a column that the first did not have."""
+    path = f"{scratch(t)}/orders"
+    d = t.orders.select("o_orderkey", F.year("o_orderdate").alias("y"), C("o_orderpriority").alias("priority"))
+    I.append_evolving(d.filter("o_orderkey % 2 = 0").drop("priority"), path, ["y"])
+    I.append_evolving(d.filter("o_orderkey % 2 = 1"), path, ["y"])
+    return I.read_evolving(t.spark, path).select("o_orderkey", "y", "priority")
+
+
 @query("snk_linelist", "SELECT n_name AS state, CASE WHEN s_acctbal < 0 THEN 'overdue' ELSE 'current' END AS report, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2")
 def snk_linelist(t: Tables):
     path = f"{scratch(t)}/linelists"
@@ -163,10 +173,10 @@ def batch_log(t: Tables):
 
 @query("cache_hot", "SELECT 'status' AS kind, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
 def cache_hot(t: Tables):
-    """A table that several reports read is held in memory, or on disk where memory is short."""
-    hot = t.orders.select("o_orderstatus", "o_orderpriority").persist(StorageLevel.MEMORY_AND_DISK)
-    one = lambda kind, c: hot.groupBy(C(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
-    return one("status", "o_orderstatus").unionByName(one("priority", "o_orderpriority"))
+    """A table that several reports read is held in memory, or on disk where memory is short, until they are written."""
+    one = lambda hot, kind, c: hot.groupBy(C(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
+    with held(t.orders.select("o_orderstatus", "o_orderpriority")) as hot:
+        return cut(one(hot, "status", "o_orderstatus").unionByName(one(hot, "priority", "o_orderpriority")))
 
 
 @query("split_valid", "SELECT event_id, CASE WHEN value < 5 AND event_type = 'error' THEN 'low,kind' WHEN value < 5 THEN 'low' ELSE 'kind' END AS reason FROM events WHERE value < 5 OR event_type = 'error'")
@@ -196,6 +206,34 @@ def compaction(t: Tables):
     return t.spark.read.parquet(path).agg(F.count("*").alias("n"), F.min("o_custkey").alias("lo"), F.max("o_custkey").alias("hi"))
 
 
+_V = "SELECT {n} AS step, count(*) AS n, round(sum({x}), 2) AS total FROM customer WHERE {w}"
+
+
+@query("version_log", " UNION ALL ".join(_V.format(n=n, x=x, w=w) for n, x, w in (("'first'", "c_acctbal", "true"), ("'by number'", "c_acctbal * 2", "true"), ("'at noon'", "c_acctbal", "true"), ("'at night'", "c_acctbal * 2", "true"), ("'rolled back'", "c_acctbal", "true"), ("'after'", "c_acctbal", "c_custkey % 2 = 0"), ("'vacuumed'", "c_acctbal", "c_custkey % 2 = 0"))))
+def version_log(t: Tables):
+    """A table read by number, as of a time, after a roll back, after a later commit, and after old versions are removed."""
+    path = f"{scratch(t)}/versioned"
+    d = t.customer.select("c_custkey", "c_acctbal")
+    seen = []
+
+    def note(step, df):
+        seen.append(df.agg(F.lit(step).alias("step"), F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total")).first())
+
+    K.commit(d, path, "2024-01-01 08:00:00")
+    note("first", K.as_of(t.spark, path))
+    K.commit(d.withColumn("c_acctbal", C("c_acctbal") * 2), path, "2024-01-01 18:00:00")
+    note("by number", K.as_of(t.spark, path, version=2))
+    note("at noon", K.as_of(t.spark, path, time="2024-01-01 12:00:00"))
+    K.roll_back(t.spark, path, 1, "2024-01-02 08:00:00")
+    note("at night", K.as_of(t.spark, path, time="2024-01-01 23:00:00"))
+    note("rolled back", K.as_of(t.spark, path))
+    K.commit(K.as_of(t.spark, path).filter("c_custkey % 2 = 0"), path, "2024-01-03 08:00:00")
+    note("after", K.as_of(t.spark, path))
+    K.vacuum(t.spark, path)
+    note("vacuumed", K.as_of(t.spark, path))
+    return t.spark.createDataFrame(seen, "step string, n long, total double")
+
+
 @query("version_read", "SELECT c_custkey, c_acctbal FROM customer")
 def version_read(t: Tables):
     path = f"{scratch(t)}/versions"
@@ -257,8 +295,8 @@ def str_silver_fhir(t: Tables):
     return t.spark.read.parquet(f"{out}/silver").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("str_retry", "SELECT event_id AS sample_id, CASE WHEN user_id % 3 = 0 THEN 'success' WHEN user_id % 7 = 6 THEN 'dead' ELSE 'waiting' END AS state FROM events WHERE event_type = 'error'")
-def str_retry(t: Tables):
+@query("str_retry_round", "SELECT event_id AS sample_id, CASE WHEN user_id % 3 = 0 THEN 'success' WHEN user_id % 7 = 6 THEN 'dead' ELSE 'waiting' END AS state FROM events WHERE event_type = 'error'")
+def str_retry_round(t: Tables):
     """One round: every third user's sample succeeds; of the others those with five retries behind them are dead."""
     e = t.events.filter("event_type = 'error'")
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -285,6 +323,90 @@ def str_freshness(t: Tables):
     return S.newest_result(S.files(t.spark, src, _SCHEMA, per_batch=2).groupBy("event_type").agg((age > 15).alias("stale")), f"{out}/data", f"{out}/checkpoint")
 
 
+def _landings(t: Tables, *parts) -> tuple[str, list]:
+    """A landing folder, and for each part what puts it there."""
+    path = f"{scratch(t)}/landing"
+    return path, [lambda d=d: d.withColumn("ts", C("ts").cast("timestamp")).coalesce(2).write.mode("append").parquet(path) for d in parts]
+
+
+def _runs(t: Tables, build, *parts):
+    """The rows that a stream over the parts has written; it is stopped after each part and started again from its checkpoint."""
+    path, land = _landings(t, *parts)
+    out = scratch(t)
+    for put in land:
+        put()
+        with Q.keyed_state(t.spark):
+            S.run_once(build(S.files(t.spark, path, _SCHEMA)), f"{out}/data", f"{out}/checkpoint")
+    return t.spark.read.parquet(f"{out}/data")
+
+
+def _early_late(t: Tables):
+    at = F.lit("2024-01-20").cast("timestamp_ntz")
+    return t.events.filter(C("ts") < at), t.events.filter(C("ts") >= at)
+
+
+_RETRY_SQL = """WITH e AS (SELECT event_id, user_id % 8 AS fails, epoch_ms(ts) AS ms FROM events WHERE event_type = 'error'), w AS (SELECT max(ms) AS mark FROM e),
+ n AS (SELECT e.*, (SELECT count(*) FROM range(1, 6) r(k) WHERE ms + (pow(2, k) - 2 + pow(2, k)) * 60000 <= mark) AS due FROM e, w)
+ SELECT event_id AS sample_id, CASE WHEN due < least(fails, 5) THEN 'waiting' WHEN fails <= 5 THEN 'success' ELSE 'dead' END AS state,
+ CAST(CASE WHEN due < least(fails, 5) THEN due + 1 WHEN fails <= 5 THEN fails ELSE 6 END AS INTEGER) AS retry_count FROM n"""
+
+
+@query("str_retry", _RETRY_SQL)
+def str_retry(t: Tables):
+    """Samples of errors that fail user_id % 8 times: they wait 2, 4, 8, 16 and 32 minutes of event time, then succeed or are dead; restarted once on the way."""
+    wrong = [d.filter("event_type = 'error'") for d in _early_late(t)]
+    steps = _runs(t, lambda d: Q.retries(d.withWatermark("ts", "0 seconds"), lambda payload, n: n >= int(payload) % 8, "event_id", "user_id", "ts"), *wrong)
+    return Q.last_steps(steps).select(C("key").alias("sample_id"), "state", "retry_count")
+
+
+_MARK = "(SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)"
+
+
+@query("str_sliding", f"SELECT start, event_type, n FROM (SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL 12 HOURS]) AS start FROM events) GROUP BY 1, 2), {_MARK} WHERE start + INTERVAL 1 DAY <= mark")
+def str_sliding(t: Tables):
+    """Days that begin every twelve hours, each written once, when the watermark has passed it. Rows sent again ten days late are not counted."""
+    early, later = _early_late(t)
+    old = t.events.filter(C("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    return _runs(t, lambda d: S.tumbling(d, "ts", ["event_type"], "1 day", "1 day", "12 hours").select("start", "event_type", "n"), early, later.unionByName(old))
+
+
+@query("str_sessions_live", f"SELECT user_id, start, n FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOURS AS closed, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s), {_MARK} WHERE closed <= mark")
+def str_sessions_live(t: Tables):
+    """Sessions of a stream, each written once, when six quiet hours have passed the watermark; late rows are not counted."""
+    early, later = _early_late(t)
+    old = t.events.filter(C("ts") < F.lit("2024-01-10").cast("timestamp_ntz"))
+    return _runs(t, lambda d: S.sessions(d, "ts", ["user_id"], "6 hours", "1 day").select("user_id", "start", "n"), early, later.unionByName(old))
+
+
+@query("str_once", "SELECT event_id, user_id FROM events")
+def str_once(t: Tables):
+    """Rows that come again within a day of event time, or later than that, are written once."""
+    early, later = _early_late(t)
+    again = t.events.filter("event_id % 7 = 0")
+    return _runs(t, lambda d: S.once_each(d, ["event_id"], "ts", "1 day").select("event_id", "user_id"), early.unionByName(early.filter("event_id % 5 = 0")), later.unionByName(again.join(early.select("event_id"), "event_id", "left_semi")))
+
+
+_RULES_SQL = """WITH b AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 0 WHEN ts < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS batch, event_id % 10 = 0 AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AS bad FROM events),
+ r AS (SELECT batch, 'value' AS rule, 'ERROR' AS severity, 0.0 AS mostly, bad OR value < 0 AS broken FROM b UNION ALL SELECT batch, 'kind', 'WARNING', 0.5, event_type = 'error' FROM b UNION ALL SELECT batch, 'customer', 'ERROR', 0.0, bad OR user_id NOT IN (SELECT c_custkey - 1 FROM customer) FROM b)
+ SELECT batch, rule, count(*) AS n_rows, count(*) FILTER (broken) AS n_broken, CASE WHEN count(*) FILTER (broken) <= mostly * count(*) THEN 'PASS' ELSE 'FAIL' END AS status, severity FROM r GROUP BY batch, rule, severity, mostly"""
+
+
+@query("str_quality_rules", _RULES_SQL)
+def str_quality_rules(t: Tables):
+    """Three batches, the second with rows that break a rule in SQL and point to no customer; a verdict for each batch and rule."""
+    cuts = [F.lit(x).cast("timestamp_ntz") for x in ("2024-01-10", "2024-01-20")]
+    bad = (C("event_id") % 10 == 0) & (C("ts") >= cuts[0]) & (C("ts") < cuts[1])
+    e = t.events.withColumn("value", F.when(bad, -1.0).otherwise(C("value"))).withColumn("user_id", F.when(bad, -5).otherwise(C("user_id")))
+    path, land = _landings(t, e.filter(C("ts") < cuts[0]), e.filter((C("ts") >= cuts[0]) & (C("ts") < cuts[1])), e.filter(C("ts") >= cuts[1]))
+    out = scratch(t)
+    known = t.customer.select((C("c_custkey") - 1).alias("id"))
+    rules = [S.RowRule("value", "value >= 0"), S.RowRule("kind", "event_type <> 'error'", 0.5, "WARNING"), S.KnownKey("customer", "user_id", known, "id")]
+    for put in land:
+        put()
+        S.checked(S.files(t.spark, path, _SCHEMA), rules, out, f"{out}/checkpoint")
+    return t.spark.read.parquet(f"{out}/verdicts").select(C("batch").cast("long").alias("batch"), "rule", "n_rows", "n_broken", "status", "severity")
+
+
 @query("str_windowed", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def str_windowed(t: Tables):
     src, out = _event_files(t), scratch(t)

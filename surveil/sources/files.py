@@ -56,3 +56,20 @@ def write(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None
 def compact(df: DataFrame, path: str, cluster: list[str], parts: int) -> None:
     """Rewrite into so many files, clustered by range and sorted within."""
     df.repartitionByRange(parts, *cluster).sortWithinPartitions(*cluster).write.mode("overwrite").parquet(path)
+
+
+def append_evolving(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Append to a Parquet table, with new columns if df has some. A column of another type than it has there is an error, and nothing is written."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        held = {f.name: f.dataType for f in read_evolving(spark, path).schema.fields}
+        clash = [f"{f.name}: {held[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in df.schema.fields if f.name in held and f.name not in (by or []) and held[f.name] != f.dataType]
+        if clash:
+            raise ValueError("columns of another type: " + "; ".join(clash))
+    write(df, path, by=by, mode="append")
+
+
+def read_evolving(spark: SparkSession, path: str) -> DataFrame:
+    """All columns that any part has; null in the rows of parts without them."""
+    return spark.read.option("mergeSchema", True).parquet(path)

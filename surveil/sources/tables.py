@@ -98,6 +98,73 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
     return df.filter(F.col("version") == version).drop("version")
 
 
+_MANIFEST = "entry long, version long, at timestamp, action string, note string"
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _entry(spark: SparkSession, path: str, entry: int, version: int, at: str | None, action: str, note: str | None) -> None:
+    """An entry is a folder of its own that must not be there yet: of two writers with the same number one fails."""
+    time = F.lit(at).cast("timestamp") if at else F.current_timestamp()
+    row = spark.range(1).select(F.lit(entry).cast("long").alias("entry"), F.lit(version).cast("long").alias("version"), time.alias("at"), F.lit(action).alias("action"), F.lit(note).cast("string").alias("note"))
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/{entry}")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a versioned table: a row for each commit and each roll back. The last one names the current version."""
+    fs, place = _folder(spark, f"{path}/manifest")
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/*") if fs.exists(place) else spark.createDataFrame([], _MANIFEST)
+
+
+def commit(df: DataFrame, path: str, at: str | None = None, note: str | None = None) -> int:
+    """Write df as the next version and make it the current one; its number. The data is there before the entry that names it, so readers see all or nothing of it."""
+    spark = df.sparkSession
+    log = manifest(spark, path).agg(F.coalesce(F.max("entry"), F.lit(0)), F.coalesce(F.max("version"), F.lit(0))).first()
+    entry, version = log[0] + 1, log[1] + 1
+    df.write.mode("overwrite").parquet(f"{path}/data/{version}-{entry}")
+    _entry(spark, path, entry, version, at, "commit", note)
+    return version
+
+
+def roll_back(spark: SparkSession, path: str, version: int, at: str | None = None, note: str | None = None) -> None:
+    """Make an earlier version the current one; what came later stays readable by number and time."""
+    log = manifest(spark, path)
+    if not log.filter((F.col("version") == version) & (F.col("action") == "commit")).limit(1).count():
+        raise ValueError(f"no version {version}")
+    _entry(spark, path, log.agg(F.max("entry")).first()[0] + 1, version, at, "roll back", note)
+
+
+def as_of(spark: SparkSession, path: str, version: int | None = None, time: str | None = None) -> DataFrame:
+    """A versioned table: of a version, as it was at a time, or as it is."""
+    log = manifest(spark, path)
+    if version is not None:
+        found = log.filter((F.col("version") == version) & (F.col("action") == "commit"))
+    else:
+        now = log.filter(F.col("at") <= F.lit(time).cast("timestamp")) if time else log
+        last = now.agg(F.max_by("version", "entry")).first()[0]
+        found = log.filter((F.col("version") == last) & (F.col("action") == "commit"))
+    row = found.agg(F.max_by(F.struct("entry", "version"), "entry").alias("x")).first().x
+    if row is None:
+        raise ValueError(f"no version {version}" if version is not None else f"nothing was there at {time or 'any time'}")
+    return spark.read.parquet(f"{path}/data/{row.version}-{row.entry}")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Remove the data of all versions but the current one and the `keep` newest, and what failed commits left; how many folders went. The manifest stays."""
+    log = manifest(spark, path)
+    current = log.agg(F.max_by("version", "entry")).first()[0]
+    commits = log.filter("action = 'commit'").select("version", "entry").orderBy(F.desc("version")).limit(keep).collect() + log.filter((F.col("action") == "commit") & (F.col("version") == current)).select("version", "entry").collect()
+    held = {f"{r.version}-{r.entry}" for r in commits}
+    fs, place = _folder(spark, f"{path}/data")
+    gone = [f.getPath() for f in fs.listStatus(place) if f.getPath().getName() not in held]
+    for p in gone:
+        fs.delete(p, True)
+    return len(gone)
+
+
 def feature_table(df: DataFrame, keys: list[str]) -> DataFrame:
     """df if its keys are unique and not null, else an error that names the count of offending rows."""
     w = Window.partitionBy(*keys)

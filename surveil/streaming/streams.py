@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,6 +63,58 @@ def sessions(df: DataFrame, time: str, keys: list[str], gap: str, late: str = "1
     return df.withWatermark(time, late).groupBy(F.session_window(time, gap), *keys).agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
 
 
+def once_each(df: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
+    """The first row of each key. A key is forgotten when the watermark has passed its row by `late`; later rows than that are dropped."""
+    return df.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+@dataclass
+class RowRule:
+    """A SQL condition that rows must meet (null: broken), the share that may break it, and how bad it is otherwise."""
+
+    name: str
+    sql: str
+    mostly: float = 0.0
+    severity: str = "ERROR"
+
+
+@dataclass
+class KnownKey:
+    """Values of a column must be in a table (null: broken)."""
+
+    name: str
+    column: str
+    table: DataFrame
+    key: str
+    mostly: float = 0.0
+    severity: str = "ERROR"
+
+
+def checked(df: DataFrame, rules: list[RowRule | KnownKey], out: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream to out/data and a verdict for each batch and rule to out/verdicts; both by one pass over the batch, whose metrics are observed on the way.
+
+    A batch has a folder of its own in both, so that a batch that is repeated after a failure replaces what it wrote.
+    """
+    columns = df.columns
+
+    def save(batch: DataFrame, number: int) -> None:
+        for i, r in enumerate(rules):
+            if isinstance(r, KnownKey):
+                known = r.table.select(F.col(r.key).alias(f"_k{i}")).filter(F.col(f"_k{i}").isNotNull()).distinct().withColumn(f"_in{i}", F.lit(True))
+                batch = batch.join(known, F.col(r.column) == F.col(f"_k{i}"), "left")
+        ok = [F.expr(r.sql) if isinstance(r, RowRule) else F.col(f"_in{i}") for i, r in enumerate(rules)]
+        seen = Observation(f"rules-{number}")
+        broken = [F.count_if(~F.coalesce(c, F.lit(False))).alias(f"b{i}") for i, c in enumerate(ok)]
+        batch.observe(seen, F.count(F.lit(1)).alias("n"), *broken).select(*columns).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+        got = seen.get
+        n = got["n"]
+        rows = [(number, r.name, n, got[f"b{i}"], "PASS" if got[f"b{i}"] <= r.mostly * n else "FAIL", r.severity) for i, r in enumerate(rules)]
+        verdicts = batch.sparkSession.createDataFrame(rows, "batch long, rule string, n_rows long, n_broken long, status string, severity string")
+        verdicts.drop("batch").coalesce(1).write.mode("overwrite").parquet(f"{out}/verdicts/batch={number}")
+
+    return batches(df, save, checkpoint)
+
+
 def alerts(df: DataFrame, rules: dict[str, Column], keep: list[str]) -> DataFrame:
     """One row per event and rule that it meets; stateless."""
     return df.select(*keep, F.explode(F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items())))).alias("alert"))
