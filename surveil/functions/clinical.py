@@ -131,6 +131,7 @@ def salted_hash(c: Column, salt: str = "_salt") -> Column:
 
 
 def salt_key(key: Column, row: Column, n: int) -> Column:
+    """The key with one of n suffixes, by a hash of what tells the rows of a key apart."""
     return F.concat_ws("_", key.cast("string"), F.pmod(F.xxhash64(row), F.lit(n)).cast("string"))
 
 
@@ -169,6 +170,7 @@ def variant(lineage: Column, given: Column | None = None) -> Column:
     return out if given is None else F.coalesce(given, out)
 
 
+#: The thresholds, weights and labels of critical value.
 def critical_value(code: Column, value: Column) -> Column:
     """Panic ranges: glucose (2345-7) below 60 or above 300, potassium (2823-3) below 2.5 or above 6."""
     glucose = (code == "2345-7") & ((value < 60) | (value > 300))
@@ -179,6 +181,7 @@ def critical_value(code: Column, value: Column) -> Column:
 # ---------------------------------------------------------------- scores
 
 
+#: The thresholds, weights and labels of risk scores.
 def risk_scores(age: Column, chronic: Column, er: Column, admits: Column, paid: Column) -> dict[str, Column]:
     a = F.when(age < 1, 3).when(age < 5, 2).when(age >= 75, 3).when(age >= 65, 2).otherwise(1)
     c = ladder(chronic, [(3, 3), (2, 2), (1, 1)], 0, ">=")
@@ -191,42 +194,52 @@ def risk_tier(score: Column) -> Column:
     return ladder(score, [(9, "High"), (6, "Medium"), (3, "Low")], "Very Low", ">=")
 
 
+#: The thresholds, weights and labels of vaccine flags.
 def vaccine_flags(age: Column, chronic: Column, diabetes: Column, lung: Column, heart: Column) -> dict[str, Column]:
     return {"flu_vaccine_eligible": (age >= 65) | (chronic >= 1), "pneumococcal_vaccine_eligible": (age >= 65) | diabetes | lung | heart, "shingles_vaccine_eligible": age >= 50, "hpv_vaccine_eligible": age.between(19, 26)}
 
 
+#: The thresholds, weights and labels of vaccine priority.
 def vaccine_priority(tier: Column, age: Column, chronic: Column) -> Column:
     return F.when(tier == "High", 80).when(tier == "Medium", 60).when(tier == "Low", 40).otherwise(20) + F.when(age >= 65, 15).otherwise(0) + F.when(chronic >= 3, 5).otherwise(0)
 
 
+#: The thresholds, weights and labels of outreach score.
 def outreach_score(priority: Column, risk: Column, er: Column, cost: Column) -> Column:
     return priority * 0.4 + risk * 100 * 0.3 + er * 100 * 0.2 + cost * 100 * 0.1
 
 
+#: The thresholds, weights and labels of outreach tier.
 def outreach_tier(score: Column) -> Column:
     return ladder(score, [(80, "Tier 1 - Immediate"), (60, "Tier 2 - High Priority"), (40, "Tier 3 - Standard")], "Tier 4 - Routine", ">=")
 
 
+#: The thresholds, weights and labels of outreach method.
 def outreach_method(tier: Column) -> Column:
     return F.when(tier.startswith("Tier 1"), "Phone Call + Letter").when(tier.startswith("Tier 2"), "Phone Call").when(tier.startswith("Tier 3"), "Letter").otherwise("Email/Portal Message")
 
 
+#: The thresholds, weights and labels of outbreak score.
 def outbreak_score(rate: Column, delta: Column, seasonal: Column) -> Column:
     return ladder(rate, [(0.1, 25), (0.05, 15), (0.02, 5)], 0, ">") + ladder(delta, [(0.5, 25), (0.2, 15), (0.1, 5)], 0, ">") + ladder(seasonal, [(2.0, 25), (1.0, 15), (0.5, 5)], 0, ">")
 
 
+#: The thresholds, weights and labels of outbreak level.
 def outbreak_level(score: Column) -> Column:
     return ladder(score, [(50, "HIGH"), (25, "MEDIUM")], "LOW", ">=")
 
 
+#: The thresholds, weights and labels of device level.
 def device_level(probability: Column) -> Column:
     return ladder((probability * 100).cast("int"), [(80, "CRITICAL"), (60, "HIGH"), (30, "MEDIUM")], "LOW", ">=")
 
 
+#: The thresholds, weights and labels of device advice.
 def device_advice(level: Column) -> Column:
     return F.when(level == "CRITICAL", "IMMEDIATE ACTION REQUIRED: Emergency maintenance").when(level == "HIGH", "Schedule urgent maintenance within 24 hours").when(level == "MEDIUM", "Schedule maintenance within 7 days").otherwise("Continue normal operations")
 
 
+#: The thresholds, weights and labels of severity.
 def severity(signals: Column, agreement: Column, z: Column, relative_risk: Column) -> Column:
     score = ladder(signals, [(4, 3), (3, 2), (2, 1)], 0, ">=") + ladder(agreement, [(0.8, 3), (0.6, 2), (0.4, 1)], 0, ">=") + ladder(z, [(5.0, 3), (4.0, 2), (3.5, 1)], 0, ">=") + ladder(F.coalesce(relative_risk, F.lit(0.0)), [(3.0, 3), (2.0, 2), (1.5, 1)], 0, ">=")
     return ladder(score, [(9, "critical"), (6, "high"), (3, "moderate")], "low", ">=")

@@ -8,17 +8,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Distinct words of queries that are sent to all tasks; more are joined by shuffle.
+SENT = 200_000
+
+
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key), F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).filter("w <> ''")
 
 
 def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score) of all pairs that share a term. Only rows of query terms are joined; corpus statistics cover all documents."""
-    tf = terms(docs, doc_id, text).groupBy(doc_id, "w").agg(F.count("*").alias("tf"))
-    size = tf.groupBy(doc_id).agg(F.sum("tf").alias("n"))
+    """(query, doc, score) of all pairs that share a term. Only words that are asked for leave the task that reads them; corpus statistics cover all documents."""
+    words = docs.select(doc_id, F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "").alias("ws"))
+    size = words.groupBy(doc_id).agg(F.sum(F.size("ws")).alias("n")).filter("n > 0")
     corpus = size.agg(F.count("*").alias("nd"), F.avg("n").alias("av"))
     asked = terms(queries, query_id, query_text).distinct()
-    hit = tf.join(asked.select("w").distinct(), "w", "left_semi")
+    vocabulary = asked.select("w").distinct()
+    if vocabulary.count() <= SENT:
+        vocabulary = F.broadcast(vocabulary)
+    hit = words.select(doc_id, F.explode("ws").alias("w")).join(vocabulary, "w", "left_semi").groupBy(doc_id, "w").agg(F.count("*").alias("tf"))
     df = hit.groupBy("w").agg(F.count("*").alias("df"))
     rows = hit.join(df, "w").join(size, doc_id).join(asked, "w").crossJoin(F.broadcast(corpus))
     idf = F.log(1 + (F.col("nd") - F.col("df") + 0.5) / (F.col("df") + 0.5))

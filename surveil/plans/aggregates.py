@@ -151,6 +151,20 @@ def agg_profile(t: Tables):
     return p.withColumns({c: F.round(c, 4) for c in ("mean", "sd", "q1", "median", "q3")})
 
 
+_MODE = " UNION ALL ".join(f"SELECT '{c}' AS column_name, (SELECT count(DISTINCT {c}) FROM lineitem) AS n_distinct, v AS mode, n AS mode_n FROM (SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1)" for c in ("l_returnflag", "l_linenumber", "l_partkey"))
+
+
+@query("agg_profile_modes", _MODE)
+def agg_profile_modes(t: Tables):
+    """Distinct values and the commonest value of each column."""
+    return P.modes(t.lineitem, ["l_returnflag", "l_linenumber", "l_partkey"])
+
+
+@query("agg_repeated_rows", "SELECT 'all columns' AS within, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n - 1) AS BIGINT) AS repeated FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) UNION ALL SELECT 'order and part', CAST(sum(n) AS BIGINT), CAST(sum(n - 1) AS BIGINT) FROM (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)")
+def agg_repeated_rows(t: Tables):
+    return P.repeated_rows(t.lineitem).select(F.lit("all columns").alias("within"), "n", "repeated").unionByName(P.repeated_rows(t.lineitem, ["l_orderkey", "l_partkey"]).select(F.lit("order and part").alias("within"), "n", "repeated"))
+
+
 @query("agg_completeness", "SELECT 'ts' AS column_name, count(*) AS n, CAST(0 AS BIGINT) AS missing, 0.0 AS pct_missing FROM events UNION ALL SELECT 'buyer', count(*), CAST(sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) AS BIGINT), round(100.0 * sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) / count(*), 6) FROM events")
 def agg_completeness(t: Tables):
     return P.missing(t.events, {"ts": C("ts"), "buyer": F.when(C("event_type") == "purchase", C("user_id"))})
@@ -355,6 +369,20 @@ def agg_retry_health(t: Tables):
     return t.events.filter("event_type = 'error'").agg(F.count("*").alias("backlog"), F.round(F.avg(r), 6).alias("mean_retries"), F.max(r).alias("most_retries"), F.min("ts").alias("next_ready"))
 
 
+@query("agg_retry_errors", "SELECT CASE WHEN value < 30 THEN 'timeout' WHEN value < 60 THEN 'bad payload' ELSE 'no route' END AS message, count(*) AS n, round(avg(user_id % 6), 6) AS mean_retries, max(ts) AS last_seen FROM events WHERE event_type = 'error' GROUP BY 1")
+def agg_retry_errors(t: Tables):
+    """The queue's errors by their message."""
+    message = F.when(C("value") < 30, "timeout").when(C("value") < 60, "bad payload").otherwise("no route")
+    return t.events.filter("event_type = 'error'").groupBy(message.alias("message")).agg(F.count("*").alias("n"), F.round(F.avg(C("user_id") % 6), 6).alias("mean_retries"), F.max("ts").alias("last_seen"))
+
+
+@query("agg_retry_daily", "SELECT CAST(ts AS DATE) AS d, count(*) AS tried, count_if(user_id % 6 < 4) AS succeeded, round(100.0 * count_if(user_id % 6 < 4) / count(*), 5) AS pct FROM events WHERE event_type = 'error' GROUP BY 1")
+def agg_retry_daily(t: Tables):
+    """Tries and successes by day."""
+    ok = F.count_if(C("user_id") % 6 < 4)
+    return t.events.filter("event_type = 'error'").groupBy(C("ts").cast("date").alias("d")).agg(F.count("*").alias("tried"), ok.alias("succeeded"), F.round(100.0 * ok / F.count("*"), 5).alias("pct"))
+
+
 @query("agg_stream_quality", "SELECT event_type, round(avg((CASE WHEN value > 5 THEN 1.0 ELSE 0.0 END + 1.0) / 2), 6) AS completeness FROM events GROUP BY 1")
 def agg_stream_quality(t: Tables):
     return t.events.groupBy("event_type").agg(F.round(F.avg(X.completeness(F.when(C("value") > 5, C("value")), C("ts"))), 6).alias("completeness"))

@@ -104,6 +104,41 @@ def snk_linelist(t: Tables):
     return t.spark.read.option("header", True).csv(path).groupBy("state", "report").agg(F.count("*").alias("n"))
 
 
+@query("snk_csv_results", "SELECT 'by_status' AS report, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'by_priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def snk_csv_results(t: Tables):
+    """Reports written as CSV, one folder each with a header and one file, and read back."""
+    path = f"{scratch(t)}/results"
+    for name, c in (("by_status", "o_orderstatus"), ("by_priority", "o_orderpriority")):
+        I.write(t.orders.groupBy(C(c).alias("value")).agg(F.count("*").alias("n")).coalesce(1), f"{path}/{name}.csv", "csv")  # a few rows
+    out = [I.read_any(t.spark, f"{path}/{name}.csv", "value string, n long").select(F.lit(name).alias("report"), "value", "n") for name in ("by_status", "by_priority")]
+    return out[0].unionByName(out[1])
+
+
+_DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def _database(t: Tables) -> str:
+    """An embedded database with the customers; it lives in the driver's JVM, so these two queries are for one machine."""
+    url = f"jdbc:derby:memory:s{uuid.uuid4().hex};create=true"
+    t.customer.selectExpr("c_custkey AS K", "c_nationkey AS N", "c_acctbal AS V").coalesce(1).write.jdbc(url, "CUSTOMERS", mode="overwrite", properties=_DERBY)
+    return url
+
+
+@query("src_jdbc", "SELECT c_nationkey AS nation, count(*) AS n_rows, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def src_jdbc(t: Tables):
+    """A sub-query of a database; its filter runs there."""
+    d = I.read_jdbc(t.spark, _database(t), "(SELECT N, V FROM CUSTOMERS WHERE V > 0) q", **_DERBY)
+    return d.groupBy(C("N").alias("nation")).agg(F.count("*").alias("n_rows"), F.round(F.sum("V"), 2).alias("total"))
+
+
+@query("src_jdbc_part", "SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_nationkey < 10")
+def src_jdbc_part(t: Tables):
+    """A table read in four ranges of its key."""
+    top = t.customer.agg(F.max("c_custkey")).first()[0]
+    d = I.read_jdbc(t.spark, _database(t), "CUSTOMERS", "K", (0, top), 4, **_DERBY)
+    return d.filter("N < 10").select(C("K").alias("k"), C("V").alias("v"))
+
+
 @query("snk_tier_export", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 AND c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 5000 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5) GROUP BY 1")
 def snk_tier_export(t: Tables):
     rich = t.customer.filter("c_acctbal > 5000")
@@ -284,6 +319,18 @@ def str_json_events(t: Tables):
     return t.spark.read.parquet(f"{out}/data")
 
 
+@query("str_json_30s", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(value) AS with_value FROM events GROUP BY 1")
+def str_json_30s(t: Tables):
+    """JSON files through the timed trigger of 30 seconds, written by date; stopped when all that is there is written."""
+    src, out = f"{scratch(t)}/json", scratch(t)
+    t.events.select("event_id", C("ts").cast("timestamp").alias("ts"), "value").write.json(src)
+    d = S.files(t.spark, src, "event_id long, ts timestamp, value double", "json").withColumn("day", F.to_date("ts"))
+    q = S.every(d, f"{out}/data", f"{out}/checkpoint", 30, ["day"])
+    q.processAllAvailable()
+    q.stop()
+    return t.spark.read.parquet(f"{out}/data").groupBy("day").agg(F.count("*").alias("n"), F.count("value").alias("with_value"))
+
+
 @query("str_silver_fhir", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'error' GROUP BY 1")
 def str_silver_fhir(t: Tables):
     src, out = _event_files(t), scratch(t)

@@ -80,6 +80,19 @@ def keyword_risk(t: Tables):
     return d.select("doc_id", *flags, F.round(sum((C(c).cast("int") for c in flags), F.lit(0)) / 8.0, 6).alias("risk"))
 
 
+_FAMILIES = [*X.KEYWORDS, "overdose"]
+
+
+@query("agg_narrative_factors", f"""SELECT lang, doc_id % 4 + 2020 AS year, count(*) AS n, round(avg(({_SUM}) / 8.0), 7) AS mean_risk, {', '.join(f'count_if({c}) AS {c}' for c in _FAMILIES)}
+ FROM (SELECT doc_id, lang, {_FLAGS}, contains(low, 'overdose') OR regexp_matches(low, '(^|[^a-z0-9])od([^a-z0-9]|$)') AS overdose FROM (SELECT doc_id, lang, lower(text) AS low FROM documents)) GROUP BY 1, 2""")
+def agg_narrative_factors(t: Tables):
+    """Of each language and year: texts, how many hold each factor, and the mean risk."""
+    flags = X.keyword_flags(C("text"))
+    risk = sum((C(c).cast("int") for c in flags), F.lit(0)) / 8.0
+    d = t.documents.withColumns(flags)
+    return d.groupBy("lang", (C("doc_id") % 4 + 2020).alias("year")).agg(F.count("*").alias("n"), F.round(F.avg(risk), 7).alias("mean_risk"), *(F.count_if(c).alias(c) for c in flags))
+
+
 @query("narrative_concat", "SELECT conv_id, turn, concat_ws(' | ', nullif(role, 'system'), text) AS narrative FROM conversations")
 def narrative_concat(t: Tables):
     return t.conversations.select("conv_id", "turn", F.concat_ws(" | ", F.nullif("role", F.lit("system")), "text").alias("narrative"))
@@ -105,6 +118,17 @@ def med_guard(t: Tables):
     return j.groupBy("o_custkey").agg((F.count("*") - F.countDistinct("l_partkey") > 0).alias("duplicate_therapy"), F.bool_or(C("p_size") > 45).alias("high_risk"), F.bool_or(C("p_partkey") % 97 == C("o_custkey") % 97).alias("allergy"))
 
 
+@query("med_guard_allergies", """WITH a AS (SELECT c_custkey, [CASE WHEN c_custkey % 3 = 0 THEN 'COLD' ELSE 'none known' END, CASE WHEN c_custkey % 4 = 1 THEN 'bolt' END] AS allergies FROM customer),
+ j AS (SELECT DISTINCT o_custkey, p_name, x FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN (SELECT c_custkey, unnest(allergies) AS x FROM a) ON c_custkey = o_custkey WHERE contains(lower(p_name), lower(x)))
+ SELECT o_custkey, p_name, 'CONTRAINDICATION: allergic to ' || string_agg(x, ', ' ORDER BY x) AS message FROM j GROUP BY 1, 2""")
+def med_guard_allergies(t: Tables):
+    """Each customer's list of allergies against the names of what was ordered, in letters of either case; null entries match nothing."""
+    listed = t.customer.select(C("c_custkey").alias("o_custkey"), F.array(F.when(C("c_custkey") % 3 == 0, "COLD").otherwise("none known"), F.when(C("c_custkey") % 4 == 1, "bolt")).alias("allergies"))
+    given = t.orders.join(t.lineitem, C("l_orderkey") == C("o_orderkey")).join(t.part, C("p_partkey") == C("l_partkey")).select("o_custkey", "p_name").distinct()
+    hits = F.array_sort(F.filter("allergies", lambda a: F.coalesce(F.contains(F.lower("p_name"), F.lower(a)), F.lit(False))))
+    return given.join(listed, "o_custkey").withColumn("hits", hits).filter(F.size("hits") > 0).select("o_custkey", "p_name", F.concat(F.lit("CONTRAINDICATION: allergic to "), F.array_join("hits", ", ")).alias("message"))
+
+
 @query("score_guard", "SELECT doc_id, concat_ws(',', CASE WHEN n_chars NOT BETWEEN 50 AND 20000 THEN 'out_of_range' END, CASE WHEN lang = 'en' AND n_chars < 100 THEN 'unjustified' END, CASE WHEN source = 'src0' AND lang <> 'en' THEN 'category_mismatch' END) AS violations FROM documents")
 def score_guard(t: Tables):
     v = F.array_compact(F.array(F.when(~C("n_chars").between(50, 20000), "out_of_range"), F.when((C("lang") == "en") & (C("n_chars") < 100), "unjustified"), F.when((C("source") == "src0") & (C("lang") != "en"), "category_mismatch")))
