@@ -11,7 +11,9 @@ symbols and of assignments, whether such a word occurs), decoded by Viterbi over
 The field learns from the spans of the patterns, on at most SAMPLE_ROWS documents of at
 most SAMPLE_CHARS characters: the rows with the smallest hash of id and text, so the
 same documents give the same field. Those with spans teach twice, the second time without
-the features of neighbours and telling words, so that the shape of a secret counts where no such word stands by it. What the field
+the features of neighbours and telling words, so that the shape of a secret counts where no such word stands by it, and then in
+forms that the patterns do not know: capital letters, letters and digits of all kinds, other words in the place of the telling ones.
+Stretches without a secret teach in turns, a part of them in each step, so that all of them teach in the time of a few. What the field
 adds are spans of MIN_SPAN bytes or more that touch none of the patterns' spans. Scanning itself covers all rows
 and whole texts and moves no row.
 
@@ -197,50 +199,69 @@ class Field:
             out += w[f]
         return out
 
-    def fit(self, feats: list[np.ndarray], tags: np.ndarray, first: np.ndarray, steps: int = 60, rate: float = 0.4, l2: float = 1e-3, piece: int = 64) -> None:
-        """Maximise the conditional likelihood of the tags by gradient ascent; texts are cut to pieces of that many tokens."""
+    def fit(self, feats: list[np.ndarray], tags: np.ndarray, first: np.ndarray, more: tuple | None = None, steps: int = 60, rate: float = 0.4, l2: float = 1e-5, piece: int = 64, plain_tokens: int = 40_000) -> None:
+        """Maximise the conditional likelihood of the tags by gradient ascent; texts are cut to pieces of that many tokens.
+
+        Each step takes all pieces with a secret and an equal part of the others, about plain_tokens, which count for all of them. more: features, tags
+        and firsts of varied texts, of which only pieces with a secret are taken.
+        """
+        n = len(tags)
+        if more is not None:
+            feats, first = [np.concatenate(x) for x in zip(feats, more[0])], np.append(first, n + more[2][1:])
+            tags = np.concatenate([tags, more[1]])
         cuts = np.concatenate([np.arange(a, b, piece) for a, b in zip(first[:-1], first[1:])] or [np.zeros(0, int)])
         if not len(cuts) or not (tags != O).any():
             return
         self.taught = True
         size = np.diff(np.append(cuts, len(tags)))
-        cuts, size = cuts[o := np.argsort(-size, kind="stable")], size[o]
-        live = [int((size > t).sum()) for t in range(int(size[0]))]
-        n, m = len(tags), len(cuts)
+        secret = np.add.reduceat(tags != O, cuts) > 0
+        plain = np.flatnonzero(~secret & (cuts < n))
+        parts = int(max(1, -(-int(size[plain].sum()) // plain_tokens)))
+        batches = []
+        for k in range(parts):
+            of = np.concatenate([np.flatnonzero(secret), plain[k::parts]])
+            of = of[np.argsort(-size[of], kind="stable")]
+            group, place = spread(size[of])
+            token = cuts[of][group] + place
+            worth = np.where(secret[of], 1.0, parts)
+            here = np.cumsum(size[of]) - size[of]
+            y, w = tags[token], worth[group]
+            gold = np.zeros((len(token), 3))
+            gold[np.arange(len(token)), y] = w
+            at = np.flatnonzero(place > 0)
+            pairs = np.zeros((3, 3))
+            np.add.at(pairs, (y[at - 1], y[at]), w[at])
+            live = [int((size[of] > t).sum()) for t in range(int(size[of[0]]))]
+            batches.append(([f[token] for f in feats], gold, w[:, None], here, live, at, pairs))
         weights = [*self.emit, self.move, self.start]
         mean, var = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-        gold = np.zeros((n, 3))
-        gold[np.arange(n), tags] = 1
-        pairs = np.zeros((3, 3))
-        inner = np.ones(n, bool)
-        inner[cuts] = False
-        np.add.at(pairs, (tags[np.flatnonzero(inner) - 1], tags[inner]), 1)
-        opening = gold[cuts].sum(0)
-
-        at = np.flatnonzero(inner)
+        m = int(secret.sum()) + len(plain)
+
         for step in range(1, steps + 1):
-            e = self.scores(feats)
+            held, gold, worth, cut, live, at, pairs = batches[step % parts]
+            n = len(gold)
+            e = self.scores(held)
             e = np.exp(e - e.max(1, keepdims=True))  # scaled to sum to 1 at each token, so nothing underflows
             move = np.exp(self.move)
             fwd, bwd = np.empty((n, 3)), np.ones((n, 3))
-            fwd[cuts] = np.exp(self.start) * e[cuts]
-            fwd[cuts] /= fwd[cuts].sum(1, keepdims=True)
+            fwd[cut] = np.exp(self.start) * e[cut]
+            fwd[cut] /= fwd[cut].sum(1, keepdims=True)
             for t in range(1, len(live)):
-                here = cuts[: live[t]] + t
+                here = cut[: live[t]] + t
                 a = (fwd[here - 1] @ move) * e[here]
                 fwd[here] = a / a.sum(1, keepdims=True)
             for t in range(len(live) - 1, 0, -1):
-                here = cuts[: live[t]] + t
+                here = cut[: live[t]] + t
                 b = (e[here] * bwd[here]) @ move.T
                 bwd[here - 1] = b / b.sum(1, keepdims=True)
             prob = fwd * bwd
-            prob /= prob.sum(1, keepdims=True)
+            prob *= worth / prob.sum(1, keepdims=True)
             after = e[at] * bwd[at]
-            weight = 1 / ((fwd[at - 1] @ move) * after).sum(1, keepdims=True)
+            weight = worth[at] / ((fwd[at - 1] @ move) * after).sum(1, keepdims=True)
             both = ((fwd[at - 1] * weight).T @ after) * move
             diff = gold - prob
-            grads = [np.stack([np.bincount(f, diff[:, k], len(w)) for k in range(3)], 1) for f, w in zip(feats, self.emit)]
-            grads += [pairs - both, opening - prob[cuts].sum(0)]
+            grads = [np.stack([np.bincount(f, diff[:, k], len(w)) for k in range(3)], 1) for f, w in zip(held, self.emit)]
+            grads += [pairs - both, diff[cut].sum(0)]
             for w, g, m1, m2 in zip(weights, grads, mean, var):
                 g = g / m - l2 * np.where(w > _NEVER / 2, w, 0)
                 m1 += 0.1 * (g - m1)
@@ -283,15 +304,43 @@ class Field:
         return tags
 
 
+_LETTERS = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+_MIXED = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567890123456789", np.uint8)
+
+
+def varied(text: np.ndarray, spans: list[tuple[int, int, int]], form: int, rng: np.random.Generator) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """A text with its secrets in another form, and where they are then: 0 in capitals, 1 of letters of both cases and digits, cut off at some length, the rest a word. Telling words become other words."""
+    out, places = text.copy(), []
+    for s, kind, e in spans:
+        if kind == 0:
+            m = ASSIGN.match(text[s:e].tobytes())
+            out[s : s + m.end(1)] = rng.choice(_LETTERS, m.end(1))
+            s += m.start(2)
+        part = out[s:e]
+        if form == 0:
+            out[s:e] = np.where((part >= 97) & (part <= 122), part - 32, part)
+        else:
+            out[s:e] = rng.choice(_MIXED, e - s)
+            if e - s > 20:
+                end = s + int(rng.integers(16, e - s))
+                out[end:e] = rng.choice(_LETTERS, e - end)
+                out[end] = 32
+                e = end
+        places.append((s, 1, e))
+    return out, places
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Field:
     rows = max(1, docs.count())
     most = min(2**63 - 1, -(2**63) + int(2**64 * 1.5 * sample_rows / rows))  # hashes beyond this one are not among the smallest sample_rows
     few = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).filter((F.col("h") <= most) & (F.length("text") <= sample_chars))
     texts = few.orderBy("h", "text").limit(sample_rows).select("text").toArrow()["text"]
     field = Field()
-    feats, tags, sizes = [], [], []
+    seen, extra = ([], [], []), ([], [], [])
+    rng = np.random.default_rng(0)
 
-    def teach(data: np.ndarray, off: np.ndarray, spans: list, hide: bool) -> None:
+    def teach(data: np.ndarray, off: np.ndarray, spans: list, hide: bool, to: tuple) -> None:
+        feats, tags, sizes = to
         start, end, first = tokens(data, off)
         if not len(start):
             return
@@ -312,11 +361,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     for _, _, data, off in doc_chunks(texts):
         raw = [data[a:b] for a, b in zip(off[:-1], off[1:])]
         spans = [base_spans(x.tobytes()) if maybe else [] for x, maybe in zip(raw, may_match(data, off).tolist())]
-        teach(data, off, spans, False)
+        teach(data, off, spans, False, seen)
         if some := [k for k, x in enumerate(spans) if x]:
-            teach(np.concatenate([raw[k] for k in some]), np.append(0, np.cumsum([len(raw[k]) for k in some])), [spans[k] for k in some], True)
-    if sizes:
-        field.fit([np.concatenate(x) for x in zip(*feats)], np.concatenate(tags), np.append(0, np.cumsum(sizes)))
+            which, places = [spans[k] for k in some], np.append(0, np.cumsum([len(raw[k]) for k in some]))
+            teach(np.concatenate([raw[k] for k in some]), places, which, True, seen)
+            for form in (0, 1):
+                other = [varied(raw[k], spans[k], form, rng) for k in some]
+                for hide in (False, True):
+                    teach(np.concatenate([x for x, _ in other]), places, [x for _, x in other], hide, extra)
+    joined = lambda x: ([np.concatenate(f) for f in zip(*x[0])], np.concatenate(x[1]), np.append(0, np.cumsum(x[2])))
+    if seen[2]:
+        field.fit(*joined(seen), more=joined(extra) if extra[2] else None)
     return field
 
 
