@@ -169,6 +169,33 @@ def rogan_gladen(positive: Column, n: Column, sensitivity: float, specificity: f
     return F.least(F.greatest((positive / n + specificity - 1) / (sensitivity + specificity - 1), F.lit(0.0)), F.lit(1.0))
 
 
+def logit_by_cluster(d: DataFrame, y: str, terms: list[str], cluster: str) -> DataFrame:
+    """Logistic regression of y (0 or 1) on any number of terms: one row for each, and the intercept, with an error robust to clusters, z and p.
+
+    Scores are summed for each cluster where its rows are; of them and of the information only sums of products, (terms + 1)^2 numbers, reach the
+    driver. Errors carry the usual factor clusters / (clusters - 1).
+    """
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    v = VectorAssembler(inputCols=terms, outputCol="_v").transform(d.filter(F.col(y).isNotNull()).withColumn("_y", F.col(y).cast("double")).select("_y", cluster, *(F.col(t).cast("double").alias(t) for t in terms)).dropna())
+    m = LogisticRegression(featuresCol="_v", labelCol="_y", maxIter=200, tol=1e-12, standardization=False).fit(v)
+    beta = [float(m.intercept), *(float(b) for b in m.coefficients)]
+    names = ["intercept", *terms]
+    x = [F.lit(1.0), *(F.col(t) for t in terms)]
+    k = range(len(x))
+    p = 1 / (1 + F.exp(-sum((F.lit(b) * c for b, c in zip(beta, x)), F.lit(0.0))))
+    one = v.withColumn("_p", p).agg(*(F.sum(F.col("_p") * (1 - F.col("_p")) * x[i] * x[j]).alias(f"b{i}_{j}") for i in k for j in k)).first()
+    u = v.withColumn("_p", p).groupBy(cluster).agg(*(F.sum((F.col("_y") - F.col("_p")) * x[i]).alias(f"u{i}") for i in k))
+    two = u.agg(*(F.sum(F.col(f"u{i}") * F.col(f"u{j}")).alias(f"m{i}_{j}") for i in k for j in k), F.count("*").alias("n")).first()
+    bread, meat = (np.array([[r[f"{c}{i}_{j}"] for j in k] for i in k]) for r, c in ((one, "b"), (two, "m")))
+    inverse = np.linalg.inv(bread)
+    se = np.sqrt(np.diag(inverse @ meat @ inverse) * two.n / max(two.n - 1, 1))
+    rows = [(t, b, math.exp(b), float(e), b / float(e), math.erfc(abs(b / float(e)) / math.sqrt(2)), two.n) for t, b, e in zip(names, beta, se)]
+    return d.sparkSession.createDataFrame(rows, "term string, log_odds double, odds_ratio double, robust_se double, z double, p double, clusters long")
+
+
 # ---------------------------------------------------------------- interrupted series
 
 

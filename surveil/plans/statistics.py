@@ -169,6 +169,13 @@ def stat_logit_cluster(t: Tables):
     return bread.crossJoin(meat).select(F.lit(float(m.coefficients[0])).alias("log_odds"), F.exp(F.lit(float(m.coefficients[0]))).alias("odds_ratio"), F.sqrt(var).alias("robust_se"), "clusters")
 
 
+@query("stat_logit_cluster_terms")
+def stat_logit_cluster_terms(t: Tables):
+    """The same for several covariates at once, a row for each."""
+    d = t.events.select((C("event_type") == "purchase").cast("int").alias("buys"), (C("value") > 50).cast("int").alias("high"), F.dayofweek("ts").alias("weekday"), (C("user_id") % 2).alias("arm"), "user_id")
+    return S.logit_by_cluster(d, "buys", ["high", "weekday", "arm"], "user_id")
+
+
 @query("stat_icc", """WITH g AS (SELECT user_id, count(*) AS n, avg(value) AS m, coalesce(var_samp(value), 0) AS v FROM events GROUP BY 1), s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * n) AS nn, sum(n * m) AS nm, sum(n * m * m) AS nmm, sum(v * (n - 1)) AS w FROM g)
  SELECT round(greatest((b - w1) / (b + (n0 - 1) * w1), 0), 8) AS icc FROM (SELECT (nmm - nm * nm / n) / (k - 1) AS b, w / (n - k) AS w1, (n - nn / n) / (k - 1) AS n0 FROM s)""")
 def stat_icc(t: Tables):

@@ -170,6 +170,16 @@ def page_tables(t: Tables):
     return t.pages.select("page_id", F.posexplode(X.tables(C("html"))).alias("n", "x")).filter(F.size("x") > 0).select("page_id", "n", F.size("x").alias("n_rows"))
 
 
+@query("page_tables_read", "SELECT n_regionkey AS page_id, CAST(0 AS INTEGER) AS n, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS line, concat_ws('|', n_nationkey, n_name) AS cells FROM nation UNION ALL SELECT DISTINCT n_regionkey, CAST(0 AS INTEGER), CAST(0 AS INTEGER), 'key|nation' FROM nation")
+def page_tables_read(t: Tables):
+    """Pages with a table of each region's nations, an empty table and a list; the tables' rows come back as cells."""
+    n = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("ns"))
+    body = F.concat_ws("\n", F.transform("ns", lambda x: F.concat(F.lit("<tr class='r'><td>"), x["n_nationkey"].cast("string"), F.lit("</td><TD> <b>"), x["n_name"], F.lit("</b></TD></tr>"))))
+    html = F.concat(F.lit("<p>nations</p><table border=1><tr><th>key</th><th>nation</th></tr>"), body, F.lit("</table><table></table><ul><li>x</li></ul>"))
+    pages = n.select(C("n_regionkey").alias("page_id"), F.posexplode(X.tables(html)).alias("n", "x"))
+    return pages.select("page_id", "n", F.posexplode("x").alias("line", "c")).select("page_id", "n", "line", F.array_join("c", "|").alias("cells"))
+
+
 @query("table_cells", r"SELECT DISTINCT trim(c) AS cell FROM (SELECT unnest(regexp_extract_all(html, '<(?:td|li|h[1-6])[^>]*>([^<]+)<', 1)) AS c FROM pages) WHERE regexp_matches(trim(c), '^[A-Z][a-z]+')")
 def table_cells(t: Tables):
     cell = F.explode(F.regexp_extract_all("html", F.lit(r"<(?:td|li|h[1-6])[^>]*>([^<]+)<"), 1))

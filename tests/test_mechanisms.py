@@ -162,6 +162,26 @@ def test_interrupted_series_against_matrices(spark):
         assert row.effect == pytest.approx(row.fitted - row.counterfactual if row.t >= at else 0.0, abs=1e-9)
 
 
+def test_logit_by_cluster_against_matrices(spark):
+    rng = np.random.default_rng(9)
+    n = 400
+    x = np.column_stack([np.ones(n), rng.normal(size=n), rng.integers(0, 2, n), rng.normal(size=n)])
+    cluster = rng.integers(0, 25, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(x @ [0.2, 0.8, -0.5, 0.0] + rng.normal(size=25)[cluster])))).astype(float)
+    beta = np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p))
+    p = 1 / (1 + np.exp(-x @ beta))
+    inverse = np.linalg.inv((x * (p * (1 - p))[:, None]).T @ x)
+    u = np.array([((y - p)[:, None] * x)[cluster == c].sum(0) for c in np.unique(cluster)])
+    se = np.sqrt(np.diag(inverse @ u.T @ u @ inverse) * len(u) / (len(u) - 1))
+    d = spark.createDataFrame([(int(a), float(b[1]), int(b[2]), float(b[3]), int(c)) for a, b, c in zip(y, x, cluster)] + [(None, 1.0, 1, 1.0, 1), (1, None, 1, 1.0, 1)], "y int, a double, b int, c double, g int")
+    got = S.logit_by_cluster(d, "y", ["a", "b", "c"], "g").collect()
+    assert [r.term for r in got] == ["intercept", "a", "b", "c"]
+    assert np.allclose([r.log_odds for r in got], beta, atol=1e-5) and np.allclose([r.robust_se for r in got], se, rtol=1e-4)
+
+
 def test_negative_binomial_quantiles():
     for mean, variance in ((3.0, 3.0), (3.0, 12.0), (40.0, 90.0), (0.2, 0.5), (500.0, 5000.0)):
         size = mean * mean / max(variance - mean, 1e-7 * mean)
