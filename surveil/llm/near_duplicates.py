@@ -39,6 +39,18 @@ _TERM = stream64(52, COORDINATES)
 _PLACE = stream64(53, COORDINATES)
 _ZSTD = pa.Codec("zstd", 3)
 _BITS = 1 << 20
+_RUN = 1 << 18  # bytes of text at once: hashing takes some forty times as much; a longer text comes alone
+
+
+def _runs(packed: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Deflated texts in runs of about _RUN bytes, inflated."""
+    lo, raw, held = 0, [], 0
+    for k, z in enumerate(packed):
+        raw.append(_inflate(z))
+        held += len(raw[-1])
+        if held > _RUN or k + 1 == len(packed):
+            yield lo, raw
+            lo, raw, held = k + 1, [], 0
 
 
 def _deflate(raw: bytes) -> bytes:
@@ -71,7 +83,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int = SHINGLE) -> D
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, off in doc_chunks(b.column(1)):
+            for lo, hi, data, off in doc_chunks(b.column(1), _RUN):
                 g, first = shingle_sets(data, off, n)
                 size = np.diff(first)
                 some = np.flatnonzero(size)
@@ -235,8 +247,8 @@ def links_of(sets: list[np.ndarray], per_cent: int = PER_CENT, limit: int = LIMI
                 return
 
 
-def _links_of_many(size: np.ndarray, token: np.ndarray, holder: np.ndarray, first: np.ndarray, begin: np.ndarray, per_cent: int, step: int = 128) -> Iterator[tuple[int, int]]:
-    """All pairs, some rows at a time: tokens that many sets hold by a product of matrices, the others by the lists of their holders."""
+def _links_of_many(size: np.ndarray, token: np.ndarray, holder: np.ndarray, first: np.ndarray, begin: np.ndarray, per_cent: int, held: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """All pairs, some rows at a time: tokens that many sets hold by a product of matrices, the others by the lists of their holders, of which about `held` are spread out at once."""
     n, many = len(size), np.diff(first)
     root = np.arange(n)
     common = np.flatnonzero(many > n // 8)
@@ -245,8 +257,10 @@ def _links_of_many(size: np.ndarray, token: np.ndarray, holder: np.ndarray, firs
     dense = np.zeros((n, len(common)), np.float32)
     of = np.repeat(np.arange(n), size)
     dense[of[column[token] >= 0], column[token][column[token] >= 0]] = 1
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
+    spread_out = np.append(0, np.cumsum(np.where(column[token] < 0, many[token], 0)))[begin]  # up to each set
+    lo = 0
+    while lo < n:
+        hi = min(n, lo + max(1, min(128, held // n, int(np.searchsorted(spread_out, spread_out[lo] + held, "right")) - 1 - lo)))
         both = dense[lo:hi] @ dense.T
         mine = np.arange(begin[lo], begin[hi])
         mine = mine[(column[token[mine]] < 0) & (many[token[mine]] > 1)]
@@ -255,6 +269,7 @@ def _links_of_many(size: np.ndarray, token: np.ndarray, holder: np.ndarray, firs
         both += np.bincount(at, minlength=(hi - lo) * n).reshape(hi - lo, n)
         a, b = np.nonzero(100 * both >= per_cent * (size[lo:hi, None] + size - both))
         root = forest(n, np.append(a + lo, np.arange(n)), np.append(b, root))
+        lo = hi
     for k in np.flatnonzero(root != np.arange(n)).tolist():
         yield k, int(root[k])
 
@@ -297,9 +312,8 @@ def compare(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, n:
     def run(batches):
         at, ids, sets = None, [], []
         for b in batches:
-            for c in range(0, b.num_rows, 500):
-                part = b.slice(c, 500)
-                raw = [_inflate(z) for z in part.column(2).to_pylist()]
+            for lo, raw in _runs(b.column(2).to_pylist()):
+                part = b.slice(lo, len(raw))
                 off = np.append(0, np.cumsum([len(r) for r in raw]))
                 g, first = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), off, n)
                 found = []
