@@ -13,7 +13,7 @@ The given vocabulary was made for merging; here its scores are used as path scor
 
 Each distinct stretch goes through the lattice once. The commonest (at most `common`) are encoded first and sent to all tasks,
 which compare them byte by byte. Documents are dealt to buckets of about BUCKET bytes of text by a hash. The other stretches of a bucket are dealt by their text to
-meet their paths, and the paths travel to the bucket, where they come before its documents. A path tells its stretch. Which stretches are sent never changes the result.
+meet their paths, and the paths travel to the bucket, those of one task and bucket packed together, where they come before its documents. A path tells its stretch. Which stretches are sent never changes the result.
 
 Null texts give null pieces and empty ones give none. Repeated rows give repeated rows; other columns are ignored.
 """
@@ -131,8 +131,7 @@ _ROLL = Rolling(61)
 _ZSTD = pa.Codec("zstd", 1)
 
 
-def _deflate(text: str) -> bytes:
-    raw = text.encode()
+def _deflate(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
@@ -140,6 +139,32 @@ def _inflate(z: bytes) -> bytes:
     return _ZSTD.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True)
 
 
+def _bundles(batches, narrow: np.dtype, held: int = 1 << 16):
+    """Rows (b, ids) in runs of about `held`, one row for each b of a run: the number of its paths, their sizes, their ids."""
+
+    def send(parts):
+        to, size, ids = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(to, kind="stable")
+        which, place = spread(size[order])
+        begin = np.cumsum(size) - size
+        ids, size, to = ids[begin[order][which] + place], size[order], to[order]
+        edge = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
+        cuts = np.append(0, np.cumsum(size))
+        z = [_deflate(int(k - j).to_bytes(4, "little") + size[j:k].astype(np.uint32).tobytes() + ids[cuts[j] : cuts[k]].astype(narrow).tobytes()) for j, k in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(to[edge[:-1]]), pa.nulls(len(z), pa.int64()), pa.array(z, pa.binary()), pa.array([True] * len(z))], names=["b", "doc_id", "z", "is_path"])
+
+    parts, n = [], 0
+    for b in batches:
+        lists = b.column(1)
+        parts.append((b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy()))
+        n += len(lists)
+        if n > held:
+            yield send(parts)
+            parts, n = [], 0
+    if n:
+        yield send(parts)
+
+
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return _ROLL.of(_ROLL.sums(BYTE_VALUE[1][data]), start, end)
 
@@ -242,12 +267,15 @@ class Paths:
         self.ids.append(ids)
         self.size.append(size)
 
-    def add(self, lists: pa.ListArray, data: np.ndarray, off: np.ndarray) -> None:
-        ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        size = off[ids + 1] - off[ids]
-        raw = gather(data, off[ids], size).tobytes()
-        cuts = np.append(0, np.cumsum(size))[ends - ends[0]].tolist()
-        self.put([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])], ids, np.diff(ends))
+    def add(self, packed: bytes, narrow: np.dtype, data: np.ndarray, off: np.ndarray) -> None:
+        raw = _inflate(packed)
+        n = int.from_bytes(raw[:4], "little")
+        size = np.frombuffer(raw, np.uint32, n, 4).astype(np.int64)
+        ids = np.frombuffer(raw, narrow, -1, 4 + 4 * n).astype(np.int32)
+        length = off[ids + 1] - off[ids]
+        words_ = gather(data, off[ids], length).tobytes()
+        cuts = np.append(0, np.cumsum(length))[np.append(0, np.cumsum(size))].tolist()
+        self.put([words_[a:b] for a, b in zip(cuts[:-1], cuts[1:])], ids, size)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and where each path's begin."""
@@ -327,12 +355,13 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     often, size = _common(texts, common, longest, meet)
     known = send(Known.of(lattice(often.repartition(parts, "word"), pieces).toArrow()))
     scores = dict(zip(pieces.table["piece"].to_pylist(), zip(pieces.table["id"].to_pylist(), pieces.table["score"].to_pylist())))
+    row, narrow = "b long, doc_id long, z binary, is_path boolean", np.min_scalar_type(len(pieces.raw))
     vocabulary = send(((scores, pieces.longest, _low(pieces), pieces.byte_ids), *_raw(pieces)))
 
     def packed(batches):
         for b in batches:
-            z = [_deflate(t.as_py()) if t.is_valid else b"" for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["b", "doc_id", "z"])
+            z = [_deflate(t.as_py().encode()) if t.is_valid else b"" for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary()), pa.array([False] * len(z))], names=["b", "doc_id", "z", "is_path"])
 
     def others(batches):
         for b in batches:
@@ -350,13 +379,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
         have, (table_, *raw_pieces) = known.value, vocabulary.value
         at_bucket, paths = None, Paths()
         for b in batches:
-            to, is_path = b.column(0).to_numpy(), b.column(2).is_null().to_numpy(zero_copy_only=False)
+            to, is_path = b.column(0).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (is_path[1:] != is_path[:-1]))).tolist()
             for first, last in zip(edges, [*edges[1:], len(to)]):
                 if to[first] != at_bucket:
                     at_bucket, paths = to[first], Paths()
                 if is_path[first]:
-                    paths.add(b.column(3).slice(first, last - first), *raw_pieces)
+                    for z in b.column(2).slice(first, last - first).to_pylist():
+                        paths.add(z, narrow, *raw_pieces)
                     continue
                 for lo, texts_ in _slices(b.column(2).slice(first, last - first)):
                     data, row, start, end = stretches(texts_, meet.value)
@@ -388,9 +418,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     keyed = texts.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // bucket + 1)).alias("b"), "doc_id", "text")
     rare = keyed.select("b", "text").mapInArrow(others, "b long, rare array<string>").select("b", F.explode("rare").alias("word")).repartition(parts, "word")
     once = rare.groupBy("word").agg(F.min("b").alias("b")).filter("b >= 0").select("word")  # true of all; so both sides need the same columns and share the dealing
-    paths = rare.join(lattice(once, pieces), "word").select("b", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("z"), "ids")
-    dealt = keyed.mapInArrow(packed, "b long, doc_id long, z binary").withColumn("ids", F.lit(None).cast("array<int>"))
-    dealt = paths.unionByName(dealt).repartition(parts, "b").sortWithinPartitions("b", F.col("z").isNotNull())  # a bucket's paths, then its texts
+    paths = rare.join(lattice(once, pieces), "word").select("b", "ids").mapInArrow(lambda batches: _bundles(batches, narrow), row)
+    dealt = paths.unionByName(keyed.mapInArrow(packed, row)).repartition(parts, "b").sortWithinPartitions("b", ~F.col("is_path"))  # a bucket's paths, then its texts
     return dealt.mapInArrow(joined, "doc_id long, text string, ids array<int>")
 
 
