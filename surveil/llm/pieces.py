@@ -26,8 +26,8 @@ from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -432,15 +432,15 @@ def decode(rows: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids",
     """rows with the text of their pieces. Null pieces give null."""
     sent = rows.sparkSession.sparkContext.broadcast(_raw(pieces or load()))
 
-    @F.pandas_udf(T.StringType())
-    def text(lists: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def text(lists: pa.Array) -> pa.Array:
         data, off = sent.value
-        ids = np.concatenate([np.zeros(0, np.int64), *(x for x in lists if x is not None)]).astype(np.int64)
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         size = off[ids + 1] - off[ids]
         all_ = gather(data, off[ids], size).tobytes()
         ends = np.append(0, np.cumsum(size))
-        cuts = ends[np.append(0, np.cumsum([0 if x is None else len(x) for x in lists]))].tolist()
-        return pd.Series([None if x is None else all_[a:b].decode()[1:] for x, a, b in zip(lists, cuts[:-1], cuts[1:])], dtype=object)
+        cuts = ends[np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))].tolist()
+        return pa.array([all_[a:b].decode()[1:] if full else None for full, a, b in zip(lists.is_valid().to_pylist(), cuts[:-1], cuts[1:])], pa.string())
 
     return rows.withColumn(out, text(F.col(ids_col)))
 
