@@ -25,10 +25,12 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, ri
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int) -> DataFrame:
-    """An inner join in which each key of left is spread over so many tasks, equal rows too; right is repeated as often."""
+    """An inner join in which each key of left is spread over so many tasks, equal rows too; right is repeated as often.
+
+    Both sides are shuffled: Spark's estimate of right's size leaves its repeats out, so it would be sent whole through the driver."""
     a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(salts)))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return a.join(b, [key, "_salt"]).drop("_salt")
+    return a.join(b.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.05, salts: int = 16) -> DataFrame:

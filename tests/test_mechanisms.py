@@ -134,6 +134,13 @@ def test_salted_join_spreads_equal_rows(spark):
     assert J.salted_join(a, b, "k", 8).count() == 200
 
 
+def test_salted_join_sends_no_side_through_the_driver(spark, tmp_path):
+    spark.range(200).write.parquet(f"{tmp_path}/k")
+    k = spark.read.parquet(f"{tmp_path}/k").withColumnRenamed("id", "k")  # small enough to be broadcast
+    plan = J.salted_join(k, k, "k", 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 # ---------------------------------------------------------------- series and counts
 
 
