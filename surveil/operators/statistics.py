@@ -42,13 +42,19 @@ def anova(df: DataFrame, group: Column, value: Column) -> DataFrame:
 
 
 def chi_square(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """One row: Pearson's statistic of the two-way table and its degrees of freedom."""
+    """One row: Pearson's statistic of the two-way table and its degrees of freedom. Counts are multiplied as doubles and decimals, since their products pass 64 bits."""
     cell = df.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"))
     ra, rb = cell.groupBy("a").agg(F.sum("n").alias("na")), cell.groupBy("b").agg(F.sum("n").alias("nb"))
     total = cell.agg(F.sum("n").alias("t"))
-    # empty cells count too: sum n^2 / e - t covers them without listing them
-    s = cell.join(ra, "a").join(rb, "b").crossJoin(F.broadcast(total)).agg(F.sum(F.col("n") * F.col("n") * F.col("t") / (F.col("na") * F.col("nb"))).alias("s"), F.first("t").alias("t"), ((F.countDistinct("a") - 1) * (F.countDistinct("b") - 1)).alias("df"))
-    return s.select((F.col("s") - F.col("t")).alias("chi2"), "df")
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    expected = F.col("na").cast("double") * F.col("nb") / F.col("t")
+    full = cell.join(ra, "a").join(rb, "b").crossJoin(F.broadcast(total)).withColumn("e", expected)
+    # cells without rows add what is expected of them: the total less what is expected of the others, in whole numbers, without listing them
+    listed = F.sum((whole("na") * whole("nb")).cast("decimal(38,0)"))
+    s = full.agg(F.sum(F.pow(F.col("n") - F.col("e"), 2) / F.col("e")).alias("s"), F.first("t").alias("t"), listed.alias("listed"))
+    sides = ra.agg((F.countDistinct("a") - 1).alias("da")).crossJoin(rb.agg((F.countDistinct("b") - 1).alias("db")))  # one row each
+    empty = ((whole("t") * whole("t")).cast("decimal(38,0)") - F.col("listed")).cast("double") / F.col("t")
+    return s.crossJoin(sides).select((F.col("s") + empty).alias("chi2"), (F.col("da") * F.col("db")).alias("df"))
 
 
 def beta_tail(x: float, a: float, b: float) -> float:

@@ -77,6 +77,29 @@ def test_profiles(spark):
     assert [tuple(x) for x in P.modes(df.limit(0), ["s"]).collect()] == [("s", 0, None, None)]
 
 
+# ---------------------------------------------------------------- two-way tables
+
+
+def test_chi_square_of_many_rows(spark):
+    """Products of three counts pass 64 bits; a balanced table has a statistic of nought."""
+    r = S.chi_square(spark.range(8_000_000), C("id") % 2, C("id") % 5).first()
+    assert (r.chi2, r.df) == (0.0, 4)
+
+
+def test_chi_square_with_empty_cells_and_nulls(spark):
+    rows = [("x", "p")] * 3 + [("x", "q")] * 2 + [("y", "q")] * 4 + [(None, "p"), ("z", None)]
+    r = S.chi_square(spark.createDataFrame(rows, "a string, b string"), C("a"), C("b")).first()
+    a, b = [x for x, _ in rows], [x for _, x in rows]
+    want = 0.0
+    for i in set(a):
+        for j in set(b):
+            e = a.count(i) * b.count(j) / len(rows)
+            want += ((rows.count((i, j)) if None not in (i, j) else 0) - e) ** 2 / e
+    assert r.chi2 == pytest.approx(want, rel=1e-12) and r.df == 2
+    r = S.chi_square(spark.createDataFrame([], "a string, b string"), C("a"), C("b")).first()
+    assert r.chi2 is None
+
+
 # ---------------------------------------------------------------- similar names
 
 
