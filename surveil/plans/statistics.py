@@ -215,7 +215,7 @@ def stat_drift_ks_level(t: Tables):
  SELECT round(exp(-sum(pow(coalesce(n, 0) - na * nb / t, 2) / (na * nb / t)) / 2), 8) AS p FROM r CROSS JOIN k CROSS JOIN t LEFT JOIN c ON c.a = r.a AND c.b = k.b""")
 def stat_chi2_p(t: Tables):
     """Three flags by two states: two degrees of freedom, for which SQL has the closed form."""
-    p = F.udf(lambda x, df: float(S.chi2_p_value(x, df)), "double")  # one row
+    p = F.udf(lambda x, df: None if x is None else float(S.chi2_p_value(x, df)), "double")  # one row
     return S.chi_square(t.lineitem, C("l_returnflag"), C("l_linestatus")).select(F.round(p("chi2", "df"), 8).alias("p"))
 
 
