@@ -24,6 +24,18 @@ def within(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, ri
     return a.join(b, [*keys, "_cell"]).filter(F.abs(F.col(left_pos) - F.col(right_pos)) <= reach).drop("_cell")
 
 
+def near_places(left: DataFrame, right: DataFrame, la: str, lo: str, la2: str, lo2: str, high: float, wide: float, near: Column) -> DataFrame:
+    """Pairs of distinct places of left and right (columns la and lo of both; right's come as la2 and lo2) for which `near` holds.
+
+    No pair that is near may be further apart than `high` degrees of latitude or `wide` of longitude: the cells that places meet in.
+    """
+    cell = lambda c, size: F.floor(F.col(c) / size)
+    around = F.explode(F.array(*(F.struct((cell(la, high) + i).alias("i"), (cell(lo, wide) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    a = left.select(la, lo).distinct().select(la, lo, around.alias("_c")).select(la, lo, F.col("_c.i").alias("_i"), F.col("_c.j").alias("_j"))
+    b = right.select(F.col(la).alias(la2), F.col(lo).alias(lo2)).distinct().withColumns({"_i": cell(la2, high), "_j": cell(lo2, wide)})
+    return a.join(b, ["_i", "_j"]).filter(near).drop("_i", "_j")
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int) -> DataFrame:
     """An inner join in which each key of left is spread over so many tasks, equal rows too; right is repeated as often.
 

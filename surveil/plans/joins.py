@@ -166,16 +166,24 @@ _RATIO = "100.0 * (1 - levenshtein(lower(trim(x.c_name)), lower(trim(y.c_name)))
  SELECT a, stream, b FROM (SELECT a.event_id AS a, b.event_type AS stream, b.event_id AS b, row_number() OVER (PARTITION BY a.event_id, b.event_type ORDER BY b.value DESC, b.event_id) AS r FROM e a JOIN e b ON b.event_type <> 'error' AND abs(date_diff('day', a.d, b.d)) <= 7 AND b.la BETWEEN a.la - 0.5 AND a.la + 0.5
  AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.la - a.la) / 2), 2) + cos(radians(a.la)) * cos(radians(b.la)) * pow(sin(radians(b.lo - a.lo) / 2), 2)))) <= 50 WHERE a.event_type = 'error') WHERE r = 1""")
 def join_interval_km(t: Tables):
-    """For each error the strongest event of every other stream within seven days and 50 km: cells of a week and half a degree by one."""
+    """For each error the strongest event of every other stream within seven days and 50 km.
+
+    Nearness depends on places and days alone, so places meet once, and of a stream's events only the strongest of each place and day goes on.
+    """
     from ..functions.clinical import haversine_km
 
     e = t.events.select("event_id", "event_type", "value", F.unix_date(C("ts").cast("date")).alias("d"), (30.0 + C("event_id") % 97 / 10.0).alias("la"), (-100.0 + C("event_id") % 89 / 10.0).alias("lo"))
-    i, j = F.floor(C("la") * 2), F.floor("lo")  # half a degree of latitude is more than 50 km, and so is one of longitude up to 60 degrees north
-    around = F.explode(F.array(*(F.struct((i + a).alias("i"), (j + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-    a = e.filter("event_type = 'error'").select(C("event_id").alias("a"), C("d").alias("da"), "la", "lo", around.alias("x")).select("a", "da", "la", "lo", "x.*")
-    b = e.filter("event_type <> 'error'").select(C("event_id").alias("b"), C("event_type").alias("stream"), "value", C("d").alias("db"), C("la").alias("la2"), C("lo").alias("lo2"), i.alias("i"), j.alias("j"))
-    near = J.within(a, b, ["i", "j"], "da", "db", 7).filter(haversine_km(C("la"), C("lo"), C("la2"), C("lo2")) <= 50)
-    return J.newest(near, ["a", "stream"], C("value").desc(), C("b")).select("a", "stream", "b")
+    errors, others = e.filter("event_type = 'error'"), e.filter("event_type <> 'error'")
+    # half a degree of latitude is more than 50 km, and so is one of longitude up to 60 degrees north
+    places = J.near_places(errors, others, "la", "lo", "la2", "lo2", 0.5, 1.0, haversine_km(C("la"), C("lo"), C("la2"), C("lo2")) <= 50)
+    strongest = F.max(F.struct("value", (-C("event_id")).alias("minus"))).alias("s")
+    best = others.groupBy(C("event_type").alias("stream"), C("la").alias("la2"), C("lo").alias("lo2"), "d").agg(strongest)
+    # the days within reach, then the places
+    best = best.withColumn("d", F.explode(F.sequence(C("d") - 7, C("d") + 7))).groupBy("stream", "la2", "lo2", "d").agg(F.max("s").alias("s"))
+    asked = errors.select("la", "lo", "d").distinct().join(places, ["la", "lo"])
+    found = asked.join(best, ["la2", "lo2", "d"]).groupBy("la", "lo", "d", "stream").agg(F.max("s").alias("s"))
+    found = errors.join(found, ["la", "lo", "d"]).groupBy(C("event_id").alias("a"), "stream").agg(F.max("s").alias("s"))
+    return found.select("a", "stream", (-C("s.minus")).alias("b"))
 
 
 @query("join_fuzzy", f"""WITH o AS (SELECT o_orderkey, c_name, c_nationkey, CAST(o_orderdate AS DATE) AS d FROM orders JOIN customer ON c_custkey = o_custkey)

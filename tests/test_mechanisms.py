@@ -77,6 +77,35 @@ def test_profiles(spark):
     assert [tuple(x) for x in P.modes(df.limit(0), ["s"]).collect()] == [("s", 0, None, None)]
 
 
+# ---------------------------------------------------------------- places
+
+
+def test_near_places_are_all_pairs_that_are_near(spark):
+    rng = random.Random(3)
+    rows = [(rng.uniform(-2, 2), rng.uniform(-2, 2)) for _ in range(150)] + [(0.0, 0.0), (0.0, 0.0), (None, 1.0)]
+    a = spark.createDataFrame(rows, "la double, lo double")
+    near = (F.abs(C("la") - C("la2")) <= 0.5) & (F.abs(C("lo") - C("lo2")) <= 0.25)
+    got = sorted(map(tuple, J.near_places(a, a, "la", "lo", "la2", "lo2", 0.5, 0.25, near).collect()))
+    fine = {x for x in rows if x[0] is not None}
+    assert got == sorted((*x, *y) for x in fine for y in fine if abs(x[0] - y[0]) <= 0.5 and abs(x[1] - y[1]) <= 0.25)
+
+
+@pytest.mark.parametrize("query", ["join_interval_km", "join_cluster"])
+def test_many_rows_at_one_place(spark, tmp_path, query):
+    """60,000 errors, 60,000 other events and as many suppliers of one place: pairs of rows would be billions."""
+    from surveil.plans import registry
+
+    ts = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz").alias("ts")
+    kind = F.when(C("id") % 2 == 0, "error").otherwise("view").alias("event_type")
+    spark.range(120_000).select((C("id") * 97 * 89).alias("event_id"), ts, F.lit(60).cast("long").alias("user_id"), kind, (C("id") % 10).cast("double").alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(60_000).select((C("id") * 60).alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    d = registry.QUERIES[query](spark, str(tmp_path))
+    last = "stream, b" if query == "join_interval_km" else "cluster"
+    got = d.selectExpr(f"struct({last}) AS x").groupBy("x").count().collect()
+    want = ("view", 9 * 97 * 89) if query == "join_interval_km" else (0,)
+    assert [(tuple(r.x), r["count"]) for r in got] == [(want, 60_000)]
+
+
 # ---------------------------------------------------------------- two-way tables
 
 
