@@ -220,15 +220,16 @@ def join_layer_lineage(t: Tables):
 @query("join_cluster", """SELECT event_id, s_suppkey AS cluster FROM (SELECT e.event_id, s.s_suppkey, row_number() OVER (PARTITION BY e.event_id ORDER BY s.s_suppkey) AS r FROM (SELECT event_id, 30.0 + user_id % 20 AS la, -100.0 + user_id % 30 AS lo FROM events WHERE event_type = 'error') e
  JOIN (SELECT s_suppkey, 30.0 + s_suppkey % 20 AS la, -100.0 + s_suppkey % 30 AS lo FROM supplier) s ON 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(s.la - e.la) / 2), 2) + cos(radians(e.la)) * cos(radians(s.la)) * pow(sin(radians(s.lo - e.lo) / 2), 2)))) <= 100) WHERE r = 1""")
 def join_cluster(t: Tables):
+    """For each error the lowest supplier within 100 km: places meet once, whatever the events and suppliers that share one."""
     from ..functions.clinical import haversine_km
 
     e = t.events.filter("event_type = 'error'").select("event_id", (30.0 + C("user_id") % 20).alias("la"), (-100.0 + C("user_id") % 30).alias("lo"))
     s = t.supplier.select("s_suppkey", (30.0 + C("s_suppkey") % 20).alias("la2"), (-100.0 + C("s_suppkey") % 30).alias("lo2"))
     # 100 km is less than one degree of latitude; longitude cells of two degrees hold it up to 56 degrees north
-    cell = lambda la, lo: (F.floor(la).alias("i"), F.floor(lo / 2).alias("j"))
-    near = e.withColumn("x", F.explode(F.array(*(F.struct((F.floor("la") + i).alias("i"), (F.floor(C("lo") / 2) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))).select("event_id", "la", "lo", "x.*")
-    pairs = near.join(s.select("*", *cell(C("la2"), C("lo2"))), ["i", "j"]).filter(haversine_km(C("la"), C("lo"), C("la2"), C("lo2")) <= 100)
-    return J.newest(pairs, ["event_id"], C("s_suppkey")).select("event_id", C("s_suppkey").alias("cluster"))
+    lowest = s.groupBy("la2", "lo2").agg(F.min("s_suppkey").alias("cluster"))
+    places = J.near_places(e, lowest.withColumnsRenamed({"la2": "la", "lo2": "lo"}), "la", "lo", "la2", "lo2", 1.0, 2.0, haversine_km(C("la"), C("lo"), C("la2"), C("lo2")) <= 100)
+    cluster = places.join(lowest, ["la2", "lo2"]).groupBy("la", "lo").agg(F.min("cluster").alias("cluster"))
+    return e.join(cluster, ["la", "lo"]).groupBy("event_id").agg(F.min("cluster").alias("cluster"))
 
 
 @query("join_full_meta", "SELECT column_name, CASE WHEN a IS NULL THEN 'EXTRA' WHEN b IS NULL THEN 'MISSING' ELSE 'PASS' END AS status, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES ('o_custkey', 1, 1), ('o_orderdate', 1, NULL), ('o_orderkey', 1, 1), ('o_orderpriority', 1, NULL), ('o_orderstatus', 1, 1), ('o_totalprice', 1, NULL), ('price', NULL, 1)) AS v(column_name, a, b)")
