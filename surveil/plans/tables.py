@@ -118,10 +118,8 @@ _DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
 def _database(t: Tables) -> str:
-    """An embedded database with the customers; it lives in the driver's JVM, so these two queries are for one machine."""
-    url = f"jdbc:derby:memory:s{uuid.uuid4().hex};create=true"
-    t.customer.selectExpr("c_custkey AS K", "c_nationkey AS N", "c_acctbal AS V").coalesce(1).write.jdbc(url, "CUSTOMERS", mode="overwrite", properties=_DERBY)
-    return url
+    """An embedded database with the customers, packed into a file of the shared folder that every executor opens read-only."""
+    return I.derby_file(t.customer.selectExpr("c_custkey AS K", "c_nationkey AS N", "c_acctbal AS V"), "CUSTOMERS", scratch(t))
 
 
 @query("src_jdbc", "SELECT c_nationkey AS nation, count(*) AS n_rows, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 0 GROUP BY 1")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import urllib.parse
+import zipfile
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +35,42 @@ def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = No
     return r.load()
 
 
+_DERBY_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "double": "DOUBLE", "float": "REAL"}
+
+
+def derby_file(df: DataFrame, table: str, folder: str) -> str:
+    """Numbers as a table of a Derby database in one file, and the URL by which any JVM that sees the folder reads it.
+
+    Tasks write CSV files to the folder; the database engine, in the driver's JVM, loads one after another from there. A
+    database in a file is read-only, so the executors can open it side by side.
+    """
+    spark = df.sparkSession
+    local = lambda f: urllib.parse.unquote(urllib.parse.urlparse(f).path)
+    df.write.csv(f"{folder}/rows", nullValue="")
+    files = spark.read.format("binaryFile").load(f"{folder}/rows").filter("length > 0").select("path").collect()  # names only
+    manager, home = spark._jvm.java.sql.DriverManager, tempfile.mkdtemp(prefix="derby-")
+    spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    url = f"jdbc:derby:{home}/db"
+    held = manager.getConnection(f"{url};create=true")
+    try:
+        held.createStatement().execute(f"CREATE TABLE {table} ({', '.join(f'{n} {_DERBY_TYPES[k]}' for n, k in df.dtypes)})")
+        for f in sorted(local(r.path) for r in files):
+            held.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{table}', '{f}', NULL, NULL, 'UTF-8', 0)")
+    finally:
+        held.close()
+        try:
+            manager.getConnection(f"{url};shutdown=true")
+        except Py4JJavaError:  # how Derby reports that it has shut down
+            pass
+    packed = f"{local(folder)}/{table.lower()}.jar"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_STORED) as z:  # stored, so that pages are found without unpacking
+        for at, _, names in os.walk(f"{home}/db"):
+            for n in names:
+                if not n.endswith(".lck"):
+                    z.write(f"{at}/{n}", os.path.relpath(f"{at}/{n}", home))
+    return f"jdbc:derby:jar:({packed})db"
+
+
 def rename(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Lower-case, trimmed headers; an alias becomes its canonical name unless that is there."""
     df = df.toDF(*(c.strip().lower() for c in df.columns))

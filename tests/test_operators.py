@@ -1,6 +1,8 @@
 """Edge cases and properties of the operators."""
 
 import datetime as dt
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +142,20 @@ def test_pages(spark):
     assert r.tables == [[["x"], ["1", "2"]], []] and r.nfc == "\u00e9"
 
 
+def test_database_file_that_other_processes_read(spark, tmp_path):
+    """A database in the driver's memory is empty for another JVM; one in a file is not."""
+    d = spark.range(1000).selectExpr("id AS K", "IF(id % 7 = 0, NULL, CAST(id AS double) / 3) AS V").repartition(3)
+    url = I.derby_file(d, "T", f"file:{tmp_path}")
+    code = f"""
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").getOrCreate()
+d = s.read.format("jdbc").options(url={url!r}, dbtable="T", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", partitionColumn="K", lowerBound=0, upperBound=1000, numPartitions=4).load()
+print("ROWS", d.count(), d.where("V IS NULL").count(), d.selectExpr("sum(V)").first()[0], d.rdd.getNumPartitions())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=tmp_path).stdout
+    assert out.split("ROWS ")[-1].split() == ["1000", "143", str(d.selectExpr("sum(V)").first()[0]), "4"]
+
+
 def test_jdbc_in_ranges(spark):
     url = "jdbc:derby:memory:surveil;create=true"
     spark.range(100).selectExpr("id AS K", "id * 2 AS V").write.jdbc(url, "T", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
