@@ -132,8 +132,8 @@ def src_jdbc(t: Tables):
 @query("src_jdbc_part", "SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_nationkey < 10")
 def src_jdbc_part(t: Tables):
     """A table read in four ranges of its key."""
-    top = t.customer.agg(F.max("c_custkey")).first()[0]
-    d = I.read_jdbc(t.spark, _database(t), "CUSTOMERS", "K", (0, top), 4, **_DERBY)
+    low, top = t.customer.agg(F.min("c_custkey"), F.max("c_custkey")).first()
+    d = I.read_jdbc(t.spark, _database(t), "CUSTOMERS", "K", (low or 0, top or 0), 4, **_DERBY)
     return d.filter("N < 10").select(C("K").alias("k"), C("V").alias("v"))
 
 
