@@ -126,10 +126,30 @@ def similar_candidates(left: DataFrame, right: DataFrame, keys: list[str], left_
     return best[0].join(best[1], by).filter(only).drop("_size_a", "_size_b")
 
 
+#: Names of equal keys are compared outright where that makes so few pairs a row, and so few in one cell of keys.
+PAIRS_A_ROW, PAIRS_A_CELL = 200, 20_000_000
+
+
+def _few_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
+    counts = [d.groupBy(*keys).agg(F.count("*").alias(n)) for d, n in ((left, "_na"), (right, "_nb"))]
+    both = counts[0].join(counts[1], keys, "full").fillna(0, ["_na", "_nb"])
+    pairs = F.col("_na").cast("double") * F.col("_nb")
+    most, total, rows = both.agg(F.max(pairs), F.sum(pairs), F.sum(F.col("_na") + F.col("_nb"))).first()
+    return most is None or (most <= PAIRS_A_CELL and total <= PAIRS_A_ROW * rows)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, least: float = 85.0, only: str = "true") -> DataFrame:
-    """Pairs of equal keys, for which `only` holds, whose names agree by `least` of 100 (token_sort_ratio), with that score. Null names agree with none."""
-    d = similar_candidates(left, right, keys, left_name, right_name, least, only)
-    d = d.filter(F.expr("levenshtein(_x, _y, _edits) >= 0")).filter(F.element_at(F.array_intersect("_rare_a", "_rare_b"), 1) == F.col("_g"))  # the distance, then each pair once
+    """Pairs of equal keys, for which `only` holds, whose names agree by `least` of 100 (token_sort_ratio), with that score. Null names agree with none.
+
+    Where keys leave few pairs, these are compared; elsewhere names meet by rare runs (similar_candidates).
+    """
+    if _few_pairs(left, right, keys):
+        a, b = (d.filter(F.col(n).isNotNull()).withColumn(x, _sorted_words(F.col(n))) for d, n, x in ((left, left_name, "_x"), (right, right_name, "_y")))
+        edits = "cast(floor(greatest(length(_x), length(_y)) * {} + 1e-9) as int)".format(1 - least / 100)
+        d = a.join(b.hint("merge"), keys).filter(only).filter(F.expr(f"levenshtein(_x, _y, {edits}) >= 0"))
+    else:
+        d = similar_candidates(left, right, keys, left_name, right_name, least, only)
+        d = d.filter(F.expr("levenshtein(_x, _y, _edits) >= 0")).filter(F.element_at(F.array_intersect("_rare_a", "_rare_b"), 1) == F.col("_g"))  # the distance, then each pair once
     edits = F.levenshtein("_x", "_y")
     size = F.greatest(F.length("_x"), F.length("_y"), F.lit(1))
     return d.withColumn("score", 100.0 * (1 - edits / size)).filter(F.col("score") >= least).drop("_x", "_y", "_edits", "_g", "_rare_a", "_rare_b")

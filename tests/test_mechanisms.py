@@ -169,6 +169,25 @@ def test_similar_pairs_miss_none(spark, least):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 100
 
 
+def test_similar_pairs_by_runs_miss_none(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAIRS_A_ROW", 0)
+    test_similar_pairs_miss_none(spark, 85.0)
+
+
+@pytest.mark.parametrize("pairs", [0, 200])
+def test_similar_pairs_by_cells_and_by_runs_agree(spark, monkeypatch, pairs):
+    """Few pairs a row: the cells are compared, and no run is counted; many: names meet by runs."""
+    monkeypatch.setattr(J, "PAIRS_A_ROW", pairs)
+    by_runs, met = [], J.similar_candidates
+    monkeypatch.setattr(J, "similar_candidates", lambda *a: by_runs.append(1) or met(*a))
+    a = spark.range(300).select(C("id").alias("a"), (C("id") % 50).alias("g"), F.format_string("Customer#%09d", C("id")).alias("na"))
+    b = a.select(C("a").alias("b"), "g", C("na").alias("nb"))
+    got = {(r.a, r.b): r.score for r in J.similar_pairs(a, b, ["g"], "na", "nb", only="a < b").collect()}
+    name = "Customer#{:09d}".format
+    assert got == {(i, j): pytest.approx(_ratio(name(i), name(j))) for i in range(300) for j in range(i + 50, 300, 50) if _ratio(name(i), name(j)) >= 85}
+    assert len(by_runs) == (pairs == 0) and got
+
+
 def test_few_candidates_in_one_cell(spark):
     """5,000 names of one cell, 12.5 million pairs. Of names that differ in five digits a third of the pairs is compared at most, of names of words a fiftieth."""
     pick = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
