@@ -58,21 +58,27 @@ def _packs(df: DataFrame, key: str, vector: str, name: str, pack: int) -> DataFr
 def nearest(rows: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, digits: int = 6, pack: int = 2048) -> DataFrame:
     """(query, id, score): each query's k rows of highest cosine, rounded to `digits`, on ties of lowest id.
 
-    Queries and rows meet in packs, each pair of packs is one product of matrices, and only its k best for each query leave the task.
+    Queries and rows meet in packs. A pair of packs is a group of its own, so that a worker holds one at a time however many fall
+    to its task; it is multiplied by a few queries at once, and only the k best for each query leave the task.
     """
 
-    def run(batches):
-        for b in batches:
-            for q_ids, q, x_ids, x in zip(*(b.column(c) for c in ("q_ids", "q", "x_ids", "x"))):
-                qi, xi = (np.array(i.values) for i in (q_ids, x_ids))
-                q_, x_ = (np.array(m.values).reshape(len(i), -1) for m, i in ((q, qi), (x, xi)))
-                if q_.shape[1] != x_.shape[1]:
-                    continue
-                order = np.argsort(xi, kind="stable")  # so that ties go to the lowest id
-                xi, x_ = xi[order], x_[order]
-                score = np.round((q_ @ x_.T) / np.sqrt(np.outer((q_ * q_).sum(1), (x_ * x_).sum(1))), digits)
+    def run(pair: pa.Table) -> pa.Table:
+        out = [pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        for q_ids, q, x_ids, x in zip(*(pair.column(c) for c in ("q_ids", "q", "x_ids", "x"))):
+            qi, xi = (np.array(i.values) for i in (q_ids, x_ids))
+            q_, x_ = (np.array(m.values).reshape(len(i), -1) for m, i in ((q, qi), (x, xi)))
+            if q_.shape[1] != x_.shape[1]:
+                continue
+            order = np.argsort(xi, kind="stable")  # so that ties go to the lowest id
+            xi, x_ = xi[order], x_[order]
+            size = (x_ * x_).sum(1)
+            for lo in range(0, len(qi), 256):
+                some, ids = q_[lo : lo + 256], qi[lo : lo + 256]
+                score = np.round((some @ x_.T) / np.sqrt(np.outer((some * some).sum(1), size)), digits)
                 best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, best.shape[1])), pa.array(xi[best.ravel()]), pa.array(np.take_along_axis(score, best, 1).ravel())], names=["query", "id", "score"])
+                out.append(pa.table({"query": np.repeat(ids, best.shape[1]), "id": xi[best.ravel()], "score": np.take_along_axis(score, best, 1).ravel()}))
+        return pa.concat_tables(out)
 
     pairs = _packs(rows, key, vector, "x", pack).crossJoin(_packs(queries, query_key, query_vector, "q", pack))  # a stated query set, in blocks
-    return top(pairs.mapInArrow(run, "query long, id long, score double"), "query", "id", k)
+    each = pairs.groupBy(F.element_at("q_ids", 1).alias("_q"), F.element_at("x_ids", 1).alias("_x"))
+    return top(each.applyInArrow(run, "query long, id long, score double"), "query", "id", k)

@@ -77,6 +77,26 @@ def test_profiles(spark):
     assert [tuple(x) for x in P.modes(df.limit(0), ["s"]).collect()] == [("s", 0, None, None)]
 
 
+# ---------------------------------------------------------------- nearest vectors
+
+
+def test_a_worker_holds_one_pair_of_packs(spark):
+    """64 packs of one task: a worker that was given all at once held 64; results equal brute force, also with repeated ids."""
+    from surveil.operators import ranking
+
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(512, 8))
+    d = spark.createDataFrame([(k % 500, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>").coalesce(1)
+    got = ranking.nearest(d, "id", "v", d.filter("id % 50 = 1 and id < 400"), "id", "v", 5, pack=8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+    cos = np.round(v @ v.T / np.sqrt(np.outer((v * v).sum(1), (v * v).sum(1))), 6)
+    want = [(q, k % 500, cos[i, k]) for i in range(512) if (q := i % 500) % 50 == 1 and q < 400 for k in range(512)]
+    per = {q: sorted((x for x in want if x[0] == q), key=lambda x: (-x[2], x[1]))[:5] for q in {x[0] for x in want}}
+    have = sorted(map(tuple, got.collect()), key=lambda x: (x[0], -x[2], x[1]))
+    assert [(q, s) for q, _, s in have] == [(q, pytest.approx(s)) for q in sorted(per) for _, _, s in per[q]]
+
+
 # ---------------------------------------------------------------- places
 
 
