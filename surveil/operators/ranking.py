@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Distinct words of queries that are sent to all tasks; more are joined by shuffle.
-SENT = 200_000
+#: Pairs of a query and one of its words that are sent to all tasks; more are joined by shuffle.
+SENT = 1_000_000
 
 
 def terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,16 +18,15 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, doc, score) of all pairs that share a term. Only words that are asked for leave the task that reads them; corpus statistics cover all documents."""
-    words = docs.select(doc_id, F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "").alias("ws"))
+    # a document's words stay in one task from here on: counts, sizes and sums by document need no further shuffle
+    words = docs.select(doc_id, text).repartition(doc_id).select(doc_id, F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "").alias("ws"))
     size = words.groupBy(doc_id).agg(F.sum(F.size("ws")).alias("n")).filter("n > 0")
     corpus = size.agg(F.count("*").alias("nd"), F.avg("n").alias("av"))
     asked = terms(queries, query_id, query_text).distinct()
-    vocabulary = asked.select("w").distinct()
-    if vocabulary.count() <= SENT:
-        vocabulary = F.broadcast(vocabulary)
-    hit = words.select(doc_id, F.explode("ws").alias("w")).join(vocabulary, "w", "left_semi").groupBy(doc_id, "w").agg(F.count("*").alias("tf"))
+    sent = F.broadcast if asked.count() <= SENT else lambda d: d
+    hit = words.select(doc_id, F.explode("ws").alias("w")).join(sent(asked.select("w").distinct()), "w", "left_semi").groupBy(doc_id, "w").agg(F.count("*").alias("tf"))
     df = hit.groupBy("w").agg(F.count("*").alias("df"))
-    rows = hit.join(df, "w").join(size, doc_id).join(asked, "w").crossJoin(F.broadcast(corpus))
+    rows = hit.join(sent(df), "w").join(size.hint("merge"), doc_id).join(sent(asked), "w").crossJoin(F.broadcast(corpus))
     idf = F.log(1 + (F.col("nd") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * ((1 - b) + b * F.col("n") / F.col("av")))
     return rows.groupBy(query_id, doc_id).agg(F.sum(idf * gain).alias("score"))

@@ -97,6 +97,21 @@ def test_a_worker_holds_one_pair_of_packs(spark):
     assert [(q, s) for q, _, s in have] == [(q, pytest.approx(s)) for q in sorted(per) for _, _, s in per[q]]
 
 
+def test_bm25_moves_documents_once(spark):
+    """Counts, sizes and sums are taken where a document's words are: no table is dealt by pairs of document and word or query."""
+    from surveil.operators import ranking
+
+    docs = spark.createDataFrame([(1, "flu flu fever"), (1, "cough"), (2, "fever"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "flu fever")], "item_id long, q string")
+    s = ranking.bm25(docs, "doc_id", "text", q, "item_id", "q")
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    dealt = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert dealt and not any("doc_id#" in x and ("w#" in x or "item_id#" in x) for x in dealt)
+    idf = {w: math.log(1 + (2 - n + 0.5) / (n + 0.5)) for w, n in (("flu", 1), ("fever", 2))}
+    gain = lambda tf, n: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / 2.5))
+    assert {r.doc_id: r.score for r in s.collect()} == {1: pytest.approx(idf["flu"] * gain(2, 4) + idf["fever"] * gain(1, 4)), 2: pytest.approx(idf["fever"] * gain(1, 1))}
+
+
 # ---------------------------------------------------------------- places
 
 
