@@ -26,6 +26,13 @@ def zip5(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{5}(-?\d{4})?$"), F.left(c, F.lit(5)))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """c to so many digits; as in SQL a negative number that comes to zero keeps its sign, which Spark's own rounding, by way of decimals, loses."""
+    c = F.col(c) if isinstance(c, str) else c
+    r = F.round(c, digits)
+    return F.when((r == 0) & (c < 0), F.lit(-0.0)).otherwise(r)
+
+
 def npi(c: Column) -> Column:
     return F.when(c.rlike(r"^\d{10}$"), c)
 

@@ -55,7 +55,7 @@ def agg_period(t: Tables):
     at = F.lit("1998-02-01").cast("date")
     d = lines(t).filter(C("d").between(F.lit("1997-08-01").cast("date"), F.lit("1998-07-31").cast("date")))
     g = d.groupBy("member").agg(F.sum(F.when(C("d") >= at, C("paid")).otherwise(0)).alias("a"), F.sum(F.when(C("d") < at, C("paid")).otherwise(0)).alias("b"))
-    return g.select("member", F.round("a", 6).alias("recent"), F.round("b", 6).alias("prior"), F.round(100 * (F.try_divide(C("a") / 181, F.nullif(C("b") / 184, F.lit(0.0))) - 1), 8).alias("trend_pct"))
+    return g.select("member", F.round("a", 6).alias("recent"), F.round("b", 6).alias("prior"), X.rounded(100 * (F.try_divide(C("a") / 181, F.nullif(C("b") / 184, F.lit(0.0))) - 1), 8).alias("trend_pct"))
 
 
 @query("agg_recency", f"SELECT member, CAST(date_diff('day', max(d), DATE '2001-12-01') AS INTEGER) AS any_, CAST(date_diff('day', max(CASE WHEN er THEN d END), DATE '2001-12-01') AS INTEGER) AS er_, CAST(date_diff('day', max(CASE WHEN inpatient THEN d END), DATE '2001-12-01') AS INTEGER) AS inpatient_ FROM {LINES_SQL} GROUP BY 1")
@@ -346,7 +346,7 @@ def agg_risk_summary(t: Tables):
 @query("agg_patient_report", "SELECT user_id, arg_max(value, event_id) AS last_value, round(arg_max(value, event_id) - arg_min(value, event_id), 4) AS change, abs(arg_max(value, event_id) - arg_min(value, event_id)) >= 2 AS clinically_important FROM events GROUP BY 1")
 def agg_patient_report(t: Tables):
     a, b = F.max_by("value", "event_id"), F.min_by("value", "event_id")
-    return t.events.groupBy("user_id").agg(a.alias("last_value"), F.round(a - b, 4).alias("change"), (F.abs(a - b) >= 2).alias("clinically_important"))
+    return t.events.groupBy("user_id").agg(a.alias("last_value"), X.rounded(a - b, 4).alias("change"), (F.abs(a - b) >= 2).alias("clinically_important"))
 
 
 @query("agg_lift", "SELECT c_mktsegment, round(r, 6) AS rate, round(r / total, 6) AS lift FROM (SELECT c_mktsegment, avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) AS r FROM customer GROUP BY 1), (SELECT avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) AS total FROM customer)")

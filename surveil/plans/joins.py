@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import clinical as X
 from ..operators import joins as J
 from .registry import Tables, query
 
@@ -99,27 +100,27 @@ def join_semi(t: Tables):
 def join_cross_stats(t: Tables):
     day = t.events.groupBy(C("ts").cast("date").alias("d")).agg(F.count("*").alias("n"))
     stats = day.agg(F.avg("n").alias("m"), F.stddev("n").alias("s"))  # one row
-    return day.crossJoin(F.broadcast(stats)).select("d", "n", F.round((C("n") - C("m")) / C("s"), 6).alias("z"))
+    return day.crossJoin(F.broadcast(stats)).select("d", "n", X.rounded((C("n") - C("m")) / C("s"), 6).alias("z"))
 
 
 @query("join_baseline", "SELECT e.event_id, round((e.value - b.m) / b.s, 6) AS z FROM events e JOIN (SELECT user_id, avg(value) AS m, stddev(value) AS s FROM events WHERE ts < TIMESTAMP '2024-01-22' GROUP BY 1 HAVING count(*) >= 4 AND stddev(value) > 0) b ON e.user_id = b.user_id WHERE e.ts >= TIMESTAMP '2024-01-22'")
 def join_baseline(t: Tables):
     at = F.lit("2024-01-22").cast("timestamp_ntz")
     base = t.events.filter(C("ts") < at).groupBy("user_id").agg(F.avg("value").alias("m"), F.stddev("value").alias("s"), F.count("*").alias("n")).filter("n >= 4 and s > 0")
-    return t.events.filter(C("ts") >= at).join(base, "user_id").select("event_id", F.round((C("value") - C("m")) / C("s"), 6).alias("z"))
+    return t.events.filter(C("ts") >= at).join(base, "user_id").select("event_id", X.rounded((C("value") - C("m")) / C("s"), 6).alias("z"))
 
 
 @query("join_baseline_map", "SELECT user_id, event_type, round((avg(value) - max(m)) / max(s), 6) AS z FROM events JOIN (VALUES ('click', 50.0, 20.0), ('view', 45.0, 25.0)) AS b(event_type, m, s) USING (event_type) GROUP BY 1, 2")
 def join_baseline_map(t: Tables):
     b = F.broadcast(t.spark.createDataFrame([("click", 50.0, 20.0), ("view", 45.0, 25.0)], "event_type string, m double, s double"))
-    return t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("v")).join(b, "event_type").select("user_id", "event_type", F.round((C("v") - C("m")) / C("s"), 6).alias("z"))
+    return t.events.groupBy("user_id", "event_type").agg(F.avg("value").alias("v")).join(b, "event_type").select("user_id", "event_type", X.rounded((C("v") - C("m")) / C("s"), 6).alias("z"))
 
 
 @query("join_peer", "SELECT user_id, w, n, round(n - avg(n) OVER (PARTITION BY user_id % 25, w), 6) AS above_peers FROM (SELECT user_id, CAST(CAST(ts AS DATE) - CAST(dayofweek(ts) AS INTEGER) AS DATE) AS w, count(*) AS n FROM events GROUP BY 1, 2)")
 def join_peer(t: Tables):
     d = C("ts").cast("date")
     week = t.events.groupBy("user_id", F.date_sub(d, F.dayofweek(d) - 1).alias("w")).agg(F.count("*").alias("n"))
-    return week.select("user_id", "w", "n", F.round(C("n") - F.avg("n").over(W.partitionBy(C("user_id") % 25, "w")), 6).alias("above_peers"))
+    return week.select("user_id", "w", "n", X.rounded(C("n") - F.avg("n").over(W.partitionBy(C("user_id") % 25, "w")), 6).alias("above_peers"))
 
 
 @query("join_selflead", "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2) SELECT a.user_id, a.d, coalesce(b.n, 0) > a.n AS label FROM d a LEFT JOIN d b ON a.user_id = b.user_id AND b.d = a.d + 7")

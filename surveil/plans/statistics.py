@@ -11,6 +11,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import clinical as X
 from ..operators import quantiles as Q
 from ..operators import statistics as S
 from .expressions import members
@@ -254,7 +255,7 @@ def stat_psi(t: Tables):
 def stat_drift_z(t: Tables):
     base = t.events.agg(F.avg("value").alias("b"), (F.stddev("value") / 8).alias("s"))
     z = (C("m") - C("b")) / C("s")
-    return t.events.groupBy("user_id").agg(F.avg("value").alias("m")).crossJoin(F.broadcast(base)).select("user_id", F.round(z, 6).alias("z"), F.when(F.abs(z) > 3, "critical").when(F.abs(z) > 2, "warning").otherwise("ok").alias("severity"))
+    return t.events.groupBy("user_id").agg(F.avg("value").alias("m")).crossJoin(F.broadcast(base)).select("user_id", X.rounded(z, 6).alias("z"), F.when(F.abs(z) > 3, "critical").when(F.abs(z) > 2, "warning").otherwise("ok").alias("severity"))
 
 
 @query("stat_kl", f"WITH c AS (SELECT event_type, count(*) FILTER ({OLD} = 0) AS a, count(*) FILTER ({OLD} = 1) AS b FROM events GROUP BY 1) SELECT round(sum((b / tb) * ln((b / tb) / (a / ta))), 9) AS kl FROM c, (SELECT sum(a) AS ta, sum(b) AS tb FROM c)")

@@ -45,7 +45,7 @@ def win_roll_avg(t: Tables):
 def win_roll_z(t: Tables):
     w = days(-90, 0)
     z = F.when(F.stddev("v").over(w) > 0, (C("v") - F.avg("v").over(w)) / F.stddev("v").over(w))
-    return daily(t).withColumn("z", z).select("user_id", "d", F.round("z", 5).alias("z"), F.coalesce(F.abs("z") > 2, F.lit(False)).alias("outlier"))
+    return daily(t).withColumn("z", z).select("user_id", "d", X.rounded("z", 5).alias("z"), F.coalesce(F.abs("z") > 2, F.lit(False)).alias("outlier"))
 
 
 @query("win_shift_z", f"SELECT user_id, d, round(CASE WHEN s > 0 THEN (v - m) / s END, 5) AS z FROM (SELECT user_id, d, v, avg(v) OVER w AS m, stddev(v) OVER w AS s FROM {DAILY_SQL} WINDOW w AS ({_R.format(90, 'INTERVAL 1 DAY PRECEDING')}))")
@@ -101,7 +101,7 @@ def win_retest(t: Tables):
 @query("win_roll_rows", f"SELECT user_id, d, round(avg(v) OVER (PARTITION BY user_id ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 5) AS mean7, round(v - lag(v) OVER (PARTITION BY user_id ORDER BY d), 5) AS diff FROM {DAILY_SQL}")
 def win_roll_rows(t: Tables):
     w = W.partitionBy("user_id").orderBy("d")
-    return daily(t).select("user_id", "d", F.round(F.avg("v").over(w.rowsBetween(-6, 0)), 5).alias("mean7"), F.round(C("v") - F.lag("v").over(w), 5).alias("diff"))
+    return daily(t).select("user_id", "d", F.round(F.avg("v").over(w.rowsBetween(-6, 0)), 5).alias("mean7"), X.rounded(C("v") - F.lag("v").over(w), 5).alias("diff"))
 
 
 @query("win_first_last", "SELECT l_orderkey, l_linenumber, CAST(n AS BIGINT) AS n, CAST(r AS INTEGER) AS r FROM (SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS r FROM lineitem) WHERE n > 1")
@@ -156,7 +156,7 @@ def win_anchor_group(t: Tables):
 @query("win_mad_z", """WITH m AS (SELECT event_type, median(value) AS med, stddev(value) AS sd FROM events GROUP BY 1), a AS (SELECT e.event_type, median(abs(e.value - m.med)) AS mad FROM events e JOIN m USING (event_type) GROUP BY 1)
  SELECT e.event_id, round(CASE WHEN mad > 0 THEN 0.6745 * (e.value - med) / mad WHEN sd > 0 THEN (e.value - med) / sd ELSE 0 END, 6) AS z FROM events e JOIN m USING (event_type) JOIN a USING (event_type)""")
 def win_mad_z(t: Tables):
-    return O.robust_z(t.events.select("event_id", "event_type", "value"), "event_type", "value").select("event_id", F.round("z", 6).alias("z"))
+    return O.robust_z(t.events.select("event_id", "event_type", "value"), "event_type", "value").select("event_id", X.rounded("z", 6).alias("z"))
 
 
 @query("win_anomaly", """WITH m AS (SELECT event_type, median(value) AS med, stddev(value) AS sd FROM events GROUP BY 1), a AS (SELECT e.event_type, median(abs(e.value - m.med)) AS mad FROM events e JOIN m USING (event_type) GROUP BY 1), z AS (SELECT e.event_id, e.event_type, round(CASE WHEN mad > 0 THEN 0.6745 * (e.value - med) / mad WHEN sd > 0 THEN (e.value - med) / sd ELSE 0 END, 6) AS z, CASE event_type WHEN 'click' THEN 3.5 WHEN 'view' THEN 3.0 WHEN 'purchase' THEN 3.5 ELSE 4.0 END / 3 AS k FROM events e JOIN m USING (event_type) JOIN a USING (event_type))

@@ -49,3 +49,17 @@ def test_query(spark, duck, name):
         assert got == want
     else:
         assert got or name == "cluster_density"  # the small tables hold no dense cluster
+
+
+@pytest.mark.parametrize("name", ["win_roll_z"])
+def test_small_negative_values_keep_their_sign(spark, tmp_path, name):
+    """A z-score just below zero is -0.0 after rounding, as in SQL."""
+    values = [1000.0, 3000.0, 1999.999]
+    rows = [(k, datetime.datetime(2024, 1, 1 + k), 7, "click", v, None) for k, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = {str(d): z for d, z in con.execute(f"select d, z from ({registry.SQL[name]})").fetchall()}
+    got = {str(r.d): r.z for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert {d: repr(z) for d, z in got.items()} == {d: repr(z) for d, z in want.items()}
+    assert repr(got["2024-01-03"]) == "-0.0"
