@@ -51,7 +51,7 @@ def test_query(spark, duck, name):
         assert got or name == "cluster_density"  # the small tables hold no dense cluster
 
 
-@pytest.mark.parametrize("name", ["win_roll_z"])
+@pytest.mark.parametrize("name", ["win_roll_z", "win_shift_z"])
 def test_small_negative_values_keep_their_sign(spark, tmp_path, name):
     """A z-score just below zero is -0.0 after rounding, as in SQL."""
     values = [1000.0, 3000.0, 1999.999]
