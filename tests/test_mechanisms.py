@@ -469,6 +469,24 @@ def test_retries_by_the_cluster_clock(spark, tmp_path):
     assert {r.key: (r.state, r.retry_count) for r in R.last_steps(spark.read.parquet(f"{tmp_path}/out")).collect()} == {1: ("success", 2), 2: ("dead", 3)}
 
 
+def test_waiting_items_share_states(spark, tmp_path):
+    """A thousand items wait in four states, and all are tried again when the watermark is just there; a batch costs no call an item."""
+    schema = "id long, payload string, ts timestamp"
+    _land(spark, f"{tmp_path}/in", [(k, "1", at(0)) for k in range(1000)], schema)
+
+    def run():
+        with R.keyed_state(spark):
+            d = R.retries(T.files(spark, f"{tmp_path}/in", schema).withWatermark("ts", "0 seconds"), lambda p, n: n >= int(p), "id", "payload", "ts", shares=4)
+            q = d.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+            q.awaitTermination()
+        steps = spark.read.parquet(f"{tmp_path}/out").groupBy("state", "at").count().collect()
+        return [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.numInputRows], {(r.state, r.at): r["count"] for r in steps}
+
+    assert run() == ([4], {("waiting", at(0)): 1000})
+    _land(spark, f"{tmp_path}/in", [(5000, "0", at(2))], schema)
+    assert run()[1] == {("waiting", at(0)): 1000, ("success", at(2)): 1001}
+
+
 def _stream(spark, tmp_path, schema, build, *parts):
     for rows in parts:
         _land(spark, f"{tmp_path}/in", rows, schema)
