@@ -2,19 +2,25 @@
 
 A text is its words, lower-cased (A-Z), then one end symbol. The root of the tree is the add-one
 unigram model: (c + 1) / (N + V + 1) of a word that occurs c times among N training symbols of which V are distinct.
-Other states are contexts of up to DEPTH preceding words (the end symbol stands before a text). A context is a candidate
-if it makes up one of CONTEXTS positions or more, and is kept if its next-word counts diverge from what its parent (the context
-without its first word) predicts by more than `gain` nats. Of the next words of a context of one word all are listed that follow it
-LEAST times or more; of longer contexts, those that follow in one of CELLS positions or more besides. With b the smoothing weight, P(w | s) = (n(s, w) if listed + (n(s) - listed + b) P(w | parent)) / (n(s) + b), which sums to
-one. A word is scored in the longest kept suffix of what precedes it. As unlisted words only gain a factor, a text's score
-is its unigram score plus a sum over its places.
+Other states are all contexts of up to DEPTH preceding words (one end symbol stands before a text). A context is kept if its next-word counts
+diverge from what its parent (the context without its first word) predicts by more than `gain` nats. The next words that follow it LEAST times or
+more are listed. With b the smoothing weight, P(w | s) = (n(s, w) if listed + (n(s) - listed + b) P(w | parent)) / (n(s) + b), which sums to
+one. A word is scored in the longest kept suffix of what precedes it.
 
-What is sent to all tasks is bounded by shares, whatever the corpus: at most CONTEXTS contexts and CELLS frequent cells of each length and COMMON
-common words. What grows with the corpus stays in tables: the counts of all words and the less frequent next words of one-word contexts. Each
-task sums its own counts, the shuffle adds up, and texts meet both tables in one join on the words and pairs that the sent tree does not hold.
+No context or next word is left out, however rare. How one is counted follows from its share of all positions, which never changes a score:
 
+1. Contexts of more than one in HOT_CONTEXTS positions and their next words of more than one in HOT_CELLS are counted level by level and sent to all
+   tasks, like the COMMON commonest words. Their number is bounded whatever the corpus.
+2. Places with another next word of such a context, or with a word that is not common, are dealt by that pair, or word, and counted where they meet;
+   sums over them complete the divergence of the sent contexts.
+3. Places with a context that is not sent are dealt by the shortest such one. All longer contexts of these places meet in the same bucket, which
+   tests and scores them. A bucket's groups hold at most one in HOT_CONTEXTS places, so none grows beyond its share.
+
+Places travel packed by columns. Each bucket adds up what it finds for a row, and the rows' sums are added in one last shuffle.
+
+`contexts` and `cells`, if given, leave out contexts, and next words of longer ones, of one in so many positions or less.
 Null and empty texts are one end symbol. A null id counts as training. Repeated rows count and are scored one by one.
-Without training text all probabilities are 1 (N = V = 0). Other columns are ignored. Words are told apart by 64-bit hashes.
+Without training text all probabilities are 1 (N = V = 0). Other columns are ignored. Words and contexts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,12 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import crc_mod, cut, table
-from ._text import LOWER, doc_chunks, words_of
+from ._spark import crc_mod, cut, shuffle_parts, table
+from ._text import LOWER, doc_chunks, mix64, words_of
+from ._windows import NO_ID, deflate, inflate
 
-DEPTH, CONTEXTS, CELLS, COMMON, LEAST, GAIN, SMOOTH = 3, 1 << 18, 1 << 21, 1 << 20, 2, 50.0, 10.0
+DEPTH, COMMON, LEAST, GAIN, SMOOTH = 3, 1 << 20, 2, 50.0, 10.0
+HOT_CONTEXTS, HOT_CELLS = 1 << 12, 1 << 19  # what is sent, as shares of all positions
+BUCKET = 1 << 19  # places of a bucket
 END = np.uint64(0)
-_HELD = 2_000_000  # counts that a task holds before it sends them
+_HELD = 2_000_000  # counts or sums that a task holds before it sends them
+_SPOTS = 1_000_000  # likewise spots
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +101,8 @@ class Level:
     rest: np.ndarray  # log10 of what an unlisted word's probability is multiplied by
     cell: np.ndarray
     gain: np.ndarray  # log10 P(w | s) / P(w), by cell
+    n: np.ndarray  # count, by cell
+    size: np.ndarray  # smoothed size, by context
 
 
 @dataclass
@@ -131,22 +143,88 @@ class Tree:
 
     def more(self, sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each symbol's place, and log10 P(symbol | longest kept suffix) / P(symbol) by the cells held here."""
-        return self.open(sym, first)[:2]
-
-    def open(self, sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As more(), and the cell of a one-word context by which a symbol's value may still change, -1 for none."""
         word, states = self.places(sym, first)
-        out, pairs = np.zeros(len(sym)), np.full(len(sym), -1, np.int64)
+        out = np.zeros(len(sym))
         for level, state in zip(self.levels, states):
             some = np.flatnonzero(state >= 0)
             some = some[level.kept[state[some]]]
-            cell = _find(level.cell, np.where(word[some] >= 0, (state[some] << 32) | word[some], -1))
-            listed = cell >= 0
-            out[some] = np.where(listed, level.gain[np.maximum(cell, 0)] if len(level.gain) else 0, level.rest[state[some]] + out[some])
-            if level is self.levels[0]:
-                pairs[some] = np.where(word[some] >= 0, (state[some] << 32) | word[some], -1)
-            pairs[some[listed]] = -1
-        return word, out, pairs
+            cell = self.cells(level, state[some], word[some])
+            out[some] = np.where(cell >= 0, level.gain[np.maximum(cell, 0)] if len(level.gain) else 0, level.rest[state[some]] + out[some])
+        return word, out
+
+    def cells(self, level: Level, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return _find(level.cell, np.where((state >= 0) & (word >= 0), (state << 32) | word, -1))
+
+    def states(self, s: Spots) -> list[np.ndarray]:
+        """For each level the context before each spot, -1 if it is none of this tree."""
+        out: list[np.ndarray] = []
+        for d, level in enumerate(self.levels, 1):
+            before = s.place[d].astype(np.int64)
+            out.append(_find(level.pair, before if d == 1 else np.where((before >= 0) & (out[-1] >= 0) & (s.at >= d - 1), (out[-1] << 32) | before, -1)))
+        return out
+
+    def chance(self, s: Spots, states: list[np.ndarray], upto: int | None = None) -> np.ndarray:
+        """P(word | longest kept suffix of up to `upto` words) of each spot, from the counts that it brings."""
+        word = s.place[0].astype(np.int64)
+        out = _root(s, self)
+        for d, (level, state) in enumerate(zip(self.levels[:upto], states)):
+            some = np.flatnonzero(state >= 0)
+            some = some[level.kept[state[some]]]
+            cell = self.cells(level, state[some], word[some])
+            n = np.where(cell >= 0, level.n[np.maximum(cell, 0)] if len(level.n) else 0, s.n[d, some])
+            out[some] = n / level.size[state[some]] + 10 ** level.rest[state[some]] * out[some]
+        return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of equal weight side by side, which compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+@dataclass
+class Spots:
+    """Places in texts. place and hash: of the word and of those before it, the last first; n: how often the word follows each of the contexts sent (0: not listed)."""
+
+    doc: np.ndarray
+    tell: np.ndarray  # tells rows of one id apart
+    train: np.ndarray
+    at: np.ndarray  # place in the text, the depth at most
+    rep: np.ndarray  # bit d: this spot stands for all of its next word of its context of level d
+    many: np.ndarray  # count of a word that is not common
+    n: np.ndarray
+    place: np.ndarray
+    hash: np.ndarray
+
+    def take(self, which: np.ndarray) -> Spots:
+        return Spots(*(x[..., which] for x in vars(self).values()))
+
+    @staticmethod
+    def joined(parts: list[Spots]) -> Spots:
+        return Spots(*(np.concatenate(x, axis=-1) for x in zip(*(vars(p).values() for p in parts))))
+
+    def pack(self, code: np.ndarray) -> bytes:
+        """code: a short number for each common word, and the last one for all others, whose hashes follow."""
+        steps = (np.diff(x, prepend=x.dtype.type(0)) for x in (self.doc, self.tell))
+        flags = self.train | (self.at << 1), self.rep
+        return deflate(b"".join([np.int64(len(self.doc)).tobytes(), *map(_planes, (*steps, *flags, self.many, self.n.ravel(), code[self.place].ravel())), self.hash[self.place < 0].tobytes()]))
+
+    @staticmethod
+    def unpack(z: bytes, depth: int, word: np.ndarray, back: np.ndarray) -> Spots:
+        raw, at = inflate(z), 8
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+
+        def take(kind, rows=1):
+            nonlocal at
+            width = np.dtype(kind).itemsize
+            planes = np.frombuffer(raw, np.uint8, rows * n * width, at).reshape(width, -1)
+            at += rows * n * width
+            return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+        doc, tell, flags, rep, many = take(np.int64).cumsum(), take(np.int64).cumsum(), take(np.uint8), take(np.uint8), take(np.uint32)
+        counts, place = take(np.uint32, depth).reshape(depth, n), back[take(np.uint32, depth + 1)].reshape(depth + 1, n)
+        hashes = word[place] if len(word) else np.zeros(place.shape, np.uint64)
+        hashes[place < 0] = np.frombuffer(raw, np.uint64, offset=at)
+        return Spots(doc, tell, flags & 1, flags >> 1, rep, many, counts, place, hashes)
 
 
 def _level(tree: Tree, pair: np.ndarray, ahead: np.ndarray, ahead_at: np.ndarray, size: np.ndarray, cell: np.ndarray, n: np.ndarray, gain: float, smooth: float, others: np.ndarray | None = None) -> Level:
@@ -166,92 +244,233 @@ def _level(tree: Tree, pair: np.ndarray, ahead: np.ndarray, ahead_at: np.ndarray
     kl += np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / size / np.maximum(1 - share, 1e-12)), 0)
     weight = rest + smooth
     p = (n + weight[ctx] * up) / (size[ctx] + smooth)
-    return Level(pair, ahead, ahead_at, kl > gain, np.log10(weight / (size + smooth)), cell, np.log10(p / root))
+    return Level(pair, ahead, ahead_at, kl > gain, np.log10(weight / (size + smooth)), cell, np.log10(p / root), n, size + smooth)
+
+
+def _root(s: Spots, tree: Tree) -> np.ndarray:
+    word = s.place[0].astype(np.int64)
+    return tree.root(np.where(word >= 0, tree.count[word] if len(tree.count) else 0, s.many))
 
 
-def _sums(cells: DataFrame, tree: Tree, size: np.ndarray) -> np.ndarray:
-    """For each one-word context the sums over these (key, n) cells that _level takes as others; a task sends a row per context at most."""
-    sent = cells.sparkSession.sparkContext.broadcast((tree.root(tree.count), size))
+@dataclass
+class Sent:
+    """What all tasks get: the tree, short codes of its words, and the bounds."""
+
+    tree: Tree
+    depth: int
+    least: int
+    cell_floor: int  # of next words of contexts of two words or more
+    context_floor: int  # likewise of those contexts; one-word contexts: word_floor
+    word_floor: int
+    gain: float
+    smooth: float
+    buckets: int
+    code: np.ndarray
+    back: np.ndarray
+
+    def floor(self, d: int) -> int:
+        """Next words of level d that occur so often or less are not listed."""
+        return max(self.least - 1, self.cell_floor if d else 0)
+
+    def unpack(self, z: bytes) -> Spots:
+        return Spots.unpack(z, self.depth, self.tree.word, self.back)
+
+    def deal(self, to: np.ndarray, s: Spots) -> tuple[list[int], list[bytes]]:
+        to = (to % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(to[order]) != 0)) if len(to) else np.zeros(0, np.int64)
+        return to[order][cuts].tolist(), [s.take(x).pack(self.code) for x in np.split(order, cuts[1:])] if len(to) else []
+
+
+def _deal(parts: int, rows: DataFrame) -> DataFrame:
+    return rows.repartition(parts, "b").sortWithinPartitions("b")
+
+
+def _per_bucket(batches):
+    """(bucket, blobs) of rows that come sorted by bucket."""
+    at, blobs = None, []
+    for b in batches:
+        for k, z in zip(b.column(0).to_pylist(), b.column(1)):
+            if k != at and blobs:
+                yield at, blobs
+                blobs = []
+            at = k
+            blobs.append(z.as_py())
+    if blobs:
+        yield at, blobs
+
+
+def _walk(batches, sent: Sent):
+    """(rows, first, sym, word, at, states, asked, key) of runs of texts; asked: whether a spot has to be counted, and by what it is dealt then."""
+    tree = sent.tree
+    for b in batches:
+        doc, tell, train = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        for lo, hi, data, off in doc_chunks(b.column(3)):
+            sym, first = symbols(data, off)
+            word, states = tree.places(sym, first)
+            at = np.minimum(np.arange(len(sym)) - np.repeat(first[:-1], np.diff(first)), sent.depth)
+            asked = word < 0
+            key = np.where(asked, sym, 0)
+            for d, (level, state) in enumerate(zip(tree.levels, states)):
+                new = np.flatnonzero((state >= 0) & ~asked)
+                new = new[tree.cells(level, state[new], word[new]) < 0]
+                asked[new] = True
+                key[new] = mix64((state[new].astype(np.uint64) << np.uint64(3)) + np.uint64(d + 1)) ^ sym[new]
+            yield (doc[lo:hi], tell[lo:hi], train[lo:hi]), first, sym, word, at, states, asked, mix64(key)
+
+
+def _spots(which: np.ndarray, rows, first: np.ndarray, sym: np.ndarray, word: np.ndarray, at: np.ndarray, end: int, depth: int) -> Spots:
+    row = np.searchsorted(first, which, "right") - 1
+    place, hashes = np.empty((depth + 1, len(which)), np.int32), np.empty((depth + 1, len(which)), np.uint64)
+    for d in range(depth + 1):
+        ok, i = at[which] >= d, np.maximum(which - d, 0)
+        place[d], hashes[d] = np.where(ok, word[i], end), np.where(ok, sym[i], END)
+    doc, tell, train = (x[row] for x in rows)
+    zero = np.zeros(len(which), np.uint8)
+    return Spots(doc, tell, train.astype(np.uint8), at[which].astype(np.uint8), zero, zero.astype(np.uint32), np.zeros((depth, len(which)), np.uint32), place, hashes)
+
+
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each one's group, an order by groups, and where each group begins in it."""
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1]) if len(key) else np.zeros(0, bool)
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order, np.flatnonzero(new)
+
+
+def _pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context + np.uint64(0x9E3779B97F4A7C15)) ^ word)
+
+
+def _counted(s: Spots, sent: Sent) -> Spots:
+    """The spots of a bucket with the counts of their words, where these are not common, and of their next words in sent contexts."""
+    tree, train = sent.tree, s.train.astype(float)
+    rare = np.flatnonzero(s.place[0] < 0)
+    group, _, _ = _groups(s.hash[0, rare])
+    s.many[rare] = np.bincount(group, train[rare])[group] if len(rare) else 0
+    for d, (level, state) in enumerate(zip(tree.levels, tree.states(s))):
+        some = np.flatnonzero(state >= 0)
+        some = some[tree.cells(level, state[some], s.place[0, some].astype(np.int64)) < 0]
+        if not len(some):
+            continue
+        group, order, head = _groups(_pair_key(state[some].astype(np.uint64), s.hash[0, some]))
+        n = np.bincount(group, train[some])
+        n[n <= sent.floor(d)] = 0
+        s.n[d, some] = n[group]
+        first = some[order[head]]
+        s.rep[first[n > 0]] |= np.uint8(1 << d)
+    return s
+
+
+def _sums(met: DataFrame, bound, d: int, size: np.ndarray) -> np.ndarray:
+    """For each sent context of level d the sums over its counted next words that _level takes as others; a task sends a row per context at most."""
 
     def run(batches):
-        root, size = sent.value
-        total = np.zeros((3, len(size)))
+        sent, size_ = bound.value
+        total = np.zeros((3, len(size_)))
         for b in batches:
-            cell, n = (b.column(i).to_numpy() for i in (0, 1))
-            ctx, up = cell >> 32, root[cell & 0xFFFFFFFF]
-            total += [np.bincount(ctx, x, len(size)) for x in (n, up, n * np.log(n / size[ctx] / up))]
+            for z in b.column(0):
+                s = sent.unpack(z.as_py())
+                s = s.take(np.flatnonzero(s.rep & (1 << d)))
+                states = sent.tree.states(s)
+                n, up, ctx = s.n[d].astype(float), sent.tree.chance(s, states, d), states[d]
+                total += [np.bincount(ctx, x, len(size_)) for x in (n, up, n * np.log(n / size_[ctx] / up))]
         some = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *total[:, some])], names=["ctx", "a", "b", "c"])
 
-    found = cells.mapInArrow(run, "ctx long, a double, b double, c double").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in "abc")).toArrow()
+    found = met.select("z").mapInArrow(run, "ctx long, a double, b double, c double").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in "abc")).toArrow()
     out = np.zeros((3, len(size)))
     out[:, found["ctx"].to_numpy()] = [found[c].to_numpy() for c in "abc"]
     return out
 
 
-def _added(cells: DataFrame, tree: Tree, size: np.ndarray, smooth: float) -> DataFrame:
-    """(key, add) of these cells of kept one-word contexts: what a listed word's value is above that of an unlisted one."""
-    level = tree.levels[0]
-    sent = cells.sparkSession.sparkContext.broadcast((tree.root(tree.count), size, level.kept, level.rest))
-
-    def run(batches):
-        root, size, kept, rest = sent.value
-        for b in batches:
-            cell, n = (b.column(i).to_numpy() for i in (0, 1))
-            ok = kept[cell >> 32]
-            cell, n = cell[ok], n[ok]
-            ctx = cell >> 32
-            p = n / (size[ctx] + smooth) / root[cell & 0xFFFFFFFF]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.log10(p + 10 ** rest[ctx]) - rest[ctx])], names=["key", "add"])
-
-    return cells.mapInArrow(run, "key long, add double")
-
-
 def learn(texts: DataFrame, words: DataFrame, **bounds) -> Tree:
-    """The part of the tree that is sent to all tasks."""
-    return learn_all(texts, words, **bounds)[0]
+    """The part of the tree that is sent to all tasks; texts: of the training rows."""
+    rows = texts.select(F.lit(0).cast("long").alias("doc"), F.lit(0).cast("long").alias("tell"), F.lit(1).alias("train"), "text")
+    return learn_all(rows, words, **bounds)[0].tree
 
 
 def learn_all(
-    texts: DataFrame, words: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS, cells: int = CELLS, common: int = COMMON, least: int = LEAST, gain: float = GAIN, smooth: float = SMOOTH
-) -> tuple[Tree, DataFrame]:
-    """The tree of the training texts, and (key, add) of the cells of one-word contexts that it does not hold; words: (key, n) of the texts' symbols."""
+    rows: DataFrame, words: DataFrame, depth: int = DEPTH, contexts: int | None = None, cells: int | None = None, common: int = COMMON, least: int = LEAST, gain: float = GAIN, smooth: float = SMOOTH,
+    hot_contexts: int = HOT_CONTEXTS, hot_cells: int = HOT_CELLS, bucket: int = BUCKET,
+) -> tuple[Sent, DataFrame]:
+    """What is sent to all tasks, and (z) the counted spots; rows: (doc, tell, train, text); words: (key, n) of the training texts' symbols."""
+    spark = rows.sparkSession
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = words.filter(F.col("n") > n // common).toArrow()  # no more than `common` words are in so many places
     order = np.argsort(h := top["key"].to_numpy().view(np.uint64))
     tree = Tree(h[order], top["n"].to_numpy()[order], n, v)
-    at = np.flatnonzero(tree.count > n // contexts)
+    many_contexts, many_cells = n // (contexts or hot_contexts), n // (cells or hot_cells)
+    at = np.flatnonzero(tree.count > many_contexts)
     pair, size = at.astype(np.int64), tree.count[at].astype(float)
-    ahead, ahead_at = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    added = texts.sparkSession.createDataFrame([], "key long, add double")
+    empty = np.zeros(0, np.int64)
+    ahead, ahead_at = empty, empty
+    training = rows.filter("train = 1").select("text")
+    sizes = []
     for d in range(1, depth + 1):
+        tree.levels.append(Level(pair, ahead, ahead_at, np.zeros(len(pair), bool), np.zeros(len(pair)), empty, empty.astype(float), empty, size + smooth))
+        sizes.append(size)
         if not len(pair):
-            break
-        empty = np.zeros(0, np.int64)
-        tree.levels.append(Level(pair, empty, empty, np.zeros(len(pair), bool), np.zeros(len(pair)), empty, empty.astype(float)))
-        sent = texts.sparkSession.sparkContext.broadcast(tree)
+            continue
+        sent = spark.sparkContext.broadcast(tree)
 
         def followed(data, off, d=d, sent=sent):
             word, states = sent.value.places(*symbols(data, off))
             ok = (states[d - 1] >= 0) & (word >= 0)
+            ok[ok] = sent.value.count[word[ok]] > many_cells
             return ((states[d - 1][ok] << 32) | word[ok]).astype(np.uint64)
 
-        listed, often = _summed(texts, followed).filter(F.col("n") >= least), F.col("n") > n // cells
-        if d == 1:
-            listed = cut(listed)
-        found = listed.filter(often).toArrow()  # at most `cells` rows
-        tree.levels.pop()
-        others = _sums(listed.filter(~often), tree, size) if d == 1 else None
-        cell, many = found["key"].to_numpy(), found["n"].to_numpy().astype(float)
-        # the parent of a frequent cell is frequent too, so what it predicts is held here
-        level = _level(tree, pair, ahead, ahead_at, size, cell, many, gain, smooth, others)
-        tree.levels.append(level)
-        if d == 1:
-            added = _added(listed.filter(~often), tree, size, smooth)
-        # the next candidates: a common context and a common word after it; keyed by their suffix, so extended to the left
-        if d < depth:
-            pair, ahead, ahead_at, size = _extend(level, cell, many, n // contexts)
-    return tree, added
+        found = _summed(training, followed).filter((F.col("n") >= least) & (F.col("n") > many_cells)).toArrow()  # at most as many as cells are sent
+        order = np.argsort(key := found["key"].to_numpy())
+        tree.levels[-1].cell, tree.levels[-1].n = key[order], found["n"].to_numpy()[order].astype(float)
+        # the next candidates: a sent context and a frequent word after it; keyed by their suffix, so extended to the left
+        pair, ahead, ahead_at, size = _extend(tree.levels[-1], tree.levels[-1].cell, tree.levels[-1].n, many_contexts)
+    total, taught = rows.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
+    by = np.argsort(-tree.count, kind="stable")
+    rank = np.argsort(by)
+    floor = n // cells if cells else 0
+    given = Sent(
+        tree, depth, least, floor, max(floor, n // contexts if contexts else 0), n // contexts if contexts else 0, gain, smooth,
+        max(shuffle_parts(spark), n * total // max(taught, 1) // bucket), np.append(rank, len(rank)).astype(np.uint32), np.append(by, -1).astype(np.int32),
+    )
+    bound = spark.sparkContext.broadcast(given)
+
+    def ask(batches):
+        sent, held, keys, many = bound.value, [], [], 0
+
+        def send():
+            to, z = sent.deal(np.concatenate(keys), Spots.joined(held))
+            held.clear(), keys.clear()
+            return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(z, pa.binary())], names=["b", "z"])
+
+        end = int(_find(sent.tree.word, np.array([END]))[0])
+        for rows_, first, sym, word, at, _, asked, key in _walk(batches, sent):
+            which = np.flatnonzero(asked)
+            held.append(_spots(which, rows_, first, sym, word, at, end, sent.depth))
+            keys.append(key[which])
+            many += len(which)
+            if many > _SPOTS:
+                yield send()
+                many = 0
+        if held:
+            yield send()
+
+    def meet(batches):
+        for _, blobs in _per_bucket(batches):
+            s = _counted(Spots.joined([bound.value.unpack(z) for z in blobs]), bound.value)
+            for x in np.array_split(np.arange(len(s.doc)), len(s.doc) // 100_000 + 1):
+                yield pa.RecordBatch.from_arrays([pa.array([s.take(x).pack(bound.value.code)], pa.binary())], names=["z"])
+
+    met = cut(_deal(shuffle_parts(spark), rows.mapInArrow(ask, "b long, z binary")).mapInArrow(meet, "z binary"))
+    done = Tree(tree.word, tree.count, n, v)
+    for d, (level, size) in enumerate(zip(tree.levels, sizes)):
+        if len(size):
+            part = Sent(**{**vars(given), "tree": Tree(tree.word, tree.count, n, v, [*done.levels, level])})
+            others = _sums(met, spark.sparkContext.broadcast((part, size)), d, size)
+            level = _level(done, level.pair, level.ahead, level.ahead_at, size, level.cell, level.n, gain, smooth, others)
+        done.levels.append(level)
+    return Sent(**{**vars(given), "tree": done}), met
 
 
 def _extend(level: Level, cell: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -274,49 +493,198 @@ def _extend(level: Level, cell: np.ndarray, n: np.ndarray, least: int) -> tuple[
     return pair[place], ahead, at, n[place]
 
 
+def _keys(s: Spots) -> list[np.ndarray]:
+    """A hash of the context of each length."""
+    out = [np.zeros(len(s.doc), np.uint64)]
+    for d in range(1, len(s.hash)):
+        out.append(_pair_key(out[-1], s.hash[d]))
+    return out[1:]
+
+
+def _deepened(p: np.ndarray, context: np.ndarray, word: np.ndarray, train: np.ndarray, d: int, sent: Sent) -> np.ndarray:
+    """P(word) in contexts whose places are all here, from what their parents predict."""
+    of, _, _ = _groups(context)
+    size = np.bincount(of, train)
+    floor = sent.context_floor if d else sent.word_floor
+    live = np.flatnonzero((size >= max(sent.least, floor + 1))[of])  # others list nothing, so they are not kept
+    if not len(live):
+        return p
+    of, up = of[live], p[live]
+    cell, order, head = _groups(_pair_key(context[live], word[live]))
+    first = order[head]
+    n = np.bincount(cell, train[live])
+    n[n <= sent.floor(d)] = 0
+    some = np.flatnonzero(n)
+    ctx, m, q = of[first[some]], n[some], up[first[some]]
+    listed, share, kl = (np.bincount(ctx, x, len(size)).astype(float) for x in (m, q, m * np.log(m / size[ctx] / q)))
+    rest = size - listed
+    some = np.flatnonzero((rest > 0) & (size > 0))
+    kl[some] += rest[some] * np.log(rest[some] / size[some] / np.maximum(1 - share[some], 1e-12))
+    out = p.copy()
+    out[live] = np.where((kl > sent.gain)[of], (n[cell] + (rest + sent.smooth)[of] * up) / (size + sent.smooth)[of], up)
+    return out
+
+
+_SUMS = ("doc", "tell", "rows", "n_tokens", "known", "base", "more")
+
+
+class _Totals:
+    """Sums by row, sent in blobs by a hash of the row's id."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.many, self.full = buckets, [], 0, False
+
+    def add(self, doc, tell, *columns) -> None:
+        self.held.append((doc, tell, *(x.astype(float) for x in columns)))
+        self.many += len(doc)
+        if self.many > _HELD:
+            self.sum()
+            self.full = self.many > _HELD // 2
+
+    def gains(self, s: Spots, p: np.ndarray, tree: Tree) -> None:
+        """Adds what P = p of these spots gives above their unigram score."""
+        more = np.log10(p) - np.log10(_root(s, tree))
+        some = np.flatnonzero(more)
+        zero = np.zeros(len(some))
+        self.add(s.doc[some], s.tell[some], zero, zero, zero, zero, more[some])
+
+    def sum(self) -> None:
+        doc, tell, *columns = map(np.concatenate, zip(*self.held))
+        order = np.lexsort((tell, doc))
+        doc, tell = doc[order], tell[order]
+        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tell[1:] != tell[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        self.held = [(doc[head], tell[head], *(np.add.reduceat(c[order], head) if len(head) else c for c in columns))]
+        self.many = len(head)
+
+    def send(self) -> tuple[list[int], list[bytes]]:
+        self.sum()
+        (columns,), self.held, self.many, self.full = self.held, [], 0, False
+        to = (mix64(columns[0].view(np.uint64)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.append(True, np.diff(to[order]) != 0)) if len(to) else np.zeros(0, np.int64)
+        blobs = [deflate(b"".join([np.int64(len(x)).tobytes(), *(_planes(np.diff(c[x], prepend=c.dtype.type(0))) if k < 2 else _planes(c[x]) for k, c in enumerate(columns))])) for x in np.split(order, cuts[1:])] if len(to) else []
+        return to[order][cuts].tolist(), blobs
+
+    def read(self, z: bytes) -> None:
+        raw = inflate(z)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        planes = np.frombuffer(raw, np.uint8, offset=8).reshape(len(_SUMS), 8, n)
+        ints = [np.ascontiguousarray(x.T).view(np.int64)[:, 0].cumsum() for x in planes[:2]]
+        self.add(*ints, *(np.ascontiguousarray(x.T).view(float)[:, 0] for x in planes[2:]))
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, **bounds) -> DataFrame:
     """Every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(crc_mod(id_col, folds) == fold, F.lit(False)).alias("held_out"))
-    training = texts.filter("not held_out")
-    words = cut(_summed(training, lambda data, off: symbols(data, off)[0]))
-    tree, cells = learn_all(training, words, **bounds)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
+    spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
+    held_out = lambda c: F.coalesce(crc_mod(c, folds) == fold, F.lit(False))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"), (~held_out(id_col)).cast("int").alias("train"))
+    unique = texts.groupBy("doc").count().filter("count > 1").isEmpty()
+    rows = texts.select("doc", (F.lit(0) if unique else F.xxhash64(F.coalesce("text", F.lit("")))).cast("long").alias("tell"), "train", "text")
+    words = cut(_summed(rows.filter("train = 1"), lambda data, off: symbols(data, off)[0]))
+    given, met = learn_all(rows, words, **bounds)
+    bound = spark.sparkContext.broadcast(given)
+    # a bucket below zero holds sums of rows, the others spots
+    dealt = "b long, z binary"
+
+    def batch(to, z, sums=False):
+        return pa.RecordBatch.from_arrays([pa.array([-1 - k for k in to] if sums else to, pa.int64()), pa.array(z, pa.binary())], names=["b", "z"])
+
+    def forward(source):
+        """source: (spots, sums by row) -> spots that have a context that is not sent go on to it; the others are scored."""
+        sent, totals = bound.value, _Totals(parts)
+        held, keys, many = [], [], 0
 
-    def run(batches):
-        tree = sent.value
-        for b in batches:
-            for lo, hi, data, off in doc_chunks(b.column(1)):
-                n = hi - lo
-                sym, first = symbols(data, off)
-                word, more, pairs = tree.open(sym, first)
-                row = np.repeat(np.arange(n), np.diff(first))
+        def send():
+            to, z = sent.deal(np.concatenate(keys), Spots.joined(held))
+            held.clear(), keys.clear()
+            return batch(to, z)
+
+        for s, row in source(sent):
+            if row is not None:
+                totals.add(*row)
+            states = sent.tree.states(s)
+            known = sum((x >= 0).astype(np.int64) for x in states)
+            cold = known < np.minimum(s.at.astype(np.int64) + 1, sent.depth)
+            warm = s.take(np.flatnonzero(~cold))
+            p = sent.tree.chance(warm, [x[~cold] for x in states])
+            totals.gains(warm, p, sent.tree)
+            which = np.flatnonzero(cold)
+            s = s.take(which)
+            s.rep[:] = 0
+            key = _keys(s)
+            held.append(s)
+            keys.append(np.choose(known[which], key) if len(which) else np.zeros(0, np.uint64))
+            many += len(which)
+            if many > _SPOTS:
+                yield send()
+                many = 0
+            if totals.full:
+                yield batch(*totals.send(), sums=True)
+        if held:
+            yield send()
+        if totals.held:
+            yield batch(*totals.send(), sums=True)
+
+    def from_texts(batches):
+        def source(sent):
+            end = int(_find(sent.tree.word, np.array([END]))[0])
+            for rows_, first, sym, word, at, _, asked, _ in _walk(batches, sent):
+                n = len(first) - 1
                 hit = word >= 0
-                base = np.bincount(row[hit], np.log10(tree.count[word[hit]] + 1.0), n)
-                known = np.bincount(row[hit], minlength=n)
-                lists = []
-                for ok, keys in ((~hit, sym.view(np.int64)), (pairs >= 0, pairs)):
-                    key, many, cuts = _distinct(keys[ok], row[ok], n)
-                    lists += [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (key, many)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(2).slice(lo, n), *map(pa.array, (np.diff(first), known, base, np.bincount(row, more, n))), *lists], names=["doc_id", "held_out", "n_tokens", "known", "base", "more", "keys", "times", "pairs", "pair_times"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, more double, keys array<long>, times array<int>, pairs array<long>, pair_times array<int>"
-    out = cut(texts.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    asked = [out.select("row", F.explode(F.arrays_zip(F.col(k).alias("key"), F.col(t).alias("times"))).alias("x")).select("row", F.lit(pair).alias("pair"), "x.key", "x.times") for k, t, pair in (("keys", "times", False), ("pairs", "pair_times", True))]
-    held = words.select(F.lit(False).alias("pair"), "key", F.log10(F.col("n") + 1.0).alias("x")).unionByName(cells.select(F.lit(True).alias("pair"), "key", F.col("add").alias("x")))
-    value = F.col("times") * F.col("x")
-    found = asked[0].unionByName(asked[1]).join(held, ["key", "pair"])
-    added = found.groupBy("row").agg(F.sum(F.when(~F.col("pair"), F.col("times"))).alias("times"), F.sum(F.when(~F.col("pair"), value)).alias("b"), F.sum(F.when(F.col("pair"), value)).alias("m"))
-    base = F.col("base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(tree.n + tree.v + 1)))
-    scored = out.drop("keys", "times", "pairs", "pair_times").join(added, "row", "left")
-    return scored.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("times", F.lit(0))).alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + F.coalesce("m", F.lit(0.0))).alias("score"))
-
-
-def _distinct(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each row's distinct hashes, how often each occurs, and where each row's begin."""
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, np.int64)
-    return h[head], np.diff(np.append(head, len(h))).astype(np.int32), np.searchsorted(row[head], np.arange(n + 1)).astype(np.int32)
+                row = np.repeat(np.arange(n), np.diff(first))[hit]
+                base = np.bincount(row, np.log10(sent.tree.count[word[hit]] + 1.0), n)
+                totals = rows_[0], rows_[1], np.ones(n), np.diff(first), np.bincount(row, minlength=n), base, np.zeros(n)
+                yield _spots(np.flatnonzero(~asked), rows_, first, sym, word, at, end, sent.depth), totals
+
+        yield from forward(source)
+
+    def from_met(batches):
+        def source(sent):
+            for b in batches:
+                for z in b.column(0):
+                    s = sent.unpack(z.as_py())
+                    rare = np.flatnonzero(s.place[0] < 0)
+                    zero = np.zeros(len(rare))
+                    yield s, (s.doc[rare], s.tell[rare], zero, zero, s.many[rare] > 0, np.log10(s.many[rare] + 1.0), zero)
+
+        yield from forward(source)
+
+    def deepen(batches):
+        sent, totals = bound.value, _Totals(parts)
+        for b, blobs in _per_bucket(batches):
+            if b < 0:
+                for z in blobs:
+                    totals.read(z)
+            else:
+                s = Spots.joined([sent.unpack(z) for z in blobs])
+                states = sent.tree.states(s)
+                p = sent.tree.chance(s, states)
+                train = s.train.astype(float)
+                for d, key in enumerate(_keys(s)):
+                    some = np.flatnonzero((states[d] < 0) & (s.at >= d))
+                    p[some] = _deepened(p[some], key[some], s.hash[0, some], train[some], d, sent)
+                totals.gains(s, p, sent.tree)
+            if totals.full:
+                yield batch(*totals.send())
+        if totals.held:
+            yield batch(*totals.send())
+
+    def added(batches):
+        for _, blobs in _per_bucket(batches):
+            totals = _Totals(1)
+            for z in blobs:
+                totals.read(z)
+            totals.sum()
+            doc, tell, *columns = totals.held[0]
+            yield pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(c) for c in columns)], names=["doc", *_SUMS[2:]])
+
+    spots = _deal(parts, met.mapInArrow(from_met, dealt).unionByName(rows.mapInArrow(from_texts, dealt)))
+    sums = _deal(parts, spots.mapInArrow(deepen, dealt)).mapInArrow(added, "doc long, rows double, n_tokens double, known double, base double, more double")
+    # rows equal in id and text came together: each is one share of the sum
+    each = sums.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))), *((F.col(c) / F.col("rows")).alias(c) for c in _SUMS[3:]))
+    tree = given.tree
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(tree.n + tree.v + 1)))
+    return each.withColumn("doc_id", F.nullif("doc", F.lit(NO_ID))).select("doc_id", held_out("doc_id").alias("held_out"), F.col("n_tokens").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"))
 
 
 def op4_suffix_tree(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from surveil.llm import decontaminate, pieces, quality, secrets, suffix_tree, token_counts
 from surveil.llm import _text as T
@@ -321,6 +322,49 @@ def test_lm_of_any_depth(spark):
         assert math.isclose(got[k], want, rel_tol=1e-6), (k, got[k], want)
 
 
+def test_lm_leaves_out_nothing(spark):
+    """All contexts of up to three words and all next words from two occurrences on, by hand, whatever is sent to all tasks; repeated and null rows too."""
+    rng = np.random.default_rng(29)
+    share = 1 / np.arange(1, 61)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(60)], rng.integers(0, 40), p=share / share.sum())) for _ in range(160)]
+    for k in range(0, 160, 8):  # rare words that always stand in one order
+        texts[k] += f" rare{k % 24} thing{k % 24} of{k % 24} note{k % 24}"
+    d = docs(spark, [*texts, None, ""])
+    d = d.unionByName(d.filter("doc_id < 20")).unionByName(d.filter("doc_id = 30").withColumn("text", F.lit("w1 w2 w3 w1 w2 w3")))
+    depth, gain, smooth, end = 3, 2.0, 2.0, "."
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    seqs = [(k, [*(t or "").split(), end]) for k, t in rows]
+    train = [s for k, s in seqs if zlib.crc32(str(k).encode()) % 7 != 2]
+    uni = Counter(w for s in train for w in s)
+    n, v = sum(uni.values()), len(uni)
+    after, kept = {}, {}
+    for s in train:
+        for i, w in enumerate(s):
+            for j in range(1, min(i + 1, depth) + 1):
+                after.setdefault(tuple([end, *s][i + 1 - j : i + 1]), Counter())[w] += 1
+
+    def p(ctx, w):
+        while ctx and not kept.get(ctx):
+            ctx = ctx[1:]
+        if not ctx:
+            return (uni[w] + 1) / (n + v + 1)
+        c, size = after[ctx], sum(after[ctx].values())
+        m = c[w] if c[w] > 1 else 0
+        return (m + (size - sum(x for x in c.values() if x > 1) + smooth) * p(ctx[1:], w)) / (size + smooth)
+
+    for ctx in sorted(after, key=len):
+        size = sum(after[ctx].values())
+        x = [(m, p(ctx[1:], w)) for w, m in after[ctx].items() if m > 1]
+        rest = size - sum(m for m, _ in x)
+        kept[ctx] = sum(m * math.log(m / size / q) for m, q in x) + (rest * math.log(rest / size / max(1 - sum(q for _, q in x), 1e-12)) if rest else 0) > gain
+    assert {len(c) for c, k in kept.items() if k} == {1, 2, 3}
+    want = sorted((k, sum(math.log10(p(tuple([end, *s][max(0, i + 1 - depth) : i + 1]), w)) for i, w in enumerate(s))) for k, s in seqs)
+    for sent in ({}, {"hot_contexts": 30, "hot_cells": 200, "common": 100}, {"hot_contexts": 200, "hot_cells": 400, "bucket": 300}, {"hot_contexts": 1, "hot_cells": 1, "common": 1}, {"common": 20}):
+        got = sorted((r.doc_id, r.score) for r in suffix_tree.lm_scores(d, depth=depth, gain=gain, smooth=smooth, **sent).collect())
+        assert [k for k, _ in got] == [k for k, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9), sent
+
+
 def test_lm_next_words_in_tables(spark):
     """Next words of one-word contexts are listed from two occurrences on, wherever they are held; of two-word ones only frequent ones."""
     rng = np.random.default_rng(23)
