@@ -14,7 +14,7 @@ No context or next word is left out, however rare. How one is counted follows fr
 2. Places with another next word of such a context, or with a word that is not common, are dealt by that pair, or word, and counted where they meet;
    sums over them complete the divergence of the sent contexts.
 3. Places with a context that is not sent are dealt by the shortest such one. All longer contexts of these places meet in the same bucket, which
-   tests and scores them. A bucket's groups hold at most one in HOT_CONTEXTS places, so none grows beyond its share.
+   tests and scores them. A group of it holds at most one in HOT_CONTEXTS places and no more than BUCKET, up to MOST_CONTEXTS times BUCKET places in all.
 
 Places travel packed by columns. Each bucket adds up what it finds for a row, and the rows' sums are added in one last shuffle.
 
@@ -37,8 +37,9 @@ from ._text import LOWER, doc_chunks, mix64, words_of
 from ._windows import NO_ID, deflate, inflate
 
 DEPTH, COMMON, LEAST, GAIN, SMOOTH = 3, 1 << 20, 2, 50.0, 10.0
-HOT_CONTEXTS, HOT_CELLS = 1 << 12, 1 << 19  # what is sent, as shares of all positions
-BUCKET = 1 << 19  # places of a bucket
+HOT_CONTEXTS, HOT_CELLS = 1 << 10, 1 << 21  # what is sent, as shares of all positions
+BUCKET = 1 << 19  # places of a bucket; contexts of more are sent too, as long as these are MOST_CONTEXTS at most
+MOST_CONTEXTS = 1 << 18
 END = np.uint64(0)
 _HELD = 2_000_000  # counts or sums that a task holds before it sends them
 _SPOTS = 1_000_000  # likewise spots
@@ -391,6 +392,16 @@ def learn(texts: DataFrame, words: DataFrame, **bounds) -> Tree:
     return learn_all(rows, words, **bounds)[0].tree
 
 
+def _rarest(words: DataFrame, n: int, common: int) -> int:
+    """A count that no more than `common` words exceed, the least one up to 1,000."""
+    held, counts = 0, words.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect()
+    for r in counts:
+        held += r["count"]
+        if held > common:
+            return r["n"] if r["n"] < 1000 else max(1000, n // common)
+    return 0
+
+
 def learn_all(
     rows: DataFrame, words: DataFrame, depth: int = DEPTH, contexts: int | None = None, cells: int | None = None, common: int = COMMON, least: int = LEAST, gain: float = GAIN, smooth: float = SMOOTH,
     hot_contexts: int = HOT_CONTEXTS, hot_cells: int = HOT_CELLS, bucket: int = BUCKET,
@@ -398,10 +409,10 @@ def learn_all(
     """What is sent to all tasks, and (z) the counted spots; rows: (doc, tell, train, text); words: (key, n) of the training texts' symbols."""
     spark = rows.sparkSession
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.filter(F.col("n") > n // common).toArrow()  # no more than `common` words are in so many places
+    top = words.filter(F.col("n") > _rarest(words, n, common)).toArrow()
     order = np.argsort(h := top["key"].to_numpy().view(np.uint64))
     tree = Tree(h[order], top["n"].to_numpy()[order], n, v)
-    many_contexts, many_cells = n // (contexts or hot_contexts), n // (cells or hot_cells)
+    many_contexts, many_cells = n // (contexts or max(hot_contexts, min(n // bucket, MOST_CONTEXTS))), n // (cells or hot_cells)
     at = np.flatnonzero(tree.count > many_contexts)
     pair, size = at.astype(np.int64), tree.count[at].astype(float)
     empty = np.zeros(0, np.int64)
@@ -493,22 +504,24 @@ def _extend(level: Level, cell: np.ndarray, n: np.ndarray, least: int) -> tuple[
     return pair[place], ahead, at, n[place]
 
 
-def _keys(s: Spots) -> list[np.ndarray]:
-    """A hash of the context of each length."""
-    out = [np.zeros(len(s.doc), np.uint64)]
+def _keys(s: Spots, known: np.ndarray) -> np.ndarray:
+    """A hash of each spot's context of one word more than `known`."""
+    out = np.zeros(len(s.doc), np.uint64)
     for d in range(1, len(s.hash)):
-        out.append(_pair_key(out[-1], s.hash[d]))
-    return out[1:]
+        some = np.flatnonzero(known >= d - 1)
+        out[some] = _pair_key(out[some], s.hash[d, some])
+    return out
 
 
-def _deepened(p: np.ndarray, context: np.ndarray, word: np.ndarray, train: np.ndarray, d: int, sent: Sent) -> np.ndarray:
-    """P(word) in contexts whose places are all here, from what their parents predict."""
+def _deepened(p: np.ndarray, context: np.ndarray, word: np.ndarray, train: np.ndarray, d: int, sent: Sent) -> tuple[np.ndarray, np.ndarray]:
+    """P(word) in contexts whose places are all here, from what their parents predict, and whether longer contexts may have next words to list."""
     of, _, _ = _groups(context)
     size = np.bincount(of, train)
     floor = sent.context_floor if d else sent.word_floor
+    on = (size >= sent.least)[of]
     live = np.flatnonzero((size >= max(sent.least, floor + 1))[of])  # others list nothing, so they are not kept
     if not len(live):
-        return p
+        return p, on
     of, up = of[live], p[live]
     cell, order, head = _groups(_pair_key(context[live], word[live]))
     first = order[head]
@@ -522,7 +535,7 @@ def _deepened(p: np.ndarray, context: np.ndarray, word: np.ndarray, train: np.nd
     kl[some] += rest[some] * np.log(rest[some] / size[some] / np.maximum(1 - share[some], 1e-12))
     out = p.copy()
     out[live] = np.where((kl > sent.gain)[of], (n[cell] + (rest + sent.smooth)[of] * up) / (size + sent.smooth)[of], up)
-    return out
+    return out, on
 
 
 _SUMS = ("doc", "tell", "rows", "n_tokens", "known", "base", "more")
@@ -599,10 +612,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             held.clear(), keys.clear()
             return batch(to, z)
 
-        for s, row in source(sent):
-            if row is not None:
-                totals.add(*row)
-            states = sent.tree.states(s)
+        for s, states, row in source(sent):
+            totals.add(*row)
             known = sum((x >= 0).astype(np.int64) for x in states)
             cold = known < np.minimum(s.at.astype(np.int64) + 1, sent.depth)
             warm = s.take(np.flatnonzero(~cold))
@@ -611,9 +622,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             which = np.flatnonzero(cold)
             s = s.take(which)
             s.rep[:] = 0
-            key = _keys(s)
             held.append(s)
-            keys.append(np.choose(known[which], key) if len(which) else np.zeros(0, np.uint64))
+            keys.append(_keys(s, known[which]))
             many += len(which)
             if many > _SPOTS:
                 yield send()
@@ -628,13 +638,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     def from_texts(batches):
         def source(sent):
             end = int(_find(sent.tree.word, np.array([END]))[0])
-            for rows_, first, sym, word, at, _, asked, _ in _walk(batches, sent):
+            for rows_, first, sym, word, at, states, asked, _ in _walk(batches, sent):
                 n = len(first) - 1
                 hit = word >= 0
                 row = np.repeat(np.arange(n), np.diff(first))[hit]
                 base = np.bincount(row, np.log10(sent.tree.count[word[hit]] + 1.0), n)
                 totals = rows_[0], rows_[1], np.ones(n), np.diff(first), np.bincount(row, minlength=n), base, np.zeros(n)
-                yield _spots(np.flatnonzero(~asked), rows_, first, sym, word, at, end, sent.depth), totals
+                which = np.flatnonzero(~asked)
+                yield _spots(which, rows_, first, sym, word, at, end, sent.depth), [x[which] for x in states], totals
 
         yield from forward(source)
 
@@ -645,7 +656,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     s = sent.unpack(z.as_py())
                     rare = np.flatnonzero(s.place[0] < 0)
                     zero = np.zeros(len(rare))
-                    yield s, (s.doc[rare], s.tell[rare], zero, zero, s.many[rare] > 0, np.log10(s.many[rare] + 1.0), zero)
+                    yield s, sent.tree.states(s), (s.doc[rare], s.tell[rare], zero, zero, s.many[rare] > 0, np.log10(s.many[rare] + 1.0), zero)
 
         yield from forward(source)
 
@@ -660,9 +671,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 states = sent.tree.states(s)
                 p = sent.tree.chance(s, states)
                 train = s.train.astype(float)
-                for d, key in enumerate(_keys(s)):
-                    some = np.flatnonzero((states[d] < 0) & (s.at >= d))
-                    p[some] = _deepened(p[some], key[some], s.hash[0, some], train[some], d, sent)
+                key, live = np.zeros(len(p), np.uint64), np.ones(len(p), bool)
+                for d, state in enumerate(states):
+                    key = _pair_key(key, s.hash[d + 1])
+                    some = np.flatnonzero(live & (state < 0) & (s.at >= d))
+                    p[some], live[some] = _deepened(p[some], key[some], s.hash[0, some], train[some], d, sent)
                 totals.gains(s, p, sent.tree)
             if totals.full:
                 yield batch(*totals.send())
