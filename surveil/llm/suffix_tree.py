@@ -38,11 +38,11 @@ from ._windows import NO_ID, deflate, inflate
 
 DEPTH, COMMON, LEAST, GAIN, SMOOTH = 3, 1 << 20, 2, 50.0, 10.0
 HOT_CONTEXTS, HOT_CELLS = 1 << 10, 1 << 21  # what is sent, as shares of all positions
-BUCKET = 1 << 19  # places of a bucket; contexts of more are sent too, as long as these are MOST_CONTEXTS at most
+BUCKET = 1 << 18  # places of a bucket; contexts of more are sent too, as long as these are MOST_CONTEXTS at most
 MOST_CONTEXTS = 1 << 18
 END = np.uint64(0)
-_HELD = 2_000_000  # counts or sums that a task holds before it sends them
-_SPOTS = 1_000_000  # likewise spots
+_HELD = 2_000_000  # counts that a task holds before it sends them
+_SPOTS, _ROWS = 600_000, 700_000  # likewise spots, and sums of rows
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -550,9 +550,9 @@ class _Totals:
     def add(self, doc, tell, *columns) -> None:
         self.held.append((doc, tell, *(x.astype(float) for x in columns)))
         self.many += len(doc)
-        if self.many > _HELD:
+        if self.many > _ROWS:
             self.sum()
-            self.full = self.many > _HELD // 2
+            self.full = self.many > _ROWS // 2
 
     def gains(self, s: Spots, p: np.ndarray, tree: Tree) -> None:
         """Adds what P = p of these spots gives above their unigram score."""
