@@ -16,6 +16,9 @@ No context or next word is left out, however rare. How one is counted follows fr
 3. Places with a context that is not sent are dealt by the shortest such one. All longer contexts of these places meet in the same bucket, which
    tests and scores them. A group of it holds at most one in HOT_CONTEXTS places and no more than BUCKET, up to MOST_CONTEXTS times BUCKET places in all.
 
+A context that occurs too seldom to diverge by more than `gain`, whatever follows it (`_never`: up to twice by default), is never kept. So neither is one with a word
+that occurs no more often: a place goes no further than that, and travels without such words.
+
 Places travel packed by columns. Each bucket adds up what it finds for a row, and the rows' sums are added in one last shuffle.
 
 `contexts` and `cells`, if given, leave out contexts, and next words of longer ones, of one in so many positions or less.
@@ -25,7 +28,7 @@ Without training text all probabilities are 1 (N = V = 0). Other columns are ign
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,12 @@ from ._spark import crc_mod, cut, shuffle_parts, table
 from ._text import LOWER, doc_chunks, mix64, words_of
 from ._windows import NO_ID, deflate, inflate
 
-DEPTH, COMMON, LEAST, GAIN, SMOOTH = 3, 1 << 20, 2, 50.0, 10.0
+DEPTH, COMMON, LEAST, GAIN, SMOOTH = 3, 3 << 19, 2, 50.0, 10.0
 HOT_CONTEXTS, HOT_CELLS = 1 << 10, 1 << 21  # what is sent, as shares of all positions
 BUCKET = 1 << 18  # places of a bucket; contexts of more are sent too, as long as these are MOST_CONTEXTS at most
 MOST_CONTEXTS = 1 << 18
 END = np.uint64(0)
+GONE, _RARE = -1, np.uint64(1 << 63)  # a word that no longer matters; what marks the hash of one that is not common
 _HELD = 2_000_000  # counts that a task holds before it sends them
 _SPOTS, _ROWS = 600_000, 700_000  # likewise spots, and sums of rows
 
@@ -113,24 +117,41 @@ class Tree:
     n: int
     v: int
     levels: list[Level] = field(default_factory=list)
+    lead: np.ndarray | None = None  # for each value of the leading bits, the first word that has them
+
+    def find(self, sym: np.ndarray) -> np.ndarray:
+        """Places among the common words, -1 for others: from the first word with the same leading bits on."""
+        if not len(self.word):
+            return np.full(len(sym), -1, np.int64)
+        shift = np.uint64(64 - len(self.word).bit_length())
+        if self.lead is None:
+            self.lead = np.append(0, np.cumsum(np.bincount((self.word >> shift).astype(np.int64), minlength=1 << (64 - int(shift)))))[:-1].astype(np.int32)
+        last = len(self.word) - 1
+        at = np.minimum(self.lead[(sym >> shift).astype(np.int64)], last).astype(np.int64)
+        live = np.flatnonzero(self.word[at] < sym)
+        while len(live):
+            at[live] += 1
+            live = live[at[live] < last]
+            live = live[self.word[at[live]] < sym[live]]
+        at = np.minimum(at, last)
+        return np.where(self.word[at] == sym, at, -1)
 
     def root(self, count: np.ndarray) -> np.ndarray:
         return (count + 1.0) / (self.n + self.v + 1.0)
 
     def places(self, sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Each symbol's place among the common words, and for each level the context before each symbol, -1 if it is none."""
-        word = _find(self.word, sym)
-        end = int(_find(self.word, np.array([END]))[0])
+        word = self.find(sym)
+        end = int(self.find(np.array([END]))[0])
         at = np.arange(len(sym)) - np.repeat(first[:-1], np.diff(first))
         states, deep = [], None
         for d, level in enumerate(self.levels, 1):
             before = np.full(len(sym), end, np.int64)
             before[d:] = np.where(at[d:] >= d, word[:-d], end)
-            if d == 1:
-                key = np.where(before >= 0, before, -1)
-            else:
-                key = np.where((before >= 0) & (deep >= 0) & (at >= d - 1), (deep << 32) | before, -1)
-            deep = _find(level.pair, key)
+            some = np.flatnonzero(before >= 0) if d == 1 else np.flatnonzero((before >= 0) & (deep >= 0) & (at >= d - 1))
+            found = np.full(len(sym), -1, np.int64)
+            found[some] = _find(level.pair, before[some] if d == 1 else (deep[some] << 32) | before[some])
+            deep = found
             states.append(deep)
         return word, states
 
@@ -160,13 +181,16 @@ class Tree:
         """For each level the context before each spot, -1 if it is none of this tree."""
         out: list[np.ndarray] = []
         for d, level in enumerate(self.levels, 1):
-            before = s.place[d].astype(np.int64)
-            out.append(_find(level.pair, before if d == 1 else np.where((before >= 0) & (out[-1] >= 0) & (s.at >= d - 1), (out[-1] << 32) | before, -1)))
+            before = s.word[d]
+            some = np.flatnonzero(before >= 0) if d == 1 else np.flatnonzero((before >= 0) & (out[-1] >= 0) & (s.at >= d - 1))
+            found = np.full(len(before), -1, np.int64)
+            found[some] = _find(level.pair, before[some] if d == 1 else (out[-1][some] << 32) | before[some])
+            out.append(found)
         return out
 
     def chance(self, s: Spots, states: list[np.ndarray], upto: int | None = None) -> np.ndarray:
         """P(word | longest kept suffix of up to `upto` words) of each spot, from the counts that it brings."""
-        word = s.place[0].astype(np.int64)
+        word = s.word[0]
         out = _root(s, self)
         for d, (level, state) in enumerate(zip(self.levels[:upto], states)):
             some = np.flatnonzero(state >= 0)
@@ -182,9 +206,21 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
+def _steps(x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Differences, beginning anew at each head, with the sign in the last bit."""
+    step = np.diff(x, prepend=x.dtype.type(0))
+    step[head] = x[head]
+    return ((step << 1) ^ (step >> 63)).view(np.uint64)
+
+
+def _summed_steps(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.int64)
+    return np.cumsum(((x >> 1) & 0x7FFFFFFFFFFFFFFF) ^ -(x & 1))
+
+
 @dataclass
 class Spots:
-    """Places in texts. place and hash: of the word and of those before it, the last first; n: how often the word follows each of the contexts sent (0: not listed)."""
+    """Places in texts. word: the word and those before it, the last first: places among the common words, GONE, or marked hashes of others; n: how often the word follows each of the contexts sent (0: not listed)."""
 
     doc: np.ndarray
     tell: np.ndarray  # tells rows of one id apart
@@ -193,39 +229,49 @@ class Spots:
     rep: np.ndarray  # bit d: this spot stands for all of its next word of its context of level d
     many: np.ndarray  # count of a word that is not common
     n: np.ndarray
-    place: np.ndarray
-    hash: np.ndarray
+    word: np.ndarray
 
     def take(self, which: np.ndarray) -> Spots:
-        return Spots(*(x[..., which] for x in vars(self).values()))
+        return Spots(*(x.take(which, axis=-1) for x in vars(self).values()))
 
     @staticmethod
     def joined(parts: list[Spots]) -> Spots:
-        return Spots(*(np.concatenate(x, axis=-1) for x in zip(*(vars(p).values() for p in parts))))
-
-    def pack(self, code: np.ndarray) -> bytes:
-        """code: a short number for each common word, and the last one for all others, whose hashes follow."""
-        steps = (np.diff(x, prepend=x.dtype.type(0)) for x in (self.doc, self.tell))
-        flags = self.train | (self.at << 1), self.rep
-        return deflate(b"".join([np.int64(len(self.doc)).tobytes(), *map(_planes, (*steps, *flags, self.many, self.n.ravel(), code[self.place].ravel())), self.hash[self.place < 0].tobytes()]))
+        return parts[0] if len(parts) == 1 else Spots(*(np.concatenate(x, axis=-1) for x in zip(*(vars(p).values() for p in parts))))
+
+    def packed(self, order: np.ndarray, head: np.ndarray, code: np.ndarray) -> list[bytes]:
+        """A blob for each run of `order` from one head to the next. code: a short number for each common word; 0 is GONE, 1 all others, whose hashes follow."""
+        words = [w.take(order) for w in self.word]
+        codes = [np.where(w >= 0, code[np.maximum(w, 0)], np.uint32(0)) for w in words]
+        rare = [np.flatnonzero(w < GONE) for w in words]
+        for c, r in zip(codes, rare):
+            c[r] = 1
+        flags = self.train | (self.at << np.uint8(1))
+        columns = [*(_steps(x.take(order), head) for x in (self.doc, self.tell)), *(x.take(order) for x in (flags, self.rep, self.many, *self.n)), *codes]
+        widths = [(int(x.max()).bit_length() + 7) // 8 for x in columns]
+        planes = [(x >> x.dtype.type(8 * k)).astype(np.uint8) for x, width in zip(columns, widths) for k in range(width)]
+        edge = np.append(head, len(order))
+        hashes = [(w[r], np.searchsorted(r, edge).tolist()) for w, r in zip(words, rare)]
+        edge = edge.tolist()
+        return [deflate(b"".join([np.int64(hi - lo).tobytes(), bytes(widths), *(p[lo:hi] for p in planes), *(h[at[k] : at[k + 1]] for h, at in hashes)])) for k, (lo, hi) in enumerate(zip(edge, edge[1:]))]
 
     @staticmethod
-    def unpack(z: bytes, depth: int, word: np.ndarray, back: np.ndarray) -> Spots:
-        raw, at = inflate(z), 8
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-
-        def take(kind, rows=1):
-            nonlocal at
-            width = np.dtype(kind).itemsize
-            planes = np.frombuffer(raw, np.uint8, rows * n * width, at).reshape(width, -1)
-            at += rows * n * width
-            return np.ascontiguousarray(planes.T).view(kind)[:, 0]
-
-        doc, tell, flags, rep, many = take(np.int64).cumsum(), take(np.int64).cumsum(), take(np.uint8), take(np.uint8), take(np.uint32)
-        counts, place = take(np.uint32, depth).reshape(depth, n), back[take(np.uint32, depth + 1)].reshape(depth + 1, n)
-        hashes = word[place] if len(word) else np.zeros(place.shape, np.uint64)
-        hashes[place < 0] = np.frombuffer(raw, np.uint64, offset=at)
-        return Spots(doc, tell, flags & 1, flags >> 1, rep, many, counts, place, hashes)
+    def unpack(z: bytes, depth: int, back: np.ndarray) -> Spots:
+        raw, kinds = inflate(z), [np.uint64] * 2 + [np.uint8] * 2 + [np.uint32] * (2 * depth + 2)
+        n, at, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 8 + len(kinds), []
+        for kind, width in zip(kinds, raw[8:at]):
+            x = np.zeros(n, kind)
+            for k in range(width):
+                x |= np.frombuffer(raw, np.uint8, n, at).astype(kind) << kind(8 * k)
+                at += n
+            columns.append(x)
+        doc, tell, flags, rep, many, *rest = columns
+        word = np.empty((depth + 1, n), np.int64)
+        for w, code in zip(word, rest[depth:]):
+            w[:] = back.take(code)
+            rare = np.flatnonzero(code == 1)
+            w[rare] = np.frombuffer(raw, np.int64, len(rare), at)
+            at += 8 * len(rare)
+        return Spots(_summed_steps(doc), _summed_steps(tell), flags & 1, flags >> 1, rep, many, np.stack(rest[:depth]), word)
 
 
 def _level(tree: Tree, pair: np.ndarray, ahead: np.ndarray, ahead_at: np.ndarray, size: np.ndarray, cell: np.ndarray, n: np.ndarray, gain: float, smooth: float, others: np.ndarray | None = None) -> Level:
@@ -249,8 +295,8 @@ def _level(tree: Tree, pair: np.ndarray, ahead: np.ndarray, ahead_at: np.ndarray
 
 
 def _root(s: Spots, tree: Tree) -> np.ndarray:
-    word = s.place[0].astype(np.int64)
-    return tree.root(np.where(word >= 0, tree.count[word] if len(tree.count) else 0, s.many))
+    word = s.word[0]
+    return tree.root(np.where(word >= 0, tree.count[np.maximum(word, 0)] if len(tree.count) else 0, s.many))
 
 
 @dataclass
@@ -268,19 +314,46 @@ class Sent:
     buckets: int
     code: np.ndarray
     back: np.ndarray
+    never: int  # contexts that occur so often or less are never kept
+    rarest: int  # words that are not common occur so often or less
 
     def floor(self, d: int) -> int:
         """Next words of level d that occur so often or less are not listed."""
         return max(self.least - 1, self.cell_floor if d else 0)
 
     def unpack(self, z: bytes) -> Spots:
-        return Spots.unpack(z, self.depth, self.tree.word, self.back)
+        return Spots.unpack(z, self.depth, self.back)
 
     def deal(self, to: np.ndarray, s: Spots) -> tuple[list[int], list[bytes]]:
-        to = (to % np.uint64(self.buckets)).astype(np.int64)
+        if not len(to):
+            return [], []
+        to = (to % np.uint64(self.buckets)).astype(np.uint16 if self.buckets <= 1 << 16 else np.int64)
         order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.append(True, np.diff(to[order]) != 0)) if len(to) else np.zeros(0, np.int64)
-        return to[order][cuts].tolist(), [s.take(x).pack(self.code) for x in np.split(order, cuts[1:])] if len(to) else []
+        to = to[order]
+        head = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        return to[head].tolist(), s.packed(order, head, self.code)
+
+    def lives(self, word: np.ndarray) -> np.ndarray:
+        """Whether a context with the word may be kept."""
+        common = word >= 0
+        if self.rarest >= self.never:
+            return common | ((word != GONE) & (self.rarest > self.never))
+        return np.where(common, self.tree.count[np.where(common, word, 0)] > self.never if len(self.tree.count) else False, False)
+
+
+class Shared:
+    """A Sent for all tasks. Each executor writes a broadcast to its disk; the common words, which are most of it, are in one of their own, sent once."""
+
+    def __init__(self, spark, sent: Sent, words=None):
+        self.words = words or spark.sparkContext.broadcast((sent.tree.word, sent.tree.count, sent.code, sent.back))
+        self.rest = spark.sparkContext.broadcast(replace(sent, tree=replace(sent.tree, word=None, count=None, lead=None), code=None, back=None))
+
+    @property
+    def value(self) -> Sent:
+        sent = self.rest.value
+        if sent.code is None:
+            sent.tree.word, sent.tree.count, sent.code, sent.back = self.words.value
+        return sent
 
 
 def _deal(parts: int, rows: DataFrame) -> DataFrame:
@@ -320,21 +393,27 @@ def _walk(batches, sent: Sent):
             yield (doc[lo:hi], tell[lo:hi], train[lo:hi]), first, sym, word, at, states, asked, mix64(key)
 
 
-def _spots(which: np.ndarray, rows, first: np.ndarray, sym: np.ndarray, word: np.ndarray, at: np.ndarray, end: int, depth: int) -> Spots:
-    row = np.searchsorted(first, which, "right") - 1
-    place, hashes = np.empty((depth + 1, len(which)), np.int32), np.empty((depth + 1, len(which)), np.uint64)
+def _named(sym: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Words by what Spots have for them."""
+    return np.where(word >= 0, word, (sym | _RARE).view(np.int64))
+
+
+def _spots(which: np.ndarray, rows, first: np.ndarray, sym: np.ndarray, word: np.ndarray, at: np.ndarray, tree: Tree, depth: int) -> Spots:
+    row, at = np.searchsorted(first, which, "right") - 1, at[which]
+    name, end = _named(sym, word), _named(np.array([END]), tree.find(np.array([END])))[0]
+    words = np.empty((depth + 1, len(which)), np.int64)
     for d in range(depth + 1):
-        ok, i = at[which] >= d, np.maximum(which - d, 0)
-        place[d], hashes[d] = np.where(ok, word[i], end), np.where(ok, sym[i], END)
+        words[d] = np.where(at >= d, name[np.maximum(which - d, 0)], end)
     doc, tell, train = (x[row] for x in rows)
     zero = np.zeros(len(which), np.uint8)
-    return Spots(doc, tell, train.astype(np.uint8), at[which].astype(np.uint8), zero, zero.astype(np.uint32), np.zeros((depth, len(which)), np.uint32), place, hashes)
+    return Spots(doc, tell, train.astype(np.uint8), at.astype(np.uint8), zero, zero.astype(np.uint32), np.zeros((depth, len(which)), np.uint32), words)
 
 
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each one's group, an order by groups, and where each group begins in it."""
-    order = np.argsort(key, kind="stable")
-    new = np.append(True, key[order][1:] != key[order][:-1]) if len(key) else np.zeros(0, bool)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
     group = np.empty(len(key), np.int64)
     group[order] = np.cumsum(new) - 1
     return group, order, np.flatnonzero(new)
@@ -347,15 +426,15 @@ def _pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 def _counted(s: Spots, sent: Sent) -> Spots:
     """The spots of a bucket with the counts of their words, where these are not common, and of their next words in sent contexts."""
     tree, train = sent.tree, s.train.astype(float)
-    rare = np.flatnonzero(s.place[0] < 0)
-    group, _, _ = _groups(s.hash[0, rare])
+    rare = np.flatnonzero(s.word[0] < 0)
+    group, _, _ = _groups(s.word[0, rare])
     s.many[rare] = np.bincount(group, train[rare])[group] if len(rare) else 0
     for d, (level, state) in enumerate(zip(tree.levels, tree.states(s))):
         some = np.flatnonzero(state >= 0)
-        some = some[tree.cells(level, state[some], s.place[0, some].astype(np.int64)) < 0]
+        some = some[tree.cells(level, state[some], s.word[0, some]) < 0]
         if not len(some):
             continue
-        group, order, head = _groups(_pair_key(state[some].astype(np.uint64), s.hash[0, some]))
+        group, order, head = _groups(_pair_key(state[some].astype(np.uint64), s.word[0, some].view(np.uint64)))
         n = np.bincount(group, train[some])
         n[n <= sent.floor(d)] = 0
         s.n[d, some] = n[group]
@@ -364,11 +443,12 @@ def _counted(s: Spots, sent: Sent) -> Spots:
     return s
 
 
-def _sums(met: DataFrame, bound, d: int, size: np.ndarray) -> np.ndarray:
-    """For each sent context of level d the sums over its counted next words that _level takes as others; a task sends a row per context at most."""
+def _sums(met: DataFrame, bound: Shared, d: int, many: int) -> np.ndarray:
+    """For each of the `many` sent contexts of level d the sums over its counted next words that _level takes as others; a task sends a row per context at most."""
 
     def run(batches):
-        sent, size_ = bound.value
+        sent = bound.value
+        size_ = sent.tree.levels[d].size - sent.smooth
         total = np.zeros((3, len(size_)))
         for b in batches:
             for z in b.column(0):
@@ -381,7 +461,7 @@ def _sums(met: DataFrame, bound, d: int, size: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, *total[:, some])], names=["ctx", "a", "b", "c"])
 
     found = met.select("z").mapInArrow(run, "ctx long, a double, b double, c double").groupBy("ctx").agg(*(F.sum(c).alias(c) for c in "abc")).toArrow()
-    out = np.zeros((3, len(size)))
+    out = np.zeros((3, many))
     out[:, found["ctx"].to_numpy()] = [found[c].to_numpy() for c in "abc"]
     return out
 
@@ -392,6 +472,18 @@ def learn(texts: DataFrame, words: DataFrame, **bounds) -> Tree:
     return learn_all(rows, words, **bounds)[0].tree
 
 
+def _never(n: int, v: int, least: int, gain: float, smooth: float) -> int:
+    """So many occurrences are too few for a context to be kept.
+
+    A context of s places lists a word w that follows it n_w times, LEAST or more; w follows the parent as often, so its predicted share is n_w / (N + V + 1 + b) at least, and
+    log(n_w / s / share) no more than log((N + V + 1 + b) / s). What is not listed adds its number times log(1e12) at most; there is none where s is LEAST.
+    """
+    s, most = 0, n + v + 1 + smooth
+    while gain >= 0 and s < n and (s + 1 < least or (s + 1) * max(np.log(most / (s + 1)), 0 if s + 1 == least else 12 * np.log(10)) < gain):
+        s += 1
+    return s
+
+
 def _rarest(words: DataFrame, n: int, common: int) -> int:
     """A count that no more than `common` words exceed, the least one up to 1,000."""
     held, counts = 0, words.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.col("n").desc()).collect()
@@ -405,11 +497,13 @@ def _rarest(words: DataFrame, n: int, common: int) -> int:
 def learn_all(
     rows: DataFrame, words: DataFrame, depth: int = DEPTH, contexts: int | None = None, cells: int | None = None, common: int = COMMON, least: int = LEAST, gain: float = GAIN, smooth: float = SMOOTH,
     hot_contexts: int = HOT_CONTEXTS, hot_cells: int = HOT_CELLS, bucket: int = BUCKET,
-) -> tuple[Sent, DataFrame]:
-    """What is sent to all tasks, and (z) the counted spots; rows: (doc, tell, train, text); words: (key, n) of the training texts' symbols."""
+) -> tuple[Sent, DataFrame, Shared]:
+    """What is sent to all tasks, (z) the counted spots, and what Spark has sent; rows: (doc, tell, train, text); words: (key, n) of the training texts' symbols."""
     spark = rows.sparkSession
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = words.filter(F.col("n") > _rarest(words, n, common)).toArrow()
+    never = 0 if contexts or cells else _never(n, v, least, gain, smooth)
+    rarest = max(_rarest(words, n, common), never)
+    top = words.filter(F.col("n") > rarest).toArrow()
     order = np.argsort(h := top["key"].to_numpy().view(np.uint64))
     tree = Tree(h[order], top["n"].to_numpy()[order], n, v)
     many_contexts, many_cells = n // (contexts or max(hot_contexts, min(n // bucket, MOST_CONTEXTS))), n // (cells or hot_cells)
@@ -419,17 +513,28 @@ def learn_all(
     ahead, ahead_at = empty, empty
     training = rows.filter("train = 1").select("text")
     sizes = []
+    total, taught = rows.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
+    by = np.argsort(-tree.count, kind="stable")
+    rank = np.argsort(by)
+    floor = n // cells if cells else 0
+    given = Sent(
+        tree, depth, least, floor, max(floor, n // contexts if contexts else 0), n // contexts if contexts else 0, gain, smooth,
+        max(shuffle_parts(spark), n * total // max(taught, 1) // bucket), np.append(rank + 2, 0).astype(np.uint32), np.append([GONE, GONE], by).astype(np.int32), never, rarest,
+    )
+    common_words = None
     for d in range(1, depth + 1):
         tree.levels.append(Level(pair, ahead, ahead_at, np.zeros(len(pair), bool), np.zeros(len(pair)), empty, empty.astype(float), empty, size + smooth))
         sizes.append(size)
         if not len(pair):
             continue
-        sent = spark.sparkContext.broadcast(tree)
+        sent = Shared(spark, given, common_words)
+        common_words = sent.words
 
         def followed(data, off, d=d, sent=sent):
-            word, states = sent.value.places(*symbols(data, off))
+            tree = sent.value.tree
+            word, states = tree.places(*symbols(data, off))
             ok = (states[d - 1] >= 0) & (word >= 0)
-            ok[ok] = sent.value.count[word[ok]] > many_cells
+            ok[ok] = tree.count[word[ok]] > many_cells
             return ((states[d - 1][ok] << 32) | word[ok]).astype(np.uint64)
 
         found = _summed(training, followed).filter((F.col("n") >= least) & (F.col("n") > many_cells)).toArrow()  # at most as many as cells are sent
@@ -437,15 +542,7 @@ def learn_all(
         tree.levels[-1].cell, tree.levels[-1].n = key[order], found["n"].to_numpy()[order].astype(float)
         # the next candidates: a sent context and a frequent word after it; keyed by their suffix, so extended to the left
         pair, ahead, ahead_at, size = _extend(tree.levels[-1], tree.levels[-1].cell, tree.levels[-1].n, many_contexts)
-    total, taught = rows.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
-    by = np.argsort(-tree.count, kind="stable")
-    rank = np.argsort(by)
-    floor = n // cells if cells else 0
-    given = Sent(
-        tree, depth, least, floor, max(floor, n // contexts if contexts else 0), n // contexts if contexts else 0, gain, smooth,
-        max(shuffle_parts(spark), n * total // max(taught, 1) // bucket), np.append(rank, len(rank)).astype(np.uint32), np.append(by, -1).astype(np.int32),
-    )
-    bound = spark.sparkContext.broadcast(given)
+    bound = Shared(spark, given, common_words)
 
     def ask(batches):
         sent, held, keys, many = bound.value, [], [], 0
@@ -455,10 +552,9 @@ def learn_all(
             held.clear(), keys.clear()
             return pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(z, pa.binary())], names=["b", "z"])
 
-        end = int(_find(sent.tree.word, np.array([END]))[0])
         for rows_, first, sym, word, at, _, asked, key in _walk(batches, sent):
             which = np.flatnonzero(asked)
-            held.append(_spots(which, rows_, first, sym, word, at, end, sent.depth))
+            held.append(_spots(which, rows_, first, sym, word, at, sent.tree, sent.depth))
             keys.append(key[which])
             many += len(which)
             if many > _SPOTS:
@@ -471,17 +567,18 @@ def learn_all(
         for _, blobs in _per_bucket(batches):
             s = _counted(Spots.joined([bound.value.unpack(z) for z in blobs]), bound.value)
             for x in np.array_split(np.arange(len(s.doc)), len(s.doc) // 100_000 + 1):
-                yield pa.RecordBatch.from_arrays([pa.array([s.take(x).pack(bound.value.code)], pa.binary())], names=["z"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.packed(x, np.zeros(1, np.int64), bound.value.code), pa.binary())], names=["z"])
 
     met = cut(_deal(shuffle_parts(spark), rows.mapInArrow(ask, "b long, z binary")).mapInArrow(meet, "z binary"))
     done = Tree(tree.word, tree.count, n, v)
     for d, (level, size) in enumerate(zip(tree.levels, sizes)):
         if len(size):
-            part = Sent(**{**vars(given), "tree": Tree(tree.word, tree.count, n, v, [*done.levels, level])})
-            others = _sums(met, spark.sparkContext.broadcast((part, size)), d, size)
+            part = replace(given, tree=Tree(tree.word, tree.count, n, v, [*done.levels, level]))
+            others = _sums(met, Shared(spark, part, bound.words), d, len(size))
             level = _level(done, level.pair, level.ahead, level.ahead_at, size, level.cell, level.n, gain, smooth, others)
         done.levels.append(level)
-    return Sent(**{**vars(given), "tree": done}), met
+    out = replace(given, tree=done)
+    return out, met, Shared(spark, out, bound.words)
 
 
 def _extend(level: Level, cell: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -507,9 +604,9 @@ def _extend(level: Level, cell: np.ndarray, n: np.ndarray, least: int) -> tuple[
 def _keys(s: Spots, known: np.ndarray) -> np.ndarray:
     """A hash of each spot's context of one word more than `known`."""
     out = np.zeros(len(s.doc), np.uint64)
-    for d in range(1, len(s.hash)):
+    for d in range(1, len(s.word)):
         some = np.flatnonzero(known >= d - 1)
-        out[some] = _pair_key(out[some], s.hash[d, some])
+        out[some] = _pair_key(out[some], s.word[d, some].view(np.uint64))
     return out
 
 
@@ -518,15 +615,16 @@ def _deepened(p: np.ndarray, context: np.ndarray, word: np.ndarray, train: np.nd
     of, _, _ = _groups(context)
     size = np.bincount(of, train)
     floor = sent.context_floor if d else sent.word_floor
-    on = (size >= sent.least)[of]
-    live = np.flatnonzero((size >= max(sent.least, floor + 1))[of])  # others list nothing, so they are not kept
+    least = max(sent.least, sent.never + 1)
+    on = (size >= least)[of]
+    live = np.flatnonzero((size >= max(least, floor + 1))[of])  # others are not kept
     if not len(live):
         return p, on
     of, up = of[live], p[live]
-    cell, order, head = _groups(_pair_key(context[live], word[live]))
+    cell, order, head = _groups(_pair_key(of.astype(np.uint64), word[live].view(np.uint64)))
     first = order[head]
     n = np.bincount(cell, train[live])
-    n[n <= sent.floor(d)] = 0
+    n[(n <= sent.floor(d)) | (word[live[first]] == GONE)] = 0
     some = np.flatnonzero(n)
     ctx, m, q = of[first[some]], n[some], up[first[some]]
     listed, share, kl = (np.bincount(ctx, x, len(size)).astype(float) for x in (m, q, m * np.log(m / size[ctx] / q)))
@@ -594,8 +692,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     unique = texts.groupBy("doc").count().filter("count > 1").isEmpty()
     rows = texts.select("doc", (F.lit(0) if unique else F.xxhash64(F.coalesce("text", F.lit("")))).cast("long").alias("tell"), "train", "text")
     words = cut(_summed(rows.filter("train = 1"), lambda data, off: symbols(data, off)[0]))
-    given, met = learn_all(rows, words, **bounds)
-    bound = spark.sparkContext.broadcast(given)
+    given, met, bound = learn_all(rows, words, **bounds)
     # a bucket below zero holds sums of rows, the others spots
     dealt = "b long, z binary"
 
@@ -614,8 +711,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
         for s, states, row in source(sent):
             totals.add(*row)
-            known = sum((x >= 0).astype(np.int64) for x in states)
-            cold = known < np.minimum(s.at.astype(np.int64) + 1, sent.depth)
+            known = sum((x >= 0).astype(np.int8) for x in states)
+            s.word[0, (s.word[0] < 0) & (s.many < sent.least)] = GONE  # never listed
+            reach, live = np.zeros(len(known), np.int8), np.ones(len(known), bool)
+            for d in range(1, sent.depth + 1):
+                live &= sent.lives(s.word[d])
+                s.word[d, ~live] = GONE
+                reach += live & (s.at >= d - 1)
+            cold = known < reach
             warm = s.take(np.flatnonzero(~cold))
             p = sent.tree.chance(warm, [x[~cold] for x in states])
             totals.gains(warm, p, sent.tree)
@@ -637,7 +740,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     def from_texts(batches):
         def source(sent):
-            end = int(_find(sent.tree.word, np.array([END]))[0])
             for rows_, first, sym, word, at, states, asked, _ in _walk(batches, sent):
                 n = len(first) - 1
                 hit = word >= 0
@@ -645,7 +747,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 base = np.bincount(row, np.log10(sent.tree.count[word[hit]] + 1.0), n)
                 totals = rows_[0], rows_[1], np.ones(n), np.diff(first), np.bincount(row, minlength=n), base, np.zeros(n)
                 which = np.flatnonzero(~asked)
-                yield _spots(which, rows_, first, sym, word, at, end, sent.depth), [x[which] for x in states], totals
+                yield _spots(which, rows_, first, sym, word, at, sent.tree, sent.depth), [x[which] for x in states], totals
 
         yield from forward(source)
 
@@ -654,7 +756,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             for b in batches:
                 for z in b.column(0):
                     s = sent.unpack(z.as_py())
-                    rare = np.flatnonzero(s.place[0] < 0)
+                    rare = np.flatnonzero(s.word[0] < 0)
                     zero = np.zeros(len(rare))
                     yield s, sent.tree.states(s), (s.doc[rare], s.tell[rare], zero, zero, s.many[rare] > 0, np.log10(s.many[rare] + 1.0), zero)
 
@@ -673,9 +775,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                 train = s.train.astype(float)
                 key, live = np.zeros(len(p), np.uint64), np.ones(len(p), bool)
                 for d, state in enumerate(states):
-                    key = _pair_key(key, s.hash[d + 1])
+                    key = _pair_key(key, s.word[d + 1].view(np.uint64))
+                    live &= s.word[d + 1] != GONE
                     some = np.flatnonzero(live & (state < 0) & (s.at >= d))
-                    p[some], live[some] = _deepened(p[some], key[some], s.hash[0, some], train[some], d, sent)
+                    p[some], live[some] = _deepened(p[some], key[some], s.word[0, some], train[some], d, sent)
                 totals.gains(s, p, sent.tree)
             if totals.full:
                 yield batch(*totals.send())

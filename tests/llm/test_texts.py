@@ -365,6 +365,40 @@ def test_lm_leaves_out_nothing(spark):
         assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9), sent
 
 
+def test_lm_contexts_that_are_never_kept(spark, monkeypatch):
+    """Contexts of too few places to be kept, whatever follows them, don't travel, and no score changes by that."""
+    for n, v, least, gain, smooth in ((1000, 100, 2, 14.0, 2.0), (50, 20, 2, 8.0, 1.0), (300, 30, 1, 9.0, 2.0)):
+        never, most = suffix_tree._never(n, v, least, gain, smooth), n + v + 1 + smooth
+        assert never >= least
+        for s in range(1, never + 1):
+            for listed in range(least, s + 1):
+                up, rest = listed / most, s - listed  # the least share that a word so frequent can have; one word is the worst case
+                assert listed * math.log(listed / s / up) + (rest * math.log(rest / s / max(1 - up, 1e-12)) if rest else 0) <= gain
+    assert suffix_tree._never(10**10, 10**8, suffix_tree.LEAST, suffix_tree.GAIN, suffix_tree.SMOOTH) == 2
+    rng = np.random.default_rng(31)
+    share = 1 / np.arange(1, 301)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(300)], rng.integers(0, 40), p=share / share.sum())) for _ in range(120)]
+    for k in range(0, 120, 3):
+        texts[k] += f" this always stands here {k % 2} and once{k} only{k}"
+    d = docs(spark, texts)
+    for sent in ({}, {"hot_contexts": 30, "hot_cells": 200, "common": 40}):
+        got = []
+        for never in (suffix_tree._never, lambda *_: 0):
+            monkeypatch.setattr(suffix_tree, "_never", never)
+            got.append(sorted((r.doc_id, r.score, r.base_score) for r in suffix_tree.lm_scores(d, gain=18.0, smooth=2.0, **sent).collect()))
+            monkeypatch.undo()
+        assert np.allclose(got[0], got[1], rtol=1e-9)
+        assert sum(x > b + 1 for _, x, b in got[0]) > 20  # contexts are kept
+    s = suffix_tree.Spots(
+        np.array([5, 9, suffix_tree.NO_ID, 2]), np.array([0, -7, 1, 0]), np.array([1, 0, 1, 1], np.uint8), np.array([0, 1, 2, 2], np.uint8), np.array([0, 1, 0, 0], np.uint8), np.array([3, 0, 0, 70000], np.uint32),
+        np.array([[1, 2, 0, 4], [300, 0, 0, 0]], np.uint32), np.array([[0, 1, -(2**63) + 5, 2], [suffix_tree.GONE, 0, -9, 1], [2, suffix_tree.GONE, suffix_tree.GONE, 0]]),
+    )
+    blobs = s.packed(np.array([3, 0, 2, 1]), np.array([0, 1]), np.array([2, 4, 3, 0], np.uint32))
+    back = suffix_tree.Spots.joined([suffix_tree.Spots.unpack(z, 2, np.array([-1, -1, 0, 2, 1])) for z in blobs])
+    for x, y in zip(vars(back).values(), vars(s.take(np.array([3, 0, 2, 1]))).values()):
+        assert x.tolist() == y.tolist()
+
+
 def test_lm_next_words_in_tables(spark):
     """Next words of one-word contexts are listed from two occurrences on, wherever they are held; of two-word ones only frequent ones."""
     rng = np.random.default_rng(23)
