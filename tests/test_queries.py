@@ -75,3 +75,19 @@ def test_redaction_folds_letters_as_its_sql(spark, tmp_path):
         df = registry.QUERIES[name](spark, str(tmp_path))
         want = sorted(con.execute(f"select {', '.join(df.columns)} from ({registry.SQL[name]})").fetchall())
         assert sorted(tuple(r) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["win_roll_z"])
+def test_days_of_equal_values_have_no_spread(spark, tmp_path, name):
+    """Three days of the same values, whose rows lie in another order each: sums are those of the order of events, so that z is null while days are equal."""
+    values = [0.1, 0.2, 0.3]
+    rows = [(3 * k + i, datetime.datetime(2024, 1, 1 + k, i), 7, "click", v, None) for k in range(3) for i, v in enumerate(values)] + [(9, datetime.datetime(2024, 1, 4), 7, "click", 0.7, None)]
+    rows = [rows[i] for i in (0, 1, 2, 5, 4, 3, 8, 6, 7, 9)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    want = {str(d): z for d, z in con.execute(f"select d, z from ({registry.SQL[name]})").fetchall()}
+    got = {str(r.d): r.z for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert got["2024-01-02"] is None and got["2024-01-03"] is None
