@@ -60,7 +60,7 @@ def win_roll_z(t: Tables):
 @query("win_shift_z", f"SELECT user_id, d, round(CASE WHEN s > 0 THEN (v - m) / s END, 5) AS z FROM (SELECT user_id, d, v, avg(v) OVER w AS m, stddev(v) OVER w AS s FROM {DAILY_SQL} WINDOW w AS ({_R.format(90, 'INTERVAL 1 DAY PRECEDING')}))")
 def win_shift_z(t: Tables):
     w = days(-90, -1)
-    return daily(t).select("user_id", "d", X.rounded(F.when(F.stddev("v").over(w) > 0, (C("v") - F.avg("v").over(w)) / F.stddev("v").over(w)), 5).alias("z"))
+    return daily_in_order(t).select("user_id", "d", X.rounded(F.when(F.stddev("v").over(w) > 0, (C("v") - F.avg("v").over(w)) / F.stddev("v").over(w)), 5).alias("z"))
 
 
 @query("win_lag_n", f"SELECT user_id, d, n - lag(n, 7) OVER (PARTITION BY user_id ORDER BY d) AS delta FROM {DAILY_SQL}")
