@@ -216,18 +216,17 @@ def rank_dense(t: Tables):
     return found.select("query", C("id").alias("vec_id"), "score")
 
 
-@query("rank_hybrid", _BM25 + f""", sp AS (SELECT item_id AS query, doc_id AS id, score / max(score) OVER (PARTITION BY item_id) AS sparse FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s WHERE item_id % 50 = 0) WHERE r <= 20),
- de AS (SELECT query, id, dense FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dense DESC, id) AS r FROM (SELECT q.vec_id AS query, e.vec_id AS id, round({_COS}, 9) AS dense FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND q.vec_id IN (SELECT item_id FROM benchmark))) WHERE r <= 20),
+@query("rank_hybrid", _BM25 + f""", sp AS (SELECT item_id AS query, doc_id AS id, score / max(score) OVER (PARTITION BY item_id) AS sparse FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 20),
+ de AS (SELECT query, id, dense FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dense DESC, id) AS r FROM (SELECT q.vec_id AS query, e.vec_id AS id, round({_COS}, 9) AS dense FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark))) WHERE r <= 20),
  f AS (SELECT query, id, round(0.6 * coalesce(dense, 0) + 0.4 * coalesce(sparse, 0), 5) AS score FROM sp FULL JOIN de USING (query, id))
  SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM f WHERE score >= 0.1) WHERE r <= 10""")
 def rank_hybrid(t: Tables):
-    """Queries are all items whose id is divisible by 50, each with the vector of its id."""
-    items = t.benchmark.filter("item_id % 50 = 0")
-    sparse = R.bm25(t.documents, "doc_id", "text", items, "item_id", "text").select(C("item_id").alias("query"), C("doc_id").alias("id"), F.round("score", 9).alias("score"), C("score").alias("raw"))
+    """Queries are all items, each with the vector of its id."""
+    sparse = R.bm25(t.documents, "doc_id", "text", t.benchmark, "item_id", "text").select(C("item_id").alias("query"), C("doc_id").alias("id"), F.round("score", 9).alias("score"), C("score").alias("raw"))
     sparse = R.top(sparse, "query", "id", 20)
     best = sparse.groupBy("query").agg(F.max("raw").alias("m"))
     sparse = sparse.join(best, "query").select("query", "id", (C("raw") / C("m")).alias("sparse"))
-    asked = t.embeddings.filter("vec_id % 50 = 0").join(items.select(C("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    asked = t.embeddings.join(t.benchmark.select(C("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     dense = R.nearest(t.embeddings, "vec_id", "embedding", asked, "vec_id", "embedding", 20, digits=9).withColumnRenamed("score", "dense")
     score = F.round(0.6 * F.coalesce("dense", F.lit(0.0)) + 0.4 * F.coalesce("sparse", F.lit(0.0)), 5)
     return R.top(sparse.join(dense, ["query", "id"], "full").select("query", "id", score.alias("score")).filter("score >= 0.1"), "query", "id", 10)

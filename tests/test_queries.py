@@ -91,3 +91,9 @@ def test_days_of_equal_values_have_no_spread(spark, tmp_path, name):
     got = {str(r.d): r.z for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == want
     assert got["2024-01-02"] is None and got["2024-01-03"] is None
+
+
+def test_hybrid_ranking_takes_every_item(spark):
+    """Each item of the benchmark is a query, whatever its id."""
+    items = {r.item_id for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    assert {r["query"] for r in registry.QUERIES["rank_hybrid"](spark, DATA).collect()} == items
