@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +79,8 @@ _SLOTS = 4096
 
 
 def _sorted_words(c: Column) -> Column:
-    return F.array_join(F.array_sort(F.split(F.lower(F.trim(c)), r"\s+")), " ")
+    x = F.lower(F.trim(c))
+    return F.when(~x.rlike(r"\s"), x).otherwise(F.array_join(F.array_sort(F.split(x, r"\s+")), " "))
 
 
 def _met(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, off: float, q: int) -> tuple[DataFrame, DataFrame]:
@@ -126,30 +133,134 @@ def similar_candidates(left: DataFrame, right: DataFrame, keys: list[str], left_
     return best[0].join(best[1], by).filter(only).drop("_size_a", "_size_b")
 
 
-#: Names of equal keys are compared outright where that makes so few pairs a row, and so few in one cell of keys.
-PAIRS_A_ROW, PAIRS_A_CELL = 200, 20_000_000
+#: Names of equal keys are compared outright where that makes so few pairs a row, and so few pairs and rows of one side in one cell of keys.
+PAIRS_A_ROW, PAIRS_A_CELL, ROWS_A_CELL = 200, 20_000_000, 10_000
 
 
 def _few_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
     counts = [d.groupBy(*keys).agg(F.count("*").alias(n)) for d, n in ((left, "_na"), (right, "_nb"))]
     both = counts[0].join(counts[1], keys, "full").fillna(0, ["_na", "_nb"])
     pairs = F.col("_na").cast("double") * F.col("_nb")
-    most, total, rows = both.agg(F.max(pairs), F.sum(pairs), F.sum(F.col("_na") + F.col("_nb"))).first()
-    return most is None or (most <= PAIRS_A_CELL and total <= PAIRS_A_ROW * rows)
+    most, total, rows, side = both.agg(F.max(pairs), F.sum(pairs), F.sum(F.col("_na") + F.col("_nb")), F.max(F.greatest("_na", "_nb"))).first()
+    return most is None or (most <= PAIRS_A_CELL and side <= ROWS_A_CELL and total <= PAIRS_A_ROW * rows)
+
+
+#: Pairs of words that a task compares at once, and those whose results it gives back at once.
+_AT_ONCE, _A_BATCH = 1 << 18, 4_000_000
+
+
+def _distances(x: list[np.ndarray], y: list[np.ndarray], most: int) -> np.ndarray:
+    """Edit distances of pairs of words, given as the columns of their letters; more than `most` where they are beyond it."""
+    m, n, pairs = len(x), len(y), len((x or y or [()])[0])
+    kind = np.uint8 if m + n < 250 else np.int32
+    full = lambda v: np.full(pairs, v, kind)
+    row = {j: full(j) for j in range(min(n, most) + 1)}
+    for i in range(1, m + 1):
+        last, row = row, {}
+        for j in range(max(0, i - most), min(n, i + most) + 1):
+            if j == 0:
+                row[j] = full(i)
+                continue
+            d = last[j - 1] + (x[i - 1] != y[j - 1])
+            for beside in (last.get(j), row.get(j - 1)):
+                if beside is not None:
+                    np.minimum(d, beside + kind(1), out=d)
+            row[j] = d
+    return row[n]
+
+
+def _blocks(work: np.ndarray, most: int) -> list[int]:
+    """Edges of runs of about so much work each."""
+    return np.flatnonzero(np.diff(np.cumsum(work) // most, prepend=-1, append=-1)).tolist()
+
+
+class _Side:
+    """Of lists of words, given as codes, each list's different words in order, and the places of each."""
+
+    def __init__(self, lists: pa.ListArray, codes: np.ndarray, kinds: int):
+        n = np.diff(lists.offsets.to_numpy())
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.repeat(np.arange(len(n)), n) * kinds + codes
+        order = np.argsort(key, kind="stable")
+        found, self.at, self.times = np.unique(key[order], return_index=True, return_counts=True)
+        self.places, self.code = place[order], found % kinds
+        self.cell = found // kinds
+        self.n = np.bincount(self.cell, minlength=len(n))
+        self.start = np.cumsum(self.n) - self.n
+
+    def lists(self, which: np.ndarray) -> pa.ListArray:
+        at, times = self.at[which], self.times[which]
+        ends = np.cumsum(times)
+        flat = self.places[np.repeat(at - (ends - times), times) + np.arange(times.sum())]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat, pa.int32()))
+
+
+def _alike(off: float):
+    """Of two lists of words the pairs that are alike: where the words of a pair stand in either list, and the edits. Different words are compared once a row."""
+
+    def compared(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        coded = pa.concat_arrays([xs.flatten(), ys.flatten()]).dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        size = np.array([len(w) for w in words], np.int64)
+        same = len(os.path.commonprefix(words))  # what all begin with makes no difference
+        wide = max(1, int(size.max(initial=0)) - same)
+        letters = np.array([w[same:] for w in words], dtype=f"U{wide}").view(np.uint32).reshape(len(words), wide).T
+        letters = np.ascontiguousarray(letters, np.uint8 if letters.max(initial=0) < 256 else np.uint32)
+        a, b = _Side(xs, codes[: len(xs.flatten())], len(words)), _Side(ys, codes[len(xs.flatten()) :], len(words))
+        # each word of a meets the words of b in its cell, which lie one behind the other
+        times, first = b.n[a.cell], b.start[a.cell]
+        letters_a, letters_b = letters[:, a.code], letters[:, b.code]
+        lengths = [(int(m), int(n)) for m in np.unique(size) for n in np.unique(size)]
+        out = [(np.zeros(0, np.int64),) * 4]
+        for lo, hi in pairwise(_blocks(times, _AT_ONCE)):
+            n = times[lo:hi]
+            ends = np.cumsum(n)
+            q = np.arange(n.sum(), dtype=np.int32) - np.repeat((ends - n - first[lo:hi]).astype(np.int32), n)
+            for x, y in lengths:
+                most = int(np.floor(max(x, y) * off + 1e-9))
+                if abs(x - y) > most:
+                    continue
+                every = len(lengths) == 1
+                some = slice(None) if every else np.flatnonzero(np.repeat(size[a.code[lo:hi]] == x, n) & (size[b.code] == y)[q])
+                at = q[some]
+                if x == y == same:
+                    apart = np.zeros(len(at), np.uint8)
+                else:
+                    apart = _distances([np.repeat(c[lo:hi], n)[some] for c in letters_a[: x - same]], [c[at] for c in letters_b[: y - same]], most)
+                near = np.flatnonzero(apart <= most)
+                p = lo + np.searchsorted(ends, near if every else some[near], side="right")
+                out.append((a.cell[p], p, at[near].astype(np.int64), apart[near].astype(np.int64)))
+        cell, p, q, apart = (np.concatenate(c) for c in zip(*out))
+        order = np.argsort(cell, kind="stable")
+        found = pa.StructArray.from_arrays([a.lists(p[order]), b.lists(q[order]), pa.array(apart[order], pa.int32())], names=["i", "j", "apart"])
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(cell, minlength=len(xs)))], pa.int32()), found)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for xs, ys in batches:
+            m, n = (np.diff(lists.offsets.to_numpy()).astype(np.int64) for lists in (xs, ys))
+            for lo, hi in pairwise(_blocks(m * n + m + n, _A_BATCH)):
+                yield compared(xs.slice(lo, hi - lo), ys.slice(lo, hi - lo))
+
+    return F.arrow_udf(run, "array<struct<i: array<int>, j: array<int>, apart: int>>")
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, least: float = 85.0, only: str = "true") -> DataFrame:
     """Pairs of equal keys, for which `only` holds, whose names agree by `least` of 100 (token_sort_ratio), with that score. Null names agree with none.
 
-    Where keys leave few pairs, these are compared; elsewhere names meet by rare runs (similar_candidates).
+    Where keys leave few pairs, each cell of keys is a row, and its different names are compared all at once; elsewhere names meet by rare runs (similar_candidates).
     """
     if _few_pairs(left, right, keys):
-        a, b = (d.filter(F.col(n).isNotNull()).withColumn(x, _sorted_words(F.col(n))) for d, n, x in ((left, left_name, "_x"), (right, right_name, "_y")))
-        edits = "cast(floor(greatest(length(_x), length(_y)) * {} + 1e-9) as int)".format(1 - least / 100)
-        d = a.join(b.hint("merge"), keys).filter(only).filter(F.expr(f"levenshtein(_x, _y, {edits}) >= 0"))
+        cells = []
+        for df, name, words, rows in ((left, left_name, "_x", "_as"), (right, right_name, "_y", "_bs")):
+            d = df.filter(F.col(name).isNotNull()).withColumn(words, _sorted_words(F.col(name)))
+            cells.append(d.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in d.columns if c not in keys))).alias(rows)))
+        d = cells[0].join(cells[1].hint("merge"), keys).withColumn("_pairs", _alike(1 - least / 100)(F.col("_as._x"), F.col("_bs._y")))
+        d = d.withColumn("_p", F.explode("_pairs")).withColumn("_i", F.explode("_p.i")).withColumn("_j", F.explode("_p.j"))
+        fields = [F.col(rows)[F.col(at)][c].alias(c) for df, words, rows, at in ((left, "_x", "_as", "_i"), (right, "_y", "_bs", "_j")) for c in [*df.columns, words] if c not in keys]
+        d = d.select(*keys, *fields, F.col("_p.apart").alias("_apart")).filter(only)
     else:
         d = similar_candidates(left, right, keys, left_name, right_name, least, only)
         d = d.filter(F.expr("levenshtein(_x, _y, _edits) >= 0")).filter(F.element_at(F.array_intersect("_rare_a", "_rare_b"), 1) == F.col("_g"))  # the distance, then each pair once
-    edits = F.levenshtein("_x", "_y")
+        d = d.withColumn("_apart", F.levenshtein("_x", "_y"))
     size = F.greatest(F.length("_x"), F.length("_y"), F.lit(1))
-    return d.withColumn("score", 100.0 * (1 - edits / size)).filter(F.col("score") >= least).drop("_x", "_y", "_edits", "_g", "_rare_a", "_rare_b")
+    return d.withColumn("score", 100.0 * (1 - F.col("_apart") / size)).filter(F.col("score") >= least).drop("_x", "_y", "_edits", "_g", "_rare_a", "_rare_b", "_apart")

@@ -223,6 +223,27 @@ def test_similar_pairs_by_cells_and_by_runs_agree(spark, monkeypatch, pairs):
     assert len(by_runs) == (pairs == 0) and got
 
 
+def test_names_of_a_cell_are_compared_at_once(spark, monkeypatch):
+    """Words of all lengths in lists that are cut to blocks and batches in every way; a word that comes often is compared once a list, and no pair of rows goes through levenshtein."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["", "x", "ab", "Gesundheit fü", "Gesundheit für", "customer#000012345", "customer#000012354", "customer#00001234", "customer#000912345", "customer#\U0001f600"]
+    lists = [([rng.choice(words) for _ in range(rng.randrange(9))], [rng.choice(words) for _ in range(rng.randrange(9))]) for _ in range(60)] + [(["x"] * 700, ["x"] * 500)]
+    xs, ys = (pa.array([p[k] for p in lists], pa.list_(pa.string())) for k in (0, 1))
+    for off in (0.15, 0.4):
+        want = [sorted((i, j, _edits(x, y)) for i, x in enumerate(p) for j, y in enumerate(q) if _edits(x, y) <= max(len(x), len(y)) * off + 1e-9) for p, q in lists]
+        for once, batch in ((1 << 18, 4_000_000), (7, 50)):
+            monkeypatch.setattr(J, "_AT_ONCE", once)
+            monkeypatch.setattr(J, "_A_BATCH", batch)
+            found = [r for part in J._alike(off).func([(xs, ys)]) for r in part.to_pylist()]
+            assert [sorted((i, j, m["apart"]) for m in r for i in m["i"] for j in m["j"]) for r in found] == want
+    assert [len(r) for r in found][-1] == 1
+    a = spark.range(100).select(C("id").alias("a"), F.lit(1).alias("g"), F.format_string("Customer#%09d", C("id") % 10).alias("na"))
+    d = J.similar_pairs(a, a.select(C("a").alias("b"), "g", C("na").alias("nb")), ["g"], "na", "nb", only="a < b")
+    assert "levenshtein" not in d._jdf.queryExecution().optimizedPlan().toString() and d.count() == 4950
+
+
 def test_few_candidates_in_one_cell(spark):
     """5,000 names of one cell, 12.5 million pairs. Of names that differ in five digits a third of the pairs is compared at most, of names of words a fiftieth."""
     pick = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
