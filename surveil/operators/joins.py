@@ -196,7 +196,7 @@ class _Side:
 
 
 def _alike(off: float):
-    """Of two lists of words the pairs that are alike: where the words of a pair stand in either list, and the edits. Different words are compared once a row."""
+    """Of two lists of words the pairs that are alike: where the words of a pair stand in either list, the edits and the score. Different words are compared once a row."""
 
     def compared(xs: pa.Array, ys: pa.Array) -> pa.Array:
         coded = pa.concat_arrays([xs.flatten(), ys.flatten()]).dictionary_encode()
@@ -232,7 +232,8 @@ def _alike(off: float):
                 out.append((a.cell[p], p, at[near].astype(np.int64), apart[near].astype(np.int64)))
         cell, p, q, apart = (np.concatenate(c) for c in zip(*out))
         order = np.argsort(cell, kind="stable")
-        found = pa.StructArray.from_arrays([a.lists(p[order]), b.lists(q[order]), pa.array(apart[order], pa.int32())], names=["i", "j", "apart"])
+        score = 100.0 * (1 - apart / np.maximum(np.maximum(size[a.code[p]], size[b.code[q]]), 1))
+        found = pa.StructArray.from_arrays([a.lists(p[order]), b.lists(q[order]), pa.array(apart[order], pa.int32()), pa.array(score[order])], names=["i", "j", "apart", "score"])
         return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(cell, minlength=len(xs)))], pa.int32()), found)
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -241,11 +242,11 @@ def _alike(off: float):
             for lo, hi in pairwise(_blocks(m * n + m + n, _A_BATCH)):
                 yield compared(xs.slice(lo, hi - lo), ys.slice(lo, hi - lo))
 
-    return F.arrow_udf(run, "array<struct<i: array<int>, j: array<int>, apart: int>>")
+    return F.arrow_udf(run, "array<struct<i: array<int>, j: array<int>, apart: int, score: double>>")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, least: float = 85.0, only: str = "true") -> DataFrame:
-    """Pairs of equal keys, for which `only` holds, whose names agree by `least` of 100 (token_sort_ratio), with that score. Null names agree with none.
+def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_name: str, right_name: str, least: float = 85.0, only: str = "true", digits: int | None = None) -> DataFrame:
+    """Pairs of equal keys, for which `only` holds, whose names agree by `least` of 100 (token_sort_ratio), with that score, rounded to `digits` if given. Null names agree with none.
 
     Where keys leave few pairs, each cell of keys is a row, and its different names are compared all at once; elsewhere names meet by rare runs (similar_candidates).
     """
@@ -255,12 +256,14 @@ def similar_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_name:
             d = df.filter(F.col(name).isNotNull()).withColumn(words, _sorted_words(F.col(name)))
             cells.append(d.groupBy(*keys).agg(F.collect_list(F.struct(*(c for c in d.columns if c not in keys))).alias(rows)))
         d = cells[0].join(cells[1].hint("merge"), keys).withColumn("_pairs", _alike(1 - least / 100)(F.col("_as._x"), F.col("_bs._y")))
-        d = d.withColumn("_p", F.explode("_pairs")).withColumn("_i", F.explode("_p.i")).withColumn("_j", F.explode("_p.j"))
-        fields = [F.col(rows)[F.col(at)][c].alias(c) for df, words, rows, at in ((left, "_x", "_as", "_i"), (right, "_y", "_bs", "_j")) for c in [*df.columns, words] if c not in keys]
-        d = d.select(*keys, *fields, F.col("_p.apart").alias("_apart")).filter(only)
-    else:
-        d = similar_candidates(left, right, keys, left_name, right_name, least, only)
-        d = d.filter(F.expr("levenshtein(_x, _y, _edits) >= 0")).filter(F.element_at(F.array_intersect("_rare_a", "_rare_b"), 1) == F.col("_g"))  # the distance, then each pair once
-        d = d.withColumn("_apart", F.levenshtein("_x", "_y"))
+        d = d.withColumn("_p", F.explode("_pairs")).filter(F.col("_p.score") >= least)
+        # worked out for a pair of names, before its rows are paired
+        d = d.withColumn("score", F.col("_p.score") if digits is None else F.round("_p.score", digits)).withColumn("_i", F.explode("_p.i")).withColumn("_j", F.explode("_p.j"))
+        fields = [F.col(rows)[F.col(at)][c].alias(c) for df, rows, at in ((left, "_as", "_i"), (right, "_bs", "_j")) for c in df.columns if c not in keys]
+        return d.select(*keys, *fields, "score").filter(only)
+    d = similar_candidates(left, right, keys, left_name, right_name, least, only)
+    d = d.filter(F.expr("levenshtein(_x, _y, _edits) >= 0")).filter(F.element_at(F.array_intersect("_rare_a", "_rare_b"), 1) == F.col("_g"))  # the distance, then each pair once
+    edits = F.levenshtein("_x", "_y")
     size = F.greatest(F.length("_x"), F.length("_y"), F.lit(1))
-    return d.withColumn("score", 100.0 * (1 - F.col("_apart") / size)).filter(F.col("score") >= least).drop("_x", "_y", "_edits", "_g", "_rare_a", "_rare_b", "_apart")
+    d = d.withColumn("score", 100.0 * (1 - edits / size)).filter(F.col("score") >= least).drop("_x", "_y", "_edits", "_g", "_rare_a", "_rare_b")
+    return d if digits is None else d.withColumn("score", F.round("score", digits))

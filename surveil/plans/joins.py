@@ -196,8 +196,8 @@ def join_fuzzy(t: Tables):
     # each order meets those of its own day and of the day after
     a = o.select(C("o_orderkey").alias("a"), C("c_name").alias("na"), "c_nationkey", F.posexplode(F.array(C("d"), C("d") + 1)).alias("later", "d"))
     b = o.select(C("o_orderkey").alias("b"), C("c_name").alias("nb"), "c_nationkey", "d")
-    found = J.similar_pairs(a, b, ["c_nationkey", "d"], "na", "nb", only="a < b or (later = 1 and a <> b)")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("score", 6).alias("score"))
+    found = J.similar_pairs(a, b, ["c_nationkey", "d"], "na", "nb", only="a < b or (later = 1 and a <> b)", digits=6)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
 
 
 @query("join_asof", "SELECT e.event_id, p.event_id AS last_purchase FROM (SELECT * FROM events WHERE event_type = 'view') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p ON e.user_id = p.user_id AND e.ts >= p.ts")
